@@ -110,11 +110,10 @@ def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scalar_config",
-    """SELECT event_id, u.key AS key, u.value AS value FROM events, (VALUES
-      ('kind', 1), ('value', 2), ('absent', 3), ('k', 4)) AS names(key, ord),
-      LATERAL (SELECT names.key AS key, CASE names.ord WHEN 1 THEN '"' || event_type || '"'
-        WHEN 2 THEN CASE WHEN value > 100 THEN 'true' ELSE 'false' END WHEN 3 THEN 'null'
-        ELSE json_extract_string(props, '$.k') END AS value) u""",
+    """SELECT event_id, 'kind' AS key, '"' || event_type || '"' AS value FROM events
+    UNION ALL SELECT event_id, 'value', CASE WHEN value > 100 THEN 'true' ELSE 'false' END FROM events
+    UNION ALL SELECT event_id, 'absent', 'null' FROM events
+    UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events""",
 )
 def scalar_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.from_json("props", "k int")

@@ -441,7 +441,7 @@ def strip_prompt_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "final_text_choice",
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN upper(text) ELSE '' END AS final_text,
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN 'clean ' || text ELSE '' END AS final_text,
       nullif(concat_ws('; ', CASE WHEN role = 'system' THEN 'raw decode: KeyError: 1' END,
         CASE WHEN turn % 3 = 2 THEN 'clean decode: KeyError: 2' END), '') AS response_error
     FROM conversations""",
@@ -449,7 +449,7 @@ def strip_prompt_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.col("turn") % 3
     texts = F.when(form == 0, F.array("text")).otherwise(F.array().cast("array<string>"))
-    decoded = F.when(form == 1, F.upper("text"))
+    decoded = F.when(form == 1, F.concat(F.lit("clean "), "text"))
     raw_error = F.when(F.col("role") == "system", "raw decode: KeyError: 1")
     clean_error = F.when(form == 2, "clean decode: KeyError: 2")
     return fx.table(spark, sf_dir, "conversations").select(
