@@ -10,12 +10,13 @@ a normaliser) is bound first with ``bind``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tolerance of "this row already sums to one", and the floor inside a logarithm.
 SUM_TOLERANCE = 2e-3
@@ -147,104 +148,105 @@ def _lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     return pa.array(rows, type=pa.list_(kind))
 
 
-LOGIT_SUMMARY = (
-    "struct<selected_probability:double,top_ids:array<int>,top_probabilities:array<double>,"
-    "entropy:double>"
+LOGIT_FIELDS = (
+    "selected_token_probability double, top_k_token_ids array<int>, "
+    "top_k_probabilities array<double>, entropy double"
 )
 
 
-def logit_summary(k: int):
-    """Arrow UDF (scores, selected id) -> selected probability, top-k and entropy."""
-
-    @F.arrow_udf(LOGIT_SUMMARY)
-    def summarise(scores: pa.Array, selected: pa.Array) -> pa.Array:
-        count = len(scores)
-        chosen, entropies = np.full(count, np.nan), np.full(count, np.nan)
-        ids: list = [None] * count
-        probabilities: list = [None] * count
-        wanted = selected.to_numpy(zero_copy_only=False)
-        for rows, block in _blocks(scores):
-            if block.shape[1] == 0:
-                raise ValueError("a score row holds no values")
-            top = block.max(axis=1, keepdims=True)
-            shifted = block - top
-            norm = np.log(np.exp(shifted).sum(axis=1, keepdims=True))
-            log_p = shifted - norm
-            p = np.exp(log_p)
-            entropies[rows] = -np.where(p > 0, p * np.where(p > 0, log_p, 0.0), 0.0).sum(axis=1)
-            chosen[rows] = p[np.arange(len(rows)), wanted[rows].astype(np.int64)]
-            best = _ranked(block, min(k, block.shape[1]))
-            best_p = np.take_along_axis(p, best, axis=1)
-            for at, row in enumerate(rows):
-                ids[row], probabilities[row] = best[at], best_p[at]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(chosen, pa.float64()),
-                _lists(ids, pa.int32()),
-                _lists(probabilities, pa.float64()),
-                pa.array(entropies, pa.float64()),
-            ],
-            names=["selected_probability", "top_ids", "top_probabilities", "entropy"],
-        )
-
-    return summarise
-
-
-ROUTE_FEATURES = (
-    "struct<experts:int,expert_ids:array<int>,looks_normalized:boolean,"
-    "entropy_kept:double,entropy_softmax:double,margin_kept:double,margin_softmax:double>"
+def logit_columns(scores: pa.Array, selected: pa.Array, k: int) -> list[pa.Array]:
+    """Columns of LOGIT_FIELDS; probabilities are over the whole score vector."""
+    count = len(scores)
+    chosen, entropies = np.full(count, np.nan), np.full(count, np.nan)
+    ids: list = [None] * count
+    probabilities: list = [None] * count
+    wanted = selected.to_numpy(zero_copy_only=False)
+    for rows, block in _blocks(scores):
+        if block.shape[1] == 0:
+            raise ValueError("a score row holds no values")
+        shifted = block - block.max(axis=1, keepdims=True)
+        log_p = shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+        p = np.exp(log_p)
+        entropies[rows] = -np.where(p > 0, p * np.where(p > 0, log_p, 0.0), 0.0).sum(axis=1)
+        chosen[rows] = p[np.arange(len(rows)), wanted[rows].astype(np.int64)]
+        best = _ranked(block, min(k, block.shape[1]))
+        best_p = np.take_along_axis(p, best, axis=1)
+        for at, row in enumerate(rows):
+            ids[row], probabilities[row] = best[at], best_p[at]
+    return [
+        pa.array(chosen),
+        _lists(ids, pa.int32()),
+        _lists(probabilities, pa.float64()),
+        pa.array(entropies),
+    ]
+
+
+ROUTE_FIELDS = (
+    "experts int, expert_ids array<int>, looks_normalized boolean, entropy_kept double, "
+    "entropy_softmax double, margin_kept double, margin_softmax double"
 )
 
 
-def route_features(selected: int):
-    """Arrow UDF scores -> top experts plus entropy and margin under both normalisations.
+def route_columns(scores: pa.Array, selected: int) -> list[pa.Array]:
+    """Columns of ROUTE_FIELDS: top experts, and entropy and margin under both normalisations.
 
     Whether scores are kept or soft-maxed is decided per event, over all its tokens. Working both
     out here makes that a plain aggregate afterwards instead of a second pass joined back.
     """
-
-    @F.arrow_udf(ROUTE_FEATURES)
-    def features(scores: pa.Array) -> pa.Array:
-        count = len(scores)
-        experts = np.zeros(count, np.int32)
-        ids: list = [None] * count
-        normal = np.zeros(count, bool)
-        columns = {name: np.full(count, np.nan) for name in ("ek", "es", "mk", "ms")}
-        for rows, block in _blocks(scores):
-            width = block.shape[1]
-            if width == 0:
-                raise ValueError("a router row holds no scores")
-            k = min(selected, width)
-            experts[rows] = width
-            with np.errstate(invalid="ignore"):
-                normal[rows] = (block.min(axis=1) >= 0) & (
-                    np.abs(block.sum(axis=1) - 1.0) <= SUM_TOLERANCE
-                )
-            raised = np.exp(block - block.max(axis=1, keepdims=True))
-            soft = raised / raised.sum(axis=1, keepdims=True)
-            best = _ranked(block, k)
-            for at, row in enumerate(rows):
-                ids[row] = best[at]
-            for entropy_name, margin_name, p in (("ek", "mk", block), ("es", "ms", soft)):
-                columns[entropy_name][rows] = -(np.log(np.maximum(p, LOG_FLOOR)) * p).sum(axis=1)
-                lead = np.take_along_axis(p, best[:, :2], axis=1)
-                columns[margin_name][rows] = lead[:, 0] - lead[:, 1] if k > 1 else lead[:, 0]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(experts),
-                _lists(ids, pa.int32()),
-                pa.array(normal),
-                *(pa.array(columns[name], pa.float64()) for name in ("ek", "es", "mk", "ms")),
-            ],
-            names=[
-                "experts",
-                "expert_ids",
-                "looks_normalized",
-                "entropy_kept",
-                "entropy_softmax",
-                "margin_kept",
-                "margin_softmax",
-            ],
-        )
-
-    return features
+    count = len(scores)
+    experts = np.zeros(count, np.int32)
+    ids: list = [None] * count
+    normal = np.zeros(count, bool)
+    entropies = {"kept": np.full(count, np.nan), "soft": np.full(count, np.nan)}
+    margins = {"kept": np.full(count, np.nan), "soft": np.full(count, np.nan)}
+    for rows, block in _blocks(scores):
+        width = block.shape[1]
+        if width == 0:
+            raise ValueError("a router row holds no scores")
+        k = min(selected, width)
+        experts[rows] = width
+        with np.errstate(invalid="ignore"):
+            normal[rows] = (block.min(axis=1) >= 0) & (
+                np.abs(block.sum(axis=1) - 1.0) <= SUM_TOLERANCE
+            )
+        raised = np.exp(block - block.max(axis=1, keepdims=True))
+        best = _ranked(block, k)
+        for at, row in enumerate(rows):
+            ids[row] = best[at]
+        for reading, p in (("kept", block), ("soft", raised / raised.sum(axis=1, keepdims=True))):
+            entropies[reading][rows] = -(np.log(np.maximum(p, LOG_FLOOR)) * p).sum(axis=1)
+            lead = np.take_along_axis(p, best[:, :2], axis=1)
+            margins[reading][rows] = lead[:, 0] - lead[:, 1] if k > 1 else lead[:, 0]
+    return [
+        pa.array(experts),
+        _lists(ids, pa.int32()),
+        pa.array(normal),
+        *(pa.array(values[reading]) for values in (entropies, margins) for reading in ("kept", "soft")),
+    ]
+
+
+def map_columns(
+    df: DataFrame,
+    keep: Sequence[str],
+    inputs: Sequence[str],
+    fields: str,
+    kernel: Callable[..., list[pa.Array]],
+) -> DataFrame:
+    """``keep`` columns plus the kernel's columns over ``inputs``, one Arrow batch at a time.
+
+    A map over batches rather than a scalar UDF: it takes its input as finished columns, where the
+    optimizer may push a lambda expression into a UDF's arguments and then fail to find the UDF
+    again. Nothing but ``keep`` and ``inputs`` crosses to Python.
+    """
+    names = list(keep)
+    used = df.select(*names, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+    added = T.StructType.fromDDL(fields)
+    schema = T.StructType([used.schema[c] for c in names] + added.fields)
+    output = [*names, *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = kernel(*[batch.column(f"_in{i}") for i in range(len(inputs))])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], output)
+
+    return used.mapInArrow(run, schema)

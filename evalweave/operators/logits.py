@@ -7,23 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.vectors import logit_summary, masked
+from evalweave.functions.vectors import LOGIT_FIELDS, logit_columns, map_columns, masked
 
 
-def _expanded(df: DataFrame, scores: str, selected: str, top_k: int, keep: Sequence[str]) -> DataFrame:
-    summary = logit_summary(top_k)(F.col(scores), F.col(selected))
-    return df.select(*keep, summary.alias("_s")).select(
-        *keep,
-        F.col("_s.selected_probability").alias("selected_token_probability"),
-        F.col("_s.top_ids").alias("top_k_token_ids"),
-        F.col("_s.top_probabilities").alias("top_k_probabilities"),
-        F.col("_s.entropy").alias("entropy"),
+def _summarized(df: DataFrame, scores: str, selected: str, top_k: int, keep: Sequence[str]) -> DataFrame:
+    return map_columns(
+        df, keep, [scores, selected], LOGIT_FIELDS, lambda s, chosen: logit_columns(s, chosen, top_k)
     )
 
 
 def token_logits(df: DataFrame, top_k: int = 5) -> DataFrame:
     """One summary per generated token; top-k probabilities are over the whole vocabulary."""
-    return _expanded(
+    return _summarized(
         df, "scores", "selected_token_id", top_k, ["run_id", "token_step", "selected_token_id"]
     )
 
@@ -39,7 +34,7 @@ def canvas_logits(df: DataFrame, top_k: int = 5) -> DataFrame:
         "sampled_prob",
         "accepted",
     ]
-    return _expanded(df, "logits", "sampled_token_id", top_k, keep)
+    return _summarized(df, "logits", "sampled_token_id", top_k, keep)
 
 
 def canvas_logit_records(positions: DataFrame) -> DataFrame:

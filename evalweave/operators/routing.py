@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.vectors import bind, route_features
+from evalweave.functions.vectors import ROUTE_FIELDS, bind, map_columns, route_columns
 from evalweave.operators.ordered import group_percentile, scan_in_order
 from evalweave.operators.skew import lookup_join
 
@@ -24,9 +24,7 @@ def route_tokens(
     df: DataFrame, keep: Sequence[str], scores: str = "scores", selected: int = 8
 ) -> DataFrame:
     """Top experts and the per-token measures, under both ways of reading the scores."""
-    return df.select(*keep, route_features(selected)(F.col(scores)).alias("_f")).select(
-        *keep, "_f.*"
-    )
+    return map_columns(df, keep, [scores], ROUTE_FIELDS, lambda s: route_columns(s, selected))
 
 
 def normalization(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
