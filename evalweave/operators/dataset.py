@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave.functions.text import clean_float, clean_text, prompt_hash, shuffle_key
-from evalweave.operators.ordered import dense_index, limit_ordered
+from evalweave.operators.ordered import SMALL_LIMIT, dense_index, limit_ordered, number_rows
 from evalweave.operators.skew import lookup_join
 from evalweave.schemas import (
     EXAMPLE_COLUMNS,
@@ -19,6 +19,7 @@ from evalweave.schemas import (
     MANIFEST_SCHEMA,
     METADATA_COLUMNS,
 )
+from evalweave.session import stage
 
 # Rules in the order in which a row is checked.
 RULES = ("empty_id", "duplicate_id", "empty_prompt")
@@ -137,7 +138,7 @@ def load_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     df = filter_examples(require_columns(df), spec.filters())
     if spec.normalize:
         df = normalize_examples(df, keep=spec.order_by)
-    return limit_ordered(df, spec.order_by, spec.max_samples)
+    return limit_ordered(df, spec.order_by, spec.max_samples, spec.order_by)
 
 
 def shuffle_order(spec: ManifestSpec) -> list[Column]:
@@ -152,25 +153,29 @@ def seeded_shuffle(df: DataFrame, spec: ManifestSpec, name: str = "row_index") -
 def number_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     """Filter, clean, shuffle, limit, number and hash: the manifest before validation."""
     rows = load_examples(df, replace(spec, max_samples=None))
+    if not spec.normalize:
+        # Every manifest row is clean, also when the loader was told to leave rows as they are.
+        rows = normalize_examples(rows, keep=spec.order_by)
+    rows = rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt")))
     order = shuffle_order(spec) if spec.shuffle else [F.col(c) for c in spec.order_by]
-    # A limit at or below SMALL_LIMIT shrinks the rows before the sort, a larger one after it.
-    rows = limit_ordered(rows, order, spec.max_samples)
-    # Without normalisation the rows are still cleaned here, as every manifest row is.
-    rows = rows if spec.normalize else normalize_examples(rows, keep=spec.order_by)
-    order = shuffle_order(spec) if spec.shuffle else [F.col(c) for c in spec.order_by]
-    numbered = dense_index(rows, order)
-    return numbered.withColumn("prompt_sha256", prompt_hash(F.col("prompt"))).select(
-        *MANIFEST_SCHEMA.names
-    )
+    few = spec.max_samples is not None and spec.max_samples <= SMALL_LIMIT
+    if few:
+        rows = limit_ordered(rows, order, spec.max_samples)
+    numbered = number_rows(rows, order, list(spec.order_by))
+    if spec.max_samples is not None and not few:
+        numbered = numbered.filter(F.col("row_index") < spec.max_samples)
+    return numbered.select(*MANIFEST_SCHEMA.names)
 
 
 def violations(numbered: DataFrame) -> DataFrame:
     """Every broken rule of every row: (row_index, id, rule, priority).
 
     A duplicate is the second and any later row of an id. The empty id has its own rule and is
-    left out before grouping, so it cannot become a hot key.
+    left out before grouping, so it cannot become a hot key. An empty prompt is told by its hash,
+    which leaves the texts unread.
     """
-    rows = numbered.select("row_index", "id", (F.col("prompt") == "").alias("_no_prompt"))
+    no_prompt = F.col("prompt_sha256") == prompt_hash(F.lit(""))
+    rows = numbered.select("row_index", "id", no_prompt.alias("_no_prompt"))
     named = rows.filter(F.col("id") != "")
     repeated = (
         named.groupBy("id")
@@ -209,8 +214,12 @@ def require_valid(numbered: DataFrame) -> DataFrame:
 
 
 def build_manifest(df: DataFrame, spec: ManifestSpec) -> DataFrame:
-    """The validated manifest; raises at the first bad row."""
-    return require_valid(number_examples(df, spec))
+    """The validated manifest; raises at the first bad row.
+
+    It is written once, as the barrier between the dataset and the models: the checks read two of
+    its narrow columns, and every model reads the same files.
+    """
+    return require_valid(stage(number_examples(df, spec), "manifest"))
 
 
 def describe_manifest(spec: ManifestSpec, examples: Column, path: str, resolved: str) -> list[Column]:

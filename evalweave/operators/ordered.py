@@ -7,6 +7,7 @@ value, a last row) comes from a table with one row per chunk.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,15 +116,41 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_i
     )
 
 
-def limit_ordered(df: DataFrame, order: Sequence[str | Column], n: int | None) -> DataFrame:
-    """The first ``n`` rows in ``order``; all of them when ``n`` is null."""
+def number_rows(
+    df: DataFrame, order: Sequence[str | Column], key: Sequence[str], name: str = "row_index"
+) -> DataFrame:
+    """``dense_index`` for wide rows: only the sort columns are sorted and staged.
+
+    ``key`` names columns that identify a row. The wide rows are then shuffled once, to meet their
+    number; sorting them instead would read them twice (a range sort samples first) and write them
+    once more. Should the key be null or repeated somewhere, the rows are sorted whole after all.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    sort_columns = [f"_s{i}" for i in range(len(order))]
+    narrow = df.select(*key, *[c.alias(n) for c, n in zip(order, sort_columns, strict=True)])
+    numbers = dense_index(narrow, sort_columns, name).select(*key, name)
+    absent = functools.reduce(Column.__or__, [F.col(c).isNull() for c in key])
+    unfit = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | absent)
+    if not unfit.isEmpty():
+        return dense_index(df, order, name)
+    return df.join(numbers, list(key)).select(*df.columns, name)
+
+
+def limit_ordered(
+    df: DataFrame, order: Sequence[str | Column], n: int | None, key: Sequence[str] | None = None
+) -> DataFrame:
+    """The first ``n`` rows in ``order``; all of them when ``n`` is null.
+
+    A small ``n`` is a top-n; a large one would gather all its rows in one task and is cut by row
+    number instead. ``key`` is as in ``number_rows``.
+    """
     if n is None:
         return df
     if n <= 0:
         raise ValueError("the limit must be greater than zero")
     if n <= SMALL_LIMIT:
         return df.orderBy(*order).limit(n)
-    numbered = dense_index(df, order, "_at")
+    numbered = number_rows(df, order, key, "_at") if key else dense_index(df, order, "_at")
     return numbered.filter(F.col("_at") < n).select(*df.columns)
 
 

@@ -22,14 +22,15 @@ def lookup_join(
     spread_by: Sequence[str],
     broadcast_bytes: int = BROADCAST_BYTES,
     fan_out: int = FAN_OUT,
+    stored: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to a ``lookup`` with unique ``on`` keys, whatever the key distribution.
 
-    The lookup is written once and measured. Within ``broadcast_bytes`` it is broadcast and the
+    The lookup is written once (unless it is ``stored``, a plain read of files) and measured. Within ``broadcast_bytes`` it is broadcast and the
     facts are not shuffled at all; beyond, every key is spread over ``fan_out`` tasks by a hash of
     ``spread_by`` (columns that vary within a key) and the lookup is repeated once per task.
     """
-    table = stage(lookup, "lookup")
+    table = lookup if stored else stage(lookup, "lookup")
     row_bytes = F.length(F.to_json(F.struct(*table.columns)))
     size = table.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first()["n"]
     if size <= broadcast_bytes:

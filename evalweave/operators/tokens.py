@@ -12,13 +12,17 @@ from evalweave.operators.skew import lookup_join
 
 
 def token_events(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
-    """One row per generated token, with its step and its own text (special tokens included)."""
+    """One row per generated token, with its step and its own text (special tokens included).
+
+    ``vocab`` is a stored table.
+    """
     steps = df.select(*keys, F.posexplode(ids).alias("token_step", "token_id"))
     return lookup_join(
         steps,
         vocab.select("token_id", "token_text", "is_special"),
         ["token_id"],
         spread_by=[*keys, "token_step"],
+        stored=True,
     ).select(*keys, "token_step", "token_id", "token_text", "is_special")
 
 

@@ -214,6 +214,7 @@ def generated(spark: SparkSession, sf_dir: str, vocab: DataFrame, *, with_unknow
         vocab.select(F.col("token_text").alias("word"), "token_id"),
         ["word"],
         spread_by=["doc_id", "at"],
+        stored=True,
     )
     rows = coded.groupBy("doc_id").agg(
         F.transform(
