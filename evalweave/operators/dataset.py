@@ -141,13 +141,17 @@ def load_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     return limit_ordered(df, spec.order_by, spec.max_samples, spec.order_by)
 
 
-def shuffle_order(spec: ManifestSpec) -> list[Column]:
-    return [shuffle_key(spec.seed, F.col("id")), *[F.col(c) for c in spec.order_by]]
+def with_order(df: DataFrame, spec: ManifestSpec) -> tuple[DataFrame, list[str]]:
+    """``df`` and the columns that put it in order: the seeded key first when shuffling."""
+    if not spec.shuffle:
+        return df, list(spec.order_by)
+    return df.withColumn("_shuffle", shuffle_key(spec.seed, F.col("id"))), ["_shuffle", *spec.order_by]
 
 
 def seeded_shuffle(df: DataFrame, spec: ManifestSpec, name: str = "row_index") -> DataFrame:
     """Number the rows in an order set by the seed and the ids alone."""
-    return dense_index(df, shuffle_order(spec), name)
+    keyed, order = with_order(df, replace(spec, shuffle=True))
+    return dense_index(keyed, order, name, keep=df.columns)
 
 
 def number_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
@@ -156,8 +160,7 @@ def number_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     if not spec.normalize:
         # Every manifest row is clean, also when the loader was told to leave rows as they are.
         rows = normalize_examples(rows, keep=spec.order_by)
-    rows = rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt")))
-    order = shuffle_order(spec) if spec.shuffle else [F.col(c) for c in spec.order_by]
+    rows, order = with_order(rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt"))), spec)
     few = spec.max_samples is not None and spec.max_samples <= SMALL_LIMIT
     if few:
         rows = limit_ordered(rows, order, spec.max_samples)

@@ -92,19 +92,25 @@ def scan_in_order(
     return joined.select(*df.columns, *added)
 
 
-def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
+def dense_index(
+    df: DataFrame,
+    order: Sequence[str | Column],
+    name: str = "row_index",
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
     """Number all rows 0..n-1 in ``order`` (unique, or with interchangeable ties).
 
     One range sort, written once so that a retried task cannot move a row, then a prefix sum over
-    one count per sorted partition. A window over everything would be a single task.
+    one count per sorted partition. A window over everything would be a single task. ``order`` is
+    columns, ascending or descending; a computed key is made a column first, as a sort would work
+    it out at every comparison. ``keep`` names the columns wanted back (default all).
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    keep = list(df.columns if keep is None else keep)
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumns(
-        {
-            "_part": F.spark_partition_id(),
-            "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)),
-        }
+    placed = placed.select(
+        *keep,
+        F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias("_pos"),
     )
     placed = stage(placed, "dense-index")
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
@@ -112,23 +118,20 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_i
     starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     # One row per partition of the sort: its size never depends on the number of rows.
     return placed.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_pos")).cast("bigint").alias(name)
+        *keep, (F.col("_start") + F.col("_pos")).cast("bigint").alias(name)
     )
 
 
 def number_rows(
     df: DataFrame, order: Sequence[str | Column], key: Sequence[str], name: str = "row_index"
 ) -> DataFrame:
-    """``dense_index`` for wide rows: only the sort columns are sorted and staged.
+    """``dense_index`` for wide rows: only the sort columns and the key are sorted and staged.
 
     ``key`` names columns that identify a row. The wide rows are then shuffled once, to meet their
     number; sorting them instead would read them twice (a range sort samples first) and write them
     once more. Should the key be null or repeated somewhere, the rows are sorted whole after all.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    sort_columns = [f"_s{i}" for i in range(len(order))]
-    narrow = df.select(*key, *[c.alias(n) for c, n in zip(order, sort_columns, strict=True)])
-    numbers = dense_index(narrow, sort_columns, name).select(*key, name)
+    numbers = dense_index(df, order, name, keep=key)
     absent = functools.reduce(Column.__or__, [F.col(c).isNull() for c in key])
     unfit = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | absent)
     if not unfit.isEmpty():
