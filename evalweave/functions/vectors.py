@@ -129,8 +129,9 @@ def _blocks(column: pa.Array):
 
 
 def _ranked(block: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k largest entries per row, ties to the lower column."""
+    """Column numbers of the k largest entries per row, ties to the lower column; NaN ranks first."""
     width = block.shape[1]
+    block = np.where(np.isnan(block), np.inf, block)
     if k >= width:
         return np.argsort(-block, axis=1, kind="stable")[:, :k]
     floor = np.partition(block, width - k, axis=1)[:, width - k][:, None]

@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "evalweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,5 +65,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once per application.
+
+    For sessions that were not started with ``--py-files`` or an installed package.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="evalweave-")) / "evalweave.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def local_cores() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
