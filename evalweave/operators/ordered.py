@@ -129,13 +129,16 @@ def number_rows(
 
     ``key`` names columns that identify a row. The wide rows are then shuffled once, to meet their
     number; sorting them instead would read them twice (a range sort samples first) and write them
-    once more. Should the key be null or repeated somewhere, the rows are sorted whole after all.
+    once more. Should the key be null or repeated somewhere, the rows are sorted whole after all,
+    with their place in a stored copy as the last sort key: a large group of equal rows is then
+    split over several sort partitions like any other.
     """
     numbers = dense_index(df, order, name, keep=key)
     absent = functools.reduce(Column.__or__, [F.col(c).isNull() for c in key])
     unfit = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | absent)
     if not unfit.isEmpty():
-        return dense_index(df, order, name)
+        tied = stage(df, "tied-rows").withColumn("_tie", F.monotonically_increasing_id())
+        return dense_index(tied, [*order, "_tie"], name, keep=df.columns)
     return df.join(numbers, list(key)).select(*df.columns, name)
 
 

@@ -1,8 +1,8 @@
 """Expert-routing scores: one input row per (event, token) with ``scores array<float>``.
 
-An event is one forward pass through one router. ``route_tokens`` reads the wide scores once and
-leaves a few narrow columns; everything after works on those. Stage its result when several of the
-summaries below are wanted from a large table.
+An event is one forward pass through one router. ``route_tokens`` reads the wide scores and leaves
+a few narrow columns; everything after works on those. ``stored_route_tokens`` also writes them, so
+that a summary, which needs them more than once, reads the scores a single time.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evalweave.functions.vectors import ROUTE_FIELDS, bind, map_columns, route_columns
 from evalweave.operators.ordered import group_percentile, scan_in_order
 from evalweave.operators.skew import lookup_join
+from evalweave.session import stage
 
 BUSIEST = 8
 MAX_BUFFERED_TOKENS = 2_000_000
@@ -27,6 +28,12 @@ def route_tokens(
     return map_columns(df, keep, [scores], ROUTE_FIELDS, lambda s: route_columns(s, selected))
 
 
+def stored_route_tokens(
+    df: DataFrame, keep: Sequence[str], scores: str = "scores", selected: int = 8
+) -> DataFrame:
+    return stage(route_tokens(df, keep, scores, selected), "route-tokens")
+
+
 def normalization(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
     """Per event: keep the scores as they are (every token sums to one), or soft-max them all."""
     return tokens.groupBy(*event).agg(
@@ -139,7 +146,8 @@ def event_measures(
     """Entropy mean and exact 95th percentile, and top-1 margin, per event.
 
     The built-in percentile buffers a group's values in one task. Events above ``max_buffered``
-    tokens are found by a count that reads the key columns only, and ranked by a sort instead.
+    tokens are found by a count, which reads only the keys of stored tokens, and are ranked by a
+    sort instead.
     """
     sizes = tokens.groupBy(*event).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > max_buffered).select(*event, F.lit(True).alias("_large"))
@@ -169,7 +177,10 @@ def event_measures(
 def summarize(
     tokens: DataFrame, event: Sequence[str], max_buffered: int = MAX_BUFFERED_TOKENS
 ) -> DataFrame:
-    """The full router summary per event. Both halves are grouped by event and join in place."""
+    """The full router summary per event, from stored tokens.
+
+    Both halves are grouped by event and join in place.
+    """
     counted = load_variation(busiest_experts(expert_counts(tokens, event)))
     return (
         event_measures(tokens, event, max_buffered)

@@ -10,7 +10,7 @@ from evalweave.operators.ordered import chunk_of
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
 from evalweave.plans.registry import query
-from evalweave.plans.telemetry_queries import LANE, r6, route_lanes
+from evalweave.plans.telemetry_queries import LANE, denoising_lanes, r6
 from evalweave.session import shared_path, stage
 from evalweave.streaming import stateful
 
@@ -48,8 +48,9 @@ def canvas_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM rates""",
 )
 def route_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = routing.route_tokens(route_lanes(spark, sf_dir), [*LANE, "step", "token_index"])
-    routes = tokens.select(*LANE, F.col("step").alias("global_step"), "token_index", "expert_ids")
+    scores = fx.router_scores(spark, sf_dir)
+    tokens = routing.route_tokens(scores, ["run_id", "module_name", "step", "token_index"])
+    routes = denoising_lanes(tokens).select(*LANE, F.col("step").alias("global_step"), "token_index", "expert_ids")
     rows, path = _arriving(routes, "routes", "run_id", "global_step", 2)
     arriving = stateful.read_folder(spark, path, rows.schema, files_per_batch=2)
     overlap = stateful.run_to_files(stateful.route_overlap_stream(arriving), "route-overlap")

@@ -225,6 +225,10 @@ def _route_tokens(spark: SparkSession, sf_dir: str, source=fx.router_scores) ->
     return routing.route_tokens(source(spark, sf_dir), [*EVENT, "token_index"])
 
 
+def _stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.stored_route_tokens(fx.router_scores(spark, sf_dir), [*EVENT, "token_index"])
+
+
 @query(
     "router_normalize_decision",
     f"""WITH {q.ROUTER} SELECT {q.EVENT}, count(*) AS tokens_routed, count(*) FILTER (WHERE vec_id % 64 = 13) = 0 AS kept
@@ -302,7 +306,7 @@ _SUMMARY = f"""{q.ROUTED}, summary AS (
 
 @query("router_summary", f"WITH {_SUMMARY} SELECT * FROM summary")
 def router_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = routing.summarize(_route_tokens(spark, sf_dir), EVENT)
+    summary = routing.summarize(_stored_tokens(spark, sf_dir), EVENT)
     return summary.select(*EVENT, *_summary_columns())
 
 
@@ -316,7 +320,7 @@ def router_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM summary s JOIN forwards f USING (run_id, step)""",
 )
 def ar_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = routing.summarize(_route_tokens(spark, sf_dir), EVENT)
+    summary = routing.summarize(_stored_tokens(spark, sf_dir), EVENT)
     events = summary.join(_phase_columns(forward_index(spark, sf_dir)), ["run_id", "step"])
     return events.select(
         F.lit("moe_route").alias("event"),
@@ -331,18 +335,16 @@ def ar_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def route_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def denoising_lanes(tokens: DataFrame) -> DataFrame:
     """Denoising tokens with their lane. A run of this adapter is one canvas."""
-    rows = fx.router_scores(spark, sf_dir)
-    rows = rows.filter(tx.canvas_router_phase(F.col("module_name")) == "denoising")
-    return rows.withColumns(
+    kept = tokens.filter(tx.canvas_router_phase(F.col("module_name")) == "denoising")
+    return kept.withColumns(
         {"canvas_index": F.lit(0), "layer_index": tx.router_layer(F.col("module_name"))}
     )
 
 
-def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = routing.route_tokens(route_lanes(spark, sf_dir), [*LANE, "step", "token_index"])
-    overlap = routing.token_route_overlap(tokens, LANE, "step", chunk_of("step"))
+def _rates(tokens: DataFrame) -> DataFrame:
+    overlap = routing.token_route_overlap(denoising_lanes(tokens), LANE, "step", chunk_of("step"))
     return routing.change_rates(overlap, LANE, "step", chunk_of("step"))
 
 
@@ -352,7 +354,7 @@ def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM rates""",
 )
 def route_change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rates(spark, sf_dir).select(
+    return _rates(_stored_tokens(spark, sf_dir)).select(
         "run_id", "layer_index", "step", r6(F.col("expert_set_change_rate")).alias("expert_set_change_rate")
     )
 
@@ -370,7 +372,8 @@ def route_change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def canvas_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with its step's canvas; the rate stays null on encoder events."""
-    events = routing.summarize(_route_tokens(spark, sf_dir), EVENT).withColumns(
+    tokens = _stored_tokens(spark, sf_dir)
+    events = routing.summarize(tokens, EVENT).withColumns(
         {
             "phase": tx.canvas_router_phase(F.col("module_name")),
             "layer_index": tx.router_layer(F.col("module_name")),
@@ -378,7 +381,7 @@ def canvas_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     passes = events.select("run_id", F.col("step").alias("global_step")).distinct()
     placed = canvas.canvas_index(passes.withColumn("step_index", F.col("global_step")))
-    rates = _rates(spark, sf_dir).select(
+    rates = _rates(tokens).select(
         "run_id", "step", "layer_index", F.lit("denoising").alias("phase"), "expert_set_change_rate"
     )
     return (

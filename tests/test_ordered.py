@@ -101,9 +101,12 @@ def test_ranked_percentile_equals_numpy(spark, q):
 
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_lookup_equals_broadcast_on_a_hot_key(spark, how):
-    facts = spark.createDataFrame(runs_frame())
+    frame = runs_frame()
+    facts = spark.createDataFrame(frame).withColumn(
+        "run", F.when(F.col("run") != "3", F.col("run"))
+    )
     lookup = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3)], "run string, w int")
     wide = lookup_join(facts, lookup, ["run"], how, spread_by=["step"])
-    salted = lookup_join(facts, lookup, ["run"], how, spread_by=["step"], broadcast_bytes=0)
+    salted = lookup_join(facts, lookup, ["run"], how, spread_by=["step"], broadcast_bytes=0, hot_rows=20)
     assert "BroadcastHashJoin" in wide._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, wide.collect())) == sorted(map(str, salted.collect()))
