@@ -124,8 +124,11 @@ def _blocks(column: pa.Array):
         step = max(1, _BLOCK_VALUES // max(1, int(width)))
         for start in range(0, len(rows), step):
             part = rows[start : start + step]
-            index = offsets[part][:, None] + np.arange(width)[None, :]
-            yield part, flat[index].astype(np.float64)
+            if part[-1] - part[0] == len(part) - 1:
+                block = flat[offsets[part[0]] : offsets[part[-1] + 1]].reshape(len(part), width)
+            else:
+                block = flat[offsets[part][:, None] + np.arange(width)[None, :]]
+            yield part, block.astype(np.float64)
 
 
 def _ranked(block: np.ndarray, k: int) -> np.ndarray:
@@ -145,8 +148,16 @@ def _ranked(block: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(columns, order, axis=1)
 
 
-def _lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
-    return pa.array(rows, type=pa.list_(kind))
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]], count: int, kind: pa.DataType) -> pa.Array:
+    """A list array of ``count`` rows from (rows, matrix) parts."""
+    lengths = np.zeros(count, np.int32)
+    for rows, matrix in parts:
+        lengths[rows] = matrix.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    flat = np.empty(offsets[-1], kind.to_pandas_dtype())
+    for rows, matrix in parts:
+        flat[offsets[rows][:, None] + np.arange(matrix.shape[1])[None, :]] = matrix
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 LOGIT_FIELDS = (
@@ -159,8 +170,7 @@ def logit_columns(scores: pa.Array, selected: pa.Array, k: int) -> list[pa.Array
     """Columns of LOGIT_FIELDS; probabilities are over the whole score vector."""
     count = len(scores)
     chosen, entropies = np.full(count, np.nan), np.full(count, np.nan)
-    ids: list = [None] * count
-    probabilities: list = [None] * count
+    ids, probabilities = [], []
     wanted = selected.to_numpy(zero_copy_only=False)
     for rows, block in _blocks(scores):
         if block.shape[1] == 0:
@@ -171,13 +181,12 @@ def logit_columns(scores: pa.Array, selected: pa.Array, k: int) -> list[pa.Array
         entropies[rows] = -np.where(p > 0, p * np.where(p > 0, log_p, 0.0), 0.0).sum(axis=1)
         chosen[rows] = p[np.arange(len(rows)), wanted[rows].astype(np.int64)]
         best = _ranked(block, min(k, block.shape[1]))
-        best_p = np.take_along_axis(p, best, axis=1)
-        for at, row in enumerate(rows):
-            ids[row], probabilities[row] = best[at], best_p[at]
+        ids.append((rows, best))
+        probabilities.append((rows, np.take_along_axis(p, best, axis=1)))
     return [
         pa.array(chosen),
-        _lists(ids, pa.int32()),
-        _lists(probabilities, pa.float64()),
+        _lists(ids, count, pa.int32()),
+        _lists(probabilities, count, pa.float64()),
         pa.array(entropies),
     ]
 
@@ -196,7 +205,7 @@ def route_columns(scores: pa.Array, selected: int) -> list[pa.Array]:
     """
     count = len(scores)
     experts = np.zeros(count, np.int32)
-    ids: list = [None] * count
+    ids = []
     normal = np.zeros(count, bool)
     entropies = {"kept": np.full(count, np.nan), "soft": np.full(count, np.nan)}
     margins = {"kept": np.full(count, np.nan), "soft": np.full(count, np.nan)}
@@ -212,15 +221,14 @@ def route_columns(scores: pa.Array, selected: int) -> list[pa.Array]:
             )
         raised = np.exp(block - block.max(axis=1, keepdims=True))
         best = _ranked(block, k)
-        for at, row in enumerate(rows):
-            ids[row] = best[at]
+        ids.append((rows, best))
         for reading, p in (("kept", block), ("soft", raised / raised.sum(axis=1, keepdims=True))):
             entropies[reading][rows] = -(np.log(np.maximum(p, LOG_FLOOR)) * p).sum(axis=1)
             lead = np.take_along_axis(p, best[:, :2], axis=1)
             margins[reading][rows] = lead[:, 0] - lead[:, 1] if k > 1 else lead[:, 0]
     return [
         pa.array(experts),
-        _lists(ids, pa.int32()),
+        _lists(ids, count, pa.int32()),
         pa.array(normal),
         *(pa.array(values[reading]) for values in (entropies, margins) for reading in ("kept", "soft")),
     ]
