@@ -1,8 +1,8 @@
 """Order-dependent operators that no single task, group or driver has to hold whole.
 
 A plain window over a run puts the run into one task. Here a run is cut into chunks by a monotone
-function of its order; windows work inside chunks, and what earlier chunks add (a count, a running
-value, a last row) comes from a table with one row per chunk.
+function of its order; windows work inside chunks, and what earlier chunks of a long run add (a
+count, a running value, a last row) comes from a table with one row per chunk.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.operators.skew import lookup_join
 from evalweave.session import stage
 
 CHUNK_STEPS = 4096
@@ -25,6 +26,21 @@ def chunk_of(order: str, steps: int = CHUNK_STEPS) -> Column:
     return F.floor(F.col(order) / F.lit(steps)).cast("bigint")
 
 
+def _long_keys(cut: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys whose rows lie in more than one chunk; null when there are none.
+
+    Nearly always the whole table is one chunk, which a minimum and a maximum of the order column
+    tell. Only otherwise are the keys looked at.
+    """
+    low, high = F.min("_chunk").alias("low"), F.max("_chunk").alias("high")
+    whole = cut.agg(low, high).first()
+    if whole["low"] == whole["high"]:
+        return None
+    spans = cut.groupBy(*keys).agg(low, high).filter(F.col("low") != F.col("high"))
+    spans = stage(spans.select(*keys), "long-keys")
+    return None if spans.isEmpty() else spans
+
+
 def scan_in_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,36 +50,23 @@ def scan_in_order(
     number: str | None = None,
     running: Mapping[str, tuple[str, Column]] | None = None,
     previous: Mapping[str, str] | None = None,
+    span_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Row number (from 0), running sum/max and previous value per ``keys`` in ``order``.
 
     ``running`` maps a new column to ("sum" | "max", expression), ``previous`` a new column to the
     column it looks back at. ``order`` must be unique within ``keys``, ``keys`` must not be null,
-    and ``chunk`` must never fall as the order rises.
+    and ``chunk`` must never fall as the order rises. ``df`` should be a stored table: it is first
+    asked, by its order column, whether any key is longer than a chunk. If none is, this is one
+    shuffle and one window; if some are, the rows of just those keys are read once more for their
+    chunk totals. ``span_by`` names fewer keys to ask by, where that is cheaper.
     """
+    keys = list(keys)
+    span_by = list(span_by or keys)
     running, previous = dict(running or {}), dict(previous or {})
     folds = {"sum": F.sum, "max": F.max}
     cut = df.withColumn("_chunk", chunk)
 
-    totals = [F.count(F.lit(1)).alias("_rows")]
-    totals += [folds[fold](value).alias(f"_all_{name}") for name, (fold, value) in running.items()]
-    position = F.struct(*order)
-    totals += [
-        F.max_by(F.struct(F.col(source).alias("v")), position).alias(f"_last_{name}")
-        for name, source in previous.items()
-    ]
-    per_chunk = cut.groupBy(*keys, "_chunk").agg(*totals)
-
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")]
-    carried += [
-        folds[fold](f"_all_{name}").over(earlier).alias(f"_from_{name}")
-        for name, (fold, _) in running.items()
-    ]
-    carried += [F.lag(f"_last_{name}").over(across).alias(f"_from_{name}") for name in previous]
-    carry = per_chunk.select(*keys, "_chunk", *carried)
-
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns(
@@ -74,11 +77,37 @@ def scan_in_order(
             for name, source in previous.items()
         }
     )
+    long_keys = _long_keys(cut, span_by)
+    if long_keys is None:
+        added = [F.col(f"_in_{name}").alias(name) for name in running]
+        added += [F.col(f"_in_{name}")["v"].alias(name) for name in previous]
+        if number:
+            added.append((F.col("_local") - 1).cast("bigint").alias(number))
+        return local.select(*df.columns, *added)
+
+    totals = [F.count(F.lit(1)).alias("_rows")]
+    totals += [folds[fold](value).alias(f"_all_{name}") for name, (fold, value) in running.items()]
+    totals += [
+        F.max_by(F.struct(F.col(source).alias("v")), F.struct(*order)).alias(f"_last_{name}")
+        for name, source in previous.items()
+    ]
+    long_rows = lookup_join(cut, long_keys, span_by, "left_semi", spread_by=order, stored=True)
+    per_chunk = long_rows.groupBy(*keys, "_chunk").agg(*totals)
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(
+        *keys,
+        "_chunk",
+        F.sum("_rows").over(earlier).alias("_before"),
+        *[
+            folds[fold](f"_all_{name}").over(earlier).alias(f"_from_{name}")
+            for name, (fold, _) in running.items()
+        ],
+        *[F.lag(f"_last_{name}").over(across).alias(f"_from_{name}") for name in previous],
+    )
     joined = local.join(carry, [*keys, "_chunk"], "left")
 
     added = []
-    if number:
-        added.append((F.col("_before") + F.col("_local") - 1).cast("bigint").alias(number))
     for name, (fold, _) in running.items():
         parts = (F.col(f"_from_{name}"), F.col(f"_in_{name}"))
         whole = (
@@ -89,6 +118,9 @@ def scan_in_order(
         added.append(whole.alias(name))
     for name in previous:
         added.append(F.coalesce(F.col(f"_in_{name}"), F.col(f"_from_{name}"))["v"].alias(name))
+    if number:
+        at = F.coalesce("_before", F.lit(0)) + F.col("_local") - 1
+        added.append(at.cast("bigint").alias(number))
     return joined.select(*df.columns, *added)
 
 

@@ -203,6 +203,7 @@ def token_route_overlap(tokens: DataFrame, lane: Sequence[str], step: str, chunk
         [step],
         chunk,
         previous={"_before": "_now"},
+        span_by=lane,
     )
     shared = F.size(F.array_intersect("expert_ids", F.col("_before.ids")))
     pooled = F.size("expert_ids") + F.size(F.col("_before.ids")) - shared
@@ -220,7 +221,10 @@ def token_route_overlap(tokens: DataFrame, lane: Sequence[str], step: str, chunk
 
 
 def change_rates(overlap: DataFrame, lane: Sequence[str], step: str, chunk) -> DataFrame:
-    """Per event 1 - mean overlap; null without an earlier event or when its shape differs."""
+    """Per event 1 - mean overlap; null without an earlier event or when its shape differs.
+
+    The table of one row per event is written, as looking back reads it more than once.
+    """
     per_event = overlap.groupBy(*lane, step).agg(
         F.count(F.lit(1)).alias("_tokens"),
         F.max("k").alias("_k"),
@@ -230,7 +234,7 @@ def change_rates(overlap: DataFrame, lane: Sequence[str], step: str, chunk) -> D
         F.avg("overlap").alias("_overlap"),
     )
     looked = scan_in_order(
-        per_event.withColumn(
+        stage(per_event, "event-overlap").withColumn(
             "_now", F.struct(F.col(step).alias("step"), F.col("_tokens").alias("tokens"))
         ),
         lane,
@@ -251,7 +255,7 @@ def change_rates(overlap: DataFrame, lane: Sequence[str], step: str, chunk) -> D
 
 def forward_index(df: DataFrame, run: str, step: str, chunk) -> DataFrame:
     """Forward passes of each run numbered from 0, one row per (run, step)."""
-    passes = df.select(run, step).distinct()
+    passes = stage(df.select(run, step).distinct(), "passes")
     return scan_in_order(passes, [run], [step], chunk, number="forward_index")
 
 

@@ -12,6 +12,7 @@ from evalweave.functions.vectors import softmax, topk
 from evalweave.operators.ordered import chunk_of, scan_in_order
 from evalweave.operators.skew import lookup_join
 from evalweave.operators.tokens import dense_vocabulary
+from evalweave.session import stage
 
 SPECIAL_EVERY = 50
 MODELS = ("org/base-26b", "org/Diffusion-26b")
@@ -163,7 +164,7 @@ def normalized_router_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as denoising steps: a run per user, a new canvas at every signup."""
+    """Events as denoising steps: a run per user, a new canvas at every signup. A stored table."""
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("run_id"),
         "ts",
@@ -175,6 +176,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = scan_in_order(
         rows, ["run_id"], ["ts", "event_id"], F.col("ts").cast("date"), number="_step"
     ).withColumn("global_step", F.col("_step").cast("int"))
+    numbered = stage(numbered, "numbered-events")
     start = F.when(F.col("event_type") == "signup", F.col("global_step"))
     looked = scan_in_order(
         numbered, ["run_id"], ["global_step"], chunk_of("global_step"), running={"_start": ("max", start)}
@@ -182,7 +184,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, k = F.col("value"), F.col("k")
     kind = F.length("event_type")
     whole = F.floor(value).cast("int")
-    return looked.select(
+    made = looked.select(
         "run_id",
         "global_step",
         F.coalesce(F.col("global_step") - F.col("_start"), F.col("global_step") + 1).alias("step_index"),
@@ -194,6 +196,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
     )
+    return stage(made, "steps")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

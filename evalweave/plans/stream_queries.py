@@ -15,13 +15,12 @@ from evalweave.session import shared_path, stage
 from evalweave.streaming import stateful
 
 
-def _arriving(df: DataFrame, label: str, key: str, order: str, cut: int) -> tuple[DataFrame, str]:
-    """``df`` written in two waves, so that later steps of a run arrive in later files."""
-    rows = stage(df, f"{label}-rows")
+def _arriving(rows: DataFrame, label: str, key: str, order: str, cut: int) -> str:
+    """A stored table written again in two waves: later steps of a run arrive in later files."""
     path = shared_path(rows.sparkSession, label)
     for wave in (F.col(order) < cut, F.col(order) >= cut):
         rows.filter(wave).repartition(2, key).write.mode("append").parquet(path)
-    return rows, path
+    return path
 
 
 @query(
@@ -34,8 +33,8 @@ def canvas_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = fx.steps(spark, sf_dir).select(
         "run_id", "global_step", "step_index", "canvas", "accepted_index"
     )
-    rows, path = _arriving(steps, "steps", "run_id", "global_step", 30)
-    arriving = stateful.read_folder(spark, path, rows.schema, files_per_batch=2)
+    path = _arriving(steps, "steps", "run_id", "global_step", 30)
+    arriving = stateful.read_folder(spark, path, steps.schema, files_per_batch=2)
     done = stateful.run_to_files(stateful.canvas_changes_stream(arriving), "canvas-changes")
     return done.withColumns(
         {c: F.array_join(c, ",") for c in ("changed_positions", "accepted_positions")}
@@ -51,8 +50,8 @@ def route_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fx.router_scores(spark, sf_dir)
     tokens = routing.route_tokens(scores, ["run_id", "module_name", "step", "token_index"])
     routes = denoising_lanes(tokens).select(*LANE, F.col("step").alias("global_step"), "token_index", "expert_ids")
-    rows, path = _arriving(routes, "routes", "run_id", "global_step", 2)
-    arriving = stateful.read_folder(spark, path, rows.schema, files_per_batch=2)
+    path = _arriving(stage(routes, "routes"), "routes", "run_id", "global_step", 2)
+    arriving = stateful.read_folder(spark, path, routes.schema, files_per_batch=2)
     overlap = stateful.run_to_files(stateful.route_overlap_stream(arriving), "route-overlap")
     rates = routing.change_rates(overlap, LANE, "global_step", chunk_of("global_step"))
     return rates.select(
@@ -69,7 +68,7 @@ def route_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step records arriving as JSON files, appended exactly once."""
-    steps = stage(fx.steps(spark, sf_dir).select("run_id", "global_step", "sampled_tokens"), "steps")
+    steps = fx.steps(spark, sf_dir).select("run_id", "global_step", "sampled_tokens")
     path = shared_path(spark, "step-lines")
     steps.repartition(4, "run_id").write.json(path)
     arriving = stateful.read_folder(
