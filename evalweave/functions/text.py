@@ -105,9 +105,19 @@ def decode_phase(forward_index: Column) -> Column:
     return F.when(forward_index == 0, F.lit("prefill")).otherwise(F.lit("autoregressive_decode"))
 
 
-def render_single_turn(prompt: Column, template: str = "<user>\n{prompt}\n<model>\n") -> Column:
-    """One user turn in a caller-supplied template with a ``{prompt}`` slot."""
-    head, _, tail = template.partition("{prompt}")
+def render_single_turn(
+    prompt: Column,
+    template: str = "<user>\n{prompt}\n<model>\n",
+    thinking: str | None = None,
+) -> Column:
+    """One user turn and the generation prompt, in a caller-supplied template.
+
+    The template has a ``{prompt}`` slot and may have a ``{thinking}`` slot; one without it simply
+    ignores the thinking mark.
+    """
+    head, slot, tail = template.replace("{thinking}", thinking or "").partition("{prompt}")
+    if not slot:
+        raise ValueError("the template has no {prompt} slot")
     return F.concat(F.lit(head), prompt, F.lit(tail))
 
 

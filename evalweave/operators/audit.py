@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,23 +63,20 @@ def first_failures(status: DataFrame, run: str, order: str) -> DataFrame:
     )
 
 
-def rows_before_failure(status: DataFrame, run: str, order: str) -> DataFrame:
+def rows_before_failure(
+    status: DataFrame, run: str, order: str, rows: DataFrame | None = None
+) -> DataFrame:
     """Telemetry rows that were written: those before their component's first failure.
 
-    A minimum joined back rather than a window: the scope is a whole model run, which one task
-    could not hold.
+    ``rows`` is any telemetry with the run, component and order columns; by default ``status``
+    itself. A minimum joined back rather than a window: the scope is a whole model run, which one
+    task could not hold.
     """
-    rows = status.filter(F.col("component").isin(*COMPONENTS))
+    rows = status if rows is None else rows
+    rows = rows.filter(F.col("component").isin(*COMPONENTS))
     marked = lookup_join(
         rows, first_failures(status, run, order), [run, "component"], spread_by=[order]
     )
     return marked.filter(
         F.col("first_failure").isNull() | (F.col(order) < F.col("first_failure"))
     ).drop("first_failure")
-
-
-def completion(completed: dict[str, int], failures: Sequence[dict]) -> str:
-    """The closing message of a run: every failed model is named."""
-    if not failures:
-        return f"completed: {completed}"
-    return "failed for: " + ", ".join(f["model_name"] for f in failures)

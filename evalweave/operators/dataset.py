@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +128,20 @@ def normalize_examples(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[cleaned(c) for c in EXAMPLE_COLUMNS], *extra)
 
 
+def map_rows(
+    df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str
+) -> DataFrame:
+    """A user's own row function, one pandas batch at a time, for what no expression can say.
+
+    Select the columns it needs first: nothing can be pruned through it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return map(function, frames)
+
+    return df.mapInPandas(run, schema)
+
+
 def metadata(df: DataFrame) -> DataFrame:
     return df.select(
         *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in METADATA_COLUMNS]

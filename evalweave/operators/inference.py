@@ -71,18 +71,20 @@ def batch_infer(
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = _predictor(name, factory)
         for frame in frames:
+            results: list[Prediction] = []
             for start in range(0, len(frame), batch_size):
                 part = frame.iloc[start : start + batch_size]
-                results = engine(part[prompt].tolist(), [int(s) for s in part[seed]])
-                if len(results) != len(part):
-                    raise ValueError(f"{len(results)} results for {len(part)} prompts")
-                yield part.assign(
-                    input_token_count=[r.input_token_count for r in results],
-                    final_text=["" if r.error else r.text for r in results],
-                    final_token_ids=[list(r.token_ids) for r in results],
-                    raw_response=[None if r.error else (r.raw_text or r.text) for r in results],
-                    response_error=[r.error for r in results],
-                )
+                made = engine(part[prompt].tolist(), [int(s) for s in part[seed]])
+                if len(made) != len(part):
+                    raise ValueError(f"{len(made)} results for {len(part)} prompts")
+                results.extend(made)
+            yield frame.assign(
+                input_token_count=[r.input_token_count for r in results],
+                final_text=["" if r.error else r.text for r in results],
+                final_token_ids=[list(r.token_ids) for r in results],
+                raw_response=[None if r.error else (r.raw_text or r.text) for r in results],
+                response_error=[r.error for r in results],
+            )
 
     return runs.mapInPandas(predict, schema)
 

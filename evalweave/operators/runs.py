@@ -145,6 +145,14 @@ def pin_revisions(runs: DataFrame, revisions: DataFrame) -> DataFrame:
     return found.withColumn("model_revision", F.col("revision")).drop("revision")
 
 
+def with_context(events: DataFrame, runs: DataFrame, spread_by: Sequence[str]) -> DataFrame:
+    """Telemetry rows with the context columns of their run; a run may hold any share of the rows."""
+    context = runs.select(*CONTEXT_COLUMNS)
+    joined = lookup_join(events, context, ["run_id"], "inner", spread_by=spread_by)
+    others = [c for c in events.columns if c not in CONTEXT_COLUMNS]
+    return joined.select(*CONTEXT_COLUMNS, *others)
+
+
 PAIR_KEYS = ("experiment_id", "model_id", "example_id")
 
 

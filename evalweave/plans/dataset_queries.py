@@ -132,6 +132,20 @@ def scalar_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalar_entries(rows, "config", ["event_id"])
 
 
+def _count_words(frame):
+    return frame[["doc_id"]].assign(words=frame["text"].str.count(" ") + 1)
+
+
+@query(
+    "mapped_rows",
+    "SELECT doc_id, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS BIGINT) AS words FROM documents",
+)
+def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user-supplied Python function over whole texts."""
+    texts = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ds.map_rows(texts, _count_words, "doc_id bigint, words bigint")
+
+
 @query("filter_languages", "SELECT doc_id, lang AS language FROM documents WHERE lang IN ('en', 'de')")
 def filter_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"))

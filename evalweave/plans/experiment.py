@@ -138,7 +138,7 @@ def read_outputs(spark: SparkSession, experiment: Experiment) -> DataFrame:
 
 
 def require_complete(spark: SparkSession, experiment: Experiment, run: runs.RunSpec, expected: int) -> None:
-    """Raise unless the manifest and every model hold ``expected`` rows."""
+    """Raise unless the manifest and every model hold ``expected`` rows and every folder is there."""
     if experiment.examples != expected:
         raise RuntimeError(f"expected {expected} manifest rows, found {experiment.examples}")
     wanted = spark.createDataFrame([(m, expected) for m in run.models], "model_id string, expected bigint")
@@ -146,3 +146,11 @@ def require_complete(spark: SparkSession, experiment: Experiment, run: runs.RunS
     if wrong:
         found = {r["model_id"]: {"expected": r["expected"], "actual": r["actual"]} for r in wrong}
         raise RuntimeError(f"output count mismatch: {found}")
+    folders = ["inputs", "dataset", "manifest", *(f"{model_folder('', m)[1:]}/outputs" for m in run.models)]
+    needed = spark.createDataFrame([(f,) for f in folders], "path string")
+    present = audit.list_artifacts(spark, experiment.root).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("path")
+    )
+    missing = [r["path"] for r in needed.join(present, "path", "left_anti").collect()]
+    if missing:
+        raise RuntimeError(f"missing artifacts: {sorted(missing)}")

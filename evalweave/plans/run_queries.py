@@ -355,6 +355,33 @@ def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_events(made, ["run_id"], "final_token_ids", vocab).drop("is_special")
 
 
+@query(
+    "token_records",
+    f"""WITH {q.RUNS}, {q.WORDS} SELECT 'token_step' AS event, r.run_id, r.experiment_id, r.model_id, r.example_id,
+      r.row_index, r.seed, c.token_step, c.token_id, c.token_text
+    FROM coded c JOIN runs r ON r.example_id = c.run_id WHERE r.model_kind = 'autoregressive'""",
+)
+def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token rows of the autoregressive model's runs, each with the context of its run."""
+    made, vocab = _tokens(spark, sf_dir)
+    asked = _runs(spark, sf_dir).filter(F.col("model_kind") == "autoregressive")
+    ids = made.withColumnRenamed("run_id", "example_id")
+    answered = asked.select("run_id", "example_id").join(ids, "example_id")
+    events = tokens.token_events(answered, ["run_id"], "final_token_ids", vocab)
+    return runs.with_context(events, asked, ["token_step"]).select(
+        F.lit("token_step").alias("event"),
+        "run_id",
+        "experiment_id",
+        "model_id",
+        "example_id",
+        "row_index",
+        "seed",
+        "token_step",
+        "token_id",
+        "token_text",
+    )
+
+
 @query(
     "detokenize_raw",
     f"""WITH {q.WORDS} SELECT run_id,

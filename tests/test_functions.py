@@ -127,3 +127,13 @@ def test_prompt_is_dropped_from_sequences(spark):
     ).collect()
     assert [r["ar"] for r in rows] == [[2, 3, 4], [4], []]
     assert [r["canvas"] for r in rows] == [[1, 2, 3, 4], [4], []]
+
+
+def test_a_template_without_a_thinking_slot_ignores_the_mark(spark):
+    for template, want in (
+        ("{thinking}[{prompt}]", "<t>[p]"),
+        ("[{prompt}]", "[p]"),
+    ):
+        assert apply(spark, ["p"], lambda c, t=template: tx.render_single_turn(c, t, "<t>")) == [want]
+    with pytest.raises(ValueError):
+        tx.render_single_turn(F.lit("p"), "no slot")

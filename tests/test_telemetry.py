@@ -255,3 +255,10 @@ def test_breaker_keeps_rows_before_the_first_failure_only(spark):
     assert sorted((r["model_run"], r["component"], r["ord"]) for r in kept) == [
         ("m", "canvas", 0), ("m", "canvas", 1), ("m", "moe", 1), ("other", "logits", 5),
     ]
+    telemetry = spark.createDataFrame(
+        [("m", "logits", 0), ("m", "canvas", 1), ("new", "moe", 9)], "model_run string, component string, ord int"
+    )
+    written = audit.rows_before_failure(status, "model_run", "ord", telemetry).collect()
+    assert sorted((r["model_run"], r["component"], r["ord"]) for r in written) == [
+        ("m", "canvas", 1), ("new", "moe", 9),
+    ]
