@@ -26,10 +26,10 @@ from evalweave.session import stage
 RULES = ("empty_id", "duplicate_id", "empty_prompt")
 
 
-def as_list(values: Iterable[object] | str | None) -> list[str]:
-    if values is None:
-        return []
-    return [values] if isinstance(values, str) else [str(v) for v in values]
+def allowed_values(values: Iterable[object] | str | None) -> list[str]:
+    """A filter argument as texts: nothing, one bare text, or several values."""
+    given = (values,) if isinstance(values, str) else values or ()
+    return list(map(str, given))
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ class ManifestSpec:
         chosen = (
             self.languages, self.prompt_labels, self.response_labels, self.tags, self.sources,
         )
-        return {name: as_list(values) for name, values in zip(FILTER_COLUMNS, chosen, strict=True)}
+        return {name: allowed_values(values) for name, values in zip(FILTER_COLUMNS, chosen, strict=True)}
 
 
 def missing_columns(columns: Iterable[str]) -> list[str]:
@@ -231,13 +231,13 @@ def require_valid(numbered: DataFrame) -> DataFrame:
     return numbered
 
 
-def build_manifest(df: DataFrame, spec: ManifestSpec) -> DataFrame:
-    """The validated manifest; raises at the first bad row.
+def build_manifest(df: DataFrame, spec: ManifestSpec, path: str | None = None) -> DataFrame:
+    """The validated manifest as a stored table; raises at the first bad row.
 
-    It is written once, as the barrier between the dataset and the models: the checks read two of
-    its narrow columns, and every model reads the same files.
+    It is written once, to ``path`` or the shared folder, as the barrier between the dataset and the
+    models: the checks read two of its narrow columns, and every model reads the same files.
     """
-    return require_valid(stage(number_examples(df, spec), "manifest"))
+    return require_valid(stage(number_examples(df, spec), "manifest", path))
 
 
 def describe_manifest(spec: ManifestSpec, examples: Column, path: str, resolved: str) -> list[Column]:

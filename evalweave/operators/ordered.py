@@ -17,7 +17,7 @@ from evalweave.operators.skew import lookup_join
 from evalweave.session import stage
 
 CHUNK_STEPS = 4096
-SMALL_LIMIT = 100_000
+SMALL_LIMIT = 10_000
 _POSITION_MASK = (1 << 33) - 1
 
 

@@ -12,7 +12,7 @@ from evalweave.functions.text import model_kind, render_single_turn
 from evalweave.operators import audit, inference, runs
 from evalweave.operators.dataset import (
     ManifestSpec,
-    as_list,
+    allowed_values,
     build_manifest,
     describe_manifest,
     first_batches,
@@ -44,7 +44,7 @@ def smoke_specs(
     """The same job over the first few rows: capped, unshuffled, and without a batch cap."""
     if samples <= 0:
         raise ValueError("samples must be greater than zero")
-    chosen = as_list(run.models if models is None else models)
+    chosen = allowed_values(run.models if models is None else models)
     unknown = sorted(set(chosen) - set(run.models))
     if unknown:
         raise ValueError(f"unknown models: {', '.join(unknown)}")
@@ -78,8 +78,9 @@ def run_experiment(
     """Freeze the manifest, run every model over it, write records; raise if any model failed.
 
     ``<root>/<experiment>/`` receives inputs, dataset, manifest and one folder per model with its
-    outputs or its error record. Models run one after another, so two engines are never loaded on
-    one executor at a time.
+    outputs or its error record. The inputs are written once and checked there; the dataset document
+    appears only when they are valid. Models run one after another, so two engines are never loaded
+    on one executor at a time.
     """
     experiment = tables.experiment_id(run.experiment_id)
     folders = [model_folder("", m) for m in run.models]
@@ -87,7 +88,8 @@ def run_experiment(
         raise ValueError("two models share the last part of their name and would share a folder")
     home = tables.claim_run_folder(spark, f"{root.rstrip('/')}/{experiment}", experiment)
     inputs = f"{home}/inputs"
-    count = jsonl.write_json(build_manifest(examples, data), inputs)
+    manifest = build_manifest(examples, data, inputs)
+    count = manifest.count()
     dataset = describe_manifest(data, F.lit(count), inputs, resolved_revision or data.revision)
     jsonl.write_document(spark, f"{home}/dataset", dataset)
     config = {k: str(v) for k, v in {**asdict(data), **asdict(run)}.items()}
@@ -97,8 +99,8 @@ def run_experiment(
         tables.experiment_manifest(experiment, dataset, revisions or {}, config),
     )
 
-    manifest = first_batches(tables.read_manifest(spark, inputs), run.batch_size, run.max_batches)
-    rows = runs.run_matrix(manifest, run, revisions)
+    chosen = first_batches(manifest, run.batch_size, run.max_batches)
+    rows = runs.run_matrix(chosen, run, revisions)
     generation = F.lit((sampling or runs.Sampling()).recorded())
 
     def run_one(model: str) -> int:

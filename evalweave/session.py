@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
@@ -43,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="evalweave-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="evalweave-")
+    return _LOCAL_FOLDERS[application]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -53,14 +55,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/evalweave/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the files.
+def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once, to the shared folder unless ``path`` is given, and go on from the files.
 
     Cuts the lineage so that lost executors cost a re-read, freezes anything that depends on task
     placement, and gives Catalyst real sizes to choose join strategies from.
     """
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = path or shared_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

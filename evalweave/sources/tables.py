@@ -8,6 +8,7 @@ import uuid
 from datetime import UTC, datetime
 
 import pyspark
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +53,21 @@ def experiment_id(configured: str | None = None) -> str:
 
 
 def claim_run_folder(spark: SparkSession, path: str, experiment: str) -> str:
-    """Claim ``path`` for one experiment; a folder that was claimed before is an error."""
+    """Claim ``path`` for one experiment; a folder that already holds anything is an error.
+
+    Of two jobs that try at the same time, the write below lets one pass.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        used = not files.load(path).select("path").isEmpty()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        used = False
+    if used:
+        raise FileExistsError(f"the run folder already exists and is not empty: {path}")
     claim = spark.range(1).select(F.lit(experiment).alias("experiment_id"))
-    claim.write.mode("errorifexists").json(f"{path.rstrip('/')}/_claim")
+    claim.write.mode("errorifexists").json(f"{path.rstrip('/')}/claim")
     return path
 
 
@@ -91,12 +104,12 @@ def with_logit_keys(df: DataFrame, *, canvas: bool = False) -> DataFrame:
 def write_full_logits(df: DataFrame, path: str, buckets: int = LOGIT_BUCKETS) -> None:
     """Keep whole score vectors, in a fixed number of folders by a hash of the run.
 
-    One folder per run would be millions of folders; a bucket still prunes a read of one run.
+    One folder per run would be millions of folders; a bucket still prunes a read of one run. The
+    rebalance gives each bucket files of even size, splitting the bucket of a hot run.
     """
     bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
-    df.withColumn("run_bucket", bucket).write.mode("errorifexists").partitionBy(
-        "run_bucket"
-    ).parquet(path)
+    bucketed = df.withColumn("run_bucket", bucket).hint("rebalance", F.col("run_bucket"))
+    bucketed.write.mode("errorifexists").partitionBy("run_bucket").parquet(path)
 
 
 def read_full_logits(spark: SparkSession, path: str, run_id: str, buckets: int = LOGIT_BUCKETS) -> DataFrame:

@@ -41,7 +41,7 @@ class CanvasChanges(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         frame = pd.concat(list(rows)).sort_values("global_step")
-        before, index, last = self.state.get() if self.state.exists() else ([], -1, -1)
+        before, index, last = self.state.get() or ([], -1, -1)
         before = list(before) or None
         out = []
         for step in frame.itertuples(index=False):
@@ -96,7 +96,7 @@ class RouteOverlap(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         frame = pd.concat(list(rows)).sort_values("global_step")
-        before, last = self.state.get() if self.state.exists() else (None, None)
+        before, last = self.state.get() or (None, None)
         before = set(before) if before is not None else None
         out = []
         for row in frame.itertuples(index=False):

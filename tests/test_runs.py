@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from evalweave import session
 from evalweave.operators import audit, inference, runs, tokens
 from evalweave.operators.dataset import ManifestSpec, number_examples
 from evalweave.plans import experiment as ex
@@ -140,7 +142,7 @@ def test_experiment_end_to_end(spark, tmp_path):
     assert good["response"] == f"<user>\nprompt 1\n<model>\n|{good['seed']}" and good["response_error"] is None
     assert bad["response"] == "" and bad["raw_response"] is None and bad["response_error"] == "ValueError: x"
     assert bad["final_token_ids"] == [1, 2] and bad["model_kind"] == "diffusion"
-    # A folder that was used before is refused before any work.
+    # A folder that holds anything is refused before any work.
     with pytest.raises(Exception, match="(?i)already exists"):
         ex.run_experiment(spark, examples(spark), data, run, engines, str(tmp_path))
     present = audit.list_artifacts(spark, done.root).select(F.split("path", "/")[0].alias("top")).distinct()
@@ -238,3 +240,35 @@ def test_a_late_step_stops_the_stream(spark, tmp_path):
     )
     with pytest.raises(Exception, match="came after step"):
         stateful.run_to_files(stateful.canvas_changes_stream(arriving), "late")
+
+
+def test_a_used_folder_is_refused_and_an_empty_one_taken(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    tables.claim_run_folder(spark, str(tmp_path / "empty"), "e")
+    (tmp_path / "used").mkdir()
+    (tmp_path / "used" / "left-over.txt").write_text("x")
+    for folder in ("empty", "used"):
+        with pytest.raises(FileExistsError):
+            tables.claim_run_folder(spark, str(tmp_path / folder), "e")
+
+
+def test_an_invalid_manifest_leaves_no_dataset_document(spark, tmp_path):
+    twice = examples(spark).union(examples(spark))
+    run = runs.RunSpec("run-4", MODELS)
+    with pytest.raises(ValueError, match="duplicate_id"):
+        ex.run_experiment(spark, twice, ManifestSpec(), run, {}, str(tmp_path))
+    assert not (tmp_path / "run-4" / "dataset").exists()
+
+
+class _Session:
+    """A session that names no shared folder."""
+
+    def __init__(self, master):
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        self.conf = SimpleNamespace(get=lambda key, default: default)
+
+
+def test_only_a_local_session_makes_its_own_folder():
+    assert session.shared_dir(_Session("local[2]")) == session.shared_dir(_Session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(_Session("spark://host:7077"))
