@@ -487,9 +487,14 @@ def final_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("experiment_manifest")
+@query(
+    "experiment_manifest",
+    f"""SELECT 1 AS schema_version, '{q.EXPERIMENT}' AS experiment_id, true AS stamped, 'documents' AS dataset_name,
+      count(*) AS examples, '{', '.join(f'rev-{len(m)}' for m in fx.MODELS)}' AS revisions, true AS has_versions
+    FROM documents""",
+)
 def experiment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document; time stamp and versions have no SQL counterpart."""
+    """One document. Its time stamp and versions are only checked to be there."""
     numbered = ds.number_examples(fx.examples(spark, sf_dir), SPEC)
     written = jsonl.write_json(numbered, shared_path(spark, "inputs"))
     columns = tables.experiment_manifest(
@@ -499,8 +504,15 @@ def experiment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"batch_size": str(RUN.batch_size), "log_seed": str(RUN.log_seed)},
     )
     document = jsonl.write_document(spark, shared_path(spark, "manifest"), columns)
+    revisions = [F.element_at("resolved_model_revisions", F.lit(m)) for m in fx.MODELS]
     return document.select(
-        "schema_version", "experiment_id", "created_at", F.col("dataset.examples").alias("examples")
+        "schema_version",
+        "experiment_id",
+        F.col("created_at").isNotNull().alias("stamped"),
+        "dataset.dataset_name",
+        "dataset.examples",
+        F.concat_ws(", ", *revisions).alias("revisions"),
+        F.element_at("software", F.lit("spark")).isNotNull().alias("has_versions"),
     )
 
 

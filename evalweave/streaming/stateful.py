@@ -6,159 +6,104 @@ that comes late is an error, as nothing after it could be right.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalweave.session import shared_path
 
-# The driver-side runner of stateful queries does not see files added to the session, so the
-# processors travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 
-CANVAS_CHANGE_SCHEMA = (
+
+def _names(fields: str) -> list[str]:
+    return [field.split()[0] for field in fields.split(", ")]
+
+
+def _in_order(frames: Iterator[pd.DataFrame], last: int | None, run: str) -> pd.DataFrame:
+    """The steps of one run in this micro-batch, sorted; all must come after ``last``."""
+    steps = pd.concat(list(frames)).sort_values("global_step")
+    first = int(steps["global_step"].iloc[0])
+    if last is not None and first <= last:
+        raise ValueError(f"run {run}: step {first} came after step {last}")
+    return steps
+
+
+CANVAS_STATE = "canvas array<int>, canvas_index int, global_step int"
+CANVAS_CHANGES = (
     "run_id string, global_step int, step_index int, canvas_index int, "
     "changed_positions array<int>, accepted_positions array<int>"
 )
 
 
-class CanvasChanges(StatefulProcessor):
+def canvas_changes_of_run(
+    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
     """Keeps, per run, the canvas before and the number of the current canvas."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "canvas", "canvas array<int>, canvas_index int, global_step int"
-        )
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        frame = pd.concat(list(rows)).sort_values("global_step")
-        before, index, last = self.state.get() or ([], -1, -1)
-        before = list(before) or None
-        out = []
-        for step in frame.itertuples(index=False):
-            if step.global_step <= last:
-                raise ValueError(f"run {key[0]}: step {step.global_step} came after step {last}")
-            canvas = [int(v) for v in step.canvas]
-            if step.step_index == 0:
-                index, before = index + 1, None
-            out.append(
-                (
-                    key[0],
-                    int(step.global_step),
-                    int(step.step_index),
-                    index,
-                    [i for i, v in enumerate(canvas) if before is None or _at(before, i) != v],
-                    [i for i, flag in enumerate(step.accepted_index) if flag],
-                )
-            )
-            before, last = canvas, int(step.global_step)
-        self.state.update((before, index, last))
-        yield pd.DataFrame(
-            out,
-            columns=[
-                "run_id",
-                "global_step",
-                "step_index",
-                "canvas_index",
-                "changed_positions",
-                "accepted_positions",
-            ],
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def _at(values: list[int], i: int) -> int | None:
-    return values[i] if i < len(values) else None
-
-
-OVERLAP_SCHEMA = (
-    "run_id string, canvas_index int, layer_index int, global_step int, token_index int, k int, "
+    before, index, last = state.get if state.exists else (None, -1, None)
+    out = []
+    for step in _in_order(frames, last, key[0]).itertuples(index=False):
+        last = int(step.global_step)
+        canvas = [int(v) for v in step.canvas]
+        if step.step_index == 0:
+            index, before = index + 1, None
+        old = [None] * len(canvas) if before is None else [*before, *[None] * len(canvas)]
+        changed = [i for i, value in enumerate(canvas) if old[i] != value]
+        accepted = [i for i, flag in enumerate(step.accepted_index) if flag]
+        out.append((key[0], last, int(step.step_index), index, changed, accepted))
+        before = canvas
+    state.update((before, index, last))
+    yield pd.DataFrame(out, columns=_names(CANVAS_CHANGES))
+
+
+ROUTE_KEYS = ["run_id", "canvas_index", "layer_index", "token_index"]
+ROUTE_STATE = "expert_ids array<int>, global_step int"
+ROUTE_OVERLAP = (
+    "run_id string, canvas_index int, layer_index int, token_index int, global_step int, k int, "
     "before_step int, before_k int, overlap double"
 )
 
 
-class RouteOverlap(StatefulProcessor):
+def route_overlap_of_token(
+    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
     """Keeps, per (run, canvas, layer, token), the experts of the step before."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("route", "expert_ids array<int>, global_step int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        frame = pd.concat(list(rows)).sort_values("global_step")
-        before, last = self.state.get() or (None, None)
-        before = set(before) if before is not None else None
-        out = []
-        for row in frame.itertuples(index=False):
-            now = {int(e) for e in row.expert_ids}
-            if last is not None and row.global_step <= last:
-                raise ValueError(f"run {key[0]}: step {row.global_step} came after step {last}")
-            overlap = None
-            if before is not None:
-                shared = len(now & before)
-                overlap = shared / max(1, len(now) + len(before) - shared)
-            out.append(
-                (*key, int(row.global_step), len(now), last, before and len(before), overlap)
-            )
-            before, last = now, int(row.global_step)
-        self.state.update((sorted(before), last))
-        frame_out = pd.DataFrame(
-            out,
-            columns=[
-                "run_id",
-                "canvas_index",
-                "layer_index",
-                "token_index",
-                "global_step",
-                "k",
-                "before_step",
-                "before_k",
-                "overlap",
-            ],
-        )
-        yield frame_out[
-            [
-                "run_id",
-                "canvas_index",
-                "layer_index",
-                "global_step",
-                "token_index",
-                "k",
-                "before_step",
-                "before_k",
-                "overlap",
-            ]
-        ].astype({"before_step": "Int32", "before_k": "Int32", "overlap": "Float64"})
-
-    def close(self) -> None:
-        pass
-
-
-def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    before, last = state.get if state.exists else (None, None)
+    out = []
+    for row in _in_order(frames, last, key[0]).itertuples(index=False):
+        now = [int(e) for e in row.expert_ids]
+        overlap = None
+        if before is not None:
+            shared = len(set(now) & set(before))
+            overlap = shared / max(1, len(now) + len(before) - shared)
+        seen = (last, None if before is None else len(before), overlap)
+        before, last = now, int(row.global_step)
+        out.append((*key, last, len(now), *seen))
+    state.update((before, last))
+    nullable = {"before_step": "Int32", "before_k": "Int32", "overlap": "Float64"}
+    yield pd.DataFrame(out, columns=_names(ROUTE_OVERLAP)).astype(nullable)
+
+
+def _stateful(
+    stream: DataFrame, keys: list[str], function: Callable[..., Any], output: str, state: str
+) -> DataFrame:
     stream.sparkSession.conf.set(PROVIDER_CONF, ROCKSDB)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None"
+    return stream.groupBy(*keys).applyInPandasWithState(
+        function, output, state, "append", GroupStateTimeout.NoTimeout
     )
 
 
 def canvas_changes_stream(steps: DataFrame) -> DataFrame:
-    return _stateful(steps, ["run_id"], CanvasChanges(), CANVAS_CHANGE_SCHEMA)
+    return _stateful(steps, ["run_id"], canvas_changes_of_run, CANVAS_CHANGES, CANVAS_STATE)
 
 
 def route_overlap_stream(tokens: DataFrame) -> DataFrame:
     """Per-token overlaps; ``routing.change_rates`` turns the sink into rates per event."""
-    keys = ["run_id", "canvas_index", "layer_index", "token_index"]
-    return _stateful(tokens, keys, RouteOverlap(), OVERLAP_SCHEMA)
+    return _stateful(tokens, ROUTE_KEYS, route_overlap_of_token, ROUTE_OVERLAP, ROUTE_STATE)
 
 
 def first_rows_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
