@@ -13,6 +13,7 @@ WHITESPACE = (
 )
 # What counts as a written number.
 NUMBER_PATTERN = r"(?i)^([+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|[+-]?(inf|infinity))$"
+# Allowed run names, and the parts of module and model names that carry meaning.
 EXPERIMENT_ID_PATTERN = r"^[A-Za-z0-9._-]+$"
 ROUTER_LAYER_PATTERN = r"(?:^|\.)layers\.(\d+)\.router$"
 ROUTER_SUFFIX = ".router"

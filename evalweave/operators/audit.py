@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.operators.skew import lookup_join
 
+# The telemetry components, and the files a finished run must have.
 COMPONENTS = ("canvas", "logits", "moe")
 RUN_FILES = ("manifest.json", "dataset.json", "inputs.jsonl")
 MODEL_FILE = "outputs.jsonl"

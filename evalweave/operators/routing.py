@@ -18,7 +18,7 @@ from evalweave.operators.skew import lookup_join
 from evalweave.session import stage
 
 BUSIEST = 8
-MAX_BUFFERED_TOKENS = 2_000_000
+MAX_BUFFERED_TOKENS = 500_000
 
 
 def route_tokens(
@@ -133,11 +133,21 @@ def _measures(tokens: DataFrame, event: Sequence[str], with_p95: bool) -> DataFr
 
 
 def _measures_of_large(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
-    measured = _measures(tokens, event, with_p95=False)
-    for column, name in (("entropy_kept", "_pk"), ("entropy_softmax", "_ps")):
-        quantile = group_percentile(tokens, event, column, 0.95, ["token_index"], name)
-        measured = measured.join(quantile, list(event), "left")
-    return measured
+    """The same without a buffer: only the entropy that counts is ranked, by one sort."""
+    measured = stage(_measures(tokens, event, with_p95=False), "large-events")
+    decided = lookup_join(
+        tokens.select(*event, "token_index", "entropy_kept", "entropy_softmax"),
+        measured.select(*event, "kept"),
+        event,
+        "inner",
+        spread_by=["token_index"],
+        stored=True,
+    )
+    entropy = F.when(F.col("kept"), F.col("entropy_kept")).otherwise(F.col("entropy_softmax"))
+    chosen = decided.select(*event, "token_index", entropy.alias("_entropy"))
+    quantile = group_percentile(chosen, event, "_entropy", 0.95, ["token_index"], "_p95")
+    ranked = measured.join(quantile, list(event), "left")
+    return ranked.withColumns({"_pk": F.col("_p95"), "_ps": F.col("_p95")}).drop("_p95")
 
 
 def event_measures(

@@ -212,7 +212,10 @@ def joined_errors(*errors: Column) -> Column:
 def render_conversation(
     turns: DataFrame, key: str, order: str, role: str, text: str, generation_prompt: str = "<model>\n"
 ) -> DataFrame:
-    """One prompt text per conversation, its turns in order, closed by the generation prompt."""
+    """One prompt text per conversation, its turns in order, closed by the generation prompt.
+
+    The text is one value, so a conversation can never be larger than a value may be.
+    """
     turn = F.struct(F.col(order).alias("o"), F.col(role).alias("r"), F.col(text).alias("t"))
     rendered = F.transform(
         F.array_sort(F.collect_list(turn)),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.functions.text import model_kind, render_single_turn
+from evalweave.functions.text import DIFFUSION_MARK, render_single_turn
 from evalweave.operators import audit, inference, runs
 from evalweave.operators.dataset import (
     ManifestSpec,
@@ -48,14 +48,11 @@ def smoke_specs(
     unknown = sorted(set(chosen) - set(run.models))
     if unknown:
         raise ValueError(f"unknown models: {', '.join(unknown)}")
-    capped = ManifestSpec(**{**vars(data), "max_samples": samples, "shuffle": False})
-    settings = {
-        **vars(run),
-        "models": chosen,
-        "max_batches": None,
-        "experiment_id": experiment_id or tables.experiment_id(),
-    }
-    return capped, runs.RunSpec(**settings)
+    name = experiment_id or tables.experiment_id()
+    return (
+        replace(data, max_samples=samples, shuffle=False),
+        replace(run, models=chosen, max_batches=None, experiment_id=name),
+    )
 
 
 def model_folder(root: str, model: str) -> str:
@@ -122,8 +119,7 @@ def run_experiment(
         )
 
     def kind_of(model: str) -> str:
-        kind = model_kind(F.lit(model), diffusion=run.diffusion_label, default=run.default_label)
-        return spark.range(1).select(kind).first()[0]
+        return run.diffusion_label if DIFFUSION_MARK in model.lower() else run.default_label
 
     completed, failures = inference.run_models(run.models, run_one, kind_of)
     for failure in failures:
