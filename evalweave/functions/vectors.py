@@ -171,10 +171,14 @@ def logit_columns(scores: pa.Array, selected: pa.Array, k: int) -> list[pa.Array
     count = len(scores)
     chosen, entropies = np.full(count, np.nan), np.full(count, np.nan)
     ids, probabilities = [], []
+    if selected.null_count:
+        raise ValueError("a score row has no selected token")
     wanted = selected.to_numpy(zero_copy_only=False)
     for rows, block in _blocks(scores):
         if block.shape[1] == 0:
             raise ValueError("a score row holds no values")
+        if wanted[rows].min() < 0 or wanted[rows].max() >= block.shape[1]:
+            raise ValueError("a selected token lies outside its score row")
         shifted = block - block.max(axis=1, keepdims=True)
         log_p = shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
         p = np.exp(log_p)

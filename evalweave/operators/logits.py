@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.vectors import LOGIT_FIELDS, logit_columns, map_columns, masked
+from evalweave.operators.skew import lookup_join
 
 
 def _summarized(df: DataFrame, scores: str, selected: str, top_k: int, keep: Sequence[str]) -> DataFrame:
@@ -78,6 +79,10 @@ def score_count_mismatch(scores: DataFrame, generated: DataFrame) -> DataFrame:
     return both.filter(F.col("score_rows") != F.col("token_count"))
 
 
-def matched_scores(scores: DataFrame, mismatched: DataFrame) -> DataFrame:
+def matched_scores(
+    scores: DataFrame, mismatched: DataFrame, spread_by: Sequence[str] = ("token_step",)
+) -> DataFrame:
     """Score rows of runs that reconcile; a mismatch is found before any row is written."""
-    return scores.join(mismatched.select("run_id"), "run_id", "left_anti")
+    return lookup_join(
+        scores, mismatched.select("run_id"), ["run_id"], "left_anti", spread_by=spread_by
+    )

@@ -47,7 +47,7 @@ def experiment_id(configured: str | None = None) -> str:
     """The configured id, checked, or a fresh time-stamped one."""
     stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
     chosen = configured or f"{stamp}-{uuid.uuid4().hex[:8]}"
-    if not re.fullmatch(EXPERIMENT_ID_PATTERN[1:-1], chosen):
+    if not re.fullmatch(EXPERIMENT_ID_PATTERN, chosen):
         raise ValueError("an experiment id may hold only letters, digits, dot, underscore, hyphen")
     return chosen
 

@@ -96,7 +96,7 @@ def test_canvas_logit_record(spark):
 
 
 def test_score_counts_are_reconciled(spark):
-    scores = spark.createDataFrame([("a",), ("a",), ("b",)], "run_id string")
+    scores = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "run_id string, token_step int")
     made = spark.createDataFrame([("a", [1, 2]), ("c", [1])], "run_id string, final_token_ids array<int>")
     wrong = logits.score_count_mismatch(scores, made)
     assert sorted(map(tuple, wrong.collect())) == [("b", 1, 0), ("c", 0, 1)]
