@@ -93,6 +93,20 @@ def topk(values: Column, k: int) -> Column:
     )
 
 
+def percentile(values: Column, q: float) -> Column:
+    """Percentile of an array's entries with linear interpolation."""
+
+    def between(ordered: Column, rank: Column) -> Column:
+        low = F.get(ordered, F.floor(rank).cast("int"))
+        high = F.get(ordered, F.ceil(rank).cast("int"))
+        return low + (high - low) * (rank - F.floor(rank))
+
+    return bind(
+        F.sort_array(values),
+        lambda ordered: bind(F.lit(q) * (F.size(ordered) - 1), lambda rank: between(ordered, rank)),
+    )
+
+
 def mask_positions(mask: Column) -> Column:
     return F.filter(
         F.transform(mask, lambda flag, i: F.when(flag, i)), lambda i: i.isNotNull()

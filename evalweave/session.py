@@ -16,7 +16,7 @@ _SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "evalweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; ``conf`` keys use ``__`` for dots."""
+    """A session with adaptive execution on and this package at its workers; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -30,7 +30,9 @@ def build_session(app: str = "evalweave", master: str | None = None, **conf: str
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

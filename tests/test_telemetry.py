@@ -180,6 +180,9 @@ def test_nan_scores_are_soft_maxed_and_empty_ones_refused(spark):
     df = events(spark, {("r", 0, 0): [[0.5, 0.5], [float("nan"), 0.5]]})
     tokens = routing.route_tokens(df, [*EVENT, "token_index"], selected=1)
     assert routing.normalization(tokens, EVENT).first()["kept"] is False
+    for max_buffered in (100, 1):
+        summary = routing.summarize(tokens, EVENT, max_buffered).first()
+        assert math.isnan(summary["router_entropy_mean"]) and math.isnan(summary["router_entropy_p95"])
     with pytest.raises(PySparkException):
         routing.route_tokens(events(spark, {("r", 0, 0): [[]]}), EVENT).collect()
 
