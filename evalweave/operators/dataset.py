@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,10 @@ def allowed_values(values: Iterable[object] | str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class ManifestSpec:
-    """What to select and how to order it. ``order_by`` stands in for the file order of a source."""
+    """What to select and how to order it. ``order_by`` stands in for the file order of a source.
+
+    ``streaming`` is only recorded: a DataFrame is read lazily either way.
+    """
 
     dataset_name: str = "dataset"
     revision: str = "main"
@@ -49,6 +52,7 @@ class ManifestSpec:
     seed: int = 42
     shuffle: bool = False
     normalize: bool = True
+    streaming: bool = False
 
     def __post_init__(self) -> None:
         if self.max_samples is not None and self.max_samples <= 0:
@@ -240,7 +244,21 @@ def build_manifest(df: DataFrame, spec: ManifestSpec, path: str | None = None) -
     return require_valid(stage(number_examples(df, spec), "manifest", path))
 
 
-def describe_manifest(spec: ManifestSpec, examples: Column, path: str, resolved: str) -> list[Column]:
+def manifest_facts(manifest: DataFrame) -> Row:
+    """Number of rows and a fingerprint of the numbered ids and prompts, in one narrow pass.
+
+    The fingerprint folds 60 bits of a hash per row by exclusive or, so it depends on every row and
+    on its number but not on how the rows are laid out.
+    """
+    line = F.concat_ws(":", F.col("row_index").cast("string"), "id", "prompt_sha256")
+    bits = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("bigint")
+    folded = F.coalesce(F.bit_xor(bits), F.lit(0).cast("bigint"))
+    return manifest.agg(
+        F.count(F.lit(1)).alias("examples"), F.lower(F.hex(folded)).alias("fingerprint")
+    ).first()
+
+
+def describe_manifest(spec: ManifestSpec, facts: Row, path: str, resolved: str) -> list[Column]:
     """The columns of the dataset metadata document."""
     filters = spec.filters()
     plural = dict(
@@ -259,7 +277,9 @@ def describe_manifest(spec: ManifestSpec, examples: Column, path: str, resolved:
         F.lit(spec.revision).alias("requested_revision"),
         F.lit(resolved).alias("resolved_revision"),
         F.lit(spec.split).alias("split"),
-        examples.cast("bigint").alias("examples"),
+        F.lit(spec.streaming).alias("streaming"),
+        F.lit(facts["fingerprint"]).alias("fingerprint"),
+        F.lit(facts["examples"]).cast("bigint").alias("examples"),
         F.lit(path).alias("manifest_path"),
         F.struct(*[texts(filters[c]).alias(plural[c]) for c in FILTER_COLUMNS]).alias("filters"),
         F.lit(spec.shuffle).alias("shuffle"),

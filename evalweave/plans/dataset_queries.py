@@ -241,19 +241,21 @@ def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "manifest_metadata",
-    f"""WITH {q.EXAMPLES} SELECT 'documents' AS dataset_name, 'main' AS requested_revision,
-      'rev-1' AS resolved_revision, 'train' AS split, count(*) AS examples, 'inputs' AS manifest_path,
-      'en,fr' AS languages, 0 AS tags, false AS shuffle, 42 AS seed
-    FROM examples WHERE language IN ('en', 'fr')""",
+    f"""WITH {q.EXAMPLES}, kept AS (SELECT * FROM examples WHERE language IN ('en', 'fr')),
+    normal AS ({q.normalized('kept')}),
+    numbered AS (SELECT row_number() OVER (ORDER BY position) - 1 AS row_index, id, sha256(prompt) AS h FROM normal)
+    SELECT 'documents' AS dataset_name, 'main' AS requested_revision, 'rev-1' AS resolved_revision,
+      'train' AS split, false AS streaming,
+      lower(to_hex(bit_xor(CAST('0x' || substr(sha256(row_index || ':' || id || ':' || h), 1, 15) AS BIGINT))))
+        AS fingerprint,
+      count(*) AS examples, 'inputs' AS manifest_path, 'en,fr' AS languages, 0 AS tags, false AS shuffle, 42 AS seed
+    FROM numbered""",
 )
 def manifest_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ds.ManifestSpec("documents", order_by=("position",), languages=["en", "fr"])
-    numbered = ds.number_examples(fx.examples(spark, sf_dir), spec)
-    written = jsonl.write_json(numbered, shared_path(spark, "inputs"))
+    facts = ds.manifest_facts(ds.build_manifest(fx.examples(spark, sf_dir), spec))
     document = jsonl.write_document(
-        spark,
-        shared_path(spark, "dataset"),
-        ds.describe_manifest(spec, F.lit(written), "inputs", "rev-1"),
+        spark, shared_path(spark, "dataset"), ds.describe_manifest(spec, facts, "inputs", "rev-1")
     )
     return document.select(
         "*",

@@ -16,6 +16,7 @@ from evalweave.operators.dataset import (
     build_manifest,
     describe_manifest,
     first_batches,
+    manifest_facts,
 )
 from evalweave.schemas import OUTPUT_SCHEMA
 from evalweave.sources import jsonl, tables
@@ -86,8 +87,9 @@ def run_experiment(
     home = tables.claim_run_folder(spark, f"{root.rstrip('/')}/{experiment}", experiment)
     inputs = f"{home}/inputs"
     manifest = build_manifest(examples, data, inputs)
-    count = manifest.count()
-    dataset = describe_manifest(data, F.lit(count), inputs, resolved_revision or data.revision)
+    facts = manifest_facts(manifest)
+    count = facts["examples"]
+    dataset = describe_manifest(data, facts, inputs, resolved_revision or data.revision)
     jsonl.write_document(spark, f"{home}/dataset", dataset)
     config = {k: str(v) for k, v in {**asdict(data), **asdict(run)}.items()}
     jsonl.write_document(

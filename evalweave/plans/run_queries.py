@@ -495,11 +495,10 @@ def final_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def experiment_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document. Its time stamp and versions are only checked to be there."""
-    numbered = ds.number_examples(fx.examples(spark, sf_dir), SPEC)
-    written = jsonl.write_json(numbered, shared_path(spark, "inputs"))
+    facts = ds.manifest_facts(ds.build_manifest(fx.examples(spark, sf_dir), SPEC))
     columns = tables.experiment_manifest(
         tables.experiment_id(q.EXPERIMENT),
-        ds.describe_manifest(SPEC, F.lit(written), "inputs", "rev-1"),
+        ds.describe_manifest(SPEC, facts, "inputs", "rev-1"),
         {m: f"rev-{len(m)}" for m in fx.MODELS},
         {"batch_size": str(RUN.batch_size), "log_seed": str(RUN.log_seed)},
     )

@@ -75,11 +75,14 @@ def test_manifest_has_exactly_its_columns_and_dense_numbers(spark):
 def test_manifest_does_not_depend_on_the_layout_or_the_limit_path(spark, monkeypatch, shuffle):
     df = frame(spark, *[good(n) for n in range(120)])
     spec = ds.ManifestSpec(shuffle=shuffle, seed=9, max_samples=30)
-    seen = []
+    seen, facts = [], set()
     for parts, small in ((1, 100), (4, 100), (17, 100), (4, 10)):
         monkeypatch.setattr(ordered, "SMALL_LIMIT", small)
         monkeypatch.setattr(ds, "SMALL_LIMIT", small)
-        seen.append(sorted(map(tuple, ds.build_manifest(df.repartition(parts), spec).collect())))
+        made = ds.build_manifest(df.repartition(parts), spec)
+        seen.append(sorted(map(tuple, made.collect())))
+        facts.add(tuple(ds.manifest_facts(made)))
+    assert len(facts) == 1
     assert all(s == seen[0] for s in seen) and len(seen[0]) == 30
     other = ds.number_examples(df, ds.ManifestSpec(shuffle=True, seed=10, max_samples=30))
     assert sorted(map(tuple, other.collect())) != seen[0]
