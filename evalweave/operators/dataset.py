@@ -15,6 +15,7 @@ from evalweave.operators.ordered import SMALL_LIMIT, dense_index, limit_ordered,
 from evalweave.operators.skew import lookup_join
 from evalweave.schemas import (
     EXAMPLE_COLUMNS,
+    EXAMPLE_SCHEMA,
     FILTER_COLUMNS,
     FLOAT_COLUMN,
     MANIFEST_SCHEMA,
@@ -147,8 +148,12 @@ def map_rows(
 
 
 def metadata(df: DataFrame) -> DataFrame:
+    absent = F.lit(None)
     return df.select(
-        *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in METADATA_COLUMNS]
+        *[
+            F.col(c) if c in df.columns else absent.cast(EXAMPLE_SCHEMA[c].dataType).alias(c)
+            for c in METADATA_COLUMNS
+        ]
     )
 
 

@@ -149,3 +149,10 @@ def test_specs_refuse_bad_numbers():
     with pytest.raises(ValueError):
         ds.ManifestSpec(max_samples=0)
     assert [ds.allowed_values(v) for v in ("en", None, [1], [], "")] == [["en"], [], ["1"], [], [""]]
+
+
+def test_metadata_of_absent_columns_is_null_of_the_declared_type(spark):
+    made = ds.metadata(frame(spark, good(1)).drop("tag", "reconstruction_id_if_redacted"))
+    assert made.first()["tag"] is None
+    assert dict(made.dtypes)["tag"] == "string"
+    assert dict(made.dtypes)["reconstruction_id_if_redacted"] == "double"

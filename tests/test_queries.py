@@ -25,6 +25,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(BUILDERS))
 def test_query(spark, con, name):
     frame = BUILDERS[name](spark, str(DATA))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     rows = check_oracle.rows_of(frame.columns, frame.collect())
     if name not in ORACLES:
         assert rows
