@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import mixing, packing, sharding, token_counts, token_store
+from evalweave.llm import mixing, near_dedup, packing, repetition, sharding, token_counts, token_store
 from evalweave.llm.tokens import WORD_VOCABULARY, vocabulary_path
 from evalweave.session import shared_path, stage
 
@@ -42,6 +42,16 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = near_dedup.Near(words=3, percent=85)
+    return near_dedup.near_duplicates(documents(spark, sf_dir), "doc_id", "text", near)
+
+
+def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return repetition.with_measures(rows, "text").drop("text")
+
+
 def op5_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path(token_counts.BYTE_VOCABULARY)
     counts = token_counts.count_tokens(documents(spark, sf_dir), "text", path, keep=("doc_id",))
@@ -81,6 +91,8 @@ BUILDERS = {
     for f in (
         op1_rendezvous_shards,
         op2_token_store,
+        op3_tensored_minhash,
+        op4_suffix_repetition,
         op5_whole_token_counts,
         op6_exponential_mix,
         op9_first_fit_packing,
