@@ -23,8 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = links.groupBy("a").agg(F.min("b").alias("low"))
         parents = stage(lowest.select("a", F.least("a", "low").alias("parent")), "parents")
         while True:
-            upper = parents.select(F.col("a").alias("parent"), F.col("parent").alias("top"))
-            moved = stage(parents.join(upper, "parent").select("a", "parent", "top"), "parents")
+            upper = parents.select(F.col("a").alias("parent"), F.col("parent").alias("higher"))
+            top = parents.select(F.col("a").alias("higher"), F.col("parent").alias("top"))
+            moved = stage(parents.join(upper, "parent").join(top, "higher").select("a", "parent", "top"), "parents")
             parents = moved.select("a", F.col("top").alias("parent"))
             if moved.filter("parent <> top").isEmpty():
                 break

@@ -2,21 +2,22 @@
 
 Two collections of ``bands`` sub-bands of ``rows`` minhashes are computed, 2 * bands * rows minhashes
 in all. A table key combines one sub-band of each collection, so there are bands ** 2 tables of
-2 * rows minhashes each: as many tables as plain banding would need bands ** 2 * 2 * rows minhashes
-for. Two sets meet in some table if a sub-band of each collection agrees. With 10 sub-bands of 2,
-sets of similarity 0.85 miss each other with probability 2 * (1 - 0.85 ** 2) ** 10 = 0.000005.
+2 * rows minhashes each: plain banding would need bands ** 2 * 2 * rows minhashes for as many. Two
+sets meet if a sub-band of each collection agrees; the number of bands is the least for which sets
+at the threshold miss each other with probability 0.0001 at most (8 for 85 percent, 10 for 80).
 
-What happens in a table (all on distinct sets; equal sets are one class from the start):
+What happens in the tables (all on distinct sets; equal sets are one class from the start):
 
 1. Sub-bands that only one class has cannot make a shared table key and are dropped beforehand.
-2. Star rounds: each key's members are compared with its centre, the class that shares most
-   sub-bands with others. Confirmed links are contracted; keys within one component are finished.
-   The centre has then met all members of the key and leaves it.
-3. When few pairs are left, those of different components in the same key are all compared. So every
-   pair that meets in a key is confirmed, refuted, or known to be connected, and nothing is capped.
+2. Every key's members are compared with its centre, the class that shares most sub-bands with
+   others. Members linked to one centre are one group from then on.
+3. Keys whose members are not yet one group tie classes into families. In a family, every class
+   outside the largest group is compared with all others, by an inverted index over the sets, in
+   tasks of bounded blocks of the family. So all that meets in a key is confirmed, refuted, or known
+   to be connected; nothing is capped, and no table of pairs of a family is ever made.
 
-Before sets are fetched, a pair must have sizes and one-byte minhash prints that allow the
-threshold; at similarity 0.85 the print test refuses fewer than one pair in a million.
+Before sets are fetched for step 2, a pair must have sizes and one-byte minhash prints that allow
+the threshold (five and a half standard deviations); a pair refused wrongly comes back in step 3.
 
 Defined results: A-Z is folded; null texts and texts without words have no shingles, link with
 nothing and are their own component; fewer words than a shingle form one shingle; rows with equal
@@ -25,6 +26,8 @@ doc ids are one document of several texts; a null id is never a representative b
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +42,7 @@ from evalweave.llm.batches import (
     coded,
     mix64,
     offsets_of,
+    ragged_index,
     spans_array,
     text_slices,
     words_of,
@@ -46,6 +50,11 @@ from evalweave.llm.batches import (
 from evalweave.llm.components import components
 from evalweave.session import stage
 
+#: Greatest probability with which two sets at the threshold do not meet in a table.
+MISSED = 0.0001
+#: Most classes, and megabytes of their sets, on either side of a block of a family.
+BLOCK_CLASSES, BLOCK_BYTES = 512, 8 << 20
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,10 +64,14 @@ class Near:
 
     words: int = 5
     percent: int = 80
-    bands: int = 10
     rows: int = 2
     seed: int = 0
 
+    @property
+    def bands(self) -> int:
+        missed = 1 - (self.percent / 100) ** self.rows
+        return max(1, math.ceil(math.log(MISSED / 2) / math.log(max(missed, 1e-9))))
+
     @property
     def hashes(self) -> int:
         return 2 * self.bands * self.rows
@@ -219,52 +232,103 @@ def confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def families(keys: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks of the families: ``family, block, query, cls, grp, shingles``.
+
+    A row stands in every block in which it is a query (``query`` true) or is compared with queries.
+    """
+    named = keys.join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    state = named.groupBy("key").agg(
+        F.max(F.struct("weight", "cls")).alias("centre"), F.min("grp").alias("low"), F.max("grp").alias("high")
+    )
+    open_ = state.filter("low <> high").select("key", F.col("centre.cls").alias("a"))
+    edges = stage(keys.join(open_, "key").select("a", F.col("cls").alias("b")).distinct(), "family-edges")
+    member = components(edges).withColumnsRenamed({"node": "cls", "comp": "family"})
+    member = member.join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    sizes = sets.select("cls", F.octet_length("shingles").alias("bytes"))
+    member = stage(member.join(sizes, "cls"), "family-members")
+    by_group = member.groupBy("family", "grp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    by_family = by_group.groupBy("family").agg(
+        F.max(F.struct("n", "bytes", "grp")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
+    )
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    cut = by_family.select(
+        "family",
+        F.col("most.grp").alias("most"),
+        blocks(F.col("n"), F.col("bytes")).alias("targets"),
+        blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("queries"),
+    )
+    placed = member.select("cls", "grp", "family").join(cut, "family")
+    place = F.xxhash64("cls")
+    target, query = F.pmod(place, F.col("targets")), F.pmod(place, F.col("queries"))
+    as_target = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("queries") - 1)))
+    as_target = as_target.withColumns({"block": F.col("q") * F.col("targets") + target, "query": F.lit(False)})
+    as_query = placed.filter("grp <> most").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("targets") - 1)))
+    as_query = as_query.withColumns({"block": query * F.col("targets") + F.col("t"), "query": F.lit(True)})
+    columns = ["family", "block", "query", "cls", "grp"]
+    return as_target.select(columns).unionByName(as_query.select(columns)).join(sets, "cls")
+
+
+def block_links(blocks: DataFrame, near: Near) -> DataFrame:
+    """Links between the queries and the other classes of each block, one per query and other group."""
+
+    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        targets = [r for r in rows if not r[2]]
+        sets = [np.frombuffer(r[5], np.uint64) for r in targets]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        groups = np.array([r[4] for r in targets], np.int64)
+        found = []
+        for _, _, _, cls, grp, raw in (r for r in rows if r[2]):
+            own = np.frombuffer(raw, np.uint64)
+            low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+            common = np.bincount(owner[ragged_index(low, high - low)], minlength=len(sets))
+            near_enough = 100 * common >= near.percent * (sizes + len(own) - common)
+            hits = np.flatnonzero(near_enough & (groups != grp))
+            _, one = np.unique(groups[hits], return_index=True)
+            found += [(cls, targets[h][3]) for h in hits[one]]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            row
+            for batch in batches
+            for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True)
+        )
+        for _, group in itertools.groupby(rows, key=lambda r: r[:2]):
+            found = links_of(list(group))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ordered = blocks.select("family", "block", "query", "cls", "grp", "shingles")
+    ordered = ordered.repartition("family", "block").sortWithinPartitions("family", "block", "query")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, key: str, text: str, classes: DataFrame, near: Near) -> DataFrame:
-    """Confirmed links between classes that connect exactly what the tables bring together.
+    """Confirmed links between classes that connect all that the tables bring together.
 
-    Links inside a component that is already connected may be left out; no component is.
+    Links inside a group that is already connected may be left out; no connection is.
     """
     keys = table_keys(classes, near)
     met = classes.join(keys.select("cls").distinct(), "cls", "left_semi")
     sets = candidate_sets(docs, key, text, met.select("cls", "rep"), near)
-    found = sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-    done = found
-    labels = None
-    most = 2 * max(1, met.count())
-    while True:
-        if labels is None:
-            state = keys.withColumn("comp", F.col("cls"))
-        else:
-            named = labels.withColumnRenamed("node", "cls")
-            state = keys.join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        groups = state.groupBy("key").agg(
-            F.max(F.struct("weight", "cls", "comp")).alias("centre"),
-            F.count(F.lit(1)).alias("members"),
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-        )
-        open_ = groups.filter("low <> high").select("key", "centre", "members")
-        state = stage(state.join(open_, "key"), "open-keys")
-        members = F.col("members")
-        left = state.select(F.sum((members - 1) / 2)).first()[0] or 0
-        if left == 0:
-            return found
-        last = left <= most
-        if last:
-            a = state.select("key", F.col("cls").alias("a"), F.col("comp").alias("comp_a"))
-            b = state.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = a.join(b, "key").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
-        else:
-            apart = state.filter("comp <> centre.comp")
-            pair = [f("cls", "centre.cls") for f in (F.least, F.greatest)]
-            pairs = apart.select(pair[0].alias("a"), pair[1].alias("b")).distinct()
-        pairs = stage(possible(pairs.join(done, ["a", "b"], "left_anti"), classes, near), "pairs")
-        found = stage(found.unionByName(confirmed(pairs, sets, near)), "confirmed")
-        if last:
-            return found
-        done = done.unionByName(pairs)
-        labels = components(found)
-        keys = state.filter("cls <> centre.cls").select("key", "cls", "weight")
+    centres = keys.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("centre"))
+    pairs = keys.join(centres, "key").filter("cls <> centre.cls")
+    pairs = pairs.select(F.col("centre.cls").alias("a"), F.col("cls").alias("b"), "centre.weight").distinct()
+    fit = stage(possible(pairs.drop("weight"), classes, near), "pairs")
+    stars = stage(confirmed(fit, sets, near), "star-links")
+    heavy = classes.join(keys.select("cls", "weight").distinct(), "cls").select(F.col("cls").alias("a"), "weight")
+    groups = stars.join(heavy, "a").groupBy(F.col("b").alias("cls")).agg(F.max(F.struct("weight", "a")).alias("to"))
+    # A centre that is linked to none stands for its own group; the others go with their heaviest one.
+    groups = stage(groups.select("cls", F.col("to.a").alias("grp")), "groups")
+    return stars.unionByName(stage(block_links(families(keys, groups, sets), near), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, near: Near = Near()) -> DataFrame:
