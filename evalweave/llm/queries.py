@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import mixing, near_dedup, packing, repetition, sharding, token_counts, token_store
+from evalweave.llm import (
+    mixing,
+    near_dedup,
+    packing,
+    repetition,
+    sharding,
+    token_counts,
+    token_store,
+    topk,
+    toxicity,
+)
 from evalweave.llm.tokens import WORD_VOCABULARY, vocabulary_path
 from evalweave.session import shared_path, stage
 
@@ -73,6 +83,20 @@ def op6_exponential_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    seen = labels.filter(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(rows.join(seen, "doc_id"), "doc_id", "text", "toxic")
+    scored = toxicity.with_score(rows, "text", model, keep=("doc_id",))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
         documents(spark, sf_dir),
@@ -86,6 +110,14 @@ def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=SEQUENCE)
 
 
+def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id",
+        F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")).cast("double")).alias("v"),
+    )
+    return topk.top_k(rows.filter(F.col("vec_id") % 50 == 0), rows, "vec_id", "v", k=5)
+
+
 BUILDERS = {
     f.__name__: f
     for f in (
@@ -95,7 +127,9 @@ BUILDERS = {
         op4_suffix_repetition,
         op5_whole_token_counts,
         op6_exponential_mix,
+        op8_ngram_toxicity,
         op9_first_fit_packing,
+        op10_cover_tree_search,
     )
 }
 ORACLES: dict[str, str] = {}
