@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import (
     mixing,
     near_dedup,
     packing,
+    pii,
     repetition,
     sharding,
     token_counts,
@@ -83,6 +84,25 @@ def op6_exponential_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.with_spans(rows, "text", pii.train(rows, "text"), keep=("doc_id",))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def joined(spans: str) -> Column:
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(joined("base_spans"), 256).alias("base_sha256"),
+        joined("all_spans").alias("spans"),
+    )
+
+
 def op8_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -127,6 +147,7 @@ BUILDERS = {
         op4_suffix_repetition,
         op5_whole_token_counts,
         op6_exponential_mix,
+        op7_boosted_pii,
         op8_ngram_toxicity,
         op9_first_fit_packing,
         op10_cover_tree_search,
