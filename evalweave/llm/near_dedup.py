@@ -21,7 +21,7 @@ the threshold (five and a half standard deviations); a pair refused wrongly come
 
 Defined results: A-Z is folded; null texts and texts without words have no shingles, link with
 nothing and are their own component; fewer words than a shingle form one shingle; rows with equal
-doc ids are one document of several texts; a null id is never a representative beside another id.
+doc ids are one document, which links their texts; a null id is never a representative beside another id.
 """
 
 from __future__ import annotations
@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, near: Near = Near()) -
         ),
         "classes",
     )
-    labels = components(links(docs, key, text, classes, near)).withColumnRenamed("node", "cls")
+    edges = links(docs, key, text, classes, near).unionByName(same_document(sketch))
+    labels = components(edges).withColumnRenamed("node", "cls")
     grouped = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = grouped.join(smallest, "comp").select("cls", "component_id")
@@ -357,8 +358,21 @@ def near_duplicates(docs: DataFrame, key: str, text: str, near: Near = Near()) -
     return rows.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def same_document(sketch: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc id."""
+    texts = sketch.filter("n_shingles > 0 and id is not null").select("id", "cls").distinct()
+    first = texts.groupBy("id").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return texts.join(first, "id").filter("a <> cls").select("a", F.col("cls").alias("b"))
+
+
 def deduplicate(docs: DataFrame, key: str, text: str, near: Near = Near()) -> DataFrame:
-    """One document of every component, with all its columns."""
-    verdict = near_duplicates(docs, key, text, near).filter("kept").select(F.col(key).alias("_kept_id"))
-    same = docs[key].eqNullSafe(F.col("_kept_id"))
-    return docs.join(verdict.distinct(), same, "left_semi").dropDuplicates([key])
+    """One document of every component, with all its columns; rows with a null id cannot be told and stay.
+
+    Only the ids that go, and ids that occur more than once, meet the texts.
+    """
+    verdict = stage(near_duplicates(docs, key, text, near).select(F.col(key).alias("_id"), "kept"), "verdicts")
+    removed = verdict.filter("not kept and _id is not null").select("_id").distinct()
+    repeated = verdict.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
+    same = docs[key] == F.col("_id")
+    once = docs.join(removed.unionByName(repeated), same, "left_anti")
+    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([key]))
