@@ -15,6 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.session import stage
+
+#: Most sources whose plan (about 100 bytes a row) is sent to every task instead of shuffling the rows.
+BROADCAST_SOURCES = 50_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,12 +89,10 @@ def mix_plan(
     plan = targets.withColumn("mix_epochs", epochs).withColumn(
         "mix_rest", F.col("mix_target") - F.col("mix_epochs") * size
     )
-    rows = keyed.select(F.col(source).alias("mix_source"), "mix_size", "mix_key")
-    rows = rows.groupBy("mix_source", "mix_key").agg(F.sum("mix_size").alias("mix_size"))
-    same = F.col("r.mix_source").eqNullSafe(F.col("p.mix_source"))
-    joined = rows.alias("r").join(
-        plan.select("mix_source", "mix_rows", "mix_rest").alias("p"), same
-    ).select("r.*", "mix_rows", "mix_rest")
+    plan = stage(plan, "mix-targets")
+    rows = keyed.select(F.col(source).alias("_source"), "mix_size", "mix_key")
+    rows = rows.groupBy("_source", "mix_key").agg(F.sum("mix_size").alias("mix_size"))
+    joined = with_plan(rows, plan.select("mix_source", "mix_rows", "mix_rest"), "_source").drop("_source")
     chunks = F.ceil(F.sqrt("mix_rows"))
     chunk = F.floor((F.lit(1.0) - F.exp(F.lit(0.0) - F.col("mix_key"))) * chunks).cast("int")
     cut = joined.withColumn("mix_chunk", chunk)
@@ -124,11 +127,22 @@ def mix_plan(
     return plan.alias("p").join(last.alias("l"), named, "left").select("p.*", "mix_last_key")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
+    """Every row beside its source's columns of a stored ``plan``.
+
+    The plan has one row per source. It is counted, and broadcast up to ``BROADCAST_SOURCES`` rows, so
+    that a source with very many rows moves none of them; beyond that both sides are shuffled, and
+    adaptive execution splits what is left of a large source.
+    """
+    small = plan.count() <= BROADCAST_SOURCES
+    same = rows[source].eqNullSafe(plan["mix_source"])
+    return rows.join(F.broadcast(plan) if small else plan, same)
+
+
 def with_copies(keyed: DataFrame, plan: DataFrame, source: str) -> DataFrame:
     """Adds ``mix_copies``, how often the mix takes the row, and the columns of its source's plan."""
-    same = keyed[source].eqNullSafe(plan["mix_source"])
     partial = F.coalesce(F.col("mix_key") <= F.col("mix_last_key"), F.lit(False)).cast("int")
-    joined = keyed.join(plan, same)
+    joined = with_plan(keyed, stage(plan, "mix-plan"), source)
     return joined.withColumn("mix_copies", F.col("mix_epochs") + partial).drop("mix_source")
 
 
