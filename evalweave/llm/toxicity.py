@@ -39,6 +39,10 @@ from evalweave.llm.batches import (
 )
 
 
+#: Bytes of training text whose n-grams are held at once.
+PART_BYTES = 128 << 10
+
+
 @dataclass(frozen=True)
 class Training:
     rows_per_class: int = 2000
@@ -107,29 +111,45 @@ def segment_sums_float(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def _parts(texts: Texts, settings: Training) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, n-gram, distinct words that hold it), some texts at a time to bound the memory."""
+    size, begin, count = 1 << settings.bits, 0, len(texts.bounds) - 1
+    while begin < count:
+        end = int(np.searchsorted(texts.bounds, texts.bounds[begin] + PART_BYTES, side="right")) - 1
+        end = min(max(end, begin + 1), count)
+        bounds = texts.bounds[begin : end + 1]
+        text, code, values = distinct_words(Texts(texts.data[bounds[0] : bounds[-1]], bounds - bounds[0]))
+        if len(values):
+            buckets, grams = word_grams(values, settings)
+            sizes = np.diff(grams)[code]
+            gram = buckets[ragged_index(grams[code], sizes)].astype(np.int64)
+            pairs, counts = np.unique(np.repeat(text, sizes) * size + gram, return_counts=True)
+            yield begin + pairs // size, pairs % size, counts
+        begin = end
+
+
 def fit(texts: Texts, toxic: np.ndarray, share: float, settings: Training) -> Model:
     """The classifier of the sample; ``share`` is that of toxic rows among all training rows."""
     size = 1 << settings.bits
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(np.clip(share, 1e-9, 1 - 1e-9))
         return Model(np.zeros(size), float(np.log(share / (1 - share))), settings)
-    text, code, values = distinct_words(texts)
-    buckets, bounds = word_grams(values, settings)
-    sizes = np.diff(bounds)[code]
-    row = np.repeat(text, sizes)
-    gram = buckets[ragged_index(bounds[code], sizes)].astype(np.int64)
-    pairs, counts = np.unique(row * size + gram, return_counts=True)
-    row, gram = pairs // size, pairs % size
-    seen = np.bincount(gram, minlength=size) >= settings.least_texts
-    keep = seen[gram]
-    row, gram, counts = row[keep], gram[keep], counts[keep].astype(float)
-    positive = toxic[row] == 1
-    p = 1 + np.bincount(gram[positive], minlength=size)
-    q = 1 + np.bincount(gram[~positive], minlength=size)
+    p, q, seen = np.ones(size), np.ones(size), np.zeros(size, np.int64)
+    for row, gram, counts in _parts(texts, settings):
+        own = np.bincount(gram, minlength=size)
+        toxic_own = np.bincount(gram[toxic[row] == 1], weights=counts[toxic[row] == 1], minlength=size)
+        p += toxic_own
+        q += np.bincount(gram, weights=counts, minlength=size) - toxic_own
+        seen += own
+    seen = seen >= settings.least_texts
     ratio = np.where(seen, np.log(p / (toxic == 1).sum()) - np.log(q / (toxic != 1).sum()), 0.0)
     ratio[np.abs(ratio) < settings.least_ratio] = 0
-    telling = ratio[gram] != 0
-    row, gram, counts = row[telling], gram[telling], counts[telling]
+    found = [
+        (row[telling].astype(np.int32), gram[telling].astype(np.int32), counts[telling].astype(np.float32))
+        for row, gram, counts in _parts(texts, settings)
+        for telling in [ratio[gram] != 0]
+    ]
+    row, gram, counts = (np.concatenate(c) for c in zip(*found, strict=True))
     value = counts * ratio[gram]
     # Every fourth text is kept from the weights; they set slope and intercept.
     aside = np.arange(len(toxic)) % 4 == 3
