@@ -107,7 +107,7 @@ def op8_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     seen = labels.filter(~toxicity.held_out(F.col("doc_id")))
-    model = toxicity.train(rows.join(seen, "doc_id"), "doc_id", "text", "toxic")
+    model = toxicity.train(rows, seen, "doc_id", "text", "toxic")
     scored = toxicity.with_score(rows, "text", model, keep=("doc_id",))
     return scored.select(
         "doc_id",

@@ -37,6 +37,7 @@ from evalweave.llm.batches import (
     texts_of,
     words_of,
 )
+from evalweave.session import stage
 
 
 #: Bytes of training text whose n-grams are held at once.
@@ -135,11 +136,11 @@ def fit(texts: Texts, toxic: np.ndarray, share: float, settings: Training) -> Mo
         share = float(np.clip(share, 1e-9, 1 - 1e-9))
         return Model(np.zeros(size), float(np.log(share / (1 - share))), settings)
     p, q, seen = np.ones(size), np.ones(size), np.zeros(size, np.int64)
-    for row, gram, counts in _parts(texts, settings):
+    for row, gram, _ in _parts(texts, settings):
         own = np.bincount(gram, minlength=size)
-        toxic_own = np.bincount(gram[toxic[row] == 1], weights=counts[toxic[row] == 1], minlength=size)
+        toxic_own = np.bincount(gram[toxic[row] == 1], minlength=size)
         p += toxic_own
-        q += np.bincount(gram, weights=counts, minlength=size) - toxic_own
+        q += own - toxic_own
         seen += own
     seen = seen >= settings.least_texts
     ratio = np.where(seen, np.log(p / (toxic == 1).sum()) - np.log(q / (toxic != 1).sum()), 0.0)
@@ -196,18 +197,27 @@ def _logistic(row, gram, value, label, use, size, settings) -> tuple[np.ndarray,
     return weights, intercept
 
 
-def train(labelled: DataFrame, key: str, text: str, label: str, settings: Training = Training()) -> Model:
-    """Fits on the bounded sample of ``labelled`` rows (key, text, 0/1 label)."""
-    rows = labelled.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
-    rows = rows.filter("id is not null and label in (0, 1)")
-    counted = rows.agg(F.count("label").alias("n"), F.sum("label").alias("toxic")).first()
+def train(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, settings: Training = Training()
+) -> Model:
+    """Fits on the bounded sample of documents that ``labels`` (key, 0/1 label) marks.
+
+    The sample is drawn from narrow rows, so only the texts of the sample (at most twice
+    ``rows_per_class`` ids, hence a bounded broadcast) are ever joined.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    narrow = rows.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    marks = labels.select(F.col(key).alias("id"), F.col(label).alias("label"))
+    marked = narrow.join(marks.filter("id is not null and label in (0, 1)"), "id")
+    counted = marked.agg(F.count("label").alias("n"), F.sum("label").alias("toxic")).first()
     share = (counted["toxic"] or 0) / max(counted["n"], 1)
-    short = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.text_bytes)
-    order = [F.xxhash64(F.col("id").cast("string")), F.xxhash64("text")]
-    parts = [
-        short.filter(F.col("label") == k).orderBy(*order).limit(settings.rows_per_class) for k in (0, 1)
-    ]
-    sample = parts[0].unionByName(parts[1]).select("text", "label").toArrow().combine_chunks()
+    short = marked.filter(F.col("bytes") <= settings.text_bytes).select("id", "label").distinct()
+    order = F.xxhash64(F.col("id").cast("string"))
+    parts = [short.filter(F.col("label") == k).orderBy(order).limit(settings.rows_per_class) for k in (0, 1)]
+    chosen = stage(parts[0].unionByName(parts[1]), "toxic-sample")
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.text_bytes
+    texts = rows.filter(fits).join(F.broadcast(chosen), "id")
+    sample = texts.groupBy("id", "label").agg(F.max("text").alias("text")).select("text", "label").toArrow()
     column = sample.column("text").combine_chunks()
     column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
     toxic = sample.column("label").to_numpy().astype(np.int64)
