@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import traceback
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -13,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-
 @dataclass(frozen=True)
 class Prediction:
     text: str
@@ -35,14 +36,17 @@ RESULT_FIELDS = [
     T.StructField("response_error", T.StringType()),
 ]
 
-_LOADED: dict[str, Any] = {}
+#: The engine this Python worker holds: at most one, under the token of the call it was built for.
+_HELD: dict[str, Any] = {}
 
 
-def _predictor(name: str, factory: Callable[[], Predictor]) -> Predictor:
-    # A Python worker serves many tasks; it loads each engine once.
-    if name not in _LOADED:
-        _LOADED[name] = factory()
-    return _LOADED[name]
+def _predictor(token: str, factory: Callable[[], Predictor]) -> Predictor:
+    """The engine of one ``batch_infer`` call, built once per worker; any other engine goes before."""
+    if token not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[token] = factory()
+    return _HELD[token]
 
 
 def batch_infer(
@@ -58,8 +62,9 @@ def batch_infer(
     """``runs`` plus the predictor's results. One narrow stage: rows stay where they are.
 
     ``factory`` builds the engine once per Python worker. Results are attached to their own row, so
-    nothing depends on a global order; a predictor that returns too few results fails the task. An
-    error the predictor reports for one row becomes that row's ``response_error``, with empty text.
+    nothing depends on a global order; a predictor that returns too few results fails the task. Text,
+    raw text and error of a row are passed on as the predictor gives them; without an error, a raw
+    text that is not given is the text. A worker holds one engine at a time, and never one of another call.
     ``tasks`` spreads the rows evenly first, for an engine that is slow next to reading.
     """
     if batch_size <= 0:
@@ -67,9 +72,10 @@ def batch_infer(
     if tasks is not None:
         runs = runs.repartition(tasks, "run_id")
     schema = T.StructType(runs.schema.fields + RESULT_FIELDS)
+    token = f"{name}-{uuid.uuid4().hex}"
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = _predictor(name, factory)
+        engine = _predictor(token, factory)
         for frame in frames:
             results: list[Prediction] = []
             for start in range(0, len(frame), batch_size):
@@ -80,15 +86,20 @@ def batch_infer(
                 results.extend(made)
             yield frame.assign(
                 input_token_count=[r.input_token_count for r in results],
-                final_text=["" if r.error else r.text for r in results],
+                final_text=[r.text for r in results],
                 final_token_ids=[list(r.token_ids) for r in results],
-                raw_response=[None if r.error else (r.raw_text or r.text) for r in results],
+                raw_response=[_raw(r) for r in results],
                 response_error=[r.error for r in results],
             )
 
     return runs.mapInPandas(predict, schema)
 
 
+def _raw(result: Prediction) -> str | None:
+    """The raw text as given; where none is given, the text of a result without error."""
+    return result.text if result.raw_text is None and not result.error else result.raw_text
+
+
 ERROR_SCHEMA = (
     "model_name string, model_kind string, error_type string, message string, traceback string, "
     "failed_at string"

@@ -154,6 +154,12 @@ def dense_index(
     )
 
 
+def content(df: DataFrame) -> Column:
+    """A digest of a whole row, by which rows of equal order are put in a fixed order."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return F.sha2(F.coalesce(whole, F.lit("")).cast("binary"), 256)
+
+
 def number_rows(
     df: DataFrame, order: Sequence[str | Column], key: Sequence[str], name: str = "row_index"
 ) -> DataFrame:
@@ -161,16 +167,17 @@ def number_rows(
 
     ``key`` names columns that identify a row. The wide rows are then shuffled once, to meet their
     number; sorting them instead would read them twice (a range sort samples first) and write them
-    once more. Should the key be null or repeated somewhere, the rows are sorted whole after all,
-    with their place in a stored copy as the last sort key: a large group of equal rows is then
-    split over several sort partitions like any other.
+    once more. Should the key be null or repeated somewhere, the rows are sorted whole after all, by
+    ``order`` and then by their content, which no layout can change. Only fully equal rows are told
+    apart by their place in a stored copy, so that a large group of them is split like any other.
     """
     numbers = dense_index(df, order, name, keep=key)
     absent = functools.reduce(Column.__or__, [F.col(c).isNull() for c in key])
     unfit = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | absent)
     if not unfit.isEmpty():
-        tied = stage(df, "tied-rows").withColumn("_tie", F.monotonically_increasing_id())
-        return dense_index(tied, [*order, "_tie"], name, keep=df.columns)
+        tied = stage(df.withColumn("_content", content(df)), "tied-rows")
+        tied = tied.withColumn("_tie", F.monotonically_increasing_id())
+        return dense_index(tied, [*order, "_content", "_tie"], name, keep=df.columns)
     return df.join(numbers, list(key)).select(*df.columns, name)
 
 
@@ -179,16 +186,20 @@ def limit_ordered(
 ) -> DataFrame:
     """The first ``n`` rows in ``order``; all of them when ``n`` is null.
 
-    A small ``n`` is a top-n; a large one would gather all its rows in one task and is cut by row
-    number instead. ``key`` is as in ``number_rows``.
+    Rows of equal order follow each other by ``content``, so the same rows are kept for any layout and
+    any ``n``. A small ``n`` is a top-n; a large one would gather all its rows in one task and is cut by
+    row number instead, in the same order. ``key`` is as in ``number_rows``.
     """
     if n is None:
         return df
     if n <= 0:
         raise ValueError("the limit must be greater than zero")
     if n <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(n)
-    numbered = number_rows(df, order, key, "_at") if key else dense_index(df, order, "_at")
+        return df.orderBy(*order, content(df)).limit(n)
+    if key:
+        numbered = number_rows(df, order, key, "_at")
+    else:
+        numbered = dense_index(df.withColumn("_content", content(df)), [*order, "_content"], "_at")
     return numbered.filter(F.col("_at") < n).select(*df.columns)
 
 

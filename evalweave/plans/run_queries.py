@@ -200,7 +200,7 @@ def _stub_factory():
             refused = "ValueError: refused" if seed % 16 == 0 else None
             results.append(
                 inference.Prediction(
-                    digest.hex(), list(digest[:8]), len(prompt), error=refused
+                    "" if refused else digest.hex(), list(digest[:8]), len(prompt), error=refused
                 )
             )
         return results

@@ -4,19 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-TEXT_COLUMNS = (
-    "id",
-    "prompt",
-    "response",
-    "prompt_label",
-    "response_label",
-    "violated_categories",
-    "prompt_label_source",
-    "response_label_source",
-    "tag",
-    "language",
-    "source",
-)
 FLOAT_COLUMN = "reconstruction_id_if_redacted"
 
 # The input columns in their file order.

@@ -110,3 +110,20 @@ def test_salted_lookup_equals_broadcast_on_a_hot_key(spark, how):
     salted = lookup_join(facts, lookup, ["run"], how, spread_by=["step"], broadcast_bytes=0, hot_rows=20)
     assert "BroadcastHashJoin" in wide._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, wide.collect())) == sorted(map(str, salted.collect()))
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5])
+def test_limit_keeps_the_same_rows_for_any_layout_and_path(spark, monkeypatch, limit):
+    rows = [("a", "1"), ("b", "3"), ("b", "1"), ("b", "2"), ("b", "2"), ("", "x"), ("", "w"), (None, "z")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    seen = set()
+    for parts in (1, 4, 17):
+        for small in (0, 100):
+            monkeypatch.setattr(ordered, "SMALL_LIMIT", small)
+            kept = ordered.limit_ordered(df.repartition(parts), ["id"], limit, ["id"]).collect()
+            seen.add(tuple(sorted(map(str, kept))))
+            numbered = ordered.number_rows(df.repartition(parts), ["id"], ["id"]).collect()
+            assert sorted(r["row_index"] for r in numbered) == list(range(len(rows)))
+            first = tuple(sorted(str((r["id"], r["text"])) for r in numbered if r["row_index"] < limit))
+            assert first == tuple(sorted(str((r["id"], r["text"])) for r in kept))
+    assert len(seen) == 1

@@ -140,7 +140,8 @@ def test_experiment_end_to_end(spark, tmp_path):
     records = {(r["model_id"], r["example_id"]): r for r in ex.read_outputs(spark, done).collect()}
     good, bad = records[(MODELS[0], "e01")], records[(MODELS[1], "e03")]
     assert good["response"] == f"<user>\nprompt 1\n<model>\n|{good['seed']}" and good["response_error"] is None
-    assert bad["response"] == "" and bad["raw_response"] is None and bad["response_error"] == "ValueError: x"
+    assert bad["response"].startswith("<user>") and bad["raw_response"] == "<s><user>\nprompt 3\n<model>\n"
+    assert bad["response_error"] == "ValueError: x"
     assert bad["final_token_ids"] == [1, 2] and bad["model_kind"] == "diffusion"
     # A folder that holds anything is refused before any work.
     with pytest.raises(Exception, match="(?i)already exists"):
@@ -272,3 +273,48 @@ def test_only_a_local_session_makes_its_own_folder():
     assert session.shared_dir(_Session("local[2]")) == session.shared_dir(_Session("local[2]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(_Session("spark://host:7077"))
+
+
+def test_engines_never_outlive_their_call(spark):
+    rows = spark.createDataFrame([("r", "p", 1)], "run_id string, prompt string, seed long")
+
+    def factory(answer):
+        def build():
+            return lambda prompts, seeds: [inference.Prediction(answer, [1]) for _ in prompts]
+
+        return build
+
+    for answer in ("first", "second"):
+        got = inference.batch_infer(rows, factory(answer), name="same").first()
+        assert got["final_text"] == answer
+
+
+def test_a_worker_holds_one_engine():
+    inference._predictor("one", lambda: "a")
+    assert inference._predictor("one", lambda: "b") == "a"
+    inference._predictor("two", lambda: "c")
+    assert inference._HELD == {"two": "c"}
+
+
+def test_text_raw_text_and_error_pass_through(spark):
+    made = [
+        inference.Prediction("kept", [1], raw_text="<raw>", error="raw decode: X: y"),
+        inference.Prediction("text", [1], raw_text=""),
+        inference.Prediction("", [1], error="E: none"),
+        inference.Prediction("plain", [1]),
+    ]
+    rows = spark.createDataFrame([(str(i), "p", i) for i in range(4)], "run_id string, prompt string, seed long")
+    fields = [(p.text, p.raw_text, p.error) for p in made]
+
+    def build():
+        return lambda prompts, seeds: [
+            inference.Prediction(fields[s][0], [1], raw_text=fields[s][1], error=fields[s][2]) for s in seeds
+        ]
+
+    got = inference.batch_infer(rows, build, name="fields").orderBy("run_id").collect()
+    assert [(r["final_text"], r["raw_response"], r["response_error"]) for r in got] == [
+        ("kept", "<raw>", "raw decode: X: y"),
+        ("text", "", None),
+        ("", None, "E: none"),
+        ("plain", "plain", None),
+    ]
