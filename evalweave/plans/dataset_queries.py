@@ -358,7 +358,9 @@ def _write_lines(spark: SparkSession, sf_dir: str) -> str:
     )
     path = shared_path(spark, "lines")
     rows = fx.raw_responses(spark, sf_dir).select(number.alias("n"), turn.alias("t"), line.alias("value"))
-    rows.coalesce(1).sortWithinPartitions("n", "t").select("value").write.text(path)
+    # One file per 64 conversations, in their order: the number of files follows the data.
+    filed = rows.withColumn("file", F.floor(F.col("n") / 64)).repartition("file").sortWithinPartitions("file", "n", "t")
+    filed.select("value", "file").write.partitionBy("file").text(path)
     return path
 
 
@@ -376,9 +378,12 @@ def jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jsonl_rejects",
-    f"""WITH {_LINES}, placed AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS line_number FROM lines)
-    SELECT line_number, CASE WHEN {_FORM} = 3 THEN 'broken' ELSE 'not_object' END AS reason, line
+    f"""WITH {_LINES}, placed AS (SELECT *, CAST(conv_id // 64 AS BIGINT) AS file,
+        row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) AS line_number FROM lines)
+    SELECT file, line_number, CASE WHEN {_FORM} = 3 THEN 'broken' ELSE 'not_object' END AS reason, line
     FROM placed WHERE {_FORM} IN (1, 2, 3)""",
 )
 def jsonl_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonl.rejects(spark, _write_lines(spark, sf_dir)).select("line_number", "reason", "line")
+    file = F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint")
+    found = jsonl.rejects(spark, _write_lines(spark, sf_dir))
+    return found.select(file.alias("file"), "line_number", "reason", "line")
