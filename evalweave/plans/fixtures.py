@@ -90,7 +90,7 @@ def answered_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     ]
     return pairs.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("position"),
+        (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("position"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("text").alias("prompt"),
         F.col("answer").alias("response"),

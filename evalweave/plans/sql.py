@@ -78,7 +78,7 @@ def normalized(source: str, *, text_number: bool = False) -> str:
 
 
 ANSWERED = """answered AS (
-  SELECT a.conv_id * 1000 + a.turn AS position,
+  SELECT a.conv_id * 4294967296 + a.turn AS position,
     CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS id, a.text AS prompt,
     b.text AS response, CAST(NULL AS VARCHAR) AS prompt_label,
     CAST(NULL AS VARCHAR) AS response_label, CAST(NULL AS VARCHAR) AS violated_categories,
