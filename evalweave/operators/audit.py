@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.operators.skew import lookup_join
@@ -37,6 +37,19 @@ def missing_artifacts(expected: DataFrame, present: DataFrame, run: str) -> Data
     return expected.join(present.select(run, "path"), [run, "path"], "left_anti")
 
 
+def used_folders(requested: DataFrame, present: DataFrame, folder: str) -> DataFrame:
+    """Requested folders, and whether any file lies below them; a run may only take an unused one."""
+    taken = present.select(F.split("path", "/")[0].alias(folder)).distinct()
+    marked = taken.withColumn("used", F.lit(True))
+    return requested.select(folder).distinct().join(marked, folder, "left").na.fill(False, ["used"])
+
+
+def folder_below(path: Column, root: str) -> Column:
+    """The folder of a file, relative to ``root``."""
+    relative = F.regexp_replace(path, "^.*" + _escaped(root.rstrip("/")) + "/", "")
+    return F.regexp_replace(relative, "/[^/]*$", "")
+
+
 def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Paths below ``root``, relative to it; the file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -76,7 +89,7 @@ def rows_before_failure(
     rows = status if rows is None else rows
     rows = rows.filter(F.col("component").isin(*COMPONENTS))
     marked = lookup_join(
-        rows, first_failures(status, run, order), [run, "component"], spread_by=[order]
+        rows, first_failures(status, run, order), [run, "component"]
     )
     return marked.filter(
         F.col("first_failure").isNull() | (F.col(order) < F.col("first_failure"))

@@ -56,7 +56,6 @@ def canvas_steps(steps: DataFrame, vocab: DataFrame, chunk: Column | None = None
         *keys, F.col("raw_response").alias("canvas_text")
     )
     return changed.join(text, keys, "left").select(
-        F.lit("canvas_step").alias("event"),
         "run_id",
         "canvas_index",
         "global_step",

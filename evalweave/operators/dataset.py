@@ -210,7 +210,7 @@ def violations(numbered: DataFrame) -> DataFrame:
         .filter(F.col("_n") > 1)
         .select("id", "_first")
     )
-    marked = lookup_join(rows, repeated, ["id"], spread_by=["row_index"])
+    marked = lookup_join(rows, repeated, ["id"])
     broken = F.array(
         F.when(F.col("id") == "", F.lit(0)),
         F.when(F.col("row_index") > F.col("_first"), F.lit(1)),

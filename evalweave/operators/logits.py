@@ -58,7 +58,6 @@ def canvas_logit_records(positions: DataFrame) -> DataFrame:
     )
     steps = positions.groupBy("run_id", "global_step", "step_index").agg(ordered.alias("_p"))
     return steps.select(
-        F.lit("logits_step").alias("event"),
         "run_id",
         "global_step",
         "step_index",
@@ -79,10 +78,16 @@ def score_count_mismatch(scores: DataFrame, generated: DataFrame) -> DataFrame:
     return both.filter(F.col("score_rows") != F.col("token_count"))
 
 
-def matched_scores(
-    scores: DataFrame, mismatched: DataFrame, spread_by: Sequence[str] = ("token_step",)
-) -> DataFrame:
-    """Score rows of runs that reconcile; a mismatch is found before any row is written."""
-    return lookup_join(
-        scores, mismatched.select("run_id"), ["run_id"], "left_anti", spread_by=spread_by
-    )
+def matched_scores(scores: DataFrame, mismatched: DataFrame) -> DataFrame:
+    """Score rows of the runs that reconcile, for readers that go on without the others."""
+    return lookup_join(scores, mismatched.select("run_id"), ["run_id"], "left_anti")
+
+
+def require_matched_scores(scores: DataFrame, generated: DataFrame) -> DataFrame:
+    """``scores`` if every run has a row per generated token; raises before any row is summarised."""
+    wrong = score_count_mismatch(scores, generated).orderBy("run_id").first()
+    if wrong is not None:
+        raise ValueError(
+            f"run {wrong['run_id']}: {wrong['score_rows']} score rows for {wrong['token_count']} tokens"
+        )
+    return scores

@@ -91,7 +91,7 @@ def scan_in_order(
         F.max_by(F.struct(F.col(source).alias("v")), F.struct(*order)).alias(f"_last_{name}")
         for name, source in previous.items()
     ]
-    long_rows = lookup_join(cut, long_keys, span_by, "left_semi", spread_by=order, stored=True)
+    long_rows = lookup_join(cut, long_keys, span_by, "left_semi", stored=True)
     per_chunk = long_rows.groupBy(*keys, "_chunk").agg(*totals)
     across = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)

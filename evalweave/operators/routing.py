@@ -1,6 +1,7 @@
 """Expert-routing scores: one input row per (event, token) with ``scores array<float>``.
 
-An event is one forward pass through one router. ``route_tokens`` reads the wide scores and leaves
+An event is one forward pass through one router; a step may hold several, told apart by their order
+in it. ``route_tokens`` reads the wide scores and leaves
 a few narrow columns; everything after works on those. ``stored_route_tokens`` also writes them, so
 that a summary, which needs them more than once, reads the scores a single time.
 """
@@ -145,7 +146,6 @@ def _measures_of_large(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
         measured.select(*event, "kept"),
         event,
         "inner",
-        spread_by=["token_index"],
         stored=True,
     )
     entropy = F.when(F.col("kept"), F.col("entropy_kept")).otherwise(F.col("entropy_softmax"))
@@ -168,7 +168,7 @@ def event_measures(
     if large.isEmpty():
         measured = _measures(tokens, event, with_p95=True)
     else:
-        flagged = lookup_join(tokens, large, event, spread_by=["token_index"])
+        flagged = lookup_join(tokens, large, event)
         small_part = flagged.filter(F.col("_large").isNull()).drop("_large")
         large_part = flagged.filter(F.col("_large")).drop("_large")
         measured = _measures(small_part, event, with_p95=True).unionByName(
@@ -205,18 +205,20 @@ def summarize(
     )
 
 
-def token_route_overlap(tokens: DataFrame, lane: Sequence[str], step: str, chunk) -> DataFrame:
+def token_route_overlap(
+    tokens: DataFrame, lane: Sequence[str], order: Sequence[str], chunk
+) -> DataFrame:
     """Per token, the Jaccard overlap of its experts with the same token one event earlier.
 
-    ``lane`` holds the columns that separate independent sequences of events (run, canvas, layer).
-    Looking back per token keeps one huge event spread over as many groups as it has tokens.
+    ``lane`` holds the columns that separate independent sequences of events (run, canvas, layer),
+    ``order`` those that put the events of a lane in order (step, place in the step). Looking back per token keeps one huge event spread over as many groups as it has tokens.
     """
     looked = scan_in_order(
-        tokens.select(*lane, step, "token_index", "expert_ids").withColumn(
-            "_now", F.struct(F.col(step).alias("step"), F.col("expert_ids").alias("ids"))
+        tokens.select(*lane, *order, "token_index", "expert_ids").withColumn(
+            "_now", F.struct(*order, F.col("expert_ids").alias("ids"))
         ),
         [*lane, "token_index"],
-        [step],
+        order,
         chunk,
         previous={"_before": "_now"},
         span_by=lane,
@@ -225,10 +227,10 @@ def token_route_overlap(tokens: DataFrame, lane: Sequence[str], step: str, chunk
     pooled = F.size("expert_ids") + F.size(F.col("_before.ids")) - shared
     return looked.select(
         *lane,
-        step,
+        *order,
         "token_index",
         F.size("expert_ids").alias("k"),
-        F.col("_before.step").alias("before_step"),
+        *[F.col(f"_before.{c}").alias(f"before_{c}") for c in order],
         F.size(F.col("_before.ids")).alias("before_k"),
         F.when(
             F.col("_before").isNotNull(), shared / F.greatest(pooled, F.lit(1))
@@ -236,43 +238,45 @@ def token_route_overlap(tokens: DataFrame, lane: Sequence[str], step: str, chunk
     )
 
 
-def change_rates(overlap: DataFrame, lane: Sequence[str], step: str, chunk) -> DataFrame:
+def change_rates(overlap: DataFrame, lane: Sequence[str], order: Sequence[str], chunk) -> DataFrame:
     """Per event 1 - mean overlap; null without an earlier event or when its shape differs.
 
     The table of one row per event is written, as looking back reads it more than once.
     """
-    per_event = overlap.groupBy(*lane, step).agg(
+    before = F.struct(*[F.col(f"before_{c}").alias(c) for c in order])
+    before = F.when(F.col(f"before_{order[0]}").isNotNull(), before)
+    per_event = overlap.groupBy(*lane, *order).agg(
         F.count(F.lit(1)).alias("_tokens"),
         F.max("k").alias("_k"),
-        F.count("before_step").alias("_matched"),
-        F.min("before_step").alias("_oldest"),
+        F.count(before).alias("_matched"),
+        F.min(before).alias("_oldest"),
         F.max("before_k").alias("_before_k"),
         F.avg("overlap").alias("_overlap"),
     )
     looked = scan_in_order(
         stage(per_event, "event-overlap").withColumn(
-            "_now", F.struct(F.col(step).alias("step"), F.col("_tokens").alias("tokens"))
+            "_now", F.struct(F.struct(*order).alias("at"), F.col("_tokens").alias("tokens"))
         ),
         lane,
-        [step],
+        order,
         chunk,
         previous={"_before": "_now"},
     )
     same_shape = (
         (F.col("_before.tokens") == F.col("_tokens"))
         & (F.col("_matched") == F.col("_tokens"))
-        & (F.col("_oldest") == F.col("_before.step"))
+        & (F.col("_oldest") == F.col("_before.at"))
         & (F.col("_before_k") == F.col("_k"))
     )
     return looked.select(
-        *lane, step, F.when(same_shape, 1 - F.col("_overlap")).alias("expert_set_change_rate")
+        *lane, *order, F.when(same_shape, 1 - F.col("_overlap")).alias("expert_set_change_rate")
     )
 
 
-def forward_index(df: DataFrame, run: str, step: str, chunk) -> DataFrame:
-    """Forward passes of each run numbered from 0, one row per (run, step)."""
-    passes = stage(df.select(run, step).distinct(), "passes")
-    return scan_in_order(passes, [run], [step], chunk, number="forward_index")
+def forward_index(df: DataFrame, run: str, order: Sequence[str], chunk) -> DataFrame:
+    """Forward passes of each run numbered from 0, one row per (run, step, place in the step)."""
+    passes = stage(df.select(run, *order).distinct(), "passes")
+    return scan_in_order(passes, [run], order, chunk, number="forward_index")
 
 
 def unflushed(events: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame:

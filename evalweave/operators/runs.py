@@ -140,17 +140,20 @@ def run_matrix(manifest: DataFrame, spec: RunSpec, revisions: dict[str, str] | N
 def pin_revisions(runs: DataFrame, revisions: DataFrame) -> DataFrame:
     """Fill ``model_revision`` from a (model_id, revision) table; a model key is always hot."""
     found = lookup_join(
-        runs, revisions.select("model_id", "revision"), ["model_id"], spread_by=["run_id"]
+        runs, revisions.select("model_id", "revision"), ["model_id"]
     )
     return found.withColumn("model_revision", F.col("revision")).drop("revision")
 
 
-def with_context(events: DataFrame, runs: DataFrame, spread_by: Sequence[str]) -> DataFrame:
-    """Telemetry rows with the context columns of their run; a run may hold any share of the rows."""
-    context = runs.select(*CONTEXT_COLUMNS)
-    joined = lookup_join(events, context, ["run_id"], "inner", spread_by=spread_by)
+def with_context(events: DataFrame, runs: DataFrame, event: str) -> DataFrame:
+    """Telemetry rows as records: the event's name, all context columns of the run, the row's own.
+
+    A run may hold any share of the rows. A row whose run is not known keeps its ``run_id`` and has
+    no other context, so that no telemetry is lost.
+    """
     others = [c for c in events.columns if c not in CONTEXT_COLUMNS]
-    return joined.select(*CONTEXT_COLUMNS, *others)
+    joined = lookup_join(events.select("run_id", *others), runs.select(*CONTEXT_COLUMNS), ["run_id"])
+    return joined.select(F.lit(event).alias("event"), *CONTEXT_COLUMNS, *others)
 
 
 PAIR_KEYS = ("experiment_id", "model_id", "example_id")

@@ -2,54 +2,24 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from evalweave.session import stage
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_ROWS = 5_000_000
-NULL_SALTS = 1024
-
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    spread_by: Sequence[str],
-    broadcast_bytes: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
-    stored: bool = False,
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", *, stored: bool = False
 ) -> DataFrame:
     """Join ``facts`` to a ``lookup`` with unique ``on`` keys, whatever the key distribution.
 
-    The lookup is written once (unless it is ``stored``, a plain read of files) and measured. Within
-    ``broadcast_bytes`` it is broadcast and the facts are not shuffled at all. Beyond, both sides
-    are shuffled, and a key with more than ``hot_rows`` facts is split over as many tasks as it
-    fills, by a hash of ``spread_by`` (columns that vary within a key). Only the lookup rows of such
-    keys are repeated, so at most ``2 * facts / hot_rows`` rows come on top.
+    The lookup is written once (unless it is ``stored``, a plain read of files), so Catalyst knows its
+    size: within ``spark.sql.autoBroadcastJoinThreshold`` the facts are not shuffled at all. Beyond, a
+    hot key, null included, makes one large partition of facts, which the adaptive skew join splits
+    over as many tasks as it fills; only the lookup rows of that partition are read again. ``how`` is
+    a join that keeps the facts' side whole, as those are what a split leaves right.
     """
-    on = list(on)
-    table = lookup if stored else stage(lookup, "lookup")
-    row_bytes = F.length(F.to_json(F.struct(*table.columns)))
-    size = table.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first()["n"]
-    if size <= broadcast_bytes:
-        return facts.join(F.broadcast(table), on, how)
-
-    count = F.count(F.lit(1))
-    hot = facts.groupBy(*on).agg(F.ceil(count / F.lit(hot_rows)).cast("int").alias("_salts"))
-    # One row per hot key: there can be no more than facts / hot_rows of them.
-    hot = F.broadcast(stage(hot.filter(F.col("_salts") > 1), "hot-keys"))
-    keyless = functools.reduce(Column.__or__, [F.col(c).isNull() for c in on])
-    salts = F.when(keyless, F.lit(NULL_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
-    spread = facts.join(hot, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    repeated = table.join(hot, on, "left").withColumn("_salt", copies)
-    return spread.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"a lookup is no {how} join")
+    return facts.join(lookup if stored else stage(lookup, "lookup"), list(on), how)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave.operators.ordered import dense_index
 from evalweave.operators.skew import lookup_join
+from evalweave.session import stage
 
 
 def token_events(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
@@ -21,57 +22,54 @@ def token_events(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame)
         steps,
         vocab.select("token_id", "token_text", "is_special"),
         ["token_id"],
-        spread_by=[*keys, "token_step"],
         stored=True,
     ).select(*keys, "token_step", "token_id", "token_text", "is_special")
 
 
 def detokenize(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
-    """Raw text (all tokens), clean text (no special tokens) and an error for unknown ids.
+    """The ids with their raw text (all tokens), clean text (no special ones) and an error for unknown ids.
 
-    The regrouping puts back what was one row's array. With a broadcast vocabulary the tokens of a
-    row are folded together before the shuffle, which then moves one record per row.
+    One pass: a row without tokens goes through the explosion as one empty row, and the regrouping,
+    which puts back what was one row's array, puts back the ids as well. With a broadcast vocabulary
+    the tokens of a row are folded together before the shuffle, which then moves one record per row.
+    A null list counts as an empty one.
     """
-    tokens = token_events(df, keys, ids, vocab)
-    token = F.struct("token_step", "token_text", "is_special")
-    unknown = F.col("token_text").isNull()
+    steps = df.select(*keys, F.posexplode_outer(ids).alias("token_step", "token_id"))
+    tokens = lookup_join(
+        steps, vocab.select("token_id", "token_text", "is_special"), ["token_id"], stored=True
+    )
+    there = F.col("token_step").isNotNull()
+    token = F.struct("token_step", "token_id", "token_text", "is_special")
+    unknown = there & F.col("token_text").isNull()
     grouped = tokens.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(token)).alias("_t"),
+        F.array_sort(F.collect_list(F.when(there, token))).alias("_t"),
         F.count_if(unknown).alias("_unknown"),
         F.min(F.when(unknown, F.col("token_id"))).alias("_first_unknown"),
     )
     texts = F.transform("_t", lambda t: t["token_text"])
     kept = F.transform(F.filter("_t", lambda t: ~t["is_special"]), lambda t: t["token_text"])
     known = F.col("_unknown") == 0
-    decoded = grouped.select(
+    named = F.coalesce(F.col("_first_unknown").cast("string"), F.lit("null"))
+    return grouped.select(
         *keys,
+        F.col("_t.token_id").alias(ids),
         F.when(known, F.array_join(texts, "")).alias("raw_response"),
         F.when(known, F.array_join(kept, "")).alias("clean_text"),
-        F.when(
-            ~known, F.concat(F.lit("KeyError: unknown token id "), F.col("_first_unknown"))
-        ).alias("response_error"),
-    )
-    # Rows without any token have no group; their text is empty.
-    empty = df.filter(F.size(ids) == 0).select(
-        *keys,
-        F.lit("").alias("raw_response"),
-        F.lit("").alias("clean_text"),
-        F.lit(None).cast("string").alias("response_error"),
+        F.when(~known, F.concat(F.lit("KeyError: unknown token id "), named)).alias("response_error"),
     )
-    return decoded.unionByName(empty)
 
 
-def capture_errors(df: DataFrame, decoded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row with its ids; a row that failed to decode has empty text, no raw text, an error."""
-    joined = df.join(decoded, list(keys), "left")
-    return joined.withColumn("final_text", F.coalesce("clean_text", F.lit(""))).drop("clean_text")
+def capture_errors(decoded: DataFrame) -> DataFrame:
+    """A row that failed to decode keeps its ids and its error, and has an empty text."""
+    return decoded.withColumn("final_text", F.coalesce("clean_text", F.lit(""))).drop("clean_text")
 
 
 def dense_vocabulary(words: DataFrame, word: str, special_every: int) -> DataFrame:
-    """Distinct words numbered in word order."""
+    """Distinct words numbered in word order, as a stored table."""
     numbered = dense_index(words.select(word).distinct(), [word], "token_id")
-    return numbered.select(
+    vocab = numbered.select(
         F.col("token_id").cast("int").alias("token_id"),
         F.col(word).alias("token_text"),
         (F.col("token_id") % special_every == 0).alias("is_special"),
     )
+    return stage(vocab, "vocabulary")

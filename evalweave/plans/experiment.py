@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,13 @@ from evalweave.functions.text import DIFFUSION_MARK, render_single_turn
 from evalweave.operators import audit, inference, runs
 from evalweave.operators.dataset import (
     ManifestSpec,
-    allowed_values,
     build_manifest,
     describe_manifest,
     first_batches,
     manifest_facts,
 )
 from evalweave.schemas import OUTPUT_SCHEMA
+from evalweave.session import stage
 from evalweave.sources import jsonl, tables
 
 DEFAULT_TEMPLATE = "<user>\n{prompt}\n<model>\n"
@@ -34,26 +35,25 @@ class Experiment:
     completed: dict[str, int]
 
 
-def smoke_specs(
-    data: ManifestSpec,
-    run: runs.RunSpec,
-    *,
-    samples: int = 10,
-    models: list[str] | tuple[str, ...] | None = None,
-    experiment_id: str | None = None,
+def trial_specs(
+    data: ManifestSpec, run: runs.RunSpec, rows: int = 10
 ) -> tuple[ManifestSpec, runs.RunSpec]:
-    """The same job over the first few rows: capped, unshuffled, and without a batch cap."""
-    if samples <= 0:
-        raise ValueError("samples must be greater than zero")
-    chosen = allowed_values(run.models if models is None else models)
-    unknown = sorted(set(chosen) - set(run.models))
-    if unknown:
-        raise ValueError(f"unknown models: {', '.join(unknown)}")
-    name = experiment_id or tables.experiment_id()
-    return (
-        replace(data, max_samples=samples, shuffle=False),
-        replace(run, models=chosen, max_batches=None, experiment_id=name),
-    )
+    """The same job over its first rows, unshuffled and without a batch cap."""
+    if rows < 1:
+        raise ValueError("a trial needs at least one row")
+    return replace(data, max_samples=rows, shuffle=False), replace(run, max_batches=None)
+
+
+def run_model(
+    spark: SparkSession, answered: Callable[[], DataFrame], home: str, model: str, kind: str
+) -> int | None:
+    """Write a model's records below ``home`` and count them; null if it failed, its error written instead."""
+    folder = model_folder(home, model)
+    try:
+        return jsonl.write_json(runs.output_records(answered()), f"{folder}/outputs", keep_nulls=False)
+    except Exception as error:  # noqa: BLE001 - any failure of one model leaves the others running
+        jsonl.write_json(inference.failure_row(spark, model, kind, error), f"{folder}/error")
+        return None
 
 
 def model_folder(root: str, model: str) -> str:
@@ -76,17 +76,20 @@ def run_experiment(
     """Freeze the manifest, run every model over it, write records; raise if any model failed.
 
     ``<root>/<experiment>/`` receives inputs, dataset, manifest and one folder per model with its
-    outputs or its error record. The inputs are written once and checked there; the dataset document
-    appears only when they are valid. Models run one after another, so two engines are never loaded
+    outputs or its error record. The inputs are checked in the shared scratch folder and published only
+    when they are valid, so a refused dataset leaves the run's folder free for another try. Models run one after another, so two engines are never loaded
     on one executor at a time.
     """
     experiment = tables.experiment_id(run.experiment_id)
     folders = [model_folder("", m) for m in run.models]
     if len(set(folders)) < len(folders):
         raise ValueError("two models share the last part of their name and would share a folder")
-    home = tables.claim_run_folder(spark, f"{root.rstrip('/')}/{experiment}", experiment)
+    home = f"{root.rstrip('/')}/{experiment}"
     inputs = f"{home}/inputs"
-    manifest = build_manifest(examples, data, inputs)
+    tables.require_unused(spark, home)
+    checked = build_manifest(examples, data)
+    tables.claim_run_folder(spark, home, experiment)
+    manifest = stage(checked, "inputs", inputs)
     facts = manifest_facts(manifest)
     count = facts["examples"]
     dataset = describe_manifest(data, facts, inputs, resolved_revision or data.revision)
@@ -102,33 +105,28 @@ def run_experiment(
     rows = runs.run_matrix(chosen, run, revisions)
     generation = F.lit((sampling or runs.Sampling()).recorded())
 
-    def run_one(model: str) -> int:
+    def answered(model: str) -> DataFrame:
         asked = rows.filter(F.col("model_id") == model).withColumns(
             {
                 "rendered_prompt": render_single_turn(F.col("prompt"), template),
                 "generation_configuration": generation,
             }
         )
-        answered = inference.batch_infer(
+        return inference.batch_infer(
             asked,
             engines[model],
             name=f"{experiment}/{model}",
             batch_size=run.batch_size,
             prompt="rendered_prompt",
         )
-        return jsonl.write_json(
-            runs.output_records(answered), f"{model_folder(home, model)}/outputs", keep_nulls=False
-        )
-
-    def kind_of(model: str) -> str:
-        return run.diffusion_label if DIFFUSION_MARK in model.lower() else run.default_label
 
-    completed, failures = inference.run_models(run.models, run_one, kind_of)
-    for failure in failures:
-        jsonl.write_json(
-            inference.error_table(spark, [failure]), f"{model_folder(home, failure['model_name'])}/error"
-        )
-    inference.require_all(completed, failures)
+    kinds = {
+        m: run.diffusion_label if DIFFUSION_MARK in m.lower() else run.default_label for m in run.models
+    }
+    written = {m: run_model(spark, partial(answered, m), home, m, kind) for m, kind in kinds.items()}
+    completed = {m: n for m, n in written.items() if n is not None}
+    if len(completed) < len(written):
+        raise inference.RunFailed([m for m in written if m not in completed], completed)
     return Experiment(home, experiment, count, completed)
 
 
@@ -137,20 +135,27 @@ def read_outputs(spark: SparkSession, experiment: Experiment) -> DataFrame:
     return spark.read.schema(OUTPUT_SCHEMA).json(paths)
 
 
-def require_complete(spark: SparkSession, experiment: Experiment, run: runs.RunSpec, expected: int) -> None:
-    """Raise unless the manifest and every model hold ``expected`` rows and every folder is there."""
-    if experiment.examples != expected:
-        raise RuntimeError(f"expected {expected} manifest rows, found {experiment.examples}")
-    wanted = spark.createDataFrame([(m, expected) for m in run.models], "model_id string, expected bigint")
-    wrong = audit.count_mismatches(read_outputs(spark, experiment), wanted).collect()
-    if wrong:
-        found = {r["model_id"]: {"expected": r["expected"], "actual": r["actual"]} for r in wrong}
-        raise RuntimeError(f"output count mismatch: {found}")
-    folders = ["inputs", "dataset", "manifest", *(f"{model_folder('', m)[1:]}/outputs" for m in run.models)]
-    needed = spark.createDataFrame([(f,) for f in folders], "path string")
-    present = audit.list_artifacts(spark, experiment.root).select(
-        F.regexp_replace("path", "/[^/]*$", "").alias("path")
+def shortfalls(
+    spark: SparkSession, experiment: Experiment, models: Sequence[str], rows: int
+) -> DataFrame:
+    """Parts of a run that hold too few or too many records: (path, expected, actual).
+
+    The records are counted by the folder their files lie in; a folder that is not there has a null.
+    """
+    outputs = [(f"{model_folder('', m)[1:]}/outputs", rows) for m in models]
+    parts = [("inputs", rows), ("dataset", 1), ("manifest", 1), *outputs]
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.json")
+    lines = files.text(experiment.root).select(
+        audit.folder_below(F.col("_metadata.file_path"), experiment.root).alias("path")
     )
-    missing = [r["path"] for r in needed.join(present, "path", "left_anti").collect()]
-    if missing:
-        raise RuntimeError(f"missing artifacts: {sorted(missing)}")
+    inputs = spark.read.parquet(f"{experiment.root}/inputs").select(F.lit("inputs").alias("path"))
+    expected = spark.createDataFrame(parts, "path string, expected bigint")
+    return audit.count_mismatches(lines.unionByName(inputs), expected, "path")
+
+
+def require_complete(spark: SparkSession, experiment: Experiment, run: runs.RunSpec, rows: int) -> None:
+    """Raise unless every part of the run holds all its records."""
+    wrong = shortfalls(spark, experiment, run.models, rows).orderBy("path").collect()
+    if wrong:
+        found = "; ".join(f"{r['path']} has {r['actual'] or 0} of {r['expected']}" for r in wrong)
+        raise RuntimeError(f"incomplete run: {found}")

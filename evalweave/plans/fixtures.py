@@ -8,14 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.functions.text import prompt_hash
 from evalweave.functions.vectors import softmax, topk
+from evalweave.operators.dataset import normalize_examples
 from evalweave.operators.ordered import chunk_of, scan_in_order
+from evalweave.operators.runs import RunSpec, run_matrix
 from evalweave.operators.skew import lookup_join
 from evalweave.operators.tokens import dense_vocabulary
+from evalweave.schemas import EXAMPLE_COLUMNS
 from evalweave.session import stage
 
 SPECIAL_EVERY = 50
 MODELS = ("org/base-26b", "org/Diffusion-26b")
+EXPERIMENT = "exp-1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,14 +144,21 @@ def canvas_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def router_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as routing scores: eight tokens an event, two layers a step, four steps a run."""
+    """Embeddings as routing scores: eight tokens an event, two layers a forward, two forwards a step.
+
+    A run has four steps on two canvases. The first forward of a canvas goes through the encoder.
+    """
     group = _group()
-    step = F.floor((group % 8) / 2).cast("int")
+    step = F.floor((group % 16) / 4).cast("int")
+    forward = F.floor((group % 4) / 2).cast("int")
     layer = (group % 2).cast("string")
-    prefix = F.when(step == 0, "model.encoder.layers.").otherwise("model.layers.")
+    encoded = (step % 2 == 0) & (forward == 0)
+    prefix = F.when(encoded, "model.encoder.layers.").otherwise("model.layers.")
     return table(spark, sf_dir, "embeddings").select(
-        F.floor(group / 8).cast("string").alias("run_id"),
+        F.floor(group / 16).cast("string").alias("run_id"),
         step.alias("step"),
+        forward.alias("event_order"),
+        (step % 2).alias("step_index"),
         F.concat(prefix, layer, F.lit(".router")).alias("module_name"),
         (F.col("vec_id") % 8).cast("int").alias("token_index"),
         F.col("embedding").alias("scores"),
@@ -163,6 +175,20 @@ def normalized_router_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contexts(spark: SparkSession, sf_dir: str, telemetry: DataFrame, model: str) -> DataFrame:
+    """A context for every run of some telemetry: the document that bears the run's number, if there is one."""
+    asked = telemetry.select(F.col("run_id").alias("id")).distinct()
+    known = normalize_examples(examples(spark, sf_dir)).select(*EXAMPLE_COLUMNS)
+    rows = asked.join(known, "id", "left").withColumns(
+        {
+            "row_index": F.col("id").cast("bigint"),
+            "prompt_sha256": prompt_hash(F.coalesce("prompt", F.lit(""))),
+        }
+    )
+    spec = RunSpec(experiment_id=EXPERIMENT, models=[model], max_batches=None)
+    return run_matrix(rows, spec).withColumn("run_id", F.col("example_id"))
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as denoising steps: a run per user, a new canvas at every signup. A stored table."""
     rows = table(spark, sf_dir, "events").select(
@@ -216,7 +242,6 @@ def generated(spark: SparkSession, sf_dir: str, vocab: DataFrame, *, with_unknow
         words(spark, sf_dir),
         vocab.select(F.col("token_text").alias("word"), "token_id"),
         ["word"],
-        spread_by=["doc_id", "at"],
         stored=True,
     )
     rows = coded.groupBy("doc_id").agg(

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as tx
 from evalweave.operators import dataset as ds
-from evalweave.operators import inference, runs, tokens
+from evalweave.operators import audit, inference, runs, tokens
+from evalweave.plans import experiment
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
 from evalweave.plans.dataset_queries import SPEC
@@ -357,8 +359,10 @@ def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "token_records",
-    f"""WITH {q.RUNS}, {q.WORDS} SELECT 'token_step' AS event, r.run_id, r.experiment_id, r.model_id, r.example_id,
-      r.row_index, r.seed, c.token_step, c.token_id, c.token_text
+    f"""WITH {q.RUNS}, {q.WORDS} SELECT 'token_step' AS event, 1 AS schema_version, r.experiment_id, r.model_kind,
+      r.model_id, CAST(NULL AS VARCHAR) AS model_revision, r.run_id, r.example_id, r.row_index, r.prompt_sha256,
+      r.source, r.language, r.prompt_label, r.response_label, r.violated_categories, r.tag, r.seed,
+      c.token_step, c.token_id, c.token_text
     FROM coded c JOIN runs r ON r.example_id = c.run_id WHERE r.model_kind = 'autoregressive'""",
 )
 def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,20 +370,10 @@ def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, vocab = _tokens(spark, sf_dir)
     asked = _runs(spark, sf_dir).filter(F.col("model_kind") == "autoregressive")
     ids = made.withColumnRenamed("run_id", "example_id")
-    answered = asked.select("run_id", "example_id").join(ids, "example_id")
-    events = tokens.token_events(answered, ["run_id"], "final_token_ids", vocab)
-    return runs.with_context(events, asked, ["token_step"]).select(
-        F.lit("token_step").alias("event"),
-        "run_id",
-        "experiment_id",
-        "model_id",
-        "example_id",
-        "row_index",
-        "seed",
-        "token_step",
-        "token_id",
-        "token_text",
-    )
+    # The context joins a run's one row of ids, so its tokens need no second join.
+    answered = asked.select(*CONTEXT_COLUMNS).join(ids, "example_id")
+    events = tokens.token_events(answered, CONTEXT_COLUMNS, "final_token_ids", vocab)
+    return events.drop("is_special").withColumn("event", F.lit("token_step"))
 
 
 @query(
@@ -418,7 +412,7 @@ def detokenize_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, vocab = _tokens(spark, sf_dir, with_unknown=True)
     decoded = tokens.detokenize(made, ["run_id"], "final_token_ids", vocab)
-    return tokens.capture_errors(made, decoded, ["run_id"]).select(
+    return tokens.capture_errors(decoded).select(
         "run_id", "final_text", F.size("final_token_ids").alias("ids_kept"), "response_error"
     )
 
@@ -529,19 +523,37 @@ def model_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     def broken():
         raise RuntimeError("no such engine")
 
-    def run_one(model: str) -> int:
+    def answered(model: str) -> DataFrame:
         factory = _stub_factory if model == fx.MODELS[0] else broken
         rows = all_runs.filter(F.col("model_id") == model)
-        results = inference.batch_infer(rows, factory, name=f"engine-{model}", batch_size=32)
-        return jsonl.write_json(runs.output_records(results), shared_path(spark, "outputs"))
+        return inference.batch_infer(rows, factory, name=f"engine-{model}", batch_size=32)
 
-    completed, failures = inference.run_models(
-        fx.MODELS, run_one, lambda m: "diffusion" if "diffusion" in m.lower() else "autoregressive"
+    home = shared_path(spark, "run")
+    done, broke = (
+        experiment.run_model(spark, partial(answered, m), home, m, kind)
+        for m, kind in zip(fx.MODELS, ("autoregressive", "diffusion"), strict=True)
     )
-    done = spark.createDataFrame(
-        [(m, n, None) for m, n in completed.items()], "model_name string, outputs bigint, error_type string"
+    summary = spark.createDataFrame([(fx.MODELS[0], done)], "model_name string, outputs bigint")
+    errors = spark.read.schema(inference.ERROR_SCHEMA).json(
+        f"{experiment.model_folder(home, fx.MODELS[1])}/error"
     )
-    failed = inference.error_table(spark, failures).select(
-        "model_name", F.lit(None).cast("bigint").alias("outputs"), "error_type"
+    return summary.withColumn("error_type", F.lit(None).cast("string")).unionByName(
+        errors.select("model_name", F.lit(broke).cast("bigint").alias("outputs"), "error_type")
     )
-    return done.unionByName(failed)
+
+
+@query(
+    "run_folder_guard",
+    """SELECT source AS folder, count(*) FILTER (WHERE l.toxic = 1) > 0 AS used
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""",
+)
+def run_folder_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders by source; those of sources with a toxic document have been written to."""
+    documents = fx.table(spark, sf_dir, "documents").withColumn("folder", F.col("source"))
+    toxic = fx.table(spark, sf_dir, "labels").filter(F.col("toxic") == 1)
+    root = shared_path(spark, "runs")
+    written = documents.join(toxic, "doc_id", "left_semi").select("folder", "doc_id")
+    written.write.partitionBy("folder").parquet(root)
+    files = audit.list_artifacts(spark, root).filter(F.col("path").contains("/"))
+    names = files.withColumn("path", F.regexp_replace("path", "^folder=", ""))
+    return audit.used_folders(documents, names, "folder")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from evalweave.functions.text import WHITESPACE
-from evalweave.plans.fixtures import MODELS, SPECIAL_EVERY
+from evalweave.plans.fixtures import EXPERIMENT, MODELS, SPECIAL_EVERY
+from evalweave.schemas import EXAMPLE_COLUMNS, FLOAT_COLUMN
 
 WS = "(" + "||".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
 MODELS_SQL = "(VALUES " + ", ".join(f"('{m}')" for m in MODELS) + ") AS m(model_id)"
@@ -29,18 +30,7 @@ def seed(base: int, value: str) -> str:
     )
 
 
-TEXTS = (
-    "id",
-    "prompt",
-    "response",
-    "prompt_label",
-    "response_label",
-    "violated_categories",
-    "prompt_label_source",
-    "response_label_source",
-    "tag",
-    "language",
-)
+TEXTS = tuple(c for c in EXAMPLE_COLUMNS if c not in (FLOAT_COLUMN, "source"))
 
 EXAMPLES = """examples AS (
   SELECT d.doc_id AS position, CAST(d.doc_id AS VARCHAR) AS id, d.text AS prompt,
@@ -93,7 +83,6 @@ MANIFEST = f"""{EXAMPLES}, normal AS ({normalized('examples')}), manifest AS (
   SELECT * EXCLUDE (position), row_number() OVER (ORDER BY position) - 1 AS row_index,
     sha256(prompt) AS prompt_sha256 FROM normal)"""
 
-EXPERIMENT = "exp-1"
 RUNS = f"""{MANIFEST}, runs AS (
   SELECT '{EXPERIMENT}' AS experiment_id,
     CASE WHEN contains(lower(m.model_id), 'diffusion') THEN 'diffusion' ELSE 'autoregressive' END AS model_kind,
@@ -127,13 +116,14 @@ ranked AS (SELECT c.vec_id, c.i, c.v, exp(c.v - l.lse) AS p, c.v - l.lse AS lp,
   FROM cells c JOIN lse l ON c.vec_id = l.vec_id)"""
 
 ROUTER = f"""router AS (
-  SELECT vec_id, label, CAST({_GROUP} // 8 AS VARCHAR) AS run_id,
-    CAST(({_GROUP} % 8) // 2 AS INTEGER) AS step,
-    CASE WHEN ({_GROUP} % 8) // 2 = 0 THEN 'model.encoder.layers.' ELSE 'model.layers.' END
+  SELECT vec_id, label, CAST({_GROUP} // 16 AS VARCHAR) AS run_id,
+    CAST(({_GROUP} % 16) // 4 AS INTEGER) AS step, CAST(({_GROUP} % 4) // 2 AS INTEGER) AS event_order,
+    CAST((({_GROUP} % 16) // 4) % 2 AS INTEGER) AS step_index,
+    CASE WHEN {_GROUP} % 8 < 2 THEN 'model.encoder.layers.' ELSE 'model.layers.' END
       || CAST({_GROUP} % 2 AS VARCHAR) || '.router' AS module_name,
     CAST({_GROUP} % 2 AS INTEGER) AS layer_index, CAST(vec_id % 8 AS INTEGER) AS token_index, embedding
   FROM embeddings)"""
-EVENT = "run_id, step, module_name"
+EVENT = "run_id, step, event_order, module_name"
 ROUTED = f"""{ROUTER},
 raw_cells AS (SELECT * EXCLUDE (embedding), CAST(unnest(embedding) AS DOUBLE) AS s,
     CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS e FROM router),
@@ -151,33 +141,52 @@ event_measures AS (
   FROM token_measures GROUP BY {EVENT}),
 counts AS (SELECT {EVENT}, e, count(*) AS n FROM chosen GROUP BY ALL),
 bins AS (
-  SELECT m.run_id, m.step, m.module_name, CAST(x.e AS INTEGER) AS expert_id, coalesce(c.n, 0) AS n,
+  SELECT m.run_id, m.step, m.event_order, m.module_name, CAST(x.e AS INTEGER) AS expert_id, coalesce(c.n, 0) AS n,
     coalesce(c.n, 0) / (m.tokens_routed * 8) AS load
   FROM event_measures m CROSS JOIN range(0, 64) x(e)
-  LEFT JOIN counts c ON c.run_id = m.run_id AND c.step = m.step AND c.module_name = m.module_name
-    AND c.e = x.e),
+  LEFT JOIN counts c ON c.run_id = m.run_id AND c.step = m.step AND c.event_order = m.event_order
+    AND c.module_name = m.module_name AND c.e = x.e),
 variation AS (SELECT {EVENT}, stddev_pop(load) / avg(load) AS cv FROM bins GROUP BY {EVENT})"""
 
-CHANGES = f"""{ROUTED},
-denoising AS (SELECT DISTINCT run_id, step, layer_index FROM router WHERE NOT contains(module_name, '.encoder.')),
-event_sizes AS (SELECT run_id, layer_index, step, count(*) AS tokens FROM router
+CANVAS_PASSES = """passes AS (SELECT DISTINCT run_id, step, step_index FROM router),
+placed AS (SELECT *, CAST(sum(CASE WHEN step_index = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY run_id ORDER BY step) - 1 AS INTEGER) AS canvas_index FROM passes)"""
+
+CHANGES = f"""{ROUTED}, {CANVAS_PASSES},
+event_sizes AS (SELECT run_id, canvas_index, layer_index, step, event_order, count(*) AS tokens
+  FROM router JOIN placed USING (run_id, step)
   WHERE NOT contains(module_name, '.encoder.') GROUP BY ALL),
-linked AS (SELECT *, lag(step) OVER w AS before_step, lag(tokens) OVER w AS before_tokens
-  FROM event_sizes WINDOW w AS (PARTITION BY run_id, layer_index ORDER BY step)),
+linked AS (SELECT *, lag(step) OVER w AS before_step, lag(event_order) OVER w AS before_order,
+    lag(tokens) OVER w AS before_tokens
+  FROM event_sizes WINDOW w AS (PARTITION BY run_id, canvas_index, layer_index ORDER BY step, event_order)),
 shared AS (
-  SELECT l.run_id, l.layer_index, l.step, c.token_index, count(b.e) AS both_have
+  SELECT l.run_id, l.layer_index, l.step, l.event_order, c.token_index, count(b.e) AS both_have
   FROM linked l JOIN chosen c ON c.run_id = l.run_id AND c.layer_index = l.layer_index AND c.step = l.step
+    AND c.event_order = l.event_order
   LEFT JOIN chosen b ON b.run_id = l.run_id AND b.layer_index = l.layer_index
-    AND b.step = l.before_step AND b.token_index = c.token_index AND b.e = c.e
+    AND b.step = l.before_step AND b.event_order = l.before_order AND b.token_index = c.token_index AND b.e = c.e
     AND NOT contains(b.module_name, '.encoder.')
   WHERE NOT contains(c.module_name, '.encoder.')
   GROUP BY ALL),
 rates AS (
-  SELECT l.run_id, l.layer_index, l.step,
+  SELECT l.run_id, l.canvas_index, l.layer_index, l.step, l.event_order,
     CASE WHEN any_value(l.before_tokens) = any_value(l.tokens)
       THEN 1 - avg(s.both_have / greatest(16 - s.both_have, 1)) END AS change_rate
-  FROM linked l JOIN shared s ON s.run_id = l.run_id AND s.layer_index = l.layer_index AND s.step = l.step
-  GROUP BY l.run_id, l.layer_index, l.step)"""
+  FROM linked l JOIN shared s USING (run_id, layer_index, step, event_order)
+  GROUP BY ALL)"""
+
+
+def contexts(runs: str, model: str) -> str:
+    """The context of every run that the table ``runs`` names; needs nothing but the input tables."""
+    texts = ("source", "language", "prompt_label", "response_label", "violated_categories", "tag")
+    columns = ", ".join(f"coalesce(n.{c}, '') AS {c}" for c in texts)
+    kind = "diffusion" if "diffusion" in model.lower() else "autoregressive"
+    return f"""{EXAMPLES}, normal AS ({normalized('examples')}), contexts AS (
+  SELECT 1 AS schema_version, '{EXPERIMENT}' AS experiment_id, '{kind}' AS model_kind, '{model}' AS model_id,
+    CAST(NULL AS VARCHAR) AS model_revision, a.run_id, a.run_id AS example_id, CAST(a.run_id AS BIGINT) AS row_index,
+    sha256(coalesce(n.prompt, '')) AS prompt_sha256, {columns}, {seed(42, 'a.run_id')} AS seed
+  FROM (SELECT DISTINCT run_id FROM {runs}) a LEFT JOIN normal n ON n.id = a.run_id)"""
+
 
 STEPS = """numbered AS (
   SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, event_type, value,

@@ -10,7 +10,7 @@ from evalweave.operators.ordered import chunk_of
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
 from evalweave.plans.registry import query
-from evalweave.plans.telemetry_queries import LANE, denoising_lanes, r6
+from evalweave.plans.telemetry_queries import EVENT, LANE, canvas_passes, denoising_lanes, r6
 from evalweave.session import shared_path, stage
 from evalweave.streaming import stateful
 
@@ -43,22 +43,23 @@ def canvas_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "route_change_stream",
-    f"""WITH {q.CHANGES} SELECT run_id, layer_index, step, round(change_rate, 6) + 0.0 AS expert_set_change_rate
-    FROM rates""",
+    f"""WITH {q.CHANGES} SELECT run_id, canvas_index, layer_index, step, event_order,
+      round(change_rate, 6) + 0.0 AS expert_set_change_rate FROM rates""",
 )
 def route_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fx.router_scores(spark, sf_dir)
-    tokens = routing.route_tokens(scores, ["run_id", "module_name", "step", "token_index"])
-    routes = denoising_lanes(tokens).select(*LANE, F.col("step").alias("global_step"), "token_index", "expert_ids")
+    tokens = routing.stored_route_tokens(scores, [*EVENT, "step_index", "token_index"])
+    routes = denoising_lanes(tokens, canvas_passes(tokens)).select(
+        *LANE, F.col("step").alias("global_step"), "event_order", "token_index", "expert_ids"
+    )
     path = _arriving(stage(routes, "routes"), "routes", "run_id", "global_step", 2)
     arriving = stateful.read_folder(spark, path, routes.schema, files_per_batch=2)
     overlap = stateful.run_to_files(stateful.route_overlap_stream(arriving), "route-overlap")
-    rates = routing.change_rates(overlap, LANE, "global_step", chunk_of("global_step"))
-    return rates.select(
-        "run_id",
-        "layer_index",
-        F.col("global_step").alias("step"),
-        r6(F.col("expert_set_change_rate")).alias("expert_set_change_rate"),
+    rates = routing.change_rates(
+        overlap, LANE, ["global_step", "event_order"], chunk_of("global_step")
+    )
+    return rates.withColumnRenamed("global_step", "step").withColumn(
+        "expert_set_change_rate", r6(F.col("expert_set_change_rate"))
     )
 
 

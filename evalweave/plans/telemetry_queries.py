@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import text as tx
 from evalweave.functions.vectors import logsumexp, mask_positions, masked, topk
-from evalweave.operators import audit, canvas, logits, routing
+from evalweave.operators import audit, canvas, logits, routing, runs
 from evalweave.operators.ordered import chunk_of
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
 from evalweave.plans.registry import query
-from evalweave.session import shared_path
+from evalweave.session import shared_path, stage
 from evalweave.sources import tables
 
-EVENT = ["run_id", "step", "module_name"]
+EVENT = ["run_id", "step", "event_order", "module_name"]
+ORDER = ["step", "event_order"]
 LANE = ["run_id", "canvas_index", "layer_index"]
 
 
@@ -27,6 +28,15 @@ def _join(column: str) -> Column:
     return F.array_join(column, ",")
 
 
+def _millionths(values: Column | str) -> Column:
+    """A list of fractions as text, in whole millionths, which every engine writes alike."""
+    return F.array_join(F.transform(values, lambda v: F.round(v * 1e6).cast("bigint").cast("string")), ",")
+
+
+def _millionths_sql(value: str) -> str:
+    return f"CAST(CAST(round({value} * 1e6) AS BIGINT) AS VARCHAR)"
+
+
 # --- logits -------------------------------------------------------------------------------------
 
 
@@ -83,6 +93,35 @@ def ar_logit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "ar_logit_records",
+    f"""WITH {q.SCORES}, ranked AS (SELECT c.*, c.v - l.lse AS lp, exp(c.v - l.lse) AS p,
+        row_number() OVER (PARTITION BY c.vec_id ORDER BY c.v DESC, c.i) AS rk
+      FROM cells c JOIN lse l ON c.vec_id = l.vec_id),
+    measured AS (SELECT run_id, token_step, selected_token_id,
+      round(sum(CASE WHEN i = selected_token_id THEN p ELSE 0 END), 6) AS selected_token_probability,
+      string_agg(CAST(i AS VARCHAR), ',' ORDER BY rk) FILTER (WHERE rk <= 5) AS top_k_token_ids,
+      string_agg({_millionths_sql('p')}, ',' ORDER BY rk) FILTER (WHERE rk <= 5) AS top_k_probabilities,
+      round(-sum(p * lp), 6) + 0.0 AS entropy
+    FROM ranked GROUP BY run_id, token_step, selected_token_id), {q.contexts('scores', fx.MODELS[0])}
+    SELECT 'logits_step' AS event, * FROM measured JOIN contexts USING (run_id)""",
+)
+def ar_logit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of runs whose scores match their tokens, with the context of its run."""
+    scores = stage(fx.token_scores(spark, sf_dir), "token-scores")
+    made = scores.select("run_id", F.array("selected_token_id").alias("final_token_ids"))
+    summaries = logits.token_logits(logits.require_matched_scores(scores, made))
+    contexts = fx.contexts(spark, sf_dir, scores, fx.MODELS[0])
+    return runs.with_context(summaries, contexts, "logits_step").withColumns(
+        {
+            "selected_token_probability": F.round("selected_token_probability", 6),
+            "top_k_token_ids": _join("top_k_token_ids"),
+            "top_k_probabilities": _millionths("top_k_probabilities"),
+            "entropy": r6(F.col("entropy")),
+        }
+    )
+
+
 @query(
     "canvas_logit_summary",
     f"""WITH {q.CANVAS_SCORES}, measured AS (SELECT vec_id,
@@ -114,23 +153,43 @@ def canvas_logit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "canvas_logit_records",
-    f"""WITH {q.CANVAS_SCORES}, best AS (SELECT vec_id, i, v FROM ranked WHERE rk = 1)
-    SELECT run_id, global_step, step_index, string_agg(CAST(i AS VARCHAR), ',' ORDER BY position) AS sampled_token_ids,
-      CAST(count(*) AS INTEGER) AS positions, CAST(count(*) FILTER (WHERE accepted) AS INTEGER) AS accepted_positions,
-      round(coalesce(sum(v) FILTER (WHERE accepted), 0), 6) AS accepted_sum
-    FROM canvas JOIN best USING (vec_id) GROUP BY run_id, global_step, step_index""",
+    f"""WITH {q.CANVAS_SCORES}, best AS (SELECT vec_id, i, v FROM ranked WHERE rk = 1), heads AS (SELECT vec_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY rk) FILTER (WHERE rk <= 5) AS ids,
+        string_agg({_millionths_sql('p')}, ',' ORDER BY rk) FILTER (WHERE rk <= 5) AS probs, -sum(p * lp) AS entropy
+      FROM ranked GROUP BY vec_id),
+    lists AS (SELECT run_id, global_step, step_index,
+      string_agg(h.ids, ';' ORDER BY position) AS top_k_token_ids,
+      string_agg(h.probs, ';' ORDER BY position) AS top_k_probabilities,
+      string_agg({_millionths_sql('h.entropy')}, ',' ORDER BY position) AS entropy_per_position,
+      string_agg(CAST(i AS VARCHAR), ',' ORDER BY position) AS sampled_token_ids,
+      string_agg({_millionths_sql('v')}, ',' ORDER BY position) AS sampled_token_probabilities,
+      coalesce(string_agg({_millionths_sql('v')}, ',' ORDER BY position) FILTER (WHERE accepted), '')
+        AS accepted_token_probabilities
+      FROM canvas JOIN best USING (vec_id) JOIN heads h USING (vec_id) GROUP BY run_id, global_step, step_index),
+    indexed AS (SELECT *, CAST(sum(CASE WHEN step_index = 0 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY run_id ORDER BY global_step) - 1 AS INTEGER) AS canvas_index FROM lists),
+    {q.contexts('canvas', fx.MODELS[1])}
+    SELECT 'logits_step' AS event, * FROM indexed JOIN contexts USING (run_id)""",
 )
 def canvas_logit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = logits.canvas_logit_records(logits.canvas_logits(fx.canvas_scores(spark, sf_dir)))
-    accepted = "accepted_token_probabilities"
-    return records.select(
-        "run_id",
-        "global_step",
-        "step_index",
-        _join("sampled_token_ids").alias("sampled_token_ids"),
-        F.size("entropy_per_position").alias("positions"),
-        F.size(accepted).alias("accepted_positions"),
-        F.round(F.aggregate(accepted, F.lit(0.0), lambda a, p: a + p), 6).alias("accepted_sum"),
+    steps = logits.canvas_logit_records(logits.canvas_logits(fx.canvas_scores(spark, sf_dir)))
+    steps = stage(steps, "logit-steps")
+    contexts = fx.contexts(spark, sf_dir, steps, fx.MODELS[1])
+    records = runs.with_context(canvas.canvas_index(steps), contexts, "logits_step")
+    ids = F.transform("top_k_token_ids", lambda x: F.array_join(x, ","))
+    return records.withColumns(
+        {
+            "top_k_token_ids": F.array_join(ids, ";"),
+            "top_k_probabilities": F.array_join(F.transform("top_k_probabilities", _millionths), ";"),
+            "sampled_token_ids": _join("sampled_token_ids"),
+            **{
+                c: _millionths(c)
+                for c in (
+                    "entropy_per_position",
+                    "sampled_token_probabilities",
+                    "accepted_token_probabilities",
+                )
+            },
+        }
     )
 
 
@@ -153,15 +212,20 @@ def score_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "full_logits_key",
-    f"""WITH {q.SCORES}, sums AS (SELECT vec_id, count(*) AS n FROM cells GROUP BY vec_id)
+    f"""WITH {q.SCORES}, lists AS (SELECT vec_id, count(*) AS n, string_agg({_millionths_sql('v')}, ',' ORDER BY i) AS scores
+      FROM cells GROUP BY vec_id)
     SELECT run_id, token_step, run_id || '/token-' || printf('%04d', token_step) AS full_logits_key,
-      CAST(n AS INTEGER) AS scores_kept FROM scores JOIN sums USING (vec_id)""",
+      CAST(n AS INTEGER) AS scores_kept, l.scores FROM scores JOIN lists l USING (vec_id)""",
 )
 def full_logits_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "full-logits")
     tables.write_full_logits(tables.with_logit_keys(fx.token_scores(spark, sf_dir)), path, buckets=8)
     return spark.read.parquet(path).select(
-        "run_id", "token_step", "full_logits_key", F.size("scores").alias("scores_kept")
+        "run_id",
+        "token_step",
+        "full_logits_key",
+        F.size("scores").alias("scores_kept"),
+        _millionths(F.transform("scores", lambda v: v.cast("double"))).alias("scores"),
     )
 
 
@@ -182,22 +246,28 @@ def router_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "router_phase",
     f"""WITH {q.ROUTER} SELECT vec_id, CASE WHEN contains(module_name, '.encoder.') THEN 'encoder_prefill'
-      ELSE 'denoising' END AS phase FROM router""",
+      ELSE 'denoising' END AS phase FROM router WHERE vec_id % 11 <> 0""",
 )
 def router_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.router_scores(spark, sf_dir).select(
+    """The phase of every router; other modules of the model have none and are left out."""
+    other = F.regexp_replace("module_name", "router$", "mlp")
+    modules = fx.router_scores(spark, sf_dir).withColumn(
+        "module_name", F.when(F.col("vec_id") % 11 == 0, other).otherwise(F.col("module_name"))
+    )
+    return modules.filter(tx.is_router(F.col("module_name"))).select(
         "vec_id", tx.canvas_router_phase(F.col("module_name")).alias("phase")
     )
 
 
-_FORWARDS = f"""{q.ROUTER}, passes AS (SELECT DISTINCT run_id, step FROM router),
-    forwards AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS forward_index
+_NUMBERED = """passes AS (SELECT DISTINCT run_id, step, event_order FROM router),
+    forwards AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step, event_order) - 1 AS forward_index
       FROM passes)"""
+_FORWARDS = f"{q.ROUTER}, {_NUMBERED}"
 
 
-@query("forward_index", f"WITH {_FORWARDS} SELECT run_id, step, forward_index FROM forwards")
+@query("forward_index", f"WITH {_FORWARDS} SELECT run_id, step, event_order, forward_index FROM forwards")
 def forward_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.forward_index(fx.router_scores(spark, sf_dir), "run_id", "step", chunk_of("step"))
+    return routing.forward_index(fx.router_scores(spark, sf_dir), "run_id", ORDER, chunk_of("step"))
 
 
 def _phase_columns(df: DataFrame) -> DataFrame:
@@ -216,7 +286,7 @@ _PHASES = """forward_index, CASE WHEN forward_index = 0 THEN 'prefill' ELSE 'aut
       forward_index AS predicted_token_step"""
 
 
-@query("ar_router_phase", f"WITH {_FORWARDS} SELECT run_id, step, {_PHASES} FROM forwards")
+@query("ar_router_phase", f"WITH {_FORWARDS} SELECT run_id, step, event_order, {_PHASES} FROM forwards")
 def ar_router_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _phase_columns(forward_index(spark, sf_dir))
 
@@ -226,7 +296,9 @@ def _route_tokens(spark: SparkSession, sf_dir: str, source=fx.router_scores) ->
 
 
 def _stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.stored_route_tokens(fx.router_scores(spark, sf_dir), [*EVENT, "token_index"])
+    return routing.stored_route_tokens(
+        fx.router_scores(spark, sf_dir), [*EVENT, "step_index", "token_index"]
+    )
 
 
 @query(
@@ -273,12 +345,21 @@ def most_used_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary_columns() -> list[Column]:
+    busiest = F.transform(
+        "most_used_experts",
+        lambda m: F.concat_ws(
+            ":",
+            m["expert_id"].cast("string"),
+            F.round(m["load_fraction"] * 1e6).cast("bigint").cast("string"),
+        ),
+    )
     return [
         F.col("tokens_routed"),
         F.col("routed_expert_count"),
         F.col("selected_experts_per_token"),
         F.col("shared_expert_active"),
         _join("expert_token_counts").alias("expert_token_counts"),
+        _millionths("expert_load_fraction").alias("expert_load_fraction"),
         *[
             r6(F.col(c)).alias(c)
             for c in (
@@ -288,19 +369,23 @@ def _summary_columns() -> list[Column]:
                 "expert_load_cv",
             )
         ],
-        F.get("most_used_experts", F.lit(0))["expert_id"].alias("busiest_expert"),
+        F.array_join(busiest, ",").alias("most_used_experts"),
     ]
 
 
 _SUMMARY = f"""{q.ROUTED}, summary AS (
-      SELECT m.run_id, m.step, m.module_name, m.tokens_routed, 64 AS routed_expert_count,
-        8 AS selected_experts_per_token, true AS shared_expert_active, b.expert_token_counts,
+      SELECT m.run_id, m.step, m.event_order, m.module_name, m.tokens_routed, 64 AS routed_expert_count,
+        8 AS selected_experts_per_token, true AS shared_expert_active, b.expert_token_counts, b.expert_load_fraction,
         round(m.entropy_mean, 6) + 0.0 AS router_entropy_mean, round(m.entropy_p95, 6) + 0.0 AS router_entropy_p95,
         round(m.margin_mean, 6) + 0.0 AS top1_router_margin_mean, round(v.cv, 6) + 0.0 AS expert_load_cv,
-        b.busiest_expert
+        b.most_used_experts
       FROM event_measures m JOIN variation v USING ({q.EVENT}) JOIN (
         SELECT {q.EVENT}, string_agg(CAST(n AS VARCHAR), ',' ORDER BY expert_id) AS expert_token_counts,
-          arg_min(expert_id, (-n * 1000 + expert_id)) AS busiest_expert FROM bins GROUP BY {q.EVENT}) b
+          string_agg({_millionths_sql('load')}, ',' ORDER BY expert_id) AS expert_load_fraction,
+          string_agg(expert_id || ':' || {_millionths_sql('load')}, ',' ORDER BY place) FILTER (WHERE place <= 8)
+            AS most_used_experts
+        FROM (SELECT *, row_number() OVER (PARTITION BY {q.EVENT} ORDER BY n DESC, expert_id) AS place FROM bins)
+        GROUP BY {q.EVENT}) b
         USING ({q.EVENT}))"""
 
 
@@ -310,22 +395,22 @@ def router_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select(*EVENT, *_summary_columns())
 
 
+_LAYER = "CAST(regexp_extract(module_name, 'layers\\.([0-9]+)\\.router$', 1) AS INTEGER) AS layer_index"
+
+
 @query(
     "ar_router_events",
-    f"""WITH {_SUMMARY}, passes AS (SELECT DISTINCT run_id, step FROM router),
-    forwards AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS forward_index
-      FROM passes)
-    SELECT 'moe_route' AS event, {_PHASES}, CAST(regexp_extract(module_name, 'layers\\.([0-9]+)\\.router$', 1) AS INTEGER)
-      AS layer_index, s.* EXCLUDE (module_name)
-    FROM summary s JOIN forwards f USING (run_id, step)""",
+    f"""WITH {_SUMMARY}, {_NUMBERED}, {q.contexts('router', fx.MODELS[0])}
+    SELECT 'moe_route' AS event, {_PHASES}, {_LAYER}, s.* EXCLUDE (module_name), c.* EXCLUDE (run_id)
+    FROM summary s JOIN forwards USING (run_id, step, event_order) JOIN contexts c USING (run_id)""",
 )
 def ar_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = routing.summarize(_stored_tokens(spark, sf_dir), EVENT)
-    events = summary.join(_phase_columns(forward_index(spark, sf_dir)), ["run_id", "step"])
-    return events.select(
-        F.lit("moe_route").alias("event"),
+    tokens = _stored_tokens(spark, sf_dir)
+    forwards = routing.forward_index(tokens, "run_id", ORDER, chunk_of("step"))
+    events = routing.summarize(tokens, EVENT).join(_phase_columns(forwards), ["run_id", *ORDER])
+    events = events.select(
         "run_id",
-        "step",
+        *ORDER,
         "forward_index",
         "phase",
         "input_generated_token_step",
@@ -333,84 +418,87 @@ def ar_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.router_layer(F.col("module_name")).alias("layer_index"),
         *_summary_columns(),
     )
+    return runs.with_context(events, fx.contexts(spark, sf_dir, tokens, fx.MODELS[0]), "moe_route")
+
 
+def canvas_passes(tokens: DataFrame) -> DataFrame:
+    """The canvas of every step, from the keys of stored tokens."""
+    steps = tokens.select("run_id", F.col("step").alias("global_step"), "step_index").distinct()
+    placed = canvas.canvas_index(stage(steps, "passes"))
+    return stage(placed.withColumnRenamed("global_step", "step"), "placed-passes")
 
-def denoising_lanes(tokens: DataFrame) -> DataFrame:
-    """Denoising tokens with their lane. A run of this adapter is one canvas."""
+
+def denoising_lanes(tokens: DataFrame, placed: DataFrame) -> DataFrame:
+    """Denoising tokens with their lane: one run, one canvas of it, one layer."""
     kept = tokens.filter(tx.canvas_router_phase(F.col("module_name")) == "denoising")
-    return kept.withColumns(
-        {"canvas_index": F.lit(0), "layer_index": tx.router_layer(F.col("module_name"))}
-    )
+    kept = kept.withColumn("layer_index", tx.router_layer(F.col("module_name")))
+    return kept.drop("step_index").join(placed, ["run_id", "step"])
 
 
-def _rates(tokens: DataFrame) -> DataFrame:
-    overlap = routing.token_route_overlap(denoising_lanes(tokens), LANE, "step", chunk_of("step"))
-    return routing.change_rates(overlap, LANE, "step", chunk_of("step"))
+def _rates(tokens: DataFrame, placed: DataFrame) -> DataFrame:
+    lanes = stage(
+        denoising_lanes(tokens, placed).select(*LANE, *ORDER, "token_index", "expert_ids"), "lanes"
+    )
+    overlap = routing.token_route_overlap(lanes, LANE, ORDER, chunk_of("step"))
+    return routing.change_rates(overlap, LANE, ORDER, chunk_of("step"))
 
 
 @query(
     "route_change_rate",
-    f"""WITH {q.CHANGES} SELECT run_id, layer_index, step, round(change_rate, 6) + 0.0 AS expert_set_change_rate
-    FROM rates""",
+    f"""WITH {q.CHANGES} SELECT run_id, canvas_index, layer_index, step, event_order,
+      round(change_rate, 6) + 0.0 AS expert_set_change_rate FROM rates""",
 )
 def route_change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rates(_stored_tokens(spark, sf_dir)).select(
-        "run_id", "layer_index", "step", r6(F.col("expert_set_change_rate")).alias("expert_set_change_rate")
+    tokens = _stored_tokens(spark, sf_dir)
+    return _rates(tokens, canvas_passes(tokens)).withColumn(
+        "expert_set_change_rate", r6(F.col("expert_set_change_rate"))
     )
 
 
 @query(
     "canvas_router_events",
-    f"""WITH {q.CHANGES} SELECT 'moe_route' AS event, m.run_id, m.step AS global_step, 0 AS canvas_index,
-      CASE WHEN contains(m.module_name, '.encoder.') THEN 'encoder_prefill' ELSE 'denoising' END AS phase,
-      CAST(regexp_extract(m.module_name, 'layers\\.([0-9]+)\\.router$', 1) AS INTEGER) AS layer_index,
-      m.tokens_routed, round(m.entropy_mean, 6) + 0.0 AS router_entropy_mean, round(v.cv, 6) + 0.0 AS expert_load_cv,
-      round(r.change_rate, 6) + 0.0 AS expert_set_change_rate
-    FROM event_measures m JOIN variation v USING ({q.EVENT})
-    LEFT JOIN rates r ON r.run_id = m.run_id AND r.step = m.step AND NOT contains(m.module_name, '.encoder.')
-      AND r.layer_index = CAST(regexp_extract(m.module_name, 'layers\\.([0-9]+)\\.router$', 1) AS INTEGER)""",
+    f"""WITH {q.CHANGES}, {_SUMMARY.removeprefix(q.ROUTED + ', ')}, {q.contexts('router', fx.MODELS[1])},
+    phased AS (SELECT * EXCLUDE (module_name), {_LAYER},
+        CASE WHEN contains(module_name, '.encoder.') THEN 'encoder_prefill' ELSE 'denoising' END AS phase FROM summary)
+    SELECT 'moe_route' AS event, s.* EXCLUDE (step), s.step AS global_step, p.canvas_index, p.step_index,
+      round(r.change_rate, 6) + 0.0 AS expert_set_change_rate, c.* EXCLUDE (run_id)
+    FROM phased s JOIN placed p ON p.run_id = s.run_id AND p.step = s.step JOIN contexts c ON c.run_id = s.run_id
+    LEFT JOIN rates r ON r.run_id = s.run_id AND r.step = s.step AND r.event_order = s.event_order
+      AND r.layer_index = s.layer_index AND s.phase = 'denoising'""",
 )
 def canvas_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with its step's canvas; the rate stays null on encoder events."""
     tokens = _stored_tokens(spark, sf_dir)
+    placed = canvas_passes(tokens)
     events = routing.summarize(tokens, EVENT).withColumns(
         {
             "phase": tx.canvas_router_phase(F.col("module_name")),
             "layer_index": tx.router_layer(F.col("module_name")),
         }
     )
-    passes = events.select("run_id", F.col("step").alias("global_step")).distinct()
-    placed = canvas.canvas_index(passes.withColumn("step_index", F.col("global_step")))
-    rates = _rates(tokens).select(
-        "run_id", "step", "layer_index", F.lit("denoising").alias("phase"), "expert_set_change_rate"
-    )
-    return (
-        events.join(rates, ["run_id", "step", "layer_index", "phase"], "left")
-        .withColumnRenamed("step", "global_step")
-        .join(placed, ["run_id", "global_step"])
-        .select(
-            F.lit("moe_route").alias("event"),
-            "run_id",
-            "global_step",
-            "canvas_index",
-            "phase",
-            "layer_index",
-            "tokens_routed",
-            r6(F.col("router_entropy_mean")).alias("router_entropy_mean"),
-            r6(F.col("expert_load_cv")).alias("expert_load_cv"),
-            r6(F.col("expert_set_change_rate")).alias("expert_set_change_rate"),
-        )
+    rates = _rates(tokens, placed).drop("canvas_index").withColumn("phase", F.lit("denoising"))
+    events = events.join(rates, ["run_id", *ORDER, "layer_index", "phase"], "left")
+    events = events.join(placed, ["run_id", "step"]).select(
+        "run_id",
+        F.col("step").alias("global_step"),
+        "step_index",
+        "canvas_index",
+        "event_order",
+        "phase",
+        "layer_index",
+        *_summary_columns(),
+        r6(F.col("expert_set_change_rate")).alias("expert_set_change_rate"),
     )
+    return runs.with_context(events, fx.contexts(spark, sf_dir, tokens, fx.MODELS[1]), "moe_route")
 
 
-_CAME = """came AS (SELECT CAST((vec_id // 64) AS VARCHAR) AS run_id, CAST(((vec_id // 8) % 8) // 2 AS INTEGER) AS step
-      FROM embeddings GROUP BY ALL HAVING sum(label) % 4 <> 0)"""
+_CAME = "came AS (SELECT run_id, step FROM router GROUP BY ALL HAVING sum(label) % 4 <> 0)"
 
 
 @query(
     "unflushed_router_events",
     f"""WITH {q.ROUTER}, {_CAME}, happened AS (SELECT DISTINCT {q.EVENT} FROM router)
-    SELECT h.run_id, h.step, h.module_name FROM happened h ANTI JOIN came c ON h.run_id = c.run_id AND h.step = c.step""",
+    SELECT h.* FROM happened h ANTI JOIN came c ON h.run_id = c.run_id AND h.step = c.step""",
 )
 def unflushed_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router events of steps whose callback never came (here: by the sum of their labels)."""
@@ -457,13 +545,17 @@ def canvas_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         generate_subscripts(canvas, 1) AS at FROM steps),
     texts AS (SELECT l.run_id, l.global_step, string_agg(v.token_text, '' ORDER BY l.at) AS canvas_text
       FROM letters l JOIN vocab v ON l.token_id = v.token_id GROUP BY ALL)
-    SELECT 'canvas_step' AS event, c.run_id, c.canvas_index, c.global_step, c.step_index,
+    , {q.contexts('steps', fx.MODELS[1])}
+    SELECT 'canvas_step' AS event, x.*, c.canvas_index, c.global_step, c.step_index,
       {q.ints('c.canvas')} AS canvas_token_ids, t.canvas_text, {q.ints('c.sampled_tokens')} AS sampled_token_ids,
       {q.ints('c.changed_positions')} AS changed_positions, {q.ints('c.accepted_positions')} AS accepted_positions
-    FROM changed c JOIN texts t ON c.run_id = t.run_id AND c.global_step = t.global_step""",
+    FROM changed c JOIN texts t ON c.run_id = t.run_id AND c.global_step = t.global_step
+      JOIN contexts x ON x.run_id = c.run_id""",
 )
 def canvas_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = canvas.canvas_steps(fx.steps(spark, sf_dir), fx.vocabulary(spark, sf_dir))
+    steps = fx.steps(spark, sf_dir)
+    records = canvas.canvas_steps(steps, fx.vocabulary(spark, sf_dir))
+    records = runs.with_context(records, fx.contexts(spark, sf_dir, steps, fx.MODELS[1]), "canvas_step")
     lists = ("canvas_token_ids", "sampled_token_ids", "changed_positions", "accepted_positions")
     return records.withColumns({c: _join(c) for c in lists})
 

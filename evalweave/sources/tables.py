@@ -52,11 +52,8 @@ def experiment_id(configured: str | None = None) -> str:
     return chosen
 
 
-def claim_run_folder(spark: SparkSession, path: str, experiment: str) -> str:
-    """Claim ``path`` for one experiment; a folder that already holds anything is an error.
-
-    Of two jobs that try at the same time, the write below lets one pass.
-    """
+def require_unused(spark: SparkSession, path: str) -> None:
+    """Raise if a folder already holds anything."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
         used = not files.load(path).select("path").isEmpty()
@@ -66,6 +63,14 @@ def claim_run_folder(spark: SparkSession, path: str, experiment: str) -> str:
         used = False
     if used:
         raise FileExistsError(f"the run folder already exists and is not empty: {path}")
+
+
+def claim_run_folder(spark: SparkSession, path: str, experiment: str) -> str:
+    """Claim an unused ``path`` for one experiment.
+
+    Of two jobs that try at the same time, the write below lets one pass.
+    """
+    require_unused(spark, path)
     claim = spark.range(1).select(F.lit(experiment).alias("experiment_id"))
     claim.write.mode("errorifexists").json(f"{path.rstrip('/')}/claim")
     return path

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -24,15 +25,45 @@ def _names(fields: str) -> list[str]:
     return [field.split()[0] for field in fields.split(", ")]
 
 
-def _in_order(frames: Iterator[pd.DataFrame], last: int | None, run: str) -> pd.DataFrame:
+def _in_order(
+    frames: Iterator[pd.DataFrame], order: list[str], last: tuple[int, ...] | None, run: str
+) -> pd.DataFrame:
     """The steps of one run in this micro-batch, sorted; all must come after ``last``."""
-    steps = pd.concat(list(frames)).sort_values("global_step")
-    first = int(steps["global_step"].iloc[0])
+    steps = pd.concat(list(frames)).sort_values(order)
+    first = tuple(int(steps[c].iloc[0]) for c in order)
     if last is not None and first <= last:
-        raise ValueError(f"run {run}: step {first} came after step {last}")
+        late, held = ("/".join(map(str, at)) for at in (first, last))
+        raise ValueError(f"run {run}: step {late} came after step {held}")
     return steps
 
 
+def _positions(marked: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+    """Per list of a flat run of lists, the places of its marked cells."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row]
+    ends = np.cumsum(np.bincount(row[marked], minlength=len(lengths)))
+    return [part.tolist() for part in np.split(place[marked], ends[:-1])]
+
+
+def _changed(canvases: list, starts: np.ndarray) -> list[list[int]]:
+    """Places of every canvas but the first that differ from the canvas before it; all where one starts.
+
+    A place that only one of the two has differs.
+    """
+    lengths = np.fromiter(map(len, canvases), dtype=np.int64, count=len(canvases))
+    cells = np.concatenate([np.asarray(c, dtype=np.int64) for c in canvases])
+    offset = np.cumsum(lengths) - lengths
+    now, past = lengths[1:], np.where(starts, 0, lengths[:-1])
+    widths = np.maximum(now, past)
+    row = np.repeat(np.arange(len(widths)), widths)
+    place = np.arange(len(row)) - (np.cumsum(widths) - widths)[row]
+    both = (place < now[row]) & (place < past[row])
+    at = row[both]
+    marked = ~both
+    marked[both] = cells[offset[1:][at] + place[both]] != cells[offset[:-1][at] + place[both]]
+    return _positions(marked, widths)
+
+
 CANVAS_STATE = "canvas array<int>, canvas_index int, global_step int"
 CANVAS_CHANGES = (
     "run_id string, global_step int, step_index int, canvas_index int, "
@@ -44,47 +75,53 @@ def canvas_changes_of_run(
     key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """Keeps, per run, the canvas before and the number of the current canvas."""
-    before, index, last = state.get if state.exists else (None, -1, None)
-    out = []
-    for step in _in_order(frames, last, key[0]).itertuples(index=False):
-        last = int(step.global_step)
-        canvas = [int(v) for v in step.canvas]
-        if step.step_index == 0:
-            index, before = index + 1, None
-        old = [None] * len(canvas) if before is None else [*before, *[None] * len(canvas)]
-        changed = [i for i, value in enumerate(canvas) if old[i] != value]
-        accepted = [i for i, flag in enumerate(step.accepted_index) if flag]
-        out.append((key[0], last, int(step.step_index), index, changed, accepted))
-        before = canvas
-    state.update((before, index, last))
-    yield pd.DataFrame(out, columns=_names(CANVAS_CHANGES))
+    before, index, last = state.get if state.exists else ([], -1, None)
+    steps = _in_order(frames, ["global_step"], None if last is None else (last,), key[0])
+    starts = steps["step_index"].to_numpy() == 0
+    numbers = index + np.cumsum(starts)
+    canvases, accepted = steps["canvas"].tolist(), steps["accepted_index"].tolist()
+    flags = np.concatenate([np.asarray(a, dtype=bool) for a in accepted])
+    last = steps["global_step"].iloc[-1]
+    state.update((list(map(int, canvases[-1])), int(numbers[-1]), int(last)))
+    yield pd.DataFrame(
+        {
+            "run_id": key[0],
+            "global_step": steps["global_step"].to_numpy(),
+            "step_index": steps["step_index"].to_numpy(),
+            "canvas_index": numbers,
+            "changed_positions": _changed([before, *canvases], starts),
+            "accepted_positions": _positions(flags, np.fromiter(map(len, accepted), dtype=np.int64)),
+        }
+    )
 
 
 ROUTE_KEYS = ["run_id", "canvas_index", "layer_index", "token_index"]
-ROUTE_STATE = "expert_ids array<int>, global_step int"
+ROUTE_STATE = "expert_ids array<int>, global_step int, event_order int"
 ROUTE_OVERLAP = (
-    "run_id string, canvas_index int, layer_index int, token_index int, global_step int, k int, "
-    "before_step int, before_k int, overlap double"
+    "run_id string, canvas_index int, layer_index int, token_index int, global_step int, "
+    "event_order int, k int, before_global_step int, before_event_order int, before_k int, overlap double"
 )
 
 
 def route_overlap_of_token(
     key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Keeps, per (run, canvas, layer, token), the experts of the step before."""
-    before, last = state.get if state.exists else (None, None)
+    """Keeps, per (run, canvas, layer, token), the experts of the event before and its place."""
+    before, *last = state.get if state.exists else (None, None, None)
+    held = None if before is None else tuple(last)
     out = []
-    for row in _in_order(frames, last, key[0]).itertuples(index=False):
+    for row in _in_order(frames, ["global_step", "event_order"], held, key[0]).itertuples(index=False):
         now = [int(e) for e in row.expert_ids]
         overlap = None
         if before is not None:
             shared = len(set(now) & set(before))
             overlap = shared / max(1, len(now) + len(before) - shared)
-        seen = (last, None if before is None else len(before), overlap)
-        before, last = now, int(row.global_step)
-        out.append((*key, last, len(now), *seen))
-    state.update((before, last))
-    nullable = {"before_step": "Int32", "before_k": "Int32", "overlap": "Float64"}
+        seen = (*last, None if before is None else len(before), overlap)
+        before, last = now, (int(row.global_step), int(row.event_order))
+        out.append((*key, *last, len(now), *seen))
+    state.update((before, *last))
+    whole = dict.fromkeys(("before_global_step", "before_event_order", "before_k"), "Int32")
+    nullable = whole | {"overlap": "Float64"}
     yield pd.DataFrame(out, columns=_names(ROUTE_OVERLAP)).astype(nullable)
 
 

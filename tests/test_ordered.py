@@ -99,17 +99,34 @@ def test_ranked_percentile_equals_numpy(spark, q):
     assert len(got) == 3
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_lookup_equals_broadcast_on_a_hot_key(spark, how):
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_shuffled_lookup_equals_broadcast_on_a_hot_key(spark, how):
     frame = runs_frame()
     facts = spark.createDataFrame(frame).withColumn(
         "run", F.when(F.col("run") != "3", F.col("run"))
     )
-    lookup = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3)], "run string, w int")
-    wide = lookup_join(facts, lookup, ["run"], how, spread_by=["step"])
-    salted = lookup_join(facts, lookup, ["run"], how, spread_by=["step"], broadcast_bytes=0, hot_rows=20)
+    lookup = spark.createDataFrame([("hot", "\u4e2d"), ("1", "b"), ("2", "c")], "run string, w string")
+    wide = lookup_join(facts, lookup, ["run"], how)
     assert "BroadcastHashJoin" in wide._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(str, wide.collect())) == sorted(map(str, salted.collect()))
+    rows = sorted(map(str, wide.collect()))
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64",
+    }
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        shuffled = lookup_join(facts.repartition(8), lookup, ["run"], how)
+        assert sorted(map(str, shuffled.collect())) == rows
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert "BroadcastHashJoin" not in plan
+    with pytest.raises(ValueError):
+        lookup_join(facts, lookup, ["run"], "right")
 
 
 @pytest.mark.parametrize("limit", [1, 2, 3, 5])

@@ -16,6 +16,7 @@ from evalweave.operators import audit, inference, runs, tokens
 from evalweave.operators.dataset import ManifestSpec, number_examples
 from evalweave.plans import experiment as ex
 from evalweave.schemas import EXAMPLE_SCHEMA, OUTPUT_SCHEMA
+from evalweave.session import stage
 from evalweave.sources import jsonl, tables
 from evalweave.streaming import stateful
 
@@ -56,17 +57,14 @@ def test_defaults_and_model_order():
     assert json.loads(runs.Sampling().recorded())["top_k"] == 64
 
 
-def test_smoke_specs_cap_the_rows_and_lift_the_batch_cap():
+def test_a_trial_caps_the_rows_and_lifts_the_batch_cap():
     data, run = ManifestSpec(shuffle=True), runs.RunSpec("e", MODELS, max_batches=1)
-    capped, whole = ex.smoke_specs(data, run, experiment_id="smoke-test")
+    capped, whole = ex.trial_specs(data, run)
     assert capped.max_samples == 10 and not capped.shuffle
-    assert whole.max_batches is None and whole.models == MODELS and whole.experiment_id == "smoke-test"
-    capped, one = ex.smoke_specs(data, run, samples=2, models=[MODELS[0]])
-    assert capped.max_samples == 2 and one.models == MODELS[:1]
-    with pytest.raises(ValueError, match="unknown models: a, b"):
-        ex.smoke_specs(data, run, models=["b", "a"])
+    assert whole.max_batches is None and whole.models == MODELS
+    assert ex.trial_specs(data, run, 2)[0].max_samples == 2
     with pytest.raises(ValueError):
-        ex.smoke_specs(data, run, samples=0)
+        ex.trial_specs(data, run, 0)
 
 
 def test_response_is_the_primary_output_field(spark, tmp_path):
@@ -120,13 +118,19 @@ def test_detokenize_with_special_unknown_and_no_tokens(spark):
     vocab = spark.createDataFrame(
         [(0, "<s>", True), (1, "he", False), (2, "llo", False)], "token_id int, token_text string, is_special boolean"
     )
-    df = spark.createDataFrame([("a", [0, 1, 2, 0]), ("b", [1, 7, 9]), ("c", [])], "run_id string, ids array<int>")
+    vocab = stage(vocab, "vocabulary")
+    df = spark.createDataFrame(
+        [("a", [0, 1, 2, 0]), ("b", [1, 7, 9]), ("c", []), ("d", None), ("e", [1, None])], "run_id string, ids array<int>"
+    )
     decoded = tokens.detokenize(df, ["run_id"], "ids", vocab)
-    rows = {r["run_id"]: r for r in tokens.capture_errors(df, decoded, ["run_id"]).collect()}
+    rows = {r["run_id"]: r for r in tokens.capture_errors(decoded).collect()}
+    assert set(rows) == set("abcde") and rows["a"]["ids"] == [0, 1, 2, 0]
     assert rows["a"]["raw_response"] == "<s>hello<s>" and rows["a"]["final_text"] == "hello"
     assert rows["b"]["raw_response"] is None and rows["b"]["final_text"] == ""
     assert rows["b"]["response_error"] == "KeyError: unknown token id 7" and rows["b"]["ids"] == [1, 7, 9]
-    assert rows["c"]["raw_response"] == "" and rows["c"]["response_error"] is None
+    for empty in "cd":
+        assert rows[empty]["raw_response"] == "" and rows[empty]["response_error"] is None and rows[empty]["ids"] == []
+    assert rows["e"]["response_error"] == "KeyError: unknown token id null" and rows["e"]["ids"] == [1, None]
 
 
 def test_experiment_end_to_end(spark, tmp_path):
@@ -135,8 +139,11 @@ def test_experiment_end_to_end(spark, tmp_path):
     done = ex.run_experiment(spark, examples(spark), data, run, engines, str(tmp_path))
     assert done.completed == dict.fromkeys(MODELS, 12) and done.examples == 12
     ex.require_complete(spark, done, run, 12)
-    with pytest.raises(RuntimeError, match="expected 13 manifest rows"):
+    with pytest.raises(RuntimeError, match="base-26b/outputs has 12 of 13; .*inputs has 12 of 13"):
         ex.require_complete(spark, done, run, 13)
+    more = runs.RunSpec("run-1", [*MODELS, "org/absent"])
+    wrong = ex.shortfalls(spark, done, more.models, 12).collect()
+    assert [tuple(r) for r in wrong] == [("absent/outputs", 12, None)]
     records = {(r["model_id"], r["example_id"]): r for r in ex.read_outputs(spark, done).collect()}
     good, bad = records[(MODELS[0], "e01")], records[(MODELS[1], "e03")]
     assert good["response"] == f"<user>\nprompt 1\n<model>\n|{good['seed']}" and good["response_error"] is None
@@ -164,6 +171,15 @@ def test_a_failing_model_does_not_stop_the_other(spark, tmp_path):
     assert error["model_name"] == MODELS[0] and "no such engine" in error["message"]
 
 
+def test_a_refused_dataset_leaves_the_folder_free(spark, tmp_path):
+    run, engines = runs.RunSpec("run-4", MODELS, max_batches=None), dict.fromkeys(MODELS, echo)
+    twice = examples(spark).unionByName(examples(spark))
+    with pytest.raises(ValueError, match="duplicate"):
+        ex.run_experiment(spark, twice, ManifestSpec(), run, engines, str(tmp_path))
+    assert not (tmp_path / "run-4").exists()
+    assert ex.run_experiment(spark, examples(spark), ManifestSpec(), run, engines, str(tmp_path)).examples == 12
+
+
 def test_models_that_share_a_folder_are_refused(spark, tmp_path):
     run = runs.RunSpec("run-3", ["a/same", "b/same"])
     with pytest.raises(ValueError, match="share"):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from evalweave.functions import vectors
-from evalweave.operators import audit, canvas, logits, routing
+from evalweave.operators import audit, canvas, logits, routing, runs
 from evalweave.operators.ordered import chunk_of
+from evalweave.schemas import CONTEXT_SCHEMA
+from evalweave.streaming import stateful
 
 EVENT = ["run_id", "step", "layer_index"]
 
@@ -101,6 +105,11 @@ def test_score_counts_are_reconciled(spark):
     wrong = logits.score_count_mismatch(scores, made)
     assert sorted(map(tuple, wrong.collect())) == [("b", 1, 0), ("c", 0, 1)]
     assert logits.matched_scores(scores, wrong).count() == 2
+    with pytest.raises(ValueError, match="run b: 1 score rows for 0 tokens"):
+        logits.require_matched_scores(scores, made)
+    good = made.filter("run_id = 'a'")
+    kept = scores.filter("run_id = 'a'")
+    assert logits.require_matched_scores(kept, good).count() == 2
 
 
 def events(spark, table):
@@ -193,8 +202,8 @@ def rates(spark, routes, chunk=4096):
         rows, "run_id string, canvas_index int, layer_index int, step int, token_index int, expert_ids array<int>"
     )
     lane = ["run_id", "canvas_index", "layer_index"]
-    overlap = routing.token_route_overlap(df, lane, "step", chunk_of("step", chunk))
-    found = routing.change_rates(overlap, lane, "step", chunk_of("step", chunk)).collect()
+    overlap = routing.token_route_overlap(df, lane, ["step"], chunk_of("step", chunk))
+    found = routing.change_rates(overlap, lane, ["step"], chunk_of("step", chunk)).collect()
     return {(r["run_id"], r["canvas_index"], r["layer_index"], r["step"]): r["expert_set_change_rate"] for r in found}
 
 
@@ -226,6 +235,74 @@ def test_route_change_rate(spark, chunk):
     assert found[("r", 0, 1, 1)] is None and found[("q", 0, 0, 0)] is None
 
 
+@pytest.mark.parametrize("chunk", [1, 4096])
+def test_forwards_of_one_step_are_events_of_their_own(spark, chunk):
+    routes = {(0, 0): [[1, 2]], (0, 1): [[1, 3]], (0, 2): [[1, 3]], (2, 0): [[4, 5], [6, 7]], (2, 1): [[4, 5], [6, 9]]}
+    rows = [("r", *key, i, ids) for key, tokens in routes.items() for i, ids in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "run_id string, step int, event_order int, token_index int, expert_ids array<int>")
+    lane, order = ["run_id"], ["step", "event_order"]
+    overlap = routing.token_route_overlap(df, lane, order, chunk_of("step", chunk))
+    found = routing.change_rates(overlap, lane, order, chunk_of("step", chunk)).collect()
+    rate = {(r["step"], r["event_order"]): r["expert_set_change_rate"] for r in found}
+    assert rate == {
+        (0, 0): None, (0, 1): pytest.approx(1 - 1 / 3), (0, 2): 0.0, (2, 0): None,
+        (2, 1): pytest.approx(1 - (1 + 1 / 3) / 2),
+    }
+    index = routing.forward_index(df, "run_id", order, chunk_of("step", chunk)).collect()
+    assert sorted((r["step"], r["event_order"], r["forward_index"]) for r in index) == [
+        (0, 0, 0), (0, 1, 1), (0, 2, 2), (2, 0, 3), (2, 1, 4),
+    ]
+    scores = spark.createDataFrame(
+        [("r", 0, order, t, [3.0, 2.0, 1.0]) for order in (0, 1) for t in (0, 1)],
+        "run_id string, step int, event_order int, token_index int, scores array<float>",
+    )
+    event = ["run_id", "step", "event_order"]
+    summary = routing.summarize(routing.route_tokens(scores, [*event, "token_index"], selected=2), event)
+    assert sorted((r["event_order"], r["tokens_routed"]) for r in summary.collect()) == [(0, 2), (1, 2)]
+
+
+@pytest.mark.parametrize("cuts", [[0, 7], [0, 1, 2, 3, 4, 5, 6, 7], [0, 3, 7]])
+def test_canvas_state_equals_the_batch_form_for_any_cut(spark, cuts):
+    rows = [
+        (0, 1, [9, 9], [True, False]), (1, 0, [1, 2], [False, False]), (2, 1, [1, 3], [True, True]),
+        (3, 2, [1, 3, 5], [False, True, True]), (4, 3, [2], [True]), (5, 0, [2], [False]), (6, 1, [2, 4], [False, True]),
+    ]
+    schema = "global_step int, step_index int, canvas array<int>, accepted_index array<boolean>"
+    steps = spark.createDataFrame(rows, schema).withColumn("run_id", F.lit("r"))
+    batch = canvas.canvas_changes(steps)
+    want = {r["global_step"]: (r["canvas_index"], r["changed_positions"], r["accepted_positions"]) for r in batch.collect()}
+
+    class Held:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, found = Held(), {}
+    frame = pd.DataFrame(rows, columns=["global_step", "step_index", "canvas", "accepted_index"])
+    for low, high in itertools.pairwise(cuts):
+        part = frame.iloc[low:high].sample(frac=1, random_state=1)
+        for made in stateful.canvas_changes_of_run(("r",), iter([part]), state):
+            for r in made.itertuples():
+                found[r.global_step] = (r.canvas_index, r.changed_positions, r.accepted_positions)
+    assert found == want
+    with pytest.raises(ValueError, match="run r: step 6 came after step 6"):
+        list(stateful.canvas_changes_of_run(("r",), iter([frame.iloc[6:]]), state))
+
+
+def test_records_carry_the_whole_context_and_lose_no_row(spark):
+    known = spark.createDataFrame([("a", "m")], "run_id string, model_id string")
+    for field in CONTEXT_SCHEMA:
+        if field.name not in known.columns:
+            known = known.withColumn(field.name, F.lit(None).cast(field.dataType))
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("lost", 3, "z")], "run_id string, step int, tag string")
+    records = runs.with_context(rows, known, "seen")
+    assert records.columns == ["event", *CONTEXT_SCHEMA.names, "step"]
+    assert sorted((r["run_id"], r["model_id"], r["step"]) for r in records.collect()) == [
+        ("a", "m", 1), ("a", "m", 2), ("lost", None, 3),
+    ]
+
+
 @pytest.mark.parametrize("steps", [1, 3, 4096])
 def test_canvas_changes_for_any_chunk(spark, steps):
     rows = [
