@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,9 +133,14 @@ def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def scaled(x: Column) -> Column:
+        # floor gives a long, which would make numbers of NaN and infinity; null keeps them out.
+        part = x.cast("double")
+        finite = ~F.isnan(part) & (F.abs(part) < F.lit(math.inf))
+        return F.when(finite, F.floor(F.lit(256) * part).cast("double"))
+
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        "vec_id",
-        F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")).cast("double")).alias("v"),
+        "vec_id", F.transform("embedding", scaled).alias("v")
     )
     return topk.top_k(rows.filter(F.col("vec_id") % 50 == 0), rows, "vec_id", "v", k=5)
 

@@ -480,6 +480,21 @@ def test_search_equals_brute_force(spark, dims, monkeypatch):
     assert topk.top_k(df.limit(0), df, "vec_id", "v", 5).count() == 0
 
 
+def test_op10_leaves_out_what_is_not_finite(spark, tmp_path):
+    picks = np.random.default_rng(5)
+    values = picks.integers(-40, 40, (200, 6)) / 16
+    rows = [(i, v.tolist()) for i, v in enumerate(values)]
+    nan, inf = float("nan"), float("inf")
+    for at, bad in enumerate([[nan] * 6, [inf] * 6, [-inf] * 6, [1.0, nan, 0, 0, 0, 0], [inf, 0, 0, 0, 0, 0]]):
+        rows += [(1000 + 50 * at, [float(x) for x in bad]), (1001 + 50 * at, [float(x) for x in bad])]
+    rows += [(2000, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2050, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op10_cover_tree_search(spark, str(tmp_path)).collect()
+    whole = [(i, np.floor(256 * v)) for i, v in enumerate(values)]
+    assert sorted(map(tuple, got)) == sorted(brute_top_k(whole, [w for w in whole if w[0] % 50 == 0], 5))
+
+
 def test_cover_tree_covers():
     points = np.random.default_rng(0).normal(size=(2000, 2))
     open_ = [topk.cover_tree(points, 8)]
