@@ -392,13 +392,14 @@ def detector(spark):
     for i in range(800):
         prose = " ".join(sentence(picks, 12))
         number = f"+1 ({picks.randint(200, 999)}) {picks.randint(200, 999)}-{picks.randint(1000, 9999)}"
-        name = picks.choice(["{}.{}", "{}_{}", "{}{}"]).format("".join(picks.choices("abcdef", k=5)), i)
-        mail = f"{name}@mail{i % 9}.example.{picks.choice(['com', 'org'])}"
+        first, last, host = ("".join(picks.choices("abcdef", k=picks.randint(3, 9))) for _ in range(3))
+        name = picks.choice([f"{first}.{last}", f"{first}_{i}", f"{first}{last}", first])
+        mail = f"{name}@{picks.choice(['', 'mail.'])}{host}.{picks.choice(['com', 'org'])}"
         address = ".".join(str(picks.randint(1, 255)) for _ in range(4))
         digits = "4" + "".join(picks.choices("0123456789", k=14))
         card = next(digits + c for c in "0123456789" if pii.luhn(digits + c))
         four = " ".join(card[k : k + 4] for k in range(0, 16, 4))
-        texts.append((i, f"{prose} {[number, mail, address, card, four, number][i % 6]} {prose} in 1999 and 2001"))
+        texts.append((i, f"{prose} {[number, mail, address, card, four, number, mail][i % 7]} {prose} in 1999 and 2001"))
     return pii.train(spark.createDataFrame(texts, "doc_id long, text string"), "text")
 
 
@@ -418,6 +419,18 @@ def test_numbers_beside_others_are_proposed_and_found(detector):
     assert len(pii.proposals(line)) < 10 * 30_000 and pii.proposals("1" * 30_000) == []
 
 
+def test_written_out_addresses_are_candidates_by_their_own_surroundings(detector):
+    written = ["jane.doe at example.com", "jane (AT) example (DOT) com", "JANE.DOE AT EXAMPLE.COM", "j_doe [At] mail.example.org"]
+    for form in written:
+        for text in (f"Write to {form} today", f"Write to {form} today, not a@b.example"):
+            assert ("email", 9, 9 + len(form)) in pii.proposals(text), text
+            assert ("email", 9, 9 + len(form)) in detector.find(text)[1], text
+    texts = [*written, "Look here. Then go", "a@b", "flat, tent", "at", " at", ""]
+    assert pii.suspicious(batches.texts_of(pa.array(texts))).tolist() == [True] * 4 + [False, True] + [False] * 4
+    for text in ("Look at this. Then we met at noon.", "It was at home. They left"):
+        assert detector.find(text)[1] == []
+
+
 def test_boosting_learns_an_interaction():
     x = np.random.default_rng(0).integers(0, 10, (2000, 3)).astype(float)
     y = ((x[:, 0] > 4) ^ (x[:, 1] > 4)).astype(float)
