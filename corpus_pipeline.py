@@ -54,13 +54,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset."""
+    """Every sequence with its token ids, and the pieces of documents in it with their offsets."""
     ship_package(spark)
     path = vocabulary_path(WORD_VOCABULARY)
-    pieces = packing.token_pieces(
-        docs, "doc_id", "text", path, end_id=END_ID, length=SEQUENCE, with_ids=False
-    )
-    return packing.pack(pieces, capacity=SEQUENCE)
+    pieces = packing.token_pieces(docs, "doc_id", "text", path, end_id=END_ID, length=SEQUENCE)
+    return packing.filled_sequences(pieces, capacity=SEQUENCE)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,16 +93,24 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
+def _stored(pieces: DataFrame, group_size: int) -> tuple[DataFrame, int]:
+    """The pieces written once with a row id, and the number of groups."""
+    stored = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return stored, max(1, math.ceil(stored.count() / group_size))
+
+
+def _grouped(stored: DataFrame, groups: int, seed: int) -> DataFrame:
+    return stored.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("_row")), F.lit(groups)))
+
+
 def pack(pieces: DataFrame, *, capacity: int, group_size: int = 4096, seed: int = 0) -> DataFrame:
     """Adds ``sequence_id`` (group number times 2**32 plus bin) and ``offset`` to the pieces.
 
     The pieces are written once with a row id, whose hash deals them into groups: no key decides the
     group, so none can fill it. A task packs whole groups, one after another.
     """
-    stored = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, math.ceil(stored.count() / group_size))
-    narrow = stored.select("_row", "length")
-    grouped = narrow.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("_row")), F.lit(groups)))
+    stored, groups = _stored(pieces, group_size)
+    grouped = _grouped(stored.select("_row", "length"), groups, seed)
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_row")
@@ -123,3 +131,59 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"]))
     return parts.select("sequence_id", "used", joined.alias("ids"))
+
+
+def filled_sequences(pieces: DataFrame, *, capacity: int, group_size: int = 4096, seed: int = 0) -> DataFrame:
+    """Packs as ``pack`` does and gives each sequence: its id, ``used``, its unpadded ``ids`` and its pieces.
+
+    ``parts`` are the pieces in order, with ``offset`` and all their other columns. A task that packs a
+    group also joins its ids, so these are shuffled once, by group.
+    """
+    stored, groups = _stored(pieces, group_size)
+    others = [f for f in pieces.schema.fields if f.name != "ids"]
+    part = T.StructType([T.StructField("offset", T.LongType()), *others])
+    schema = T.StructType(
+        [
+            T.StructField("sequence_id", T.LongType()),
+            T.StructField("used", T.LongType()),
+            T.StructField("ids", T.BinaryType()),
+            T.StructField("parts", T.ArrayType(part)),
+        ]
+    )
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_row").combine_chunks()
+        bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), capacity)
+        order = np.lexsort((offsets, bins))
+        table = table.take(pa.array(order)).combine_chunks()
+        bins, offsets = bins[order], offsets[order]
+        first = np.append(np.flatnonzero(np.diff(bins, prepend=-1)), len(bins)).astype(np.int32)
+        _, at, data = table.column("ids").chunk(0).buffers()
+        bytes_at = np.frombuffer(at, np.int32)[first]
+        columns = [pa.array(offsets, pa.int64()), *[table.column(f.name).chunk(0) for f in others]]
+        struct = pa.StructArray.from_arrays(columns, names=part.names)
+        sequence = table.column("_group").to_numpy()[0] * (1 << 32) + bins[first[:-1]]
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(sequence), [None, pa.py_buffer(bytes_at), data])
+        parts = pa.ListArray.from_arrays(pa.array(first), struct)
+        return pa.table([pa.array(sequence, pa.int64()), pa.array(np.diff(bytes_at) // 4, pa.int64()), ids, parts], schema.names)
+
+    return _grouped(stored, groups, seed).groupBy("_group").applyInArrow(fill, schema)
+
+
+def measured_pieces(filled: DataFrame) -> DataFrame:
+    """The pieces of ``filled_sequences``; their length and checksum are those of the ids between two offsets."""
+    names = [f.name for f in filled.schema["parts"].dataType.elementType.fields if f.name != "offset"]
+    ends = F.concat(
+        F.transform(F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1))), lambda p: p["offset"]),
+        F.array((F.octet_length("ids") / 4).cast("bigint")),
+    )
+
+    def measured(part: Column, at: Column) -> Column:
+        length = F.element_at("ends", at + 1) - part["offset"]
+        own = F.substring("ids", (4 * part["offset"] + 1).cast("int"), (4 * length).cast("int"))
+        fresh = {"length": length, "ids_crc32": F.crc32(own)}
+        return F.struct(*[fresh.get(n, part[n]).alias(n) for n in names], part["offset"].alias("offset"))
+
+    cut = filled.withColumn("ends", ends).select("sequence_id", F.transform("parts", measured).alias("parts"))
+    pieces = cut.select("sequence_id", F.explode("parts").alias("part"))
+    return pieces.select(*[f"part.{n}" for n in names], "sequence_id", "part.offset")

@@ -127,9 +127,8 @@ def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         vocabulary_path(WORD_VOCABULARY),
         end_id=1,
         length=SEQUENCE,
-        with_ids=False,
     )
-    return packing.pack(pieces, capacity=SEQUENCE)
+    return packing.measured_pieces(packing.filled_sequences(pieces, capacity=SEQUENCE))
 
 
 def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:

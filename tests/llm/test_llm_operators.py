@@ -502,6 +502,42 @@ def test_packing_keeps_every_id_once(spark, docs, empty, rows):
     assert packing.pack(none, capacity=256).count() == 0
 
 
+def test_op9_measures_what_was_packed(spark, folder, rows):
+    packed = queries.op9_first_fit_packing(spark, folder)
+    assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    want = collections.Counter()
+    for r in rows:
+        ids = [*library_ids(r[1]), 1]
+        for at in range(0, len(ids), 2048):
+            want[(r[0], at, len(ids[at : at + 2048]), crc(ids[at : at + 2048]), len(ids))] += 1
+    got = packed.collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == want
+    filled = spark.createDataFrame(
+        [(1, 3, np.array([5, 6, 7], "<u4").tobytes(), [(0, 9, 0, 77, 77, 2), (2, 8, 0, 77, 77, 1)])],
+        "sequence_id long, used long, ids binary, parts array<struct<offset long, doc_id long, start long, "
+        "length long, ids_crc32 long, doc_tokens long>>",
+    )
+    assert sorted(map(tuple, packing.measured_pieces(filled).collect())) == [
+        (8, 0, 1, crc([7]), 1, 1, 2),
+        (9, 0, 2, crc([5, 6]), 2, 1, 0),
+    ]
+
+
+def test_pipeline_writes_the_packed_ids(spark, folder, rows):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    filled = corpus_pipeline.pack_sequences(spark, docs, folder).collect()
+    got = collections.defaultdict(list)
+    for r in filled:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["used"] == sum(p["length"] for p in r["parts"]) <= 2048
+        for p in r["parts"]:
+            got[p["doc_id"]].append((p["start"], ids[p["offset"] : p["offset"] + p["length"]]))
+    repeats = collections.Counter(r[0] for r in rows)
+    for r in rows:
+        parts = sorted(got[r[0]])[:: repeats[r[0]]]
+        assert [i for _, p in parts for i in p] == [*library_ids(r[1]), 1]
+
+
 # Search
 
 
