@@ -366,13 +366,18 @@ def same_document(sketch: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, key: str, text: str, near: Near = Near()) -> DataFrame:
-    """One document of every component, with all its columns; rows with a null id cannot be told and stay.
+    """One row of every component, with all its columns: the one of the least id, any id before a null one.
 
-    Only the ids that go, and ids that occur more than once, meet the texts.
+    Rows are told apart by a stored row id, so null or repeated ids neither keep copies nor link texts.
+    Only the row ids that go meet the texts.
     """
-    verdict = stage(near_duplicates(docs, key, text, near).select(F.col(key).alias("_id"), "kept"), "verdicts")
-    removed = verdict.filter("not kept and _id is not null").select("_id").distinct()
-    repeated = verdict.filter("kept and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
-    same = docs[key] == F.col("_id")
-    once = docs.join(removed.unionByName(repeated), same, "left_anti")
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([key]))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    stored = stage(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    found = near_duplicates(stored.select(row, text), row, text, near).select(row, "component_id")
+    keys = stored.select(row, F.col(key).isNull().alias("none"), F.col(key).alias("own"))
+    verdict = stage(found.join(keys, row), "verdicts")
+    best = verdict.groupBy("component_id").agg(F.min(F.struct("none", "own", row)).alias("best"))
+    removed = verdict.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_anti").select(row)
+    return stored.join(removed, row, "left_anti").select(*docs.columns)

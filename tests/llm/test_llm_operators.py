@@ -225,6 +225,16 @@ def test_near_duplicates_equal_brute_force(docs, rows, size, percent, monkeypatc
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comps.values()))
 
 
+def test_dedup_keeps_one_row_whatever_the_ids_hold(spark):
+    picks = random.Random(8)
+    a, b, c, d = (" ".join(sentence(picks, 60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a.upper()), (5, b), (5, c), (6, b), (None, c), (7, None), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = near_dedup.deduplicate(df, "doc_id", "text").collect()
+    got = collections.Counter((r["doc_id"], r["text"] and r["text"].lower()) for r in kept)
+    assert got == {(None, a): 1, (5, b): 1, (5, c): 1, (7, None): 1, (None, d): 1}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dedup.near_duplicates(empty, "doc_id", "text").count() == 0
 
