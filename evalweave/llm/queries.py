@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import (
+    hard_negatives,
     mixing,
     near_dedup,
     packing,
     pii,
     repetition,
     sharding,
+    simhash,
     token_counts,
     token_store,
     topk,
     toxicity,
+    whitening,
 )
 from evalweave.llm.tokens import WORD_VOCABULARY, vocabulary_path
 from evalweave.session import shared_path, stage
@@ -131,19 +134,46 @@ def op9_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.measured_pieces(packing.filled_sequences(pieces, capacity=SEQUENCE))
 
 
-def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def scaled(x: Column) -> Column:
-        # floor gives a long, which would make numbers of NaN and infinity; null keeps them out.
-        part = x.cast("double")
-        finite = ~F.isnan(part) & (F.abs(part) < F.lit(math.inf))
-        return F.when(finite, F.floor(F.lit(256) * part).cast("double"))
+def scaled(x: Column, factor: int) -> Column:
+    """``floor(factor * x)`` as a long."""
+    # floor would make numbers of NaN and infinity; null keeps them out.
+    part = x.cast("double")
+    finite = ~F.isnan(part) & (F.abs(part) < F.lit(math.inf))
+    return F.when(finite, F.floor(F.lit(factor) * part))
+
 
+def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        "vec_id", F.transform("embedding", scaled).alias("v")
+        "vec_id", F.transform("embedding", lambda x: scaled(x, 256).cast("double")).alias("v")
     )
     return topk.top_k(rows.filter(F.col("vec_id") % 50 == 0), rows, "vec_id", "v", k=5)
 
 
+def op11_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", label.alias("label"), F.transform("embedding", lambda x: scaled(x, 256)).alias("v")
+    )
+    return hard_negatives.hard_negatives(rows, "vec_id", "label", "v", F.col("vec_id") % 100 == 0)
+
+
+def op12_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
+
+
+def op13_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.transform("embedding", lambda c: scaled(c, 64) + 1_000_000).alias("x")
+    )
+    stored, model = whitening.train(rows, "x", most=16)
+    found = whitening.with_components(stored, "vec_id", "x", model)
+    count = model.rows if model else 0
+    error = whitening.identity_error(stored, "x", model) if model else 0.0
+    return found.withColumns({"n": F.lit(count).cast("bigint"), "identity_error": F.lit(error)}).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"
+    )
+
+
 BUILDERS = {
     f.__name__: f
     for f in (
@@ -157,6 +187,9 @@ BUILDERS = {
         op8_ngram_toxicity,
         op9_first_fit_packing,
         op10_cover_tree_search,
+        op11_slot_hard_negatives,
+        op12_trie_simhash,
+        op13_cholesky_whitening,
     )
 }
 ORACLES: dict[str, str] = {}
