@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from evalweave.llm.batches import (
     Texts,
     coded,
+    lean,
     mix64,
     offsets_of,
     ragged_index,
@@ -137,6 +138,7 @@ def sketches(docs: DataFrame, key: str, text: str, near: Near) -> DataFrame:
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     per_band = 2 * near.bands
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text"):
             flat, bounds = shingle_sets(texts, near.words)
@@ -202,6 +204,7 @@ def candidate_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, near
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = rows.alias("r").join(reps.alias("w"), F.col("r.id").eqNullSafe(F.col("w.id")), "left_semi")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_slices(batches, "text"):
             flat, bounds = shingle_sets(texts, near.words)
@@ -220,6 +223,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.withColumnsRenamed({"cls": side, "shingles": f"set_{side}"}), side)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
@@ -294,6 +298,7 @@ def block_links(blocks: DataFrame, near: Near) -> DataFrame:
             found += [(cls, targets[h][3]) for h in hits[one]]
         return found
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (
             row

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalweave.llm.batches import offsets_of, ragged_index, text_slices
+from evalweave.llm.batches import lean, offsets_of, ragged_index, text_slices
 from evalweave.llm.tokens import WordEncoder, crc_of, with_end
 from evalweave.session import stage
 
@@ -42,6 +42,7 @@ def token_pieces(
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     fields = [T.StructField(key, docs.schema[key].dataType), *PIECE.fields] + [IDS] * with_ids
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for part, texts in text_slices(batches, "text"):

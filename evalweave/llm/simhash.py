@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.batches import Texts, offsets_of, ragged_index, text_slices, words_of
+from evalweave.llm.batches import Texts, lean, offsets_of, ragged_index, text_slices, words_of
 from evalweave.llm.components import components
 from evalweave.session import stage
 
@@ -94,6 +94,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFr
     """``id, fp`` of every row, the fingerprint as a signed long."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text", SLICE_BYTES):
             found = majority(*shingle_hashes(texts, words)).view(np.int64)
@@ -275,6 +276,7 @@ def walked(table: DataFrame, budget: int) -> DataFrame:
         one, two = forest(comp[i], comp[j])
         return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0

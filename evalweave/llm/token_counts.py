@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalweave.llm.batches import Texts, coded, segment_sums, spans_array, text_slices, words_of
+from evalweave.llm.batches import Texts, coded, lean, segment_sums, spans_array, text_slices, words_of
 from evalweave.llm.tokens import REMEMBERED, tokenizer
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -130,6 +130,7 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: tuple[str, ...] = ()
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens")]
     out = T.StructType([*kept.schema.fields[:-1], *longs])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path, proven.value)
         for part, texts in text_slices(batches, "text"):

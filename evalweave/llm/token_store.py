@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave.llm import perfect_hash
-from evalweave.llm.batches import text_slices
+from evalweave.llm.batches import lean, text_slices
 from evalweave.llm.tokens import WordEncoder, crc_of, with_end
 
 #: Ids after which a shard is closed, unless one document alone has more.
@@ -122,6 +122,7 @@ def write_store(
     schema = _schema(docs.schema[key].dataType)
     names = [f.name for f in schema]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder(vocabulary), TaskContext.get().partitionId()
         state = {"shard": 0, "ids_before": 0}
@@ -182,6 +183,7 @@ def read_documents(spark: SparkSession, path: str, *, with_ids: bool = False) ->
         fields.append(T.StructField("ids", T.BinaryType()))
     schema = T.StructType(fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = _arrow_schema(schema)
         for batch in batches:
@@ -228,6 +230,7 @@ def fetch(spark: SparkSession, path: str, keys: Sequence[object]) -> DataFrame:
         [T.StructField("key", shards.schema["first_key"].dataType), T.StructField("ids", T.ArrayType(T.LongType()))]
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = _arrow_schema(schema)
         for batch in batches:

@@ -14,6 +14,7 @@ import codecs
 import functools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,8 @@ from evalweave.llm.batches import (
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Words given to the library at a time.
+ENCODED = 1024
 
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[[ord(c) for c in ".,!?;:"]] = True
@@ -60,6 +63,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _library_ids(library: Tokenizer, words: list[bytes]) -> Iterator[list[int]]:
+    """The library's ids of each word; its results are large, so few are held at a time."""
+    for at in range(0, len(words), ENCODED):
+        some = [w.decode() for w in words[at : at + ENCODED]]
+        for found in library.encode_batch_fast(some, add_special_tokens=False):
+            yield found.ids
+
+
 def encode_words(library: Tokenizer, words: list[bytes]) -> tuple[list[int], list[int]]:
     """The ids of all the words, and how many each has.
 
@@ -81,12 +92,11 @@ def encode_words(library: Tokenizer, words: list[bytes]) -> tuple[list[int], lis
             sizes.append(-1)
     if not rest:
         return ids, sizes
-    others = library.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)
     both: list[int] = []
-    at, own = 0, iter(others)
+    at, own = 0, _library_ids(library, [words[k] for k in rest])
     for k, size in enumerate(sizes):
         if size < 0:
-            other = next(own).ids
+            other = next(own)
             sizes[k] = len(other)
             both += other
         else:

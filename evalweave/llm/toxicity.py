@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from evalweave.llm.batches import (
     Texts,
     coded,
+    lean,
     mix64,
     offsets_of,
     ragged_index,
@@ -230,6 +231,7 @@ def with_score(df: DataFrame, text: str, model: Model, keep: tuple[str, ...] = (
     plain = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "text"):
             found = pa.array(scores(texts, shared.value), pa.float64())

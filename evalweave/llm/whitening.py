@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalweave.llm.batches import lean
 from evalweave.session import stage
 
 #: Rows that a task turns into doubles at a time.
@@ -82,6 +83,7 @@ def matrices(column: pa.Array) -> Iterator[np.ndarray]:
 def summed(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], size: int, kind: str) -> np.ndarray:
     """The sum of ``kernel(rows)``, ``size`` numbers, over all rows; every task adds up its own rows first."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64 if kind == "long" else np.float64)
         for batch in batches:
@@ -193,6 +195,7 @@ def with_components(df: DataFrame, key: str, vector: str, model: Whitening | Non
         return df.sparkSession.createDataFrame([], schema)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         count = len(own.variances)
@@ -210,4 +213,4 @@ def with_components(df: DataFrame, key: str, vector: str, model: Whitening | Non
                 at += len(x)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{vector}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").alias("x")).mapInArrow(run, schema)
