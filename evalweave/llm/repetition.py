@@ -2,7 +2,7 @@
 
 The words of a slice of texts get exact ids; prefix doubling ranks all suffixes, each text apart from
 the others, and from one step to the next only suffixes that still tie are sorted again. Neighbours
-in suffix order share a prefix whose length (the LCP) is read off the ranks of all steps. The
+in suffix order share a prefix whose length (the LCP) a linear scan in text order finds. The
 deepest LCP interval that holds a suffix has the larger of the two LCP values beside it: that is the
 longest repeated substring beginning there, and maximal repeats are the runs that nothing extends.
 Their spans are united; a text fails if the union covers too much of it or one repeat is too long.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalweave.llm.batches import Texts, coded, offsets_of, segment_sums, spans_array, text_slices, words_of
+from evalweave.llm.batches import Texts, coded, lean, offsets_of, segment_sums, spans_array, text_slices, words_of
 
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -40,21 +40,35 @@ class Rules:
 
 
 class Suffixes:
-    """Ranks of all suffixes of ragged id lists after 1, 2, 4, ... words; lists never mix."""
+    """Ranks of all suffixes of ragged id lists, by doubling the words they are ranked by; lists never mix.
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray):
+    Of the steps only what is read again is kept: ranks by one and two words, the suffixes still tied
+    by two words and by the greatest power of two within ``minimum``, and the final ranks.
+    """
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, minimum: int):
         count = len(ids)
-        self.last = np.repeat(first[1:], np.diff(first))
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        order = np.lexsort((ids, doc)) if count > 1 else np.arange(count)
+        self.ids, self.minimum = ids.astype(np.int32), max(minimum, 1)
+        self.last = np.repeat(first[1:].astype(np.int32), np.diff(first))
+        doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+        order = np.lexsort((self.ids, doc)).astype(np.int32) if count > 1 else np.arange(count, dtype=np.int32)
         fresh = np.ones(count, dtype=bool)
-        fresh[1:] = (doc[order[1:]] != doc[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])
-        rank = np.empty(count, np.int64)
-        rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if count else order
-        self.ranks = [rank]
-        self.tied = [self._tied(order, fresh)]
-        while len(self.tied[-1]):
-            self._double()
+        fresh[1:] = (doc[order[1:]] != doc[order[:-1]]) | (self.ids[order[1:]] != self.ids[order[:-1]])
+        rank = np.empty(count, np.int32)
+        rank[order] = np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh) - 1] if count else order
+        tied = self._tied(order, fresh)
+        self.one, self.two, self.tied_two, self.tied = rank, None, None, None
+        step, wanted = 1, 1 << (self.minimum.bit_length() - 1)
+        while True:
+            if step == 2:
+                self.two, self.tied_two = rank, tied
+            if step == wanted:
+                self.tied = tied
+            if not len(tied):
+                break
+            rank, tied = self._doubled(rank, tied, step)
+            step *= 2
+        self.rank = rank
 
     @staticmethod
     def _tied(order: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -62,63 +76,75 @@ class Suffixes:
         alone = fresh & np.append(fresh[1:], True)
         return order[~alone]
 
-    def _double(self) -> None:
-        """Sort the tied suffixes by their own rank and the rank of what follows."""
-        step, old, tied = 1 << (len(self.ranks) - 1), self.ranks[-1], self.tied[-1]
-        after = tied + step
+    def _doubled(self, old: np.ndarray, tied: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sort the tied suffixes by their own rank and the rank of what follows ``step`` words on."""
+        after = tied + np.int32(step)
         inside = after < self.last[tied]
-        second = np.zeros(len(tied), np.int64)
+        second = np.zeros(len(tied), np.int32)
         second[inside] = old[after[inside]] + 1
+        del after, inside
         own = old[tied]
-        order = np.lexsort((second, own))
+        order = np.lexsort((second, own)).astype(np.int32)
         tied, own, second = tied[order], own[order], second[order]
+        del order
         group = np.ones(len(tied), dtype=bool)
         group[1:] = own[1:] != own[:-1]
         fresh = group.copy()
         fresh[1:] |= second[1:] != second[:-1]
-        places = np.arange(len(tied))
-        begins = places[group][np.cumsum(group) - 1]
-        parts = places[fresh][np.cumsum(fresh) - 1]
+        del second
+        begins = np.flatnonzero(group).astype(np.int32)[np.cumsum(group, dtype=np.int32) - 1]
+        parts = np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh, dtype=np.int32) - 1]
         rank = old.copy()
         rank[tied] = own + parts - begins
-        self.ranks.append(rank)
-        self.tied.append(self._tied(tied, fresh))
-
-    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Words that the suffixes at ``left`` and ``right`` (of one list each) share from their start."""
-        shared = np.zeros(len(left), np.int64)
-        for level in range(len(self.ranks) - 1, -1, -1):
-            a, b = left + shared, right + shared
-            inside = np.flatnonzero((a < self.last[left]) & (b < self.last[right]))
-            rank = self.ranks[level]
-            shared[inside[rank[a[inside]] == rank[b[inside]]]] += 1 << level
+        return rank, self._tied(tied, fresh)
+
+    def common(self, suffixes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Words that each suffix shares with its other one (none where that is -1); suffixes ascend.
+
+        The next suffix of a list shares at most one word less with the one before it in suffix order,
+        so the words compared are linear in all (Kasai's scan).
+        """
+        ids, last = memoryview(self.ids), memoryview(self.last)
+        shared = np.zeros(len(suffixes), np.int32)
+        held, before = 0, -2
+        for at, (i, j) in enumerate(zip(memoryview(suffixes), memoryview(others), strict=True)):
+            held = held - 1 if held and i == before + 1 else 0
+            before = i
+            if j < 0:
+                held = 0
+                continue
+            room = min(last[i] - i, last[j] - j)
+            while held < room and ids[i + held] == ids[j + held]:
+                held += 1
+            shared[at] = held
         return shared
 
-    def longest_repeats(self, minimum: int) -> tuple[np.ndarray, np.ndarray]:
+    def longest_repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes that begin a repeat of at least ``minimum`` words, and its greatest length."""
-        level = max(minimum, 1).bit_length() - 1
-        if level >= len(self.tied):
+        if self.tied is None or not len(self.tied):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        some = self.tied[level]
-        some = some[np.argsort(self.ranks[-1][some])]
-        near = self.ranks[level][some[1:]] == self.ranks[level][some[:-1]]
-        lcp = np.zeros(len(some) + 1, np.int64)
-        lcp[1:-1][near] = self.common(some[:-1][near], some[1:][near])
+        some = self.tied[np.argsort(self.rank[self.tied])]
+        before = np.full(len(some), -1, np.int32)
+        same = self.last[some[1:]] == self.last[some[:-1]]
+        before[1:][same] = some[:-1][same]
+        order = np.argsort(some)
+        lcp = np.zeros(len(some) + 1, np.int32)
+        lcp[order] = self.common(some[order], before[order])
         longest = np.maximum(lcp[:-1], lcp[1:])
-        enough = longest >= minimum
-        return some[enough], longest[enough]
+        enough = longest >= self.minimum
+        return some[enough].astype(np.int64), longest[enough].astype(np.int64)
 
     def repeated_windows(self) -> np.ndarray:
         """Starts of the three-word windows that occur at least twice in their list."""
-        if len(self.ranks) < 2:
+        if self.tied_two is None:
             return np.zeros(0, np.int64)
-        pairs = self.tied[1]
+        pairs = self.tied_two
         pairs = pairs[pairs + 2 < self.last[pairs]]
-        two, third = self.ranks[1][pairs], self.ranks[0][pairs + 2]
+        two, third = self.two[pairs], self.one[pairs + 2]
         order = np.lexsort((third, two))
         pairs, two, third = pairs[order], two[order], third[order]
         same = (two[1:] == two[:-1]) & (third[1:] == third[:-1])
-        return pairs[np.append(same, False) | np.append(False, same)]
+        return pairs[np.append(same, False) | np.append(False, same)].astype(np.int64)
 
 
 def _covered(starts: np.ndarray, lengths: np.ndarray, count: int) -> np.ndarray:
@@ -132,7 +158,8 @@ def measure(texts: Texts, rules: Rules) -> dict[str, np.ndarray]:
     data, starts, ends, first = words_of(texts)
     n_words = np.diff(first)
     codes, _ = coded(spans_array(data, starts, ends))
-    suffixes = Suffixes(codes, first)
+    suffixes = Suffixes(codes, first, rules.repeat_words)
+    del codes
 
     ink = np.zeros(len(data) + 1, np.int64)
     ink[starts] += 1
@@ -141,9 +168,10 @@ def measure(texts: Texts, rules: Rules) -> dict[str, np.ndarray]:
     letters = ink & ((data & 0xC0) != 0x80)
 
     windows = suffixes.repeated_windows()
-    in_windows = _covered(windows, np.full(len(windows), 3), len(codes))
-    at, longest = suffixes.longest_repeats(rules.repeat_words)
-    in_repeats = _covered(at, longest, len(codes))
+    in_windows = _covered(windows, np.full(len(windows), 3), first[-1])
+    at, longest = suffixes.longest_repeats()
+    in_repeats = _covered(at, longest, first[-1])
+    del suffixes
     most = np.zeros(len(n_words), np.int64)
     text_of = np.searchsorted(first, at, side="right") - 1
     np.maximum.at(most, text_of, longest)
@@ -214,6 +242,7 @@ def with_measures(
         added.append(T.StructField(prefix + "spans", T.ArrayType(SPAN)))
     schema = T.StructType([*plain.schema.fields, *added])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text_at):
             found = measure(texts, rules)
