@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalweave.functions.text import clean_float, clean_text, prompt_hash, shuffle_key
-from evalweave.operators.ordered import SMALL_LIMIT, dense_index, limit_ordered, number_rows
+from evalweave.operators.lazy import buffered_shuffle
+from evalweave.operators.ordered import dense_index, limit_ordered, number_limited
 from evalweave.operators.skew import lookup_join
 from evalweave.schemas import (
     EXAMPLE_COLUMNS,
@@ -37,7 +40,9 @@ def allowed_values(values: Iterable[object] | str | None) -> list[str]:
 class ManifestSpec:
     """What to select and how to order it. ``order_by`` stands in for the file order of a source.
 
-    ``streaming`` is only recorded: a DataFrame is read lazily either way.
+    A DataFrame is read lazily either way; ``streaming`` with ``shuffle`` means that rows are shuffled as
+    they are read, through a buffer of ``shuffle_buffer`` rows of each of the ``shards`` (the columns
+    that name a row's file), instead of all at once.
     """
 
     dataset_name: str = "dataset"
@@ -54,8 +59,12 @@ class ManifestSpec:
     shuffle: bool = False
     normalize: bool = True
     streaming: bool = False
+    shuffle_buffer: int = 10_000
+    shards: Sequence[str] = ()
 
     def __post_init__(self) -> None:
+        if self.streaming and self.shuffle and not self.shards:
+            raise ValueError("a shuffle while reading needs the columns that name the shards")
         if self.max_samples is not None and self.max_samples <= 0:
             raise ValueError("max_samples must be greater than zero")
 
@@ -157,11 +166,15 @@ def metadata(df: DataFrame) -> DataFrame:
     )
 
 
+def kept_columns(spec: ManifestSpec) -> list[str]:
+    return list(dict.fromkeys([*spec.order_by, *spec.shards]))
+
+
 def load_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     """Filter, clean, limit; no shuffle."""
     df = filter_examples(require_columns(df), spec.filters())
     if spec.normalize:
-        df = normalize_examples(df, keep=spec.order_by)
+        df = normalize_examples(df, keep=kept_columns(spec))
     return limit_ordered(df, spec.order_by, spec.max_samples, spec.order_by)
 
 
@@ -169,6 +182,9 @@ def with_order(df: DataFrame, spec: ManifestSpec) -> tuple[DataFrame, list[str]]
     """``df`` and the columns that put it in order: the seeded key first when shuffling."""
     if not spec.shuffle:
         return df, list(spec.order_by)
+    if spec.streaming:
+        shuffled = buffered_shuffle(df, spec.shards, seed=spec.seed, buffer=spec.shuffle_buffer)
+        return shuffled, ["shuffle_shard", "shuffle_place", *spec.order_by]
     return df.withColumn("_shuffle", shuffle_key(spec.seed, F.col("id"))), ["_shuffle", *spec.order_by]
 
 
@@ -183,14 +199,9 @@ def number_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     rows = load_examples(df, replace(spec, max_samples=None))
     if not spec.normalize:
         # Every manifest row is clean, also when the loader was told to leave rows as they are.
-        rows = normalize_examples(rows, keep=spec.order_by)
+        rows = normalize_examples(rows, keep=kept_columns(spec))
     rows, order = with_order(rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt"))), spec)
-    few = spec.max_samples is not None and spec.max_samples <= SMALL_LIMIT
-    if few:
-        rows = limit_ordered(rows, order, spec.max_samples)
-    numbered = number_rows(rows, order, list(spec.order_by))
-    if spec.max_samples is not None and not few:
-        numbered = numbered.filter(F.col("row_index") < spec.max_samples)
+    numbered = number_limited(rows, order, spec.max_samples, list(spec.order_by))
     return numbered.select(*MANIFEST_SCHEMA.names)
 
 
@@ -330,6 +341,57 @@ def collate(df: DataFrame, batch_size: int) -> DataFrame:
     )
 
 
+def collate_with(
+    df: DataFrame,
+    batch_size: int,
+    function: Callable[[list[dict]], dict],
+    schema: T.StructType | str,
+    *,
+    per_row: Sequence[str] = (),
+) -> DataFrame:
+    """``batch_id`` and what a user's own ``function`` makes of the rows of each batch, in row order.
+
+    For what ``collate`` cannot say. ``df`` holds the columns that the function reads, and ``row_index``.
+    ``schema`` declares the fields that it returns; other fields are refused, and so is a list of
+    ``per_row`` that has not one entry for each row. A worker holds one batch, whatever the number of
+    batches in its task.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    unknown = set(per_row) - set(fields.names)
+    if unknown:
+        raise ValueError(f"not in the schema: {', '.join(sorted(unknown))}")
+    whole = T.StructType([T.StructField("batch_id", T.LongType()), *fields.fields])
+    rows = assign_batches(df, batch_size).repartition("batch_id").sortWithinPartitions("batch_id", "row_index")
+
+    def made(batch: int, rows: list[dict]) -> dict:
+        out = function(rows)
+        if set(out) != set(fields.names):
+            raise ValueError(f"batch {batch}: the function returned {sorted(out)}, not {sorted(fields.names)}")
+        for name in per_row:
+            if out[name] is None or len(out[name]) != len(rows):
+                raise ValueError(f"batch {batch}: {name} has not one entry for each of {len(rows)} rows")
+        return {"batch_id": batch, **out}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(whole)
+        number, held = None, []
+        for part in batches:
+            done = []
+            for row in part.to_pylist():
+                own = row.pop("batch_id")
+                if own != number and held:
+                    done.append(made(number, held))
+                    held = []
+                number = own
+                held.append(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist([made(number, held)], schema=arrow)
+
+    return rows.mapInArrow(run, whole)
+
+
 def iterate_examples(batches: DataFrame) -> DataFrame:
     """Batches back to (prompt, metadata, reference) rows; lists of unequal length are an error."""
     sizes = [F.size(c) for c in ("prompts", "metadata", "reference_responses")]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions import text as tx
 from evalweave.functions.parsing import parse_response, scalar_entries
 from evalweave.operators import dataset as ds
+from evalweave.operators import lazy
 from evalweave.operators.ordered import dense_index, limit_ordered
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
@@ -190,6 +193,63 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.seeded_shuffle(rows, SPEC).select("id", "row_index")
 
 
+# Which row a drawn slot sends out is known at once: the one that took the slot last, so a row leaves
+# when its slot is next drawn, and else with what is left at the end.
+SHARDS, BUFFER = 8, 50
+STREAMED = replace(SPEC, streaming=True, shuffle=True, shuffle_buffer=BUFFER, shards=("shard",))
+
+
+def _wrapped(value: str) -> str:
+    return f"(({value}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _draw(place: str) -> str:
+    x = _wrapped(f"k::UHUGEINT + ({place})::UHUGEINT * {lazy.STEP}::UHUGEINT")
+    for shift, factor in ((30, lazy.FACTOR_1), (27, lazy.FACTOR_2)):
+        x = _wrapped(f"xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT")
+    return f"xor({x}, {x} >> 31)"
+
+
+_STREAMED = f"""rows AS (SELECT doc_id, doc_id % {SHARDS} AS shard,
+      row_number() OVER (PARTITION BY doc_id % {SHARDS} ORDER BY doc_id) - 1 AS t,
+      count(*) OVER (PARTITION BY doc_id % {SHARDS}) AS n,
+      ('0x' || substr(md5('42:' || (doc_id % {SHARDS})), 1, 15))::BIGINT AS k FROM documents),
+    drawn AS (SELECT *, CASE WHEN t < {BUFFER} THEN t ELSE ({_draw('t')} % {BUFFER}::UBIGINT)::BIGINT END AS slot,
+      {_draw(f't + {lazy.LEFT}')} AS last_draw FROM rows),
+    sent AS (SELECT *, lead(t) OVER (PARTITION BY shard, slot ORDER BY t) AS t_out FROM drawn),
+    placed AS (SELECT *, CASE WHEN t_out IS NOT NULL THEN t_out - {BUFFER} ELSE greatest(n - {BUFFER}, 0)
+      + row_number() OVER (PARTITION BY shard, t_out IS NULL ORDER BY last_draw) - 1 END AS place FROM sent),
+    streamed AS (SELECT doc_id, shard, place, row_number() OVER (ORDER BY k, place) - 1 AS row_index FROM placed)"""
+
+
+def _sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples as files of one shard each, in order, read back as they lie there."""
+    rows = fx.examples(spark, sf_dir).withColumn("shard", F.col("position") % SHARDS)
+    path = shared_path(spark, "shards")
+    filed = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "position")
+    filed.write.partitionBy("shard").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("buffered_shuffle", f"WITH {_STREAMED} SELECT doc_id AS position, shard, place, row_index FROM streamed")
+def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sharded(spark, sf_dir).select("position", "shard")
+    shuffled = lazy.buffered_shuffle(rows, ["shard"], seed=42, buffer=BUFFER)
+    numbered = dense_index(shuffled, ["shuffle_shard", "shuffle_place"])
+    return numbered.select("position", "shard", F.col("shuffle_place").alias("place"), "row_index")
+
+
+@query(
+    "manifest_streamed",
+    f"""WITH {_STREAMED} SELECT CAST(d.doc_id AS VARCHAR) AS id, s.row_index, sha256(trim(d.text, {q.WS})) AS prompt_sha256
+    FROM documents d JOIN streamed s ON d.doc_id = s.doc_id WHERE s.row_index < 300""",
+)
+def manifest_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of rows that were shuffled as they were read, its first 300."""
+    spec = replace(STREAMED, max_samples=300)
+    return ds.number_examples(_sharded(spark, sf_dir), spec).select("id", "row_index", "prompt_sha256")
+
+
 @query("limit_ordered", f"WITH {q.EXAMPLES} SELECT id, language FROM examples ORDER BY position DESC LIMIT 100")
 def limit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.examples(spark, sf_dir).select("id", "language", "position")
@@ -322,6 +382,44 @@ def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MICRO_WORDS = 120
+
+
+def _micro_batches(rows: list[dict]) -> dict:
+    """Rows share a micro-batch as long as their words stay within a budget; its padded size is what it costs."""
+    words = [r["prompt"].count(" ") + 1 for r in rows]
+    micro: list[int] = []
+    number = used = 0
+    for size in words:
+        if used and used + size > MICRO_WORDS:
+            number, used = number + 1, 0
+        used += size
+        micro.append(number)
+    own = [[w for w, m in zip(words, micro, strict=True) if m == k] for k in range(number + 1)]
+    return {"micro": micro, "words": words, "padded": sum(len(w) * max(w) for w in own)}
+
+
+@query(
+    "collate_custom",
+    f"""WITH RECURSIVE {_ANSWERED_MANIFEST}, sized AS (
+      SELECT row_index, length(prompt) - length(replace(prompt, ' ', '')) + 1 AS words FROM manifest),
+    walk AS (SELECT row_index, words, 0 AS micro, words AS used FROM sized WHERE row_index % 16 = 0
+      UNION ALL SELECT s.row_index, s.words, CASE WHEN w.used + s.words > {MICRO_WORDS} THEN w.micro + 1 ELSE w.micro END,
+        CASE WHEN w.used + s.words > {MICRO_WORDS} THEN s.words ELSE w.used + s.words END
+      FROM walk w JOIN sized s ON s.row_index = w.row_index + 1 AND s.row_index % 16 <> 0),
+    costs AS (SELECT row_index // 16 AS batch_id, micro, count(*) * max(words) AS cost FROM walk GROUP BY ALL),
+    totals AS (SELECT batch_id, CAST(sum(cost) AS BIGINT) AS padded FROM costs GROUP BY batch_id)
+    SELECT row_index // 16 AS batch_id, string_agg(micro, ',' ORDER BY row_index) AS micro,
+      string_agg(words, ',' ORDER BY row_index) AS words, any_value(padded) AS padded
+    FROM walk JOIN totals ON totals.batch_id = row_index // 16 GROUP BY row_index // 16""",
+)
+def collate_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = ds.number_examples(fx.answered_examples(spark, sf_dir), SPEC).select("row_index", "prompt")
+    schema = "micro array<int>, words array<int>, padded long"
+    made = ds.collate_with(numbered, 16, _micro_batches, schema, per_row=("micro", "words"))
+    return made.withColumns({c: F.array_join(c, ",") for c in ("micro", "words")})
+
+
 @query(
     "max_batches_limit",
     f"""WITH {_ANSWERED_MANIFEST} SELECT row_index // 4 AS batch_id, id AS example_id, prompt,
