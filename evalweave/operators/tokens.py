@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalweave.operators.ordered import dense_index
 from evalweave.operators.skew import lookup_join
 from evalweave.session import stage
 
+#: Most bytes of a vocabulary that every task may hold, and ids decoded at a time.
+DICTIONARY_BYTES = 64 << 20
+TOKENS_HELD = 1 << 20
+
 
 def token_events(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
     """One row per generated token, with its step and its own text (special tokens included).
@@ -26,13 +35,148 @@ def token_events(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame)
     ).select(*keys, "token_step", "token_id", "token_text", "is_special")
 
 
-def detokenize(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Dictionary:
+    """A vocabulary of checked size as Arrow columns, by ascending id."""
+
+    ids: np.ndarray
+    texts: pa.Array
+    special: np.ndarray
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where each id stands; -1 for those that are not there."""
+        if not len(self.ids):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at, -1)
+
+
+def dictionary(vocab: DataFrame, most_bytes: int = DICTIONARY_BYTES) -> Dictionary | None:
+    """The stored vocabulary on the driver, if its texts and ids take at most ``most_bytes``; else null.
+
+    A vocabulary belongs to a model and does not grow with the data, but that is measured here.
+    """
+    bulk = vocab.agg(F.sum(F.coalesce(F.octet_length("token_text"), F.lit(0)) + F.lit(16))).first()[0]
+    if (bulk or 0) > most_bytes:
+        return None
+    rows = vocab.filter(F.col("token_id").isNotNull() & F.col("token_text").isNotNull())
+    table = rows.select("token_id", "token_text", "is_special").toArrow().sort_by("token_id").combine_chunks()
+    ids, texts, special = (c.combine_chunks() for c in table.columns)
+    ids = ids.to_numpy().astype(np.int64)
+    if len(ids) and (np.diff(ids) == 0).any():
+        raise ValueError("a token id has several texts")
+    flags = pc.fill_null(special, False).to_numpy(zero_copy_only=False).astype(bool)
+    return Dictionary(ids, texts.cast(pa.large_string()), flags)
+
+
+def detokenize(
+    df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, most_bytes: int = DICTIONARY_BYTES
+) -> DataFrame:
     """The ids with their raw text (all tokens), clean text (no special ones) and an error for unknown ids.
 
-    One pass: a row without tokens goes through the explosion as one empty row, and the regrouping,
-    which puts back what was one row's array, puts back the ids as well. With a broadcast vocabulary
-    the tokens of a row are folded together before the shuffle, which then moves one record per row.
-    A null list counts as an empty one.
+    ``keys`` identify a row; a null list counts as an empty one. With a vocabulary within ``most_bytes``
+    every task takes the texts of its rows' ids from a broadcast dictionary, and no token ever becomes
+    a row or moves. Beyond, the tokens are exploded and joined.
+    """
+    held = dictionary(vocab, most_bytes)
+    if held is None:
+        return _detokenize_by_join(df, keys, ids, vocab)
+    shared = df.sparkSession.sparkContext.broadcast(held)
+    plain = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], F.col(ids).cast("array<bigint>").alias("ids"))
+    given = F.coalesce(F.col("ids"), F.array().cast("array<bigint>"))
+    names = [*keys, ids, "raw_response", "clean_text", "response_error"]
+    text = [T.StructField(n, T.StringType()) for n in names[-3:]]
+    schema = T.StructType([*plain.schema.fields, *text])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _token_slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, *_decoded(part.column("ids"), shared.value)], schema.names)
+
+    made = plain.withColumn("ids", given).mapInArrow(run, schema).toDF(*names)
+    return made.withColumn(ids, F.col(f"`{ids}`").cast(df.schema[ids].dataType))
+
+
+def _token_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with a bounded number of ids, or one row that has more."""
+    bounds = batch.column("ids").offsets.to_numpy()
+    begin = 0
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(bounds, bounds[begin] + TOKENS_HELD, side="right")) - 1
+        end = min(max(end, begin + 1), batch.num_rows)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _decoded(lists: pa.ListArray, vocab: Dictionary) -> list[pa.Array]:
+    """Raw text, clean text and error of each list of ids."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets, flat = offsets - offsets[0], lists.flatten()
+    given = flat.is_valid().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+    at = np.where(given, vocab.places(ids), -1)
+    row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    lost = at < 0
+    bad = np.zeros(len(lists), dtype=bool)
+    bad[row[lost]] = True
+    # The least unknown id of a row, nulls last.
+    least = np.full(len(lists), np.iinfo(np.int64).max)
+    np.minimum.at(least, row[lost & given], ids[lost & given])
+    named = np.zeros(len(lists), dtype=bool)
+    named[row[lost & given]] = True
+    errors = [
+        f"KeyError: unknown token id {least[i] if named[i] else 'null'}" if b else None for i, b in enumerate(bad.tolist())
+    ]
+    joined = []
+    for keep in (~lost, ~lost & ~vocab.special[at] if len(vocab.ids) else ~lost):
+        ends = np.append(0, np.cumsum(keep))[offsets]
+        texts = pa.LargeListArray.from_arrays(pa.array(ends), vocab.texts.take(pa.array(at[keep])))
+        whole = pc.binary_join(texts, pa.scalar("", pa.large_string()))
+        joined.append(pc.if_else(pa.array(bad), pa.scalar(None, pa.large_string()), whole).cast(pa.string()))
+    return [*joined, pa.array(errors, pa.string())]
+
+
+def encode_words(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame, name: str) -> DataFrame:
+    """``keys`` and the ids of the words between single blanks of ``text``; unknown words are null.
+
+    The way back of ``detokenize``, by the same dictionary or the same join. Null text has a null list.
+    """
+    held = dictionary(vocab)
+    if held is None:
+        return _encode_by_join(df, keys, text, vocab, name)
+    shared = df.sparkSession.sparkContext.broadcast(held)
+    plain = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], F.col(text).alias("text"))
+    schema = T.StructType([*plain.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, numbers = shared.value.texts, pa.array(shared.value.ids.astype(np.int32))
+        for batch in batches:
+            words = pc.split_pattern(batch.column("text").cast(pa.large_string()), " ")
+            coded = words.flatten().dictionary_encode()
+            ids = numbers.take(pc.index_in(coded.dictionary, texts)).take(coded.indices)
+            sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            mask = words.is_null() if words.null_count else None
+            lists = pa.ListArray.from_arrays(pa.array(offsets), ids, mask=mask)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*keys, name)
+
+
+def _encode_by_join(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame, name: str) -> DataFrame:
+    words = df.select(*keys, F.posexplode_outer(F.split(text, " ", -1)).alias("_at", "_word"))
+    coded = lookup_join(words, vocab.select(F.col("token_text").alias("_word"), "token_id"), ["_word"], stored=True)
+    there = F.when(F.col("_at").isNotNull(), F.struct("_at", "token_id"))
+    grouped = coded.groupBy(*keys).agg(F.array_sort(F.collect_list(there)).alias("_t"), F.max("_at").alias("_last"))
+    ids = F.when(F.col("_last").isNotNull(), F.transform("_t", lambda t: t["token_id"].cast("int")))
+    return grouped.select(*keys, ids.alias(name))
+
+
+def _detokenize_by_join(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
+    """``detokenize`` for any vocabulary.
+
+    A row without tokens goes through the explosion as one empty row, and the regrouping, which puts
+    back what was one row's array, puts back the ids as well.
     """
     steps = df.select(*keys, F.posexplode_outer(ids).alias("token_step", "token_id"))
     tokens = lookup_join(

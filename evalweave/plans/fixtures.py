@@ -13,8 +13,7 @@ from evalweave.functions.vectors import softmax, topk
 from evalweave.operators.dataset import normalize_examples
 from evalweave.operators.ordered import chunk_of, scan_in_order
 from evalweave.operators.runs import RunSpec, run_matrix
-from evalweave.operators.skew import lookup_join
-from evalweave.operators.tokens import dense_vocabulary
+from evalweave.operators.tokens import dense_vocabulary, encode_words
 from evalweave.schemas import EXAMPLE_COLUMNS
 from evalweave.session import stage
 
@@ -238,17 +237,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated(spark: SparkSession, sf_dir: str, vocab: DataFrame, *, with_unknown: bool = False) -> DataFrame:
     """Per document the token ids of its whole text; some get one id no vocabulary knows."""
-    coded = lookup_join(
-        words(spark, sf_dir),
-        vocab.select(F.col("token_text").alias("word"), "token_id"),
-        ["word"],
-        stored=True,
-    )
-    rows = coded.groupBy("doc_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("at", "token_id"))), lambda t: t["token_id"]
-        ).alias("ids")
-    )
+    rows = encode_words(table(spark, sf_dir, "documents"), ["doc_id"], "text", vocab, "ids")
     ids = F.col("ids")
     if with_unknown:
         ids = F.when(F.col("doc_id") % 37 == 0, F.concat(ids, F.array(F.lit(-1)))).otherwise(ids)

@@ -114,7 +114,9 @@ def test_a_predictor_must_answer_every_prompt(spark):
         inference.batch_infer(rows, short, name="short", batch_size=4).collect()
 
 
-def test_detokenize_with_special_unknown_and_no_tokens(spark):
+@pytest.mark.parametrize("most_bytes", [tokens.DICTIONARY_BYTES, 10])
+def test_detokenize_with_special_unknown_and_no_tokens(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(tokens, "TOKENS_HELD", 2)
     vocab = spark.createDataFrame(
         [(0, "<s>", True), (1, "he", False), (2, "llo", False)], "token_id int, token_text string, is_special boolean"
     )
@@ -122,7 +124,9 @@ def test_detokenize_with_special_unknown_and_no_tokens(spark):
     df = spark.createDataFrame(
         [("a", [0, 1, 2, 0]), ("b", [1, 7, 9]), ("c", []), ("d", None), ("e", [1, None])], "run_id string, ids array<int>"
     )
-    decoded = tokens.detokenize(df, ["run_id"], "ids", vocab)
+    decoded = tokens.detokenize(df, ["run_id"], "ids", vocab, most_bytes)
+    assert decoded.columns == ["run_id", "ids", "raw_response", "clean_text", "response_error"]
+    assert decoded.schema["ids"].dataType == df.schema["ids"].dataType
     rows = {r["run_id"]: r for r in tokens.capture_errors(decoded).collect()}
     assert set(rows) == set("abcde") and rows["a"]["ids"] == [0, 1, 2, 0]
     assert rows["a"]["raw_response"] == "<s>hello<s>" and rows["a"]["final_text"] == "hello"
@@ -133,6 +137,19 @@ def test_detokenize_with_special_unknown_and_no_tokens(spark):
     assert rows["e"]["response_error"] == "KeyError: unknown token id null" and rows["e"]["ids"] == [1, None]
 
 
+def test_words_and_ids_go_back_and_forth(spark, monkeypatch):
+    vocab = stage(spark.createDataFrame([(3, "a", False), (7, "", False), (9, "b\u00e9", True)], "token_id int, token_text string, is_special boolean"), "vocabulary")
+    df = spark.createDataFrame([("1", "a b\u00e9 a"), ("2", ""), ("3", None), ("4", " a  x")], "run_id string, text string")
+    want = {"1": [3, 9, 3], "2": [7], "3": None, "4": [7, 3, 7, None]}
+    for most in (tokens.DICTIONARY_BYTES, 0):
+        monkeypatch.setattr(tokens.dictionary, "__defaults__", (most,))
+        coded = tokens.encode_words(df, ["run_id"], "text", vocab, "ids")
+        assert {r["run_id"]: r["ids"] for r in coded.collect()} == want
+    repeated = stage(vocab.unionByName(vocab), "vocabulary")
+    with pytest.raises(ValueError, match="several texts"):
+        tokens.dictionary(repeated, tokens.DICTIONARY_BYTES)
+
+
 def test_experiment_end_to_end(spark, tmp_path):
     data, run = ManifestSpec(), runs.RunSpec("run-1", MODELS, batch_size=5, max_batches=None)
     engines = dict.fromkeys(MODELS, echo)
