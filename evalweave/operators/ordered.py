@@ -160,17 +160,25 @@ def content(df: DataFrame) -> Column:
     return F.sha2(F.coalesce(whole, F.lit("")).cast("binary"), 256)
 
 
+def _then(order: Sequence[str | Column], more: Sequence[str]) -> list[str | Column]:
+    """``order`` and behind it the columns of ``more`` that it does not name."""
+    named = {o for o in order if isinstance(o, str)}
+    return [*order, *[c for c in more if c not in named]]
+
+
 def number_rows(
     df: DataFrame, order: Sequence[str | Column], key: Sequence[str], name: str = "row_index"
 ) -> DataFrame:
     """``dense_index`` for wide rows: only the sort columns and the key are sorted and staged.
 
-    ``key`` names columns that identify a row. The wide rows are then shuffled once, to meet their
-    number; sorting them instead would read them twice (a range sort samples first) and write them
-    once more. Should the key be null or repeated somewhere, the rows are sorted whole after all, by
-    ``order`` and then by their content, which no layout can change. Only fully equal rows are told
-    apart by their place in a stored copy, so that a large group of them is split like any other.
+    ``key`` names columns that identify a row; rows of equal order follow each other by it. The wide
+    rows are then shuffled once, to meet their number; sorting them instead would read them twice (a
+    range sort samples first) and write them once more. Should the key be null or repeated somewhere,
+    the rows are sorted whole after all, by ``order``, key and then content, which no layout can
+    change. Only fully equal rows are told apart by their place in a stored copy, so that a large group
+    of them is split like any other.
     """
+    order = _then(order, key)
     numbers = dense_index(df, order, name, keep=key)
     absent = functools.reduce(Column.__or__, [F.col(c).isNull() for c in key])
     unfit = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | absent)
@@ -186,48 +194,88 @@ def limit_ordered(
 ) -> DataFrame:
     """The first ``n`` rows in ``order``; all of them when ``n`` is null.
 
-    Rows of equal order follow each other by ``content``, so the same rows are kept for any layout and
-    any ``n``. A small ``n`` is a top-n; a large one would gather all its rows in one task and is cut by
-    row number instead, in the same order. ``key`` is as in ``number_rows``.
+    Rows of equal order follow each other by ``key`` (as in ``number_rows``) and then by ``content``, so
+    the same rows are kept for any layout and any ``n``. A small ``n`` is a top-n; a large one would
+    gather all its rows in one task and is cut by row number instead, in the same order.
     """
     if n is None:
         return df
     if n <= 0:
         raise ValueError("the limit must be greater than zero")
     if n <= SMALL_LIMIT:
-        return df.orderBy(*order, content(df)).limit(n)
+        return df.orderBy(*_then(order, key or ()), content(df)).limit(n)
     if key:
-        numbered = number_rows(df, order, key, "_at")
-    else:
-        numbered = dense_index(df.withColumn("_content", content(df)), [*order, "_content"], "_at")
+        return number_limited(df, order, n, key, "_at").drop("_at")
+    numbered = dense_index(df.withColumn("_content", content(df)), [*order, "_content"], "_at")
     return numbered.filter(F.col("_at") < n).select(*df.columns)
 
 
+def number_limited(
+    df: DataFrame, order: Sequence[str | Column], n: int | None, key: Sequence[str], name: str = "row_index"
+) -> DataFrame:
+    """The first ``n`` rows (all when null) as ``limit_ordered`` keeps them, numbered as ``number_rows`` does."""
+    if n is not None and n <= SMALL_LIMIT:
+        return number_rows(limit_ordered(df, order, n, key), order, key, name)
+    numbered = number_rows(df, order, key, name)
+    return numbered if n is None else numbered.filter(F.col(name) < n)
+
+
 def group_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, tie: Sequence[str], name: str
+    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, *, bins: int = 1024, few: int = 4096
 ) -> DataFrame:
-    """Exact percentile with linear interpolation, for groups too large for one task's buffer.
+    """Exact percentile with linear interpolation per ``keys``, whatever the size of a group.
 
-    Rows are numbered globally in (keys, value) order; each group then needs the two rows around
-    its rank, found by an equi-join on the number.
+    Selection by histograms that merge: a group's two wanted ranks lie in a range of values, first
+    the whole group's. Rows count into ``bins`` bins of the range, which combine before the shuffle
+    and carry their own least and greatest value; the bin that holds the rank is the next range. Once
+    at most ``few`` rows are left (often from the start) or they are all equal, their counted distinct
+    values are gone through in order. Null and NaN values are left out.
     """
-    present = df.select(*keys, value, *tie).filter(F.col(value).isNotNull())
-    numbered = dense_index(present, [*keys, value, *tie], "_at").select(*keys, value, "_at")
-    spans = numbered.groupBy(*keys).agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size")
+    keys = list(keys)
+    v = F.col("_v")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    facts = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    rank = F.lit(q) * (F.col("_n") - 1)
+    ends = F.array(*[F.struct(F.lit(i).alias("_end"), f(rank).cast("bigint").alias("_rank")) for i, f in enumerate((F.floor, F.ceil))])
+    wanted = rows.groupBy(*keys).agg(*facts).withColumns({"_share": rank - F.floor(rank), "_e": F.explode(ends)})
+    wanted = stage(wanted.select(*keys, "_share", "_e.*", "_n", "_low", "_high"), "ranks")
+    target = [*keys, "_end", "_rank", "_share"]
+    open_ = (F.col("_n") > few) & (F.col("_low") < F.col("_high"))
+
+    def narrowed(ranges: DataFrame, place: Column) -> DataFrame:
+        """The part, by ``place`` inside it, of every range that holds its rank; ranks then count from its start."""
+        asked = ranges.select(*target, "_low", "_high")
+        inside = _beside(rows, asked, keys).filter(v.between(F.col("_low"), F.col("_high")))
+        parts = inside.withColumn("_part", place).groupBy(*target, "_part").agg(*facts)
+        before = Window.partitionBy(*target).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counted = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        here = counted.filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        return here.withColumn("_rank", F.col("_rank") - F.col("_before")).select(*target, "_n", "_low", "_high")
+
+    low, high = F.col("_low"), F.col("_high")
+    # Halves, so that a range of nearly all doubles does not overflow; its ends are bins of their own.
+    share = F.coalesce(F.nanvl(F.try_divide(v / 2 - low / 2, high / 2 - low / 2), F.lit(0.0)), F.lit(0.0))
+    even = F.when(v <= low, -1).when(v >= high, bins).otherwise(F.floor(share * bins)).cast("int")
+    found = wanted.filter(~open_)
+    wanted = wanted.filter(open_)
+    while not wanted.isEmpty():
+        wanted = stage(narrowed(wanted, even), "ranks")
+        found = found.unionByName(wanted.filter(~open_))
+        wanted = wanted.filter(open_)
+    several = low < high
+    values = found.filter(~several).select(*target, "_low")
+    values = values.unionByName(narrowed(found.filter(several), v).select(*target, "_low"))
+    ends_of = [F.max(F.when(F.col("_end") == i, F.col("_low"))) for i in (0, 1)]
+    # Equal ends, infinite ones too, are the percentile themselves.
+    between = F.when(ends_of[0] == ends_of[1], ends_of[0]).otherwise(
+        ends_of[0] + (ends_of[1] - ends_of[0]) * F.max("_share")
     )
-    rank = F.lit(q) * (F.col("_size") - 1)
-    wanted = spans.select(
-        *keys,
-        (rank - F.floor(rank)).alias("_part"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("hi"), (F.col("_first") + F.floor(rank)).alias("at")),
-                F.struct(F.lit(1).alias("hi"), (F.col("_first") + F.ceil(rank)).alias("at")),
-            )
-        ).alias("_w"),
-    ).select(*keys, "_part", "_w.hi", F.col("_w.at").alias("_at"))
-    found = wanted.join(numbered.select("_at", value), "_at")
-    low = F.max(F.when(F.col("hi") == 0, F.col(value)))
-    high = F.max(F.when(F.col("hi") == 1, F.col(value)))
-    return found.groupBy(*keys).agg((low + (high - low) * F.max("_part")).alias(name))
+    return values.groupBy(*keys).agg(between.alias(name))
+
+
+def _beside(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows next to the ranges (at most two) of their keys, null keys included."""
+    both = ranges.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in ranges.columns if c not in keys])).alias("_r"))
+    same = functools.reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys], F.lit(True))
+    joined = rows.alias("l").join(both.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}") for c in keys], "_v", F.explode("_r").alias("_x")).select(*keys, "_v", "_x.*")

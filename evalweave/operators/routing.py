@@ -13,13 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.vectors import ROUTE_FIELDS, bind, map_columns, percentile, route_columns
+from evalweave.functions.vectors import ROUTE_FIELDS, bind, map_columns, route_columns
 from evalweave.operators.ordered import group_percentile, scan_in_order
 from evalweave.operators.skew import lookup_join
 from evalweave.session import stage
 
 BUSIEST = 8
-MAX_BUFFERED_TOKENS = 500_000
 
 
 def route_tokens(
@@ -116,70 +115,32 @@ def load_variation(counted: DataFrame) -> DataFrame:
     return counted.withColumn("expert_load_cv", bind(mean, variation))
 
 
-def _measures(tokens: DataFrame, event: Sequence[str], with_p95: bool) -> DataFrame:
-    aggregates = [
+def event_measures(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
+    """Entropy mean and exact 95th percentile, and top-1 margin, per event.
+
+    One aggregate decides which reading of the scores counts. The percentile is then selected among
+    the entropies of that reading, so no event's values are ever gathered.
+    """
+    measured = tokens.groupBy(*event).agg(
         F.count(F.lit(1)).alias("tokens_routed"),
         F.bool_and("looks_normalized").alias("kept"),
         F.avg("entropy_kept").alias("_ek"),
         F.avg("entropy_softmax").alias("_es"),
         F.avg("margin_kept").alias("_mk"),
         F.avg("margin_softmax").alias("_ms"),
-    ]
-    if with_p95:
-        # Sorting a collected list takes well under half the time of the percentile aggregate.
-        aggregates += [
-            F.collect_list("entropy_kept").alias("_lk"),
-            F.collect_list("entropy_softmax").alias("_ls"),
-        ]
-    measured = tokens.groupBy(*event).agg(*aggregates)
-    if not with_p95:
-        return measured
-    counted = F.when(F.col("kept"), F.col("_lk")).otherwise(F.col("_ls"))
-    return measured.withColumn("_p95", percentile(counted, 0.95)).drop("_lk", "_ls")
-
-
-def _measures_of_large(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
-    """The same without a buffer: only the entropy that counts is ranked, by one sort."""
-    measured = stage(_measures(tokens, event, with_p95=False), "large-events")
+    )
+    measured = stage(measured, "event-measures")
     decided = lookup_join(
-        tokens.select(*event, "token_index", "entropy_kept", "entropy_softmax"),
-        measured.select(*event, "kept"),
-        event,
-        "inner",
-        stored=True,
+        tokens.select(*event, "entropy_kept", "entropy_softmax"), measured.select(*event, "kept"), event, stored=True
     )
-    entropy = F.when(F.col("kept"), F.col("entropy_kept")).otherwise(F.col("entropy_softmax"))
-    chosen = decided.select(*event, "token_index", entropy.alias("_entropy"))
-    quantile = group_percentile(chosen, event, "_entropy", 0.95, ["token_index"], "_p95")
-    return measured.join(quantile, list(event), "left")
-
-
-def event_measures(
-    tokens: DataFrame, event: Sequence[str], max_buffered: int = MAX_BUFFERED_TOKENS
-) -> DataFrame:
-    """Entropy mean and exact 95th percentile, and top-1 margin, per event.
-
-    The percentile of an event comes from the sorted list of its values. Events above
-    ``max_buffered`` tokens, found by a count that reads only the keys of stored tokens, are never
-    gathered but ranked by a distributed sort.
-    """
-    sizes = tokens.groupBy(*event).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > max_buffered).select(*event, F.lit(True).alias("_large"))
-    if large.isEmpty():
-        measured = _measures(tokens, event, with_p95=True)
-    else:
-        flagged = lookup_join(tokens, large, event)
-        small_part = flagged.filter(F.col("_large").isNull()).drop("_large")
-        large_part = flagged.filter(F.col("_large")).drop("_large")
-        measured = _measures(small_part, event, with_p95=True).unionByName(
-            _measures_of_large(large_part, event)
-        )
 
     def choose(kept: str, soft: str):
         return F.when(F.col("kept"), F.col(kept)).otherwise(F.col(soft))
 
+    chosen = decided.select(*event, choose("entropy_kept", "entropy_softmax").alias("_entropy"))
+    quantile = group_percentile(chosen, event, "_entropy", 0.95, "_p95")
     mean = choose("_ek", "_es")
-    return measured.select(
+    return measured.join(quantile, list(event), "left").select(
         *event,
         "tokens_routed",
         "kept",
@@ -190,16 +151,14 @@ def event_measures(
     )
 
 
-def summarize(
-    tokens: DataFrame, event: Sequence[str], max_buffered: int = MAX_BUFFERED_TOKENS
-) -> DataFrame:
+def summarize(tokens: DataFrame, event: Sequence[str]) -> DataFrame:
     """The full router summary per event, from stored tokens.
 
     Both halves are grouped by event and join in place.
     """
     counted = load_variation(busiest_experts(expert_counts(tokens, event)))
     return (
-        event_measures(tokens, event, max_buffered)
+        event_measures(tokens, event)
         .join(counted, list(event))
         .withColumn("shared_expert_active", F.lit(True))
     )

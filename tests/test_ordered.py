@@ -88,15 +88,43 @@ def test_a_large_limit_gives_the_same_rows_as_a_small_one(spark, monkeypatch, ke
         limit_ordered(df, ["k"], 0)
 
 
+@pytest.mark.parametrize("few", [4096, 20, 1])
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
-def test_ranked_percentile_equals_numpy(spark, q):
+def test_selected_percentile_equals_numpy(spark, q, few):
+    """One group holds two thirds of the rows; ties, clusters far apart, one row, equal rows, nulls and NaN."""
     rng = np.random.default_rng(3)
-    frame = pd.DataFrame({"g": rng.choice(list("aab"), 500), "x": rng.normal(size=500).round(1), "t": range(500)})
-    frame.loc[len(frame)] = ["solo", 1.25, 500]
-    got = group_percentile(spark.createDataFrame(frame), ["g"], "x", q, ["t"], "p").collect()
-    for row in got:
-        assert row["p"] == pytest.approx(np.quantile(frame.x[frame.g == row["g"]], q))
-    assert len(got) == 3
+    frame = pd.DataFrame({"g": rng.choice(list("aab"), 500), "x": rng.normal(size=500).round(1)})
+    wide = np.concatenate([rng.normal(size=60), 1e12 + rng.normal(size=60) * 1e-3, [-1e300, 1e300]])
+    frame = pd.concat([frame, pd.DataFrame({"g": "wide", "x": wide}), pd.DataFrame({"g": "same", "x": [2.5] * 50})])
+    frame = pd.concat([frame, pd.DataFrame({"g": ["solo", None, None], "x": [1.25, 3.0, 5.0]})])
+    odd = spark.createDataFrame([("a", None), ("b", float("nan")), ("lost", None), ("lost", float("nan"))], "g string, x double")
+    df = spark.createDataFrame(frame, "g string, x double").unionByName(odd)
+    got = {r["g"]: r["p"] for r in group_percentile(df, ["g"], "x", q, "p", bins=4, few=few).collect()}
+    want = {g: np.quantile(own["x"], q) for g, own in frame.groupby("g", dropna=False)}
+    want = {None if pd.isna(g) else g: v for g, v in want.items()}
+    assert got.keys() == want.keys()
+    assert all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+
+
+def test_percentile_of_infinite_entries(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(float(x),) for x in [-inf, *range(50), inf, inf]], "x double")
+    for few in (4096, 1):
+        found = [group_percentile(df, [], "x", q, "p", bins=4, few=few).first()["p"] for q in (0.0, 0.5, 1.0)]
+        assert found == [-inf, 25.0, inf]
+
+
+def test_ties_under_a_unique_key_do_not_depend_on_the_path(spark, monkeypatch):
+    rows = [(i, i % 3, "x" * (i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, p int, w string")
+    want = sorted(rows, key=lambda r: (r[1], r[0]))[:5]
+    for small in (0, 100):
+        monkeypatch.setattr(ordered, "SMALL_LIMIT", small)
+        for parts in (1, 4, 7):
+            got = limit_ordered(df.repartition(parts), ["p"], 5, ["id"]).collect()
+            assert sorted(map(tuple, got)) == sorted(want)
+            numbered = ordered.number_limited(df.repartition(parts), ["p"], 5, ["id"]).collect()
+            assert sorted((r["row_index"], *r[:3]) for r in numbered) == [(n, *r) for n, r in enumerate(want)]
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import functools
 import math
 
 import numpy as np
@@ -163,11 +164,13 @@ def router_table(seed=1):
 
 
 @pytest.mark.parametrize("selected", [1, 3, 20])
-@pytest.mark.parametrize("max_buffered", [2_000_000, 4])
-def test_router_summary_equals_brute_force(spark, selected, max_buffered):
+@pytest.mark.parametrize("few", [4096, 4])
+def test_router_summary_equals_brute_force(spark, monkeypatch, selected, few):
+    narrow = functools.partial(routing.group_percentile, bins=3, few=few)
+    monkeypatch.setattr(routing, "group_percentile", narrow)
     table = router_table()
     tokens = routing.route_tokens(events(spark, table), [*EVENT, "token_index"], selected=selected)
-    summary = routing.summarize(tokens, EVENT, max_buffered)
+    summary = routing.summarize(tokens, EVENT)
     found = {(r["run_id"], r["step"], r["layer_index"]): r for r in summary.collect()}
     assert found.keys() == table.keys()
     for key, tokens_of in table.items():
@@ -189,9 +192,8 @@ def test_nan_scores_are_soft_maxed_and_empty_ones_refused(spark):
     df = events(spark, {("r", 0, 0): [[0.5, 0.5], [float("nan"), 0.5]]})
     tokens = routing.route_tokens(df, [*EVENT, "token_index"], selected=1)
     assert routing.normalization(tokens, EVENT).first()["kept"] is False
-    for max_buffered in (100, 1):
-        summary = routing.summarize(tokens, EVENT, max_buffered).first()
-        assert math.isnan(summary["router_entropy_mean"]) and math.isnan(summary["router_entropy_p95"])
+    summary = routing.summarize(tokens, EVENT).first()
+    assert math.isnan(summary["router_entropy_mean"]) and math.isnan(summary["router_entropy_p95"])
     with pytest.raises(PySparkException):
         routing.route_tokens(events(spark, {("r", 0, 0): [[]]}), EVENT).collect()
 
