@@ -136,10 +136,12 @@ class Suffixes:
 
     def repeated_windows(self) -> np.ndarray:
         """Starts of the three-word windows that occur at least twice in their list."""
-        if self.tied_two is None:
+        if self.tied_two is None or not len(self.tied_two):
             return np.zeros(0, np.int64)
         pairs = self.tied_two
         pairs = pairs[pairs + 2 < self.last[pairs]]
+        if not len(pairs):
+            return pairs.astype(np.int64)
         two, third = self.two[pairs], self.one[pairs + 2]
         order = np.lexsort((third, two))
         pairs, two, third = pairs[order], two[order], third[order]
