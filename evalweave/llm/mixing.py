@@ -5,16 +5,20 @@ what is cut off goes to the others by weight until none is above. A target of 2.
 means two complete epochs, and a third one in which documents come in the order of their
 exponential key ``-ln(u) / quality`` until the prefix sum of sizes is nearest to the rest.
 
-Defined results: null text has size 0; a null source is a source, last in the order; rows with an
-equal key (repeated documents) are taken or left together; sources without any words get target 0;
+Defined results: null text has size 0; a null source is a source, last in the order; rows equal
+in id and text are numbered, so that each has a draw of its own; sources without any words get target 0;
 an empty table gives an empty table; other columns are kept, and added names start with ``mix_``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.llm.names import free_name
+from evalweave.llm.sharding import with_slots
 from evalweave.session import stage
 
 #: Most sources whose plan (about 100 bytes a row) is sent to every task instead of shuffling the rows.
@@ -43,10 +47,31 @@ def uniform(seed: int, *keys: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def with_keys(df: DataFrame, size: Column, quality: Column, key: str, seed: int) -> DataFrame:
-    """Adds ``mix_size`` and the exponential key ``mix_key``."""
-    exponential = F.lit(0.0) - F.log(uniform(seed, F.col(key)))
-    return df.withColumn("mix_size", size.cast("bigint")).withColumn("mix_key", exponential / quality)
+def numbered_copies(df: DataFrame, identity: Sequence[Column]) -> DataFrame:
+    """Adds ``mix_identity``, a digest, and ``mix_copy``, which numbers the rows that share one from 0.
+
+    Which of equal rows gets which number does not matter, so reruns agree. Only repeated rows are
+    numbered, in chunks: a digest may have any share of the rows.
+    """
+    parts = [F.coalesce(F.md5(c.cast("string").cast("binary")), F.lit("null")) for c in identity]
+    named = df.withColumn("mix_identity", F.md5(F.concat_ws(":", *parts).cast("binary")))
+    repeated = named.groupBy("mix_identity").agg(F.count(F.lit(1)).alias("mix_n")).filter("mix_n > 1")
+    repeated = stage(repeated.select("mix_identity"), "mix-repeated")
+    if repeated.isEmpty():
+        return named.withColumn("mix_copy", F.lit(0).cast("bigint"))
+    once = named.join(repeated, "mix_identity", "left_anti").withColumn("mix_copy", F.lit(0).cast("bigint"))
+    several = with_slots(named.join(repeated, "mix_identity", "left_semi"), "mix_identity", "mix_copy")
+    return once.unionByName(several)
+
+
+def with_keys(df: DataFrame, size: Column, quality: Column, identity: Sequence[Column], seed: int) -> DataFrame:
+    """Adds ``mix_size`` and the exponential key ``mix_key``, drawn by a hash of what identifies a row.
+
+    ``identity`` is an id and the text, say; rows equal in it are told apart by a number.
+    """
+    df = numbered_copies(df, identity)
+    exponential = F.lit(0.0) - F.log(uniform(seed, F.col("mix_identity"), F.col("mix_copy")))
+    return df.withColumn("mix_size", size.cast("bigint")).withColumn("mix_key", exponential / quality).drop("mix_identity", "mix_copy")
 
 
 def source_targets(keyed: DataFrame, source: str, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -148,7 +173,8 @@ def with_copies(keyed: DataFrame, plan: DataFrame, source: str) -> DataFrame:
 
 def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
     """Every row as often as ``copies`` says; rows with 0 go."""
+    copy = free_name(df, "_copy")
     wanted = df.filter(F.col(copies) > 0)
-    return wanted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop("_copy")
+    return wanted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copy)
 
 

@@ -49,6 +49,7 @@ from evalweave.llm.batches import (
     words_of,
 )
 from evalweave.llm.components import components
+from evalweave.llm.names import columns_of, free_name
 from evalweave.session import stage
 
 #: Greatest probability with which two sets at the threshold do not meet in a table.
@@ -376,13 +377,13 @@ def deduplicate(docs: DataFrame, key: str, text: str, near: Near = Near()) -> Da
     Rows are told apart by a stored row id, so null or repeated ids neither keep copies nor link texts.
     Only the row ids that go meet the texts.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = free_name(docs, "_row")
     stored = stage(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
-    found = near_duplicates(stored.select(row, text), row, text, near).select(row, "component_id")
-    keys = stored.select(row, F.col(key).isNull().alias("none"), F.col(key).alias("own"))
+    found = near_duplicates(stored.select(row, F.col(f"`{text}`").alias("text" + row)), row, "text" + row, near).select(row, "component_id")
+    own, words = F.col(f"`{key}`"), F.xxhash64(f"`{text}`")
+    # Of rows with one id, the text decides, not the layout of the files.
+    keys = stored.select(row, own.isNull().alias("none"), own.alias("own"), words.alias("words"))
     verdict = stage(found.join(keys, row), "verdicts")
-    best = verdict.groupBy("component_id").agg(F.min(F.struct("none", "own", row)).alias("best"))
+    best = verdict.groupBy("component_id").agg(F.min(F.struct("none", "own", "words", row)).alias("best"))
     removed = verdict.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_anti").select(row)
-    return stored.join(removed, row, "left_anti").select(*docs.columns)
+    return stored.join(removed, row, "left_anti").select(*columns_of(docs))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave.llm.batches import lean, offsets_of, ragged_index, text_slices
+from evalweave.llm.names import columns_of, free_name
 from evalweave.llm.tokens import WordEncoder, crc_of, with_end
 from evalweave.session import stage
 
@@ -33,6 +34,8 @@ PIECE = T.StructType(
     ]
 )
 IDS = T.StructField("ids", T.BinaryType())
+#: Groups (of 4,096 pieces, 33 MB at most) that a task packs one after another.
+GROUPS_A_TASK = 4
 
 
 def token_pieces(
@@ -94,14 +97,15 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def _stored(pieces: DataFrame, group_size: int) -> tuple[DataFrame, int]:
-    """The pieces written once with a row id, and the number of groups."""
-    stored = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    return stored, max(1, math.ceil(stored.count() / group_size))
+def _stored(pieces: DataFrame, group_size: int) -> tuple[DataFrame, str, int]:
+    """The pieces written once with a row id, the name of that, and the number of groups."""
+    row = free_name(pieces, "_row")
+    stored = stage(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    return stored, row, max(1, math.ceil(stored.count() / group_size))
 
 
-def _grouped(stored: DataFrame, groups: int, seed: int) -> DataFrame:
-    return stored.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("_row")), F.lit(groups)))
+def _group(row: str, groups: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.lit(groups))
 
 
 def pack(pieces: DataFrame, *, capacity: int, group_size: int = 4096, seed: int = 0) -> DataFrame:
@@ -110,18 +114,17 @@ def pack(pieces: DataFrame, *, capacity: int, group_size: int = 4096, seed: int
     The pieces are written once with a row id, whose hash deals them into groups: no key decides the
     group, so none can fill it. A task packs whole groups, one after another.
     """
-    stored, groups = _stored(pieces, group_size)
-    grouped = _grouped(stored.select("_row", "length"), groups, seed)
+    stored, row, groups = _stored(pieces, group_size)
+    narrow = stored.select(F.col(row).alias("row"), "length", _group(row, groups, seed).alias("group"))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_row")
+        frame = frame.sort_values("row")
         bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), capacity)
-        return pd.DataFrame(
-            {"_row": frame["_row"], "sequence_id": frame["_group"] * (1 << 32) + bins, "offset": offsets}
-        )
+        return pd.DataFrame({"row": frame["row"], "sequence_id": frame["group"] * (1 << 32) + bins, "offset": offsets})
 
-    placed = grouped.groupBy("_group").applyInPandas(place, "_row long, sequence_id long, offset long")
-    return stored.join(placed, "_row").drop("_row")
+    placed = narrow.groupBy("group").applyInPandas(place, "row long, sequence_id long, offset long")
+    placed = placed.withColumnRenamed("row", row)
+    return stored.join(placed, row).select(*columns_of(pieces), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -140,9 +143,9 @@ def filled_sequences(pieces: DataFrame, *, capacity: int, group_size: int = 4096
     ``parts`` are the pieces in order, with ``offset`` and all their other columns. A task that packs a
     group also joins its ids, so these are shuffled once, by group.
     """
-    stored, groups = _stored(pieces, group_size)
+    stored, row, groups = _stored(pieces, group_size)
     others = [f for f in pieces.schema.fields if f.name != "ids"]
-    part = T.StructType([T.StructField("offset", T.LongType()), *others])
+    part = T.StructType([T.StructField("offset", T.LongType()), *[T.StructField(f.name, f.dataType) for f in others]])
     schema = T.StructType(
         [
             T.StructField("sequence_id", T.LongType()),
@@ -152,23 +155,32 @@ def filled_sequences(pieces: DataFrame, *, capacity: int, group_size: int = 4096
         ]
     )
 
+    # Arrow functions find their columns by plain names.
+    names = [f.name for f in others]
+    plain = stored.select(
+        F.col(row).alias("row"), _group(row, groups, seed).alias("group"), F.col("length").alias("size"),
+        F.col("ids").alias("bytes"), *[F.col(f"`{n}`").alias(f"k{i}") for i, n in enumerate(names)],
+    )
+
     def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_row").combine_chunks()
-        bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), capacity)
+        table = table.sort_by("row").combine_chunks()
+        bins, offsets = first_fit_decreasing(table.column("size").to_numpy(), capacity)
         order = np.lexsort((offsets, bins))
         table = table.take(pa.array(order)).combine_chunks()
         bins, offsets = bins[order], offsets[order]
         first = np.append(np.flatnonzero(np.diff(bins, prepend=-1)), len(bins)).astype(np.int32)
-        _, at, data = table.column("ids").chunk(0).buffers()
+        _, at, data = table.column("bytes").chunk(0).buffers()
         bytes_at = np.frombuffer(at, np.int32)[first]
-        columns = [pa.array(offsets, pa.int64()), *[table.column(f.name).chunk(0) for f in others]]
+        columns = [pa.array(offsets, pa.int64()), *[table.column(f"k{i}").chunk(0) for i in range(len(names))]]
         struct = pa.StructArray.from_arrays(columns, names=part.names)
-        sequence = table.column("_group").to_numpy()[0] * (1 << 32) + bins[first[:-1]]
+        sequence = table.column("group").to_numpy()[0] * (1 << 32) + bins[first[:-1]]
         ids = pa.BinaryArray.from_buffers(pa.binary(), len(sequence), [None, pa.py_buffer(bytes_at), data])
         parts = pa.ListArray.from_arrays(pa.array(first), struct)
         return pa.table([pa.array(sequence, pa.int64()), pa.array(np.diff(bytes_at) // 4, pa.int64()), ids, parts], schema.names)
 
-    return _grouped(stored, groups, seed).groupBy("_group").applyInArrow(fill, schema)
+    # Groups are small, so there may be many to a task: as many tasks as hold a bounded number of them.
+    tasks = max(1, math.ceil(groups / GROUPS_A_TASK))
+    return plain.repartition(tasks, "group").groupBy("group").applyInArrow(fill, schema)
 
 
 def measured_pieces(filled: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def op5_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exponential_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = mixing.word_count(F.col("text"))
     rows = documents(spark, sf_dir).select("doc_id", "source", "text")
-    keyed = mixing.with_keys(rows, words, mixing.plain_quality(F.col("text"), words), "doc_id", seed=0)
+    identity = [F.col("doc_id"), F.col("text")]
+    keyed = mixing.with_keys(rows, words, mixing.plain_quality(F.col("text"), words), identity, seed=0)
     stored = stage(keyed.drop("text"), "mix-rows")
     taken = mixing.with_copies(stored, mixing.mix_plan(stored, "source"), "source")
     return taken.select(

@@ -5,7 +5,8 @@ wins, ties going to the lower shard. A further shard adds scores and changes non
 only into itself, in proportion to its weight.
 
 Defined results: a null key is a key like any other; rows with equal keys share a shard; an empty
-table gives an empty table; columns of the input are kept, and the added names must be free.
+table gives an empty table; columns of the input are kept, whatever their names, but for ``shard``,
+``grown_shard`` and the slot, which are set.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.llm.names import columns_of, free_name
 from evalweave.session import stage
 
 
@@ -45,14 +47,15 @@ def with_shard(
     df: DataFrame, key: str, weights: Sequence[float], *, grown_by: Sequence[float] = (), seed: int = 0
 ) -> DataFrame:
     """Adds ``shard``, and ``grown_shard``: where the row goes if shards of these weights are added."""
-    whole = F.col(key).cast("string")
+    whole = F.col(f"`{key}`").cast("string")
     # A null has a hash of its own here; xxhash64 alone would skip it.
     base = F.xxhash64(whole.isNull(), whole)
-    best = df.withColumn("_best", _best(base, weights, seed))
-    out = best.withColumn("shard", (-F.col("_best.minus")).cast("int"))
+    own = free_name(df, "_best")
+    best = df.withColumn(own, _best(base, weights, seed))
+    out = best.withColumn("shard", (-F.col(own)["minus"]).cast("int"))
     if grown_by:
         more = F.greatest(
-            F.col("_best"),
+            F.col(own),
             *[
                 F.struct(
                     _score(base, F.lit(i), F.lit(float(w)), seed).alias("score"),
@@ -62,7 +65,7 @@ def with_shard(
             ],
         )
         out = out.withColumn("grown_shard", (-more["minus"]).cast("int"))
-    return out.drop("_best")
+    return out.drop(own)
 
 
 def with_slots(df: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
@@ -72,22 +75,14 @@ def with_slots(df: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
     hash of it, and numbered inside their chunk; what earlier chunks hold comes from a table of one
     row per (shard, chunk). No task gets a whole shard, whatever its share of the rows.
     """
-    stored = stage(df.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    row, chunk, rows, before = (free_name(df, n) for n in ("_row", "_chunk", "_rows", "_before"))
+    stored = stage(df.withColumn(row, F.monotonically_increasing_id()), "shard-rows")
     largest = stored.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
     chunks = max(1, math.isqrt(largest))
-    cut = stored.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)).cast("int"))
-    earlier = (
-        Window.partitionBy(shard).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        cut.groupBy(shard, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(shard, "_chunk").orderBy("_row")
-    return (
-        cut.join(before, [shard, "_chunk"])
-        .withColumn(slot, F.col("_before") + F.row_number().over(inside) - 1)
-        .select(*df.columns, F.col(slot).cast("bigint").alias(slot))
-    )
+    cut = stored.withColumn(chunk, F.pmod(F.xxhash64(row), F.lit(chunks)).cast("int"))
+    earlier = Window.partitionBy(shard).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(shard, chunk).agg(F.count(F.lit(1)).alias(rows))
+    starts = counts.withColumn(before, F.coalesce(F.sum(rows).over(earlier), F.lit(0))).drop(rows)
+    inside = Window.partitionBy(shard, chunk).orderBy(row)
+    number = (F.col(before) + F.row_number().over(inside) - 1).cast("bigint")
+    return cut.join(starts, [shard, chunk]).select(*columns_of(df), number.alias(slot))

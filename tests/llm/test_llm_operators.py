@@ -285,6 +285,12 @@ def test_repetition_equals_brute_force(minimum):
         assert [found[n][i] for n in repetition.LONGS] == brute_repetition(text, minimum), repr(text)
 
 
+def test_texts_without_any_repeat():
+    for texts in (["one two three four"], ["a b", "a b"], ["x y", "a b a b"], [None], []):
+        found = repetition.measure(batches.texts_of(pa.array(texts, pa.string())), repetition.Rules())
+        assert [[int(found[n][i]) for n in repetition.LONGS] for i in range(len(texts))] == [brute_repetition(t, 8) for t in texts]
+
+
 def test_op4_verdicts_and_spans(spark, folder, docs, empty, rows):
     got = {r["doc_id"]: r for r in queries.op4_suffix_repetition(spark, folder).collect()}
     rules = repetition.Rules()
@@ -334,14 +340,32 @@ def test_op6_targets_and_takes(spark, folder, rows):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_mixing_of_rows_without_ids_and_of_equal_rows(spark, tmp_path):
+    """Every id null, and a third of a source one repeated row: targets are met all the same."""
+    picks = random.Random(13)
+    texts = [" ".join(sentence(picks, picks.randint(5, 40))) for _ in range(300)]
+    rows = [(None, t, "en", "ab"[i % 2], None, None, None) for i, t in enumerate(texts)]
+    rows += [(None, texts[0], "en", "a", None, None, None)] * 100
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_exponential_mix(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    taken = collections.defaultdict(int)
+    for r in got:
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert len(taken) == 2 and all(abs(n - target) <= 40 for (_, target), n in taken.items())
+    again = queries.op6_exponential_mix(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
 def test_mixing_prefers_quality(spark, empty):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 2).alias("good"))
-    keyed = mixing.with_keys(df, F.lit(10), F.when(F.col("good") == 1, 3.0).otherwise(1.0), "doc_id", 0)
+    keyed = mixing.with_keys(df, F.lit(10), F.when(F.col("good") == 1, 3.0).otherwise(1.0), [F.col("doc_id")], 0)
     half = mixing.mix_plan(keyed, "source").withColumn("mix_last_key", F.lit(0.3)).withColumn("mix_epochs", F.lit(0))
     taken = mixing.with_copies(keyed, half, "source").groupBy("good").agg(F.sum("mix_copies").alias("n")).collect()
     by = {r["good"]: r["n"] for r in taken}
     assert by[1] > 1.8 * by[0]
-    nothing = mixing.with_keys(empty, F.lit(1), F.lit(1.0), "doc_id", 0)
+    nothing = mixing.with_keys(empty, F.lit(1), F.lit(1.0), [F.col("doc_id")], 0)
     assert mixing.with_copies(nothing, mixing.mix_plan(nothing, "source"), "source").count() == 0
 
 
@@ -441,6 +465,50 @@ def test_written_out_addresses_are_candidates_by_their_own_surroundings(detector
         assert detector.find(text)[1] == []
 
 
+def test_planted_loose_forms_are_found_and_prose_is_left_alone(detector):
+    """Forms that no training text holds as such, among prose with dates, prices and counts."""
+    picks = random.Random(21)
+
+    def digits(n):
+        return "".join(picks.choices("0123456789", k=n))
+
+    def datum(turn):
+        a, b, c = f"{picks.randint(200, 999)}", f"{picks.randint(200, 999)}", digits(4)
+        name, host = "".join(picks.choices("abcdef", k=5)), "".join(picks.choices("ghijkl", k=6))
+        body = "5" + digits(14)
+        card = next(body + x for x in "0123456789" if pii.luhn(body + x))
+        four = [card[k : k + 4] for k in range(0, 16, 4)]
+        return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", ".".join(four), "/".join(four),
+                f"{name} at {host} dot com", f"{name}.x (at) {host} (dot) org", f"{name}_{turn}[at]{host}[dot]net"][turn % 8]
+
+    found = wrong = 0
+    count = 240
+    for turn in range(count):
+        form = datum(turn)
+        prose = [" ".join(sentence(picks, 9)) for _ in range(3)]
+        noise = picks.choice(["in 1999 and 2001", "for $1,250.75", "pages 12-15", "version 3.11", "12 345 678 rows", "at 10:30"])
+        text = f"{prose[0]} {noise} {prose[1]} {form}, {prose[2]}"
+        got = [text[s:e] for _, s, e in detector.find(text)[1]]
+        found += form in got
+        wrong += sum(g != form for g in got)
+    assert found >= 0.9 * count, found
+    assert wrong <= 0.05 * count, wrong
+
+
+def test_numbers_cost_little_whatever_their_number(detector):
+    picks = random.Random(2)
+    line = " ".join(str(picks.randint(1, 9999)) for _ in range(60_000))
+    assert pii.proposals(line) == []
+    table = "\n".join(" ".join(str(picks.randint(1, 9999)) for _ in range(10)) for _ in range(6000))
+    spans = pii.proposals(table)
+    assert 0 < len(spans) < len(table) / 8
+    plain = "4111 1111 1111 1111 12/25 in a row of 12 34 56"
+    for kind, start, end in pii.proposals(plain):
+        own = pii.span_features(plain, [(kind, start, end)])[0]
+        want = pii.features(kind, *pii._context(plain, start, end))
+        assert own.tolist() == [float(v) for v in want], plain[start:end]
+
+
 def test_boosting_learns_an_interaction():
     x = np.random.default_rng(0).integers(0, 10, (2000, 3)).astype(float)
     y = ((x[:, 0] > 4) ^ (x[:, 1] > 4)).astype(float)
@@ -548,6 +616,20 @@ def test_pipeline_writes_the_packed_ids(spark, folder, rows):
         assert [i for _, p in parts for i in p] == [*library_ids(r[1]), 1]
 
 
+def test_op1_shards_by_the_highest_score(spark, folder, rows):
+    """The winning shard by the definition, with the hash taken from Spark one shard at a time."""
+    ids = sorted({r[0] for r in rows})
+    hashed = spark.createDataFrame([(i, s) for i in ids for s in range(17)], "k long, s int")
+    whole = F.col("k").cast("string")
+    base = F.xxhash64(whole.isNull(), whole)
+    hashed = hashed.select("k", "s", F.xxhash64(base, F.lit(0), F.col("s")).alias("h")).collect()
+    score = {(r["k"], r["s"]): -1 / np.log((((r["h"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)) for r in hashed}
+    for r in queries.op1_rendezvous_shards(spark, folder).collect():
+        best = max(range(16), key=lambda s: (score[r["doc_id"], s], -s))
+        grown = max(range(17), key=lambda s: (score[r["doc_id"], s], -s))
+        assert (r["shard"], r["grown_shard"]) == (best, grown)
+
+
 # Search
 
 
@@ -617,6 +699,29 @@ def test_pipeline_stages(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+CLASHES = ("mix_size", "mix_key", "mix_copies", "_copy", "_row", "_chunk", "_best", "_before", "_group", "q_kept", "a.b", "k0", "mix_source")
+
+
+def test_columns_of_any_name_come_through(spark):
+    picks = random.Random(17)
+    rows = [(i, " ".join(sentence(picks, 60)), "ab"[i % 2], *[f"{c}-{i}" for c in CLASHES]) for i in range(40)]
+    names = ["doc_id", "text", "source", *CLASHES]
+    docs = spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(n, T.LongType() if n == "doc_id" else T.StringType()) for n in names]))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, "")
+        assert out.columns == names, name
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in out.collect() for c in CLASHES), name
+    slots = sharding.with_slots(sharding.with_shard(docs, "doc_id", [1.0, 1.0], grown_by=[1.0]), "shard")
+    assert slots.columns == [*names, "shard", "grown_shard", "slot"]
+    assert all(r[c] == f"{c}-{r['doc_id']}" for r in slots.collect() for c in CLASHES)
+    pieces = packing.token_pieces(docs, "doc_id", "text", vocabulary_path(WORD_VOCABULARY), end_id=1, length=64)
+    wide = pieces.withColumns({"_row": F.lit("r"), "_group": F.lit("g"), "row": F.lit(1), "a.b": F.lit(2)})
+    packed = packing.pack(wide, capacity=64, group_size=7)
+    assert packed.columns == [*wide.columns, "sequence_id", "offset"] and packed.filter("_row = 'r' and _group = 'g' and row = 1").count() == wide.count()
+    parts = packing.filled_sequences(wide, capacity=64, group_size=7).select(F.explode("parts").alias("p")).collect()
+    assert len(parts) == wide.count() and all((r["p"]["_row"], r["p"]["_group"], r["p"]["row"], r["p"]["a.b"]) == ("r", "g", 1, 2) for r in parts)
+
+
 def test_pipeline_rules_and_dedup_equal_brute_force(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, folder).collect()
