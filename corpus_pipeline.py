@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import mixing, near_dedup, packing, pii, repetition
+from evalweave.llm.names import columns_of
 from evalweave.llm.tokens import WORD_VOCABULARY, vocabulary_path
 from evalweave.session import ship_package, stage
 
@@ -20,14 +21,18 @@ SEQUENCE = 2048
 END_ID = 1
 
 
+def _free_prefix(docs: DataFrame, prefix: str) -> str:
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the repetition rules keep."""
     ship_package(spark)
-    prefix = "q_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix += "_"
+    prefix = _free_prefix(docs, "q_")
     measured = repetition.with_measures(docs, "text", prefix=prefix)
-    return measured.filter(f"`{prefix}kept`").select(*docs.columns)
+    return measured.filter(f"`{prefix}kept`").select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +50,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     ship_package(spark)
+    # The operator adds columns of its own names, so the user's others step aside by number.
+    names = docs.columns
+    used = {"doc_id", "text", "source"}
+    plain = docs.select(*[F.col(f"`{c}`").alias(c if c in used else f"k{i}") for i, c in enumerate(names)])
     words = mixing.word_count(F.col("text"))
     quality = mixing.plain_quality(F.col("text"), words)
-    keyed = mixing.with_keys(docs, words, quality, "doc_id", seed=0)
-    narrow = stage(keyed.select("doc_id", "source", "mix_size", "mix_key"), "mix-rows")
+    keyed = mixing.with_keys(plain, words, quality, [F.col("doc_id"), F.col("text")], seed=0)
+    narrow = stage(keyed.select("source", "mix_size", "mix_key"), "mix-rows")
     copies = mixing.with_copies(keyed, mixing.mix_plan(narrow, "source"), "source")
-    return mixing.repeat_rows(copies, "mix_copies").select(*docs.columns)
+    return mixing.repeat_rows(copies, "mix_copies").select(*plain.columns).toDF(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
