@@ -1,4 +1,4 @@
-"""The registered queries opN_<name>: each operator over its whole table."""
+"""The registered queries opN_<name>: each operator over its whole table. Their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ from evalweave.llm import (
     toxicity,
     whitening,
 )
+from evalweave.llm.oracles import ORACLES
 from evalweave.llm.tokens import WORD_VOCABULARY, vocabulary_path
 from evalweave.session import shared_path, stage
 
@@ -194,35 +195,4 @@ BUILDERS = {
     )
 }
 
-def _whole_vectors(table: str = "embeddings") -> str:
-    """Rows with an id and a vector of finite parts, the parts scaled and floored."""
-    return f"""SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, label
-      FROM {table} WHERE vec_id IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
-
-
-OP10_SQL = f"""WITH rows AS ({_whole_vectors()}),
-  asked AS (SELECT DISTINCT vec_id, v FROM rows WHERE vec_id % 50 = 0),
-  scored AS (SELECT q.vec_id AS query_id, q.v, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
-    FROM asked q JOIN rows d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS place FROM scored)
-SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 5"""
-
-OP11_SQL = f"""WITH rows AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label
-    FROM ({_whole_vectors()}) WHERE label IS NOT NULL),
-  asked AS (SELECT DISTINCT vec_id, v, label FROM rows WHERE vec_id % 100 = 0),
-  scored AS (SELECT q.vec_id AS anchor_id, q.v, q.label, d.vec_id, q.label = d.label AS same,
-      list_inner_product(q.v, d.v)::BIGINT AS score
-    FROM asked q JOIN rows d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
-  best AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, v, label ORDER BY score DESC, vec_id) AS place
-    FROM scored WHERE same),
-  inside AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
-      n.score AS negative_score,
-      row_number() OVER (PARTITION BY p.anchor_id, p.v, p.label, p.place ORDER BY n.score DESC, n.vec_id) AS place
-    FROM best p JOIN scored n ON p.anchor_id = n.anchor_id AND p.v = n.v AND p.label = n.label AND NOT n.same
-      AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
-    WHERE p.place <= 5)
-SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
-FROM inside WHERE place <= 10"""
-
-ORACLES = {"op10_cover_tree_search": OP10_SQL, "op11_slot_hard_negatives": OP11_SQL}
+__all__ = ["BUILDERS", "ORACLES"]

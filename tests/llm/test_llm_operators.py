@@ -6,13 +6,16 @@ import collections
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import check_oracle
 import corpus_pipeline
 from evalweave.llm import (
     batches,
@@ -732,6 +735,23 @@ def test_pipeline_rules_and_dedup_equal_brute_force(spark, folder, rows):
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(set(comps.values()))
 
 
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    frame = queries.BUILDERS[name](spark, str(DATA))
+    cursor = con.execute(queries.ORACLES[name])
+    heads = [(d[0], str(d[1])) for d in cursor.description]
+    assert sorted((c, check_oracle.KINDS.get(t, t)) for c, t in frame.dtypes) == sorted(heads)
+    theirs = check_oracle.rows_of([h[0] for h in heads], cursor.fetchall())
+    assert check_oracle.rows_of(frame.columns, frame.collect()) == theirs and theirs
+
+
 def test_registered_queries_run_on_an_empty_table(spark, empty, tmp_path):
     path = str(tmp_path)
     empty.write.parquet(f"{path}/documents.parquet")
