@@ -9,16 +9,19 @@ from evalweave.operators import routing
 from evalweave.operators.ordered import chunk_of
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
-from evalweave.plans.registry import query
-from evalweave.plans.telemetry_queries import EVENT, LANE, canvas_passes, denoising_lanes, r6
+from evalweave.plans.registry import ORACLES, query
+from evalweave.plans.telemetry_queries import EVENT, LANE, came_steps, canvas_passes, denoising_lanes, r6
 from evalweave.session import shared_path, stage
-from evalweave.streaming import stateful
+from evalweave.streaming import keyed, ledger, stateful
 
 
-def _arriving(rows: DataFrame, label: str, key: str, order: str, cut: int) -> str:
-    """A stored table written again in two waves: later steps of a run arrive in later files."""
+def _arriving(rows: DataFrame, label: str, key: str, order: str, *cuts: int) -> str:
+    """A stored table written again in waves: later steps of a run arrive in later files."""
     path = shared_path(rows.sparkSession, label)
-    for wave in (F.col(order) < cut, F.col(order) >= cut):
+    at = F.col(order)
+    for low, high in zip((None, *cuts), (*cuts, None), strict=True):
+        wave = F.lit(True) if low is None else at >= low
+        wave = wave if high is None else wave & (at < high)
         rows.filter(wave).repartition(2, key).write.mode("append").parquet(path)
     return path
 
@@ -54,7 +57,7 @@ def route_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = _arriving(stage(routes, "routes"), "routes", "run_id", "global_step", 2)
     arriving = stateful.read_folder(spark, path, routes.schema, files_per_batch=2)
-    overlap = stateful.run_to_files(stateful.route_overlap_stream(arriving), "route-overlap")
+    overlap = stateful.run_to_files(keyed.route_overlap_stream(arriving), "route-overlap")
     rates = routing.change_rates(
         overlap, LANE, ["global_step", "event_order"], chunk_of("global_step")
     )
@@ -90,3 +93,39 @@ def distinct_ids_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition(4, "position").write.parquet(path)
     arriving = stateful.read_folder(spark, path, rows.schema, files_per_batch=2)
     return stateful.run_to_files(stateful.first_rows_stream(arriving, ["id"]), "first-ids").select("id")
+
+
+@query("breaker_stream", ORACLES["breaker_keep_rows"])
+def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circuit breaker while rows arrive: components go off in the place they fail."""
+    status = stage(fx.component_status(spark, sf_dir), "status")
+    path = _arriving(status, "status", "model_run", "ord", 200, 2000, 20_000)
+    arriving = stateful.read_folder(spark, path, status.schema, files_per_batch=2)
+    return stateful.run_to_files(keyed.breaker_stream(arriving), "breaker")
+
+
+@query("pending_events_stream", ORACLES["unflushed_router_events"])
+def pending_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Router events, the callbacks of their steps and the ends of the runs, as they arrive."""
+    scores = fx.router_scores(spark, sf_dir)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("event_order", "int"), ("module_name", "string"))]
+    happened = scores.select(*EVENT).distinct().withColumn("kind", F.lit("event"))
+    came = came_steps(scores).select("run_id", "step", *nothing, F.lit("step").alias("kind"))
+    ends = scores.select("run_id", F.lit(9).alias("step"), *nothing, F.lit("end").alias("kind")).distinct()
+    rows = stage(happened.unionByName(came).unionByName(ends), "router-rows")
+    path = _arriving(rows, "router-rows", "run_id", "step", 2, 9)
+    arriving = stateful.read_folder(spark, path, rows.schema, files_per_batch=2)
+    return stateful.run_to_files(keyed.pending_events_stream(arriving), "pending-events").select(*EVENT)
+
+
+@query(
+    "id_ledger_stream",
+    f"""WITH {q.DIRTY}, placed AS (SELECT id, position AS place, min(position) OVER (PARTITION BY id) AS first_place
+      FROM dirty WHERE id <> '') SELECT id, place, first_place FROM placed WHERE place <> first_place""",
+)
+def id_ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated ids over several micro-batches, each with its own place and that of the first row."""
+    rows = stage(fx.dirty_examples(spark, sf_dir).select("id", F.col("position").alias("place")), "ids")
+    path = _arriving(rows, "id-rows", "place", "place", 100, 300, 303)
+    arriving = stateful.read_folder(spark, path, rows.schema, files_per_batch=2)
+    return ledger.rejects(spark, ledger.run_ledger(arriving))

@@ -495,6 +495,12 @@ def canvas_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAME = "came AS (SELECT run_id, step FROM router GROUP BY ALL HAVING sum(label) % 4 <> 0)"
 
 
+def came_steps(scores: DataFrame) -> DataFrame:
+    """Steps (run_id, step) whose callback came: by the sum of their labels."""
+    sums = scores.groupBy("run_id", "step").agg(F.sum("label").alias("s"))
+    return sums.filter(F.col("s") % 4 != 0).select("run_id", "step")
+
+
 @query(
     "unflushed_router_events",
     f"""WITH {q.ROUTER}, {_CAME}, happened AS (SELECT DISTINCT {q.EVENT} FROM router)
@@ -503,13 +509,8 @@ _CAME = "came AS (SELECT run_id, step FROM router GROUP BY ALL HAVING sum(label)
 def unflushed_router_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router events of steps whose callback never came (here: by the sum of their labels)."""
     scores = fx.router_scores(spark, sf_dir)
-    came = (
-        scores.groupBy("run_id", "step")
-        .agg(F.sum("label").alias("s"))
-        .filter(F.col("s") % 4 != 0)
-    )
     happened = scores.select(*EVENT).distinct()
-    return routing.unflushed(happened, came, ["run_id", "step"]).select(*EVENT)
+    return routing.unflushed(happened, came_steps(scores), ["run_id", "step"]).select(*EVENT)
 
 
 # --- canvases -----------------------------------------------------------------------------------

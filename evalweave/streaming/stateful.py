@@ -6,8 +6,8 @@ that comes late is an error, as nothing after it could be right.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,7 @@ from evalweave.session import shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
-
-
-def _names(fields: str) -> list[str]:
-    return [field.split()[0] for field in fields.split(", ")]
+NO_DATA_CONF = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def _in_order(
@@ -95,61 +92,28 @@ def canvas_changes_of_run(
     )
 
 
-ROUTE_KEYS = ["run_id", "canvas_index", "layer_index", "token_index"]
-ROUTE_STATE = "expert_ids array<int>, global_step int, event_order int"
-ROUTE_OVERLAP = (
-    "run_id string, canvas_index int, layer_index int, token_index int, global_step int, "
-    "event_order int, k int, before_global_step int, before_event_order int, before_k int, overlap double"
-)
-
+@contextmanager
+def drained(spark: SparkSession) -> Iterator[None]:
+    """Settings of streams that start inside and stop when their input is read; the session's own come back.
 
-def route_overlap_of_token(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Keeps, per (run, canvas, layer, token), the experts of the event before and its place."""
-    before, *last = state.get if state.exists else (None, None, None)
-    held = None if before is None else tuple(last)
-    out = []
-    for row in _in_order(frames, ["global_step", "event_order"], held, key[0]).itertuples(index=False):
-        now = [int(e) for e in row.expert_ids]
-        overlap = None
-        if before is not None:
-            shared = len(set(now) & set(before))
-            overlap = shared / max(1, len(now) + len(before) - shared)
-        seen = (*last, None if before is None else len(before), overlap)
-        before, last = now, (int(row.global_step), int(row.event_order))
-        out.append((*key, *last, len(now), *seen))
-    state.update((before, *last))
-    whole = dict.fromkeys(("before_global_step", "before_event_order", "before_k"), "Int32")
-    nullable = whole | {"overlap": "Float64"}
-    yield pd.DataFrame(out, columns=_names(ROUTE_OVERLAP)).astype(nullable)
-
-
-def _stateful(
-    stream: DataFrame, keys: list[str], function: Callable[..., Any], output: str, state: str
-) -> DataFrame:
-    stream.sparkSession.conf.set(PROVIDER_CONF, ROCKSDB)
-    return stream.groupBy(*keys).applyInPandasWithState(
-        function, output, state, "append", GroupStateTimeout.NoTimeout
-    )
+    State is kept in RocksDB, off the heap. Batches without data are off: with timers of processing time
+    there is always another one, and a stream that is to end would not.
+    """
+    wanted = {PROVIDER_CONF: ROCKSDB, NO_DATA_CONF: "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def canvas_changes_stream(steps: DataFrame) -> DataFrame:
-    return _stateful(steps, ["run_id"], canvas_changes_of_run, CANVAS_CHANGES, CANVAS_STATE)
-
-
-def route_overlap_stream(tokens: DataFrame) -> DataFrame:
-    """Per-token overlaps; ``routing.change_rates`` turns the sink into rates per event."""
-    return _stateful(tokens, ROUTE_KEYS, route_overlap_of_token, ROUTE_OVERLAP, ROUTE_STATE)
-
-
-def first_rows_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key over the whole stream.
-
-    The state holds every key ever seen, one small record each; RocksDB keeps it off the heap.
-    """
-    rows.sparkSession.conf.set(PROVIDER_CONF, ROCKSDB)
-    return rows.dropDuplicates(keys)
+    return steps.groupBy("run_id").applyInPandasWithState(
+        canvas_changes_of_run, CANVAS_CHANGES, CANVAS_STATE, "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def read_folder(
@@ -167,13 +131,14 @@ def run_to_files(stream: DataFrame, label: str, sink: str | None = None) -> Data
     """Drain what is there into an exactly-once file sink and return the sink as a table."""
     spark = stream.sparkSession
     sink = sink or shared_path(spark, label)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", sink)
         .option("checkpointLocation", f"{sink}-checkpoint")
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    with drained(spark):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
