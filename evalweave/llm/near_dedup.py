@@ -172,9 +172,11 @@ def table_keys(classes: DataFrame, near: Near) -> DataFrame:
         F.collect_list(F.when(F.col("band") >= near.bands, F.col("sub"))).alias("second"),
         F.sum("classes").alias("weight"),
     )
+    # The lists are stored and not the keys made of them, which are many times as many.
+    alive = stage(alive, "live-bands")
     one = alive.select("cls", "weight", "second", F.explode("first").alias("one"))
     two = one.select("cls", "weight", "one", F.explode("second").alias("two"))
-    keys = stage(two.select(F.xxhash64("one", "two").alias("key"), "cls", "weight"), "table-keys")
+    keys = two.select(F.xxhash64("one", "two").alias("key"), "cls", "weight")
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     return stage(keys.join(several.select("key"), "key"), "table-keys")
 

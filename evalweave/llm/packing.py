@@ -35,7 +35,7 @@ PIECE = T.StructType(
 )
 IDS = T.StructField("ids", T.BinaryType())
 #: Groups (of 4,096 pieces, 33 MB at most) that a task packs one after another.
-GROUPS_A_TASK = 4
+GROUPS_A_TASK = 2
 
 
 def token_pieces(
