@@ -17,7 +17,7 @@ from evalweave.plans import sql as q
 from evalweave.plans.registry import query
 from evalweave.schemas import EXAMPLE_COLUMNS, MANIFEST_SCHEMA
 from evalweave.session import shared_path
-from evalweave.sources import jsonl, tables
+from evalweave.sources import jsonl, snapshots, tables
 
 SPEC = ds.ManifestSpec(dataset_name="documents", order_by=("position",))
 COLUMNS = ", ".join(EXAMPLE_COLUMNS)
@@ -31,6 +31,26 @@ def scan_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan(spark, path, split="train", revision="rev-1").select(*EXAMPLE_COLUMNS)
 
 
+@query(
+    "snapshot_revisions",
+    """SELECT 'pinned' AS revision, doc_id, lang FROM documents WHERE doc_id % 3 < 2
+    UNION ALL SELECT 'third', doc_id, lang FROM documents
+    UNION ALL SELECT 'latest', doc_id, lang FROM documents WHERE lang = 'en'""",
+)
+def snapshot_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three revisions of one table: a tagged one, the one after an append, and a replacement."""
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    path = shared_path(spark, "snapshots")
+    for part in (0, 1):
+        snapshots.commit(rows.filter(F.col("doc_id") % 3 == part), path)
+    snapshots.tag(spark, path, "pinned")
+    third = snapshots.commit(rows.filter(F.col("doc_id") % 3 == 2), path)
+    snapshots.commit(rows.filter(F.col("lang") == "en"), path, replace=True)
+    read = {"pinned": "pinned", "third": third, "latest": None}
+    parts = [snapshots.read(spark, path, revision).withColumn("revision", F.lit(label)) for label, revision in read.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "schema_check",
     f"WITH {q.EXAMPLES} "

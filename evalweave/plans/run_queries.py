@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import text as tx
 from evalweave.operators import dataset as ds
-from evalweave.operators import audit, inference, runs, tokens
+from evalweave.operators import audit, inference, resume, runs, tokens
 from evalweave.plans import experiment
 from evalweave.plans import fixtures as fx
 from evalweave.plans import sql as q
@@ -19,6 +19,7 @@ from evalweave.plans.registry import query
 from evalweave.schemas import CONTEXT_COLUMNS, OUTPUT_SCHEMA
 from evalweave.session import shared_path, stage
 from evalweave.sources import jsonl, tables
+from evalweave.streaming import stateful
 
 RUN = runs.RunSpec(experiment_id=q.EXPERIMENT, models=fx.MODELS, max_batches=None)
 
@@ -241,6 +242,22 @@ def batch_infer_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "resumed_inference",
+    f"""WITH {_INFERRED} SELECT run_id, final_text, response_error FROM inferred""",
+)
+def resumed_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inference that stops after half of the manifest and goes on, some of it given again in other files."""
+    asked = stage(_runs(spark, sf_dir).select("run_id", "prompt", "seed"), "asked-runs")
+    path = shared_path(spark, "resumed")
+    half = F.pmod(F.xxhash64("run_id"), F.lit(4))
+    for wave in (half < 2, half >= 1):
+        asked.filter(wave).repartition(4, "run_id").write.mode("append").parquet(f"{path}/runs")
+        arriving = stateful.read_folder(spark, f"{path}/runs", asked.schema, files_per_batch=3)
+        done = resume.resumable_infer(arriving, _stub_factory, path, name="stub", batch_size=32)
+    return done.select("run_id", "final_text", "response_error")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     configuration = F.lit(runs.Sampling().recorded())
     return runs.output_records(

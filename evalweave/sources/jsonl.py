@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave.functions.parsing import json_line_kind
+from evalweave.session import stage
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their file and kind (``object``, ``not_object``, ``broken``).
-
-    ``_block`` and ``_at`` place a line inside its file; see ``rejects``.
-    """
+    """Lines with their file, the place of their block in it, and kind (``object``, ``not_object``, ``broken``)."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
         F.col("value").alias("line"),
     )
     return lines.withColumn("kind", json_line_kind("line"))
@@ -31,29 +31,59 @@ def read_objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return good.select(F.from_json("line", schema).alias("o")).select("o.*")
 
 
+PLACED = "path string, block bigint, number bigint, reason string, line string"
+
+
 def rejects(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that are neither blank nor a JSON object, with file, line number and reason.
+    """Lines that are neither blank nor a JSON object, with file, line number and reason; one scan.
 
-    A large file is read in blocks, so a line's number is its place in its block plus the lines of
-    the blocks before; that takes one small row per block, not an ordered read.
+    A large file is read in blocks. As the lines of a block go by, only the bad ones and one row with
+    the number of lines are kept. A line's number is its place in its block plus the lines of the
+    blocks before. Good lines never leave the JVM.
     """
     lines = read_lines(spark, path)
-    blocks = lines.groupBy("path", "_block").agg(
-        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines")
-    )
-    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = blocks.select(
-        "path", "_block", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_b")
-    )
-    bad = lines.filter(F.col("kind").isin("broken", "not_object"))
-    return bad.join(starts, ["path", "_block"]).select(
-        "path",
-        (F.col("_b") + F.col("_at") - F.col("_first") + 1).alias("line_number"),
-        F.col("kind").alias("reason"),
-        "line",
-    )
+    bad = F.col("kind").isin("broken", "not_object")
+    narrow = lines.select("path", "_block", F.when(bad, F.col("kind")).alias("reason"), F.when(bad, F.col("line")).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, 0
+        for batch in batches:
+            # Lines come block by block, in order.
+            paths = batch.column(0).dictionary_encode()
+            files = paths.indices.to_numpy()
+            places = batch.column(1).to_numpy()
+            cuts = np.append(np.flatnonzero((np.diff(files, prepend=-1) != 0) | (np.diff(places, prepend=-1) != 0)), len(files))
+            number = np.zeros(len(files), np.int64)
+            ended = []
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                here = (paths.dictionary[files[begin]].as_py(), int(places[begin]))
+                if here != now:
+                    if now is not None:
+                        ended.append((*now, seen, None, None))
+                    now, seen = here, 0
+                number[begin:end] = np.arange(seen + 1, seen + 1 + end - begin)
+                seen += end - begin
+            kept = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            columns = [c.take(pa.array(kept)) for c in (batch.column(0), batch.column(1), pa.array(number), *batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+            if ended:
+                yield _rows(ended)
+        if now is not None:
+            yield _rows([(*now, seen, None, None)])
+
+    placed = stage(narrow.mapInArrow(run, PLACED), "reject-lines")
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.filter("reason is null").select("path", "block", F.coalesce(F.sum("number").over(earlier), F.lit(0)).alias("_before"))
+    found = placed.filter("reason is not null").join(starts, ["path", "block"])
+    return found.select("path", (F.col("_before") + F.col("number")).alias("line_number"), "reason", "line")
+
+
+NAMES = [f.split()[0] for f in PLACED.split(", ")]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
 
 
 def require_objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

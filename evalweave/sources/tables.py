@@ -30,7 +30,8 @@ def scan(
 ) -> DataFrame:
     """Lazily read one split of a dataset at a pinned revision.
 
-    A revision and a split are folders below ``path``. JSON always needs a declared schema.
+    A revision and a split are folders below ``path``; revisions that share files are ``snapshots``.
+    JSON always needs a declared schema.
     """
     if file_format != "parquet" and schema is None:
         raise ValueError("a declared schema is needed for this format")
