@@ -177,7 +177,8 @@ def normalized_router_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contexts(spark: SparkSession, sf_dir: str, telemetry: DataFrame, model: str) -> DataFrame:
     """A context for every run of some telemetry: the document that bears the run's number, if there is one."""
     asked = telemetry.select(F.col("run_id").alias("id")).distinct()
-    known = normalize_examples(examples(spark, sf_dir)).select(*EXAMPLE_COLUMNS)
+    # Only the documents asked for are cleaned and moved.
+    known = normalize_examples(examples(spark, sf_dir).join(asked, "id", "left_semi")).select(*EXAMPLE_COLUMNS)
     rows = asked.join(known, "id", "left").withColumns(
         {
             "row_index": F.col("id").cast("bigint"),
