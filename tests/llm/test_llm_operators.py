@@ -604,6 +604,28 @@ def test_op9_measures_what_was_packed(spark, folder, rows):
     ]
 
 
+def test_op9_places_pieces_as_the_plain_loop_does(spark, folder, monkeypatch):
+    monkeypatch.setattr(packing, "GROUPS_A_TASK", 1)
+    pieces = packing.token_pieces(
+        spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", vocabulary_path(WORD_VOCABULARY), end_id=1, length=256
+    )
+    got = packing.measured_pieces(packing.filled_sequences(pieces, capacity=256, group_size=15)).collect()
+    groups = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in got:
+        groups[r["sequence_id"] >> 32][r["sequence_id"] & 0xFFFFFFFF].append((r["offset"], r["length"]))
+    assert len(groups) > 1
+    for bins in groups.values():
+        want: list[list[int]] = []
+        for size in sorted((n for own in bins.values() for _, n in own), reverse=True):
+            fits = next((b for b in want if sum(b) + size <= 256), None)
+            want.append([size]) if fits is None else fits.append(size)
+        for number, own in bins.items():
+            own.sort()
+            assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+            assert sorted((n for _, n in own), reverse=True) == want[number]
+        assert len(bins) == len(want)
+
+
 def test_pipeline_writes_the_packed_ids(spark, folder, rows):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     filled = corpus_pipeline.pack_sequences(spark, docs, folder).collect()
