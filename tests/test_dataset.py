@@ -78,7 +78,6 @@ def test_manifest_does_not_depend_on_the_layout_or_the_limit_path(spark, monkeyp
     seen, facts = [], set()
     for parts, small in ((1, 100), (4, 100), (17, 100), (4, 10)):
         monkeypatch.setattr(ordered, "SMALL_LIMIT", small)
-        monkeypatch.setattr(ds, "SMALL_LIMIT", small)
         made = ds.build_manifest(df.repartition(parts), spec)
         seen.append(sorted(map(tuple, made.collect())))
         facts.add(tuple(ds.manifest_facts(made)))
