@@ -40,15 +40,19 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def release_memory() -> None:
+def trim_memory() -> None:
     """Give freed memory back to the system, as far as the allocators can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def release_memory() -> None:
+    gc.collect()
+    trim_memory()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same map over batches, with its memory given back at the end of the task.
 

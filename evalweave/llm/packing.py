@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalweave.llm.batches import lean, offsets_of, ragged_index, text_slices
+from evalweave.llm.batches import lean, offsets_of, ragged_index, text_slices, trim_memory
 from evalweave.llm.names import columns_of, free_name
 from evalweave.llm.tokens import WordEncoder, crc_of, with_end
 from evalweave.session import stage
@@ -34,8 +34,8 @@ PIECE = T.StructType(
     ]
 )
 IDS = T.StructField("ids", T.BinaryType())
-#: Groups (of 4,096 pieces, 33 MB at most) that a task packs one after another.
-GROUPS_A_TASK = 2
+#: Most groups (of 4,096 pieces, 33 MB at most) to a task on average.
+GROUPS_A_TASK = 8
 
 
 def token_pieces(
@@ -176,11 +176,14 @@ def filled_sequences(pieces: DataFrame, *, capacity: int, group_size: int = 4096
         sequence = table.column("group").to_numpy()[0] * (1 << 32) + bins[first[:-1]]
         ids = pa.BinaryArray.from_buffers(pa.binary(), len(sequence), [None, pa.py_buffer(bytes_at), data])
         parts = pa.ListArray.from_arrays(pa.array(first), struct)
+        trim_memory()
         return pa.table([pa.array(sequence, pa.int64()), pa.array(np.diff(bytes_at) // 4, pa.int64()), ids, parts], schema.names)
 
-    # Groups are small, so there may be many to a task: as many tasks as hold a bounded number of them.
-    tasks = max(1, math.ceil(groups / GROUPS_A_TASK))
-    return plain.repartition(tasks, "group").groupBy("group").applyInArrow(fill, schema)
+    # A task packs its groups one after another; more tasks than the session asks for only if it had too many.
+    tasks = math.ceil(groups / GROUPS_A_TASK)
+    if tasks > int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        plain = plain.repartition(tasks, "group")
+    return plain.groupBy("group").applyInArrow(fill, schema)
 
 
 def measured_pieces(filled: DataFrame) -> DataFrame:

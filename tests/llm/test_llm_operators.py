@@ -605,7 +605,7 @@ def test_op9_measures_what_was_packed(spark, folder, rows):
 
 
 def test_op9_places_pieces_as_the_plain_loop_does(spark, folder, monkeypatch):
-    monkeypatch.setattr(packing, "GROUPS_A_TASK", 1)
+    monkeypatch.setattr(packing, "GROUPS_A_TASK", 0.5)
     pieces = packing.token_pieces(
         spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text", vocabulary_path(WORD_VOCABULARY), end_id=1, length=256
     )
