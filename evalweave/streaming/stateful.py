@@ -116,6 +116,15 @@ def canvas_changes_stream(steps: DataFrame) -> DataFrame:
     )
 
 
+def first_rows_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key over the whole stream: of the first micro-batch that has the key; null is a key too.
+
+    The state holds every key ever seen, one small record each, in RocksDB when run by ``run_to_files``.
+    ``streaming.ledger`` tells the rows that are dropped here, with state in files.
+    """
+    return rows.dropDuplicates(keys)
+
+
 def read_folder(
     spark: SparkSession, path: str, schema: T.StructType, *, file_format: str = "parquet", files_per_batch: int = 1000
 ) -> DataFrame:

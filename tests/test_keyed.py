@@ -143,3 +143,11 @@ def test_ledger_goes_on_where_it_stopped(spark, tmp_path):
     ledger.run_ledger(again, own)
     assert sorted(map(tuple, ledger.rejects(spark, own).collect())) == [("a", 2, 0), ("b", 3, 1)]
     assert ledger.rejects(spark, ledger.Ledger(str(tmp_path / "none"))).agg(F.count("*")).first()[0] == 0
+
+
+def test_one_row_of_every_key_over_all_batches(spark, tmp_path):
+    waves = [[("a", 1), ("", 2), ("a", 3)], [("b", 4), (None, 5), ("", 6)], [("a", 7), (None, 8), ("c", 9)]]
+    found, _ = run(stateful.first_rows_stream(arriving(spark, tmp_path, "id string, place int", waves), ["id"]), tmp_path)
+    rows = {r["id"]: r["place"] for r in found.collect()}
+    assert found.count() == 5 and rows.pop("a") in (1, 3)
+    assert rows == {"": 2, "b": 4, None: 5, "c": 9}
