@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+FREED_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -66,7 +67,13 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or shared_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    before = spark.conf.get(FREED_CONF, None)
+    # Only this write needs its shuffles; they would lie on the disks until the driver collects garbage.
+    spark.conf.set(FREED_CONF, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.unset(FREED_CONF) if before is None else spark.conf.set(FREED_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

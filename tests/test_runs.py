@@ -351,3 +351,42 @@ def test_text_raw_text_and_error_pass_through(spark):
         ("", None, "E: none"),
         ("plain", "plain", None),
     ]
+
+
+@pytest.mark.parametrize("most_bytes", [tokens.DICTIONARY_BYTES, 10])
+def test_a_vocabulary_of_any_size_is_never_joined_to_the_tokens(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(tokens, "TOKENS_HELD", 3)
+    for name, value in (("PART_TOKENS", 7), ("PART_BYTES", 40), ("SLICE_ENTRIES", 12)):
+        monkeypatch.setattr(tokens, name, value)
+    monkeypatch.setattr(tokens.dictionary, "__defaults__", (most_bytes,))
+    # A text that is null, a flag that is null, an id beyond four bytes.
+    entries = [(i, f"w{i}" if i != 5 else None, None if i == 6 else i % 4 == 0) for i in range(40)] + [(1 << 40, "far", False)]
+    vocab = stage(spark.createDataFrame(entries, "token_id bigint, token_text string, is_special boolean"), "vocabulary")
+    known = {i: (t, f) for i, t, f in entries}
+    given = [(f"r{n}", n % 2, [(7 * n + j * j) % 45 for j in range(n % 9)] + [1 << 40, None] * (n % 5 == 0)) for n in range(60)]
+    given += [("r1", 1, [3, 3, 3]), (None, None, [2]), ("empty", 0, []), ("null", 0, None)]
+    df = spark.createDataFrame(given, "`a.b` string, n int, ids array<bigint>").repartition(3)
+    found = tokens.token_events(df, ["a.b", "n"], "ids", vocab, most_bytes)
+    assert found.columns == ["a.b", "n", "token_step", "token_id", "token_text", "is_special"]
+    want = [(a, n, at, i, *known.get(i, (None, None))) for a, n, ids in given for at, i in enumerate(ids or [])]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    # Tokens become rows at the very end, above any shuffle or join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.index("Generate ") < plan.index("MapInArrow")
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+    # Rows of equal keys stay rows of their own.
+    decoded = tokens.detokenize(df, ["a.b", "n"], "ids", vocab, most_bytes).collect()
+    texts = []
+    for a, n, ids in given:
+        bad = [i for i in ids or [] if known.get(i, (None, None))[0] is None]
+        raw, clean = ("".join(known[i][0] for i in (ids or []) if not bad and (f or not known[i][1])) for f in (True, False))
+        least = min((i for i in bad if i is not None), default="null")
+        error = f"KeyError: unknown token id {least}" if bad else None
+        texts.append((a, n, ids or [], None if bad else raw, None if bad else clean, error))
+    assert sorted(map(str, map(tuple, decoded))) == sorted(map(str, texts))
+
+    rows = [(f"r{n}", " ".join(f"w{(n * j) % 43}" for j in range(n % 8))) for n in range(50)] + [("null", None), ("one", "w1  far")]
+    coded = tokens.encode_words(spark.createDataFrame(rows, "k string, t string").repartition(3), ["k"], "t", vocab.filter("token_id < 100"), "ids")
+    ids = {t: i for i, t, _ in entries if t and i < 100}
+    assert {r["k"]: r["ids"] for r in coded.collect()} == {k: None if t is None else [ids.get(w) for w in t.split(" ")] for k, t in rows}
