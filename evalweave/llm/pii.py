@@ -18,6 +18,7 @@ candidates nothing is added.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -60,8 +61,9 @@ _GROUP_BEFORE = re.compile(r"([0-9]++)([ ().\-/]{1,2})\(?\Z")
 _GROUP_AFTER = re.compile(r"([ ().\-/]{1,2})([0-9]++)")
 #: Most digits of a candidate, and candidates that are scored at a time.
 _MOST_DIGITS, _SCORED = 19, 20_000
-#: Groups of its run that a candidate may leave out, and characters before it that are looked at.
-BESIDE, _BEFORE = 6, 24
+#: Groups of its run that a candidate leaves out at most, those of longer rows come apart; groups of a row
+#: that are looked at together, and characters before a candidate.
+BESIDE, _ROW, _BEFORE = 6, 4096, 24
 _LUHN = np.array([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])
 _PROSE = re.compile(r"\b[a-z]{2,9}\b")
 _APART = "\n" * 40
@@ -146,8 +148,9 @@ class Numbers:
 
     A run is digit groups with one or two separators between them. Candidates are runs of whole groups
     whose digits fit a kind: any for a phone number, those that pass Luhn's test for a card, four
-    parts up to 255 for an address. A datum stands beside few other numbers, so a candidate leaves at most
-    ``BESIDE`` groups of its run out: a long row of a table of numbers holds none.
+    parts up to 255 for an address. A datum mostly stands beside few other numbers: such candidates leave at
+    most ``BESIDE`` groups of their run out. Those of longer rows (``rows``) are as many as their groups allow
+    and come in parts.
     """
 
     def __init__(self, text: str, least: int = 7):
@@ -188,24 +191,33 @@ class Numbers:
         return start, self.ends[j]
 
     def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(kind, first group, last group) of all candidates, kinds as numbers."""
+        """(kind, first group, last group) of all candidates that leave few groups out, kinds as numbers."""
+        return self._fitting(0, len(self.starts), rows=False)
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All other candidates, in parts."""
+        if len(self.starts) and np.bincount(self.runs).max() > BESIDE + 1:
+            for begin in range(0, len(self.starts), _ROW):
+                yield self._fitting(begin, begin + _ROW, rows=True)
+
+    def _fitting(self, begin: int, end: int, *, rows: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         found = [(none, none, none)]
         count = len(self.starts)
-        run_size = np.bincount(self.runs)[self.runs] if count else none
         for width in range(1, min(count, _MOST_DIGITS) + 1):
-            i = np.arange(count - width + 1)
+            i = np.arange(begin, min(end, count - width + 1))
             j = i + width - 1
-            i = i[(self.runs[i] == self.runs[j]) & (run_size[i] - width <= BESIDE)]
+            i = i[(self.runs[i] == self.runs[j]) & (self.first[j + 1] - self.first[i] <= _MOST_DIGITS)]
+            i = i[(self._run_size[i] - width > BESIDE) == rows]
             j = i + width - 1
             digits = self.first[j + 1] - self.first[i]
-            start, end = self.spans(i, j) if len(i) else (none, none)
+            start, stop = self.spans(i, j) if len(i) else (none, none)
             phone = (digits >= 7) & (digits <= 15)
             card = (digits >= 13) & (digits <= 19)
             card[card] = self.luhn(i[card], j[card])
             ip = np.zeros(len(i), dtype=bool)
             if width == 4:
-                ip = (digits >= 7) & (self.dots[end] - self.dots[start] == 3) & (self.octet[j + 1] - self.octet[i] == 4)
+                ip = (digits >= 7) & (self.dots[stop] - self.dots[start] == 3) & (self.octet[j + 1] - self.octet[i] == 4)
             for kind, which in (("phone", phone), ("card", card), ("ip", ip)):
                 found.append((np.full(int(which.sum()), KINDS.index(kind)), i[which], j[which]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -213,7 +225,7 @@ class Numbers:
     def features(self, kind: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """One row for each candidate: the same measures, in the same order, as ``features``."""
         start, end = self.spans(i, j)
-        signs = {c: offsets_of(np.isin(self.code, [ord(x) for x in c])) for c in (" ", ".", "-", "/", "([")}
+        signs = self._signs
 
         def held(c: str, low: np.ndarray = start, high: np.ndarray = end) -> np.ndarray:
             return signs[c][high] - signs[c][low]
@@ -226,8 +238,7 @@ class Numbers:
         rows = np.arange(len(i))
         digits = self.first[j + 1] - self.first[i]
         kinds = np.zeros((len(i), 10))
-        for d in range(10):
-            own = offsets_of(self.digits == d)
+        for d, own in enumerate(self._kinds):
             kinds[:, d] = own[self.first[j + 1]] > own[self.first[i]]
         # What stands before and after, of the same run or any other sign.
         last = len(self.starts) - 1
@@ -236,14 +247,12 @@ class Numbers:
         left_end, right_start = self.ends[np.maximum(i - 1, 0)], self.starts[np.minimum(j + 1, last)]
         left_blank = held(" ", np.where(left, left_end, start), start) == start - left_end
         right_blank = held(" ", end, np.where(right, right_start, end)) == right_start - end
-        cues = {k: self._cue(pattern, start) for k, pattern in _CUES.items()}
+        cues = {k: self._cue(k, start) for k in _CUES}
         own_cue, other_cue = np.zeros(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
         for k, hit in cues.items():
             own_cue |= hit & (kind == KINDS.index(k))
             other_cue |= hit & (kind != KINDS.index(k))
-        joined = ". "
-        pair = np.append((self.code[:-1] == ord(joined[0])) & (self.code[1:] == ord(joined[1])), False)
-        pairs = offsets_of(pair)
+        pairs = self._pairs
         zero = np.zeros(len(i))
         columns = [
             *[kind == n for n in range(len(KINDS))],
@@ -258,9 +267,32 @@ class Numbers:
         ]
         return np.stack([np.asarray(c, float) for c in columns], axis=1)
 
-    def _cue(self, pattern: re.Pattern, start: np.ndarray) -> np.ndarray:
-        """Does the pattern match within the characters before each start."""
-        spans = np.array([m.span() for m in pattern.finditer(self.text)], np.int64).reshape(-1, 2)
+    # What the features count in, worked out once however many candidates a text has.
+
+    @functools.cached_property
+    def _run_size(self) -> np.ndarray:
+        return np.bincount(self.runs)[self.runs]
+
+    @functools.cached_property
+    def _signs(self) -> dict[str, np.ndarray]:
+        return {c: offsets_of(np.isin(self.code, [ord(x) for x in c])) for c in (" ", ".", "-", "/", "([")}
+
+    @functools.cached_property
+    def _kinds(self) -> list[np.ndarray]:
+        return [offsets_of(self.digits == d) for d in range(10)]
+
+    @functools.cached_property
+    def _pairs(self) -> np.ndarray:
+        joined = ". "
+        return offsets_of(np.append((self.code[:-1] == ord(joined[0])) & (self.code[1:] == ord(joined[1])), False))
+
+    @functools.cached_property
+    def _cues(self) -> dict[str, np.ndarray]:
+        return {k: np.array([m.span() for m in c.finditer(self.text)], np.int64).reshape(-1, 2) for k, c in _CUES.items()}
+
+    def _cue(self, kind: str, start: np.ndarray) -> np.ndarray:
+        """Does the kind's cue stand within the characters before each start."""
+        spans = self._cues[kind]
         if not len(spans):
             return np.zeros(len(start), dtype=bool)
         at = np.searchsorted(spans[:, 1], start, side="right") - 1
@@ -275,12 +307,29 @@ class Numbers:
 
 
 def candidates(text: str) -> Iterator[tuple[list[Span], np.ndarray]]:
-    """Spans that may be personal data, overlapping and under several kinds, with their features; in parts."""
+    """Spans that may be personal data, overlapping and under several kinds, with their features; in parts.
+
+    Numbers of long rows are not among them; ``every_candidate`` gives those as well.
+    """
+    return _candidates(text, Numbers(text))
+
+
+def every_candidate(text: str) -> Iterator[tuple[list[Span], np.ndarray]]:
+    """``candidates`` and those of long rows of numbers, of which no more than a part is held."""
+    numbers = Numbers(text)
+    yield from _candidates(text, numbers)
+    for found in numbers.rows():
+        yield from _featured(numbers, *found)
+
+
+def _candidates(text: str, numbers: Numbers) -> Iterator[tuple[list[Span], np.ndarray]]:
     mails = list(_loose_emails(text))
     if mails:
         yield mails, np.array([features(k, *_context(text, s, e)) for k, s, e in mails])
-    numbers = Numbers(text)
-    kind, i, j = numbers.candidates()
+    yield from _featured(numbers, *numbers.candidates())
+
+
+def _featured(numbers: Numbers, kind: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[list[Span], np.ndarray]]:
     for at in range(0, len(kind), _SCORED):
         part = slice(at, at + _SCORED)
         start, end = numbers.spans(i[part], j[part])
@@ -289,7 +338,7 @@ def candidates(text: str) -> Iterator[tuple[list[Span], np.ndarray]]:
 
 
 def proposals(text: str) -> list[Span]:
-    """The spans of all candidates."""
+    """The spans of all ``candidates``."""
     return [span for spans, _ in candidates(text) for span in spans]
 
 
@@ -440,7 +489,7 @@ def examples(text: str) -> tuple[list[str], list[int], np.ndarray]:
         labels.extend(map(int, right))
         rows.append(x)
 
-    for spans, x in candidates(text):
+    for spans, x in every_candidate(text):
         same = [s in exact for s in spans]
         inside = [any(s < e2 and s2 < e for _, s2, e2 in base) for _, s, e in spans] if base else [False] * len(spans)
         keep = [n for n, (one, two) in enumerate(zip(same, inside, strict=True)) if one or not two]
@@ -487,7 +536,7 @@ class Detector:
         held: list[tuple[int, list[Span], np.ndarray]] = []
         count = 0
         for i, text in enumerate(texts):
-            for spans, x in candidates(text):
+            for spans, x in every_candidate(text):
                 held.append((i, spans, x))
                 count += len(spans)
                 if count >= _SCORED:

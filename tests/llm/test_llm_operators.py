@@ -456,6 +456,20 @@ def test_numbers_beside_others_are_proposed_and_found(detector):
     assert len(pii.proposals(line)) < 10 * 30_000 and pii.proposals("1" * 30_000) == []
 
 
+def test_long_rows_of_numbers_are_looked_at_whole(detector):
+    picks = random.Random(5)
+    phones = [f"{picks.randint(200, 999)}-{picks.randint(200, 999)}-{picks.randint(1000, 9999)}" for _ in range(9)]
+    text = f"call {' '.join(phones)} now"
+    assert [text[s:e] for _, s, e in detector.find(text)[1]] == phones
+    # Every run of groups that fits a kind is a candidate, however long the row.
+    row = " ".join(str(picks.randint(1, 9999)) for _ in range(5000))
+    spans = {(s, e) for parts, _ in pii.every_candidate(row) for k, s, e in parts if k == "phone"}
+    groups = [m.span() for m in re.finditer("[0-9]+", row)]
+    want = {(groups[i][0], groups[j][1]) for i in range(len(groups)) for j in range(i, min(i + 15, len(groups)))
+            if 7 <= sum(e - s for s, e in groups[i : j + 1]) <= 15}
+    assert spans == want
+
+
 def test_written_out_addresses_are_candidates_by_their_own_surroundings(detector):
     written = ["jane.doe at example.com", "jane (AT) example (DOT) com", "JANE.DOE AT EXAMPLE.COM", "j_doe [At] mail.example.org"]
     for form in written:
