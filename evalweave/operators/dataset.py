@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalweave.functions.text import clean_float, clean_text, prompt_hash, shuffle_key
 from evalweave.operators.lazy import buffered_shuffle
-from evalweave.operators.ordered import dense_index, limit_ordered, number_limited
+from evalweave.operators.ordered import content, dense_index, limit_ordered, number_limited
 from evalweave.operators.skew import lookup_join
 from evalweave.schemas import (
     EXAMPLE_COLUMNS,
@@ -200,11 +201,33 @@ def number_examples(df: DataFrame, spec: ManifestSpec) -> DataFrame:
     if not spec.normalize:
         # Every manifest row is clean, also when the loader was told to leave rows as they are.
         rows = normalize_examples(rows, keep=kept_columns(spec))
-    rows, order = with_order(rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt"))), spec)
+    rows = rows.withColumn("prompt_sha256", prompt_hash(F.col("prompt")))
+    if spec.shuffle and spec.streaming:
+        return _number_streamed(rows, spec).select(*MANIFEST_SCHEMA.names)
+    rows, order = with_order(rows, spec)
     numbered = number_limited(rows, order, spec.max_samples, list(spec.order_by))
     return numbered.select(*MANIFEST_SCHEMA.names)
 
 
+def _number_streamed(rows: DataFrame, spec: ManifestSpec) -> DataFrame:
+    """The rows numbered as they leave the buffer of their shard, which takes them in by ``order_by``.
+
+    Only order and shard of a row go through the buffers, as a task has a whole shard; the rows meet their
+    number by ``order_by``. Where that does not tell them apart, whole rows go through, ties by content.
+    """
+    key = list(spec.order_by)
+    absent = functools.reduce(Column.__or__, [F.col(c).isNull() for c in key])
+    keys = stage(rows.select(*kept_columns(spec)), "shard-keys")
+    unfit = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | absent)
+    narrow = unfit.isEmpty()
+    taken = keys if narrow else stage(rows, "tied-examples")
+    ties = [] if narrow else [content(taken)]
+    laid = taken.repartition(*spec.shards).sortWithinPartitions(*spec.shards, *key, *ties)
+    shuffled, order = with_order(laid, spec)
+    numbered = number_limited(stage(shuffled, "shuffled-keys"), order, spec.max_samples, key)
+    return rows.join(numbered.select(*key, "row_index"), key) if narrow else numbered
+
+
 def violations(numbered: DataFrame) -> DataFrame:
     """Every broken rule of every row: (row_index, id, rule, priority).
 

@@ -243,17 +243,14 @@ _STREAMED = f"""rows AS (SELECT doc_id, doc_id % {SHARDS} AS shard,
 
 
 def _sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examples as files of one shard each, in order, read back as they lie there."""
-    rows = fx.examples(spark, sf_dir).withColumn("shard", F.col("position") % SHARDS)
-    path = shared_path(spark, "shards")
-    filed = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "position")
-    filed.write.partitionBy("shard").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    """Examples that lie in files of one shard each."""
+    return fx.examples(spark, sf_dir).withColumn("shard", F.col("position") % SHARDS)
 
 
 @query("buffered_shuffle", f"WITH {_STREAMED} SELECT doc_id AS position, shard, place, row_index FROM streamed")
 def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sharded(spark, sf_dir).select("position", "shard")
+    rows = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "position")
     shuffled = lazy.buffered_shuffle(rows, ["shard"], seed=42, buffer=BUFFER)
     numbered = dense_index(shuffled, ["shuffle_shard", "shuffle_place"])
     return numbered.select("position", "shard", F.col("shuffle_place").alias("place"), "row_index")

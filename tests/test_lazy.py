@@ -94,6 +94,21 @@ def test_a_streamed_manifest_takes_the_buffered_order(spark):
         assert {r["row_index"]: r["id"] for r in got} == {n: f"e{i:03d}" for n, i in enumerate(want[: most or 120])}
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_a_streamed_manifest_needs_no_layout(spark, tied):
+    """Shards that several tasks read, in any order; a shard's rows enter by ``order_by``."""
+    rows = [(f"e{i:03d}", f"prompt {i}", "ab"[i // 60], i // 2 * 2 if tied else i) for i in range(120)]
+    columns = [F.lit(None).cast("string").alias(c) for c in ds.EXAMPLE_COLUMNS if c not in ("id", "prompt", ds.FLOAT_COLUMN)]
+    df = spark.createDataFrame(rows, "id string, prompt string, shard string, position int")
+    df = df.select("*", *columns, F.lit(None).cast("double").alias(ds.FLOAT_COLUMN))
+    spec = ds.ManifestSpec(order_by=("position",), streaming=True, shuffle=True, shards=("shard",), shuffle_buffer=20, seed=3)
+    found = [{r["row_index"]: r["id"] for r in ds.number_examples(df.repartition(n, F.hash("id")), spec).collect()} for n in (5, 3)]
+    assert found[0] == found[1] and sorted(found[0].values()) == [r[0] for r in rows]
+    if not tied:
+        want = plain_shuffle({"a": list(range(60)), "b": list(range(60, 120))}, 3, 20)
+        assert found[0] == {n: f"e{i:03d}" for n, i in enumerate(want)}
+
+
 def joiner():
     """A function made in a call goes to the workers by value; this module is not there."""
     return lambda rows: {"ids": [r["row_index"] for r in rows], "text": "|".join(r["p"] or "-" for r in rows)}
