@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -36,6 +36,9 @@ RESULT_FIELDS = [
     T.StructField("response_error", T.StringType()),
 ]
 
+#: Rows whose prompts and results are Python objects at a time.
+ROWS_HELD = 256
+
 #: The engine this Python worker holds: at most one, under the token of the call it was built for.
 _HELD: dict[str, Any] = {}
 
@@ -65,7 +68,8 @@ def batch_infer(
     nothing depends on a global order; a predictor that returns too few results fails the task. Text,
     raw text and error of a row are passed on as the predictor gives them; without an error, a raw
     text that is not given is the text. A worker holds one engine at a time, and never one of another call.
-    ``tasks`` spreads the rows evenly first, for an engine that is slow next to reading.
+    ``tasks`` spreads the rows evenly first, for an engine that is slow next to reading. Only prompts and
+    seeds of at most ``ROWS_HELD`` rows (or one batch) are Python objects at a time.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be greater than zero")
@@ -74,25 +78,38 @@ def batch_infer(
     schema = T.StructType(runs.schema.fields + RESULT_FIELDS)
     token = f"{name}-{uuid.uuid4().hex}"
 
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = max(ROWS_HELD // batch_size, 1) * batch_size
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _predictor(token, factory)
-        for frame in frames:
-            results: list[Prediction] = []
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                made = engine(part[prompt].tolist(), [int(s) for s in part[seed]])
-                if len(made) != len(part):
-                    raise ValueError(f"{len(made)} results for {len(part)} prompts")
-                results.extend(made)
-            yield frame.assign(
-                input_token_count=[r.input_token_count for r in results],
-                final_text=[r.text for r in results],
-                final_token_ids=[list(r.token_ids) for r in results],
-                raw_response=[_raw(r) for r in results],
-                response_error=[r.error for r in results],
-            )
-
-    return runs.mapInPandas(predict, schema)
+        try:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, held):
+                    rows = batch.slice(begin, held)
+                    results: list[Prediction] = []
+                    for start in range(0, rows.num_rows, batch_size):
+                        part = rows.slice(start, batch_size)
+                        made = engine(part.column(prompt).to_pylist(), [int(s) for s in part.column(seed).to_pylist()])
+                        if len(made) != part.num_rows:
+                            raise ValueError(f"{len(made)} results for {part.num_rows} prompts")
+                        results.extend(made)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *_columns(results)], schema.names)
+        finally:
+            # Workers outlive their tasks, and what they keep for later stands beside other stages' needs.
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return runs.mapInArrow(predict, schema)
+
+
+def _columns(results: list[Prediction]) -> list[pa.Array]:
+    return [
+        pa.array([int(r.input_token_count) for r in results], pa.int64()),
+        pa.array([r.text for r in results], pa.string()),
+        pa.array([list(map(int, r.token_ids)) for r in results], pa.list_(pa.int32())),
+        pa.array([_raw(r) for r in results], pa.string()),
+        pa.array([r.error for r in results], pa.string()),
+    ]
 
 
 def _raw(result: Prediction) -> str | None:

@@ -390,3 +390,16 @@ def test_a_vocabulary_of_any_size_is_never_joined_to_the_tokens(spark, monkeypat
     coded = tokens.encode_words(spark.createDataFrame(rows, "k string, t string").repartition(3), ["k"], "t", vocab.filter("token_id < 100"), "ids")
     ids = {t: i for i, t, _ in entries if t and i < 100}
     assert {r["k"]: r["ids"] for r in coded.collect()} == {k: None if t is None else [ids.get(w) for w in t.split(" ")] for k, t in rows}
+
+
+def test_inference_holds_few_rows_as_objects(spark):
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("seed"), F.concat(F.lit("p"), "id").alias("prompt"), F.lit(1.5).alias("x"))
+
+    def sized():
+        return lambda prompts, seeds: [inference.Prediction(p.upper(), [s, len(seeds)]) for p, s in zip(prompts, seeds, strict=True)]
+
+    done = inference.batch_infer(rows, sized, name="sized", batch_size=100)
+    assert "MapInArrow" in done._jdf.queryExecution().optimizedPlan().toString()
+    assert done.columns[:3] == ["seed", "prompt", "x"]
+    found = {r["seed"]: (r["final_text"], r["final_token_ids"], r["raw_response"], r["x"]) for r in done.collect()}
+    assert found == {i: (f"P{i}", [i, 100], f"P{i}", 1.5) for i in range(1000)}
