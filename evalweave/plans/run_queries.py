@@ -258,10 +258,10 @@ def resumed_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("run_id", "final_text", "response_error")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(inferred: DataFrame) -> DataFrame:
     configuration = F.lit(runs.Sampling().recorded())
     return runs.output_records(
-        _inferred(spark, sf_dir)
+        inferred
         .withColumn("generation_configuration", configuration)
         .withColumn("rendered_prompt", tx.render_single_turn(F.col("prompt")))
     )
@@ -278,9 +278,12 @@ _RECORD = f"""'final_output' AS event, 1 AS schema_version, experiment_id, model
 
 @query("output_records", f"WITH {_INFERRED} SELECT {_RECORD} FROM inferred")
 def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written as JSON lines and read back under the declared schema."""
+    """Records written as JSON lines and read back under the declared schema.
+
+    A record holds its prompt twice, which compression all but undoes.
+    """
     path = shared_path(spark, "outputs")
-    jsonl.write_json(_records(spark, sf_dir), path, keep_nulls=False)
+    jsonl.write_json(_records(_inferred(spark, sf_dir)), path, keep_nulls=False, compression="gzip")
     return spark.read.schema(OUTPUT_SCHEMA).json(path).withColumn(
         "final_token_ids", F.array_join("final_token_ids", ",")
     )
@@ -294,9 +297,10 @@ def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One append per model into the same folder, as models run one after another."""
     path = shared_path(spark, "outputs")
-    records = stage(_records(spark, sf_dir), "records")
+    # What is derived from a row is left out of the stored copy.
+    records = _records(stage(_inferred(spark, sf_dir), "inferred"))
     appended = {
-        m: jsonl.append_json(records.filter(F.col("model_id") == m), path) for m in fx.MODELS
+        m: jsonl.append_json(records.filter(F.col("model_id") == m), path, compression="gzip") for m in fx.MODELS
     }
     counted = F.create_map(*[F.lit(x) for pair in appended.items() for x in pair])
     return (
@@ -314,7 +318,7 @@ def append_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) * 8 AS output_tokens, count(response_error) AS with_error FROM inferred GROUP BY model_id""",
 )
 def outputs_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.outputs_per_model(_records(spark, sf_dir))
+    return runs.outputs_per_model(_records(_inferred(spark, sf_dir)))
 
 
 # Results of only the labelled documents, plus some of conversations nobody asked for.

@@ -94,19 +94,22 @@ def require_objects(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return read_objects(spark, path, schema)
 
 
-def write_json(df: DataFrame, path: str, *, mode: str = "errorifexists", keep_nulls: bool = True) -> int:
+def write_json(
+    df: DataFrame, path: str, *, mode: str = "errorifexists", keep_nulls: bool = True, compression: str = "none"
+) -> int:
     """Write one object per line and return the row count, observed during the write itself.
 
-    The commit protocol makes the write all-or-nothing per task and job.
+    Readers take ``compression`` (``gzip``, say) from the file names; a compressed file is read by one task. The commit protocol makes the write all-or-nothing per task and job.
     """
     seen = Observation("written")
     observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    observed.write.mode(mode).option("ignoreNullFields", str(not keep_nulls).lower()).json(path)
+    writer = observed.write.mode(mode).option("ignoreNullFields", str(not keep_nulls).lower())
+    writer.option("compression", compression).json(path)
     return int(seen.get["rows"])
 
 
-def append_json(df: DataFrame, path: str) -> int:
-    return write_json(df, path, mode="append")
+def append_json(df: DataFrame, path: str, *, compression: str = "none") -> int:
+    return write_json(df, path, mode="append", compression=compression)
 
 
 def write_document(spark: SparkSession, path: str, columns: list, source: DataFrame | None = None) -> Any:

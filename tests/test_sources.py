@@ -112,3 +112,13 @@ def test_rejects_are_numbered_in_one_scan_of_any_blocks(spark, tmp_path):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert sorted((r["path"], r["line_number"], r["line"]) for r in found) == want
         assert {r["reason"] for r in found} == {"broken", "not_object"}
+
+
+def test_compressed_lines_hold_the_same_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a" * 5000), (2, None)], "n long, t string")
+    sizes = []
+    for kind in ("none", "gzip"):
+        assert jsonl.write_json(df, str(tmp_path / kind), compression=kind) == 2
+        assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / kind)).collect())) == [(1, "a" * 5000), (2, None)]
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / kind).glob("part-*")))
+    assert 10 * sizes[1] < sizes[0]
