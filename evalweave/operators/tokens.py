@@ -20,13 +20,14 @@ from pyspark.sql import types as T
 
 from evalweave.operators.ordered import dense_index
 from evalweave.operators.skew import lookup_join
+from evalweave.operators.workers import lean
 from evalweave.session import stage
 
 #: Most bytes of a vocabulary that every task may hold, and ids decoded at a time.
 DICTIONARY_BYTES = 64 << 20
 TOKENS_HELD = 1 << 20
 #: Ids, or bytes of text, that are looked through at a time, and entries after which a slice ends.
-PART_TOKENS, PART_BYTES, SLICE_ENTRIES = 1 << 21, 16 << 20, 1 << 20
+PART_TOKENS, PART_BYTES, SLICE_ENTRIES = 1 << 20, 8 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -219,6 +220,7 @@ def _told_by_slices(
     cut = _optional(*plain.schema.fields, T.StructField("token_id", T.LongType()))
     most, entries_most = PART_TOKENS, SLICE_ENTRIES
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen, rows = TaskContext.get().partitionId() << 32, np.zeros(0, np.int64), None
         for part in _parts(batches, lambda b: _list_bounds(b, "ids"), most):
@@ -244,30 +246,30 @@ def _told_by_slices(
 
 def _met(rows: DataFrame, entries: DataFrame, hold: Callable, tell: Callable, schema: T.StructType) -> DataFrame:
     """``tell(rows, hold(entries))`` of every slice, rows in parts; a task holds the entries of one slice."""
-    is_row = F.lit(True).alias("is_row")
     names, own = rows.columns[1:], entries.columns[1:]
 
     def nothing(df: DataFrame, columns: list[str]) -> list[Column]:
         return [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
 
-    left = entries.select("slice", F.lit(False).alias("is_row"), *own, *nothing(rows, names))
-    right = rows.select("slice", is_row, *nothing(entries, own), *names)
-    both = left.union(right).repartition("slice").sortWithinPartitions("slice", "is_row")
+    # Entries before rows by one number, which sorts by its digits.
+    turn = F.col("slice") * 2
+    left = entries.select("slice", turn.alias("turn"), *own, *nothing(rows, names))
+    right = rows.select("slice", (turn + 1).alias("turn"), *nothing(entries, own), *names)
+    both = left.union(right).repartition("slice").drop("slice").sortWithinPartitions("turn")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, held = None, [], None
         for batch in batches:
-            number = batch.column("slice").to_numpy()
-            kind = batch.column("is_row").to_numpy(zero_copy_only=False)
-            turns = (np.diff(number) != 0) | (np.diff(kind.astype(np.int8)) != 0)
-            cuts = [0, *(np.flatnonzero(turns) + 1).tolist(), len(number)]
+            turns = batch.column("turn").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)]
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 if begin == end:
                     continue
-                if at != number[begin]:
-                    at, parts, held = number[begin], [], None
+                if at != turns[begin] // 2:
+                    at, parts, held = turns[begin] // 2, [], None
                 piece = batch.slice(begin, end - begin)
-                if not kind[begin]:
+                if turns[begin] % 2 == 0:
                     parts.append(piece.select(own))
                     continue
                 if held is None:
@@ -356,6 +358,7 @@ def _encoded_by_slices(plain: DataFrame, vocab: DataFrame, schema: T.StructType)
     cut = _optional(*schema.fields, T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType()))
     most, entries_most = PART_BYTES, SLICE_ENTRIES
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.array([], pa.large_string())
         number, seen, rows = TaskContext.get().partitionId() << 32, none, None
