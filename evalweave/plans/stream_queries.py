@@ -15,14 +15,14 @@ from evalweave.session import shared_path, stage
 from evalweave.streaming import keyed, ledger, stateful
 
 
-def _arriving(rows: DataFrame, label: str, key: str, order: str, *cuts: int) -> str:
-    """A stored table written again in waves: later steps of a run arrive in later files."""
+def _arriving(rows: DataFrame, label: str, key: str, order: str, *cuts: int, files: int = 2) -> str:
+    """A stored table written again in waves of ``files``: later steps of a run arrive in later files."""
     path = shared_path(rows.sparkSession, label)
     at = F.col(order)
     for low, high in zip((None, *cuts), (*cuts, None), strict=True):
         wave = F.lit(True) if low is None else at >= low
         wave = wave if high is None else wave & (at < high)
-        rows.filter(wave).repartition(2, key).write.mode("append").parquet(path)
+        rows.filter(wave).repartition(files, key).write.mode("append").parquet(path)
     return path
 
 
@@ -36,8 +36,9 @@ def canvas_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = fx.steps(spark, sf_dir).select(
         "run_id", "global_step", "step_index", "canvas", "accepted_index"
     )
-    path = _arriving(steps, "steps", "run_id", "global_step", 30)
-    arriving = stateful.read_folder(spark, path, steps.schema, files_per_batch=2)
+    files = max(2, spark.sparkContext.defaultParallelism)
+    path = _arriving(steps, "steps", "run_id", "global_step", 30, files=files)
+    arriving = stateful.read_folder(spark, path, steps.schema, files_per_batch=files)
     done = stateful.run_to_files(stateful.canvas_changes_stream(arriving), "canvas-changes")
     return done.withColumns(
         {c: F.array_join(c, ",") for c in ("changed_positions", "accepted_positions")}

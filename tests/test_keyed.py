@@ -7,7 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalweave.operators import canvas
 from evalweave.operators.audit import COMPONENTS, rows_before_failure
+from evalweave.plans import stream_queries
+from evalweave.session import stage
 from evalweave.streaming import keyed, ledger, stateful
 
 
@@ -64,6 +67,33 @@ def test_silent_runs_lose_their_state(spark, tmp_path):
     assert max(sizes) <= kept[0] and sizes[-1] < sizes[0] / 4
 
 
+STEPS = "run_id string, global_step int, step_index int, canvas array<int>, accepted_index array<boolean>"
+
+
+def test_canvases_of_many_runs_share_the_state_of_a_few_groups(spark, tmp_path):
+    def step(run, n):
+        cells = [None if i == 0 and n % 4 else (run * n + i) % 3 for i in range(1 + (run + n) % 3)]
+        return (f"r{run}" if run else None, n, (n - 1) % (2 + run % 4), cells, [c == 1 for c in cells])
+
+    # Some runs come in every wave, some pause in the second, some begin in the third.
+    waves = [[step(r, n) for r in range(40) for n in range(4 * w, 4 * w + 4) if (r + w) % 3 or w == 2] for w in range(3)]
+    for wave in waves:
+        wave.reverse()
+    found, sizes = run(stateful.canvas_changes_stream(arriving(spark, tmp_path, STEPS, waves), 3), tmp_path)
+    assert sizes == [3, 3, 3]
+    rows = spark.createDataFrame([r for wave in waves for r in wave], STEPS).na.fill({"run_id": "none"})
+    names = ["run_id", "global_step", "step_index", "canvas_index", "changed_positions", "accepted_positions"]
+    want = canvas.canvas_changes(rows).select(names).collect()
+    assert sorted(found.na.fill({"run_id": "none"}).select(names).collect()) == sorted(want)
+
+
+def test_a_wave_is_written_by_as_many_tasks_as_asked_for(spark):
+    rows = stage(spark.range(200).selectExpr("cast(id % 50 as string) AS run_id", "cast(id div 50 as int) AS step"), "rows")
+    path = stream_queries._arriving(rows, "waves", "run_id", "step", 2, files=4)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("step") < 2, F.max("step") < 2).collect()
+    assert sorted(tuple(f)[1:] for f in files) == [(False, False)] * 4 + [(True, True)] * 4
+
+
 def test_a_late_route_stops_the_stream(spark, tmp_path):
     waves = [[("r", 0, 0, 0, step, 0, [1])] for step in (5, 4)]
     with pytest.raises(Exception, match="came after step"):
