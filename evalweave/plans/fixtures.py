@@ -189,8 +189,8 @@ def contexts(spark: SparkSession, sf_dir: str, telemetry: DataFrame, model: str)
     return run_matrix(rows, spec).withColumn("run_id", F.col("example_id"))
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as denoising steps: a run per user, a new canvas at every signup. A stored table."""
+def steps(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Events as denoising steps: a run per user, a new canvas at every signup. A stored table, of ``columns`` if given."""
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("run_id"),
         "ts",
@@ -222,7 +222,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
     )
-    return stage(made, "steps")
+    return stage(made.select(*columns or made.columns), "steps")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

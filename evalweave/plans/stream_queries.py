@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def _arriving(rows: DataFrame, label: str, key: str, order: str, *cuts: int, fil
     return path
 
 
+def _files_of_a_wave(spark: SparkSession, path: str, waves: int) -> int:
+    """How many files a micro-batch has to take for as many micro-batches as waves, however many files were written.
+
+    It may take some of the next wave's: what a wave has of a key lies in one file.
+    """
+    return max(1, math.ceil(len(spark.read.parquet(path).inputFiles()) / waves))
+
+
 @query(
     "canvas_changes_stream",
     f"""WITH {q.CANVASES} SELECT run_id, global_step, step_index, canvas_index,
@@ -33,12 +43,9 @@ def _arriving(rows: DataFrame, label: str, key: str, order: str, *cuts: int, fil
     FROM changed""",
 )
 def canvas_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = fx.steps(spark, sf_dir).select(
-        "run_id", "global_step", "step_index", "canvas", "accepted_index"
-    )
-    files = max(2, spark.sparkContext.defaultParallelism)
-    path = _arriving(steps, "steps", "run_id", "global_step", 30, files=files)
-    arriving = stateful.read_folder(spark, path, steps.schema, files_per_batch=files)
+    steps = fx.steps(spark, sf_dir, "run_id", "global_step", "step_index", "canvas", "accepted_index")
+    path = _arriving(steps, "steps", "run_id", "global_step", 30, files=max(2, spark.sparkContext.defaultParallelism))
+    arriving = stateful.read_folder(spark, path, steps.schema, files_per_batch=_files_of_a_wave(spark, path, 2))
     done = stateful.run_to_files(stateful.canvas_changes_stream(arriving), "canvas-changes")
     return done.withColumns(
         {c: F.array_join(c, ",") for c in ("changed_positions", "accepted_positions")}

@@ -92,6 +92,7 @@ def test_a_wave_is_written_by_as_many_tasks_as_asked_for(spark):
     path = stream_queries._arriving(rows, "waves", "run_id", "step", 2, files=4)
     files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("step") < 2, F.max("step") < 2).collect()
     assert sorted(tuple(f)[1:] for f in files) == [(False, False)] * 4 + [(True, True)] * 4
+    assert stream_queries._files_of_a_wave(spark, path, 2) == 4
 
 
 def test_a_late_route_stops_the_stream(spark, tmp_path):
