@@ -97,14 +97,17 @@ def text_slices(
             begin = end
 
 
-def words_of(texts: Texts, fold_case: bool = False) -> Words:
-    """Maximal runs of bytes other than space and ``\\x09-\\x0D``, never across two texts."""
+def words_of(texts: Texts, fold_case: bool = False, cuts: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes other than space and ``\\x09-\\x0D``, never across two texts.
+
+    ``cuts`` marks the bytes (and the end) before which a run ends besides.
+    """
     data = _FOLD[texts.data] if fold_case else texts.data
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(texts.bounds), np.int64))
     ink = ~_WHITE[data]
-    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut = np.zeros(len(data) + 1, dtype=bool) if cuts is None else cuts.copy()
     cut[texts.bounds] = True
     opens, closes = ink.copy(), ink.copy()
     opens[1:] &= ~ink[:-1] | cut[1:-1]

@@ -3,9 +3,9 @@
 The word vocabulary drops white space and never merges across it, so the ids of a text are the ids
 of its white-space separated words in turn. Each distinct word of a slice is therefore encoded by
 the library once and its ids are dealt out to all places. Three things keep this exact: A-Z is
-folded beforehand (the tokenizer folds case anyway), closing ``. , ! ? ; :`` are cut off only after
-an ASCII letter or digit (where its pattern cuts too), and a text holding ``<|``, which may start a
-special token, is given to the library whole.
+folded beforehand (the tokenizer folds case anyway), words are cut only where a letter or digit and
+an ASCII sign other than the apostrophe meet (where its pattern always cuts too), and a text holding
+``<|``, which may start a special token, is given to the library whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import codecs
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -33,22 +34,25 @@ from evalweave.llm.batches import (
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
-#: Words given to the library at a time.
-ENCODED = 1024
 
-_CLOSING = np.zeros(256, dtype=bool)
-_CLOSING[[ord(c) for c in ".,!?;:"]] = True
-_ALNUM = np.zeros(256, dtype=bool)
+#: 1 for ASCII letters and digits, 2 for ASCII signs other than the apostrophe, else 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 2
+_KIND[ord("'")] = 0
 for _low, _high in (("a", "z"), ("A", "Z"), ("0", "9")):
-    _ALNUM[ord(_low) : ord(_high) + 1] = True
+    _KIND[ord(_low) : ord(_high) + 1] = 1
 
 
-#: Lower-case letters in normal form: a-z, and of Latin-1 U+00DF to U+00F6 and U+00F8 to U+00FF.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-#: The signs by which byte-level vocabularies write the bytes of those letters (fixed values).
-_BYTE_SIGNS = "".join(
-    chr({0xAD: 0x143}.get(b, b + 0xA2 if 0x7F <= b <= 0xA0 else b)) for b in range(256)
-)
+#: Letters in normal form: a-z, and of Latin-1 U+00C0 to U+00D6, U+00D8 to U+00F6 and U+00F8 to U+00FF.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The second byte of those of Latin-1, after 0xC3.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: The signs by which byte-level vocabularies write the bytes of those letters (fixed values); the
+#: capitals of Latin-1 (0x80 to 0x9E) have those of their small letters, 0x20 further on.
+_SMALL = [b + 0x20 if 0x80 <= b <= 0x9E else b for b in range(256)]
+_BYTE_SIGNS = "".join(chr({0xAD: 0x143}.get(b, b + 0xA2 if 0x7F <= b <= 0xA0 else b)) for b in _SMALL)
 
 
 @functools.lru_cache(maxsize=4)
@@ -63,46 +67,26 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _library_ids(library: Tokenizer, words: list[bytes]) -> Iterator[list[int]]:
-    """The library's ids of each word; its results are large, so few are held at a time."""
-    for at in range(0, len(words), ENCODED):
-        some = [w.decode() for w in words[at : at + ENCODED]]
-        for found in library.encode_batch_fast(some, add_special_tokens=False):
-            yield found.ids
-
-
-def encode_words(library: Tokenizer, words: list[bytes]) -> tuple[list[int], list[int]]:
-    """The ids of all the words, and how many each has.
+def encode_words(library: Tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all the words, whose A-Z are folded, and how many each has.
 
-    A word of plain lower-case letters is one pre-token that the normaliser leaves alone, so its
-    merges are asked for directly; any other word takes the library's whole way.
+    A word of plain letters is one pre-token that the normaliser at most folds, so its merges are
+    asked for directly; any other word takes the library's whole way.
     """
-    merge = library.model.tokenize
+    merge, number = library.model.tokenize, attrgetter("id")
     ids: list[int] = []
     sizes: list[int] = []
-    rest: list[int] = []
     signs = codecs.charmap_decode(b"\n".join(words), "strict", _BYTE_SIGNS)[0].split("\n")
-    for k, plain in enumerate(map(_LETTERS.fullmatch, words)):
-        if plain:
-            own = [t.id for t in merge(signs[k])]
-            ids += own
-            sizes.append(len(own))
-        else:
-            rest.append(k)
-            sizes.append(-1)
-    if not rest:
-        return ids, sizes
-    both: list[int] = []
-    at, own = 0, _library_ids(library, [words[k] for k in rest])
-    for k, size in enumerate(sizes):
-        if size < 0:
-            other = next(own)
-            sizes[k] = len(other)
-            both += other
+    for word, sign in zip(words, signs, strict=True):
+        if word.isalpha() or _LETTERS.fullmatch(word):
+            own = merge(sign)
+            ids.extend(map(number, own))
         else:
-            both += ids[at : at + size]
-            at += size
-    return both, sizes
+            # Not in a batch: for that the library starts a thread for every core of the machine.
+            own = library.encode(word.decode(), add_special_tokens=False).ids
+            ids += own
+        sizes.append(len(own))
+    return np.array(ids, np.uint32), np.array(sizes, np.int64)
 
 
 class WordEncoder:
@@ -114,49 +98,45 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _look_up(self, values: list[bytes]) -> np.ndarray:
-        """The number under which each word's ids are kept, encoding the words met first."""
+        """The number under which each of these different words is kept, encoding the words met first."""
         if len(self.known) > REMEMBERED:
             self._forget()
         known = self.known
-        fresh = [v for v in values if v not in known]
-        if fresh:
+        place = np.fromiter(map(known.get, values, repeat(-1)), np.int64, len(values))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = [values[k] for k in new.tolist()]
             ids, sizes = encode_words(self.tokenizer, fresh)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            self.sizes = np.append(self.sizes, np.array(sizes, np.int64))
-            self.flat = np.append(self.flat, np.array(ids, np.uint32))
-        return np.fromiter(map(known.__getitem__, values), np.int64, len(values))
+            place[new] = np.arange(len(known), len(known) + len(fresh))
+            known.update(zip(fresh, place[new].tolist(), strict=True))
+            self.at = np.append(self.at, self.at[-1] + np.cumsum(sizes))
+            self.flat = np.append(self.flat, ids)
+        return place
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice, and the bounds of each text's ids."""
-        data, starts, ends, _ = words_of(texts, fold_case=True)
+        data, starts, ends, begins = words_of(texts, fold_case=True, cuts=self._sign_cuts(texts.data))
         special = self._special(texts)
-        tails = self._closing_cuts(data, starts, ends)
-        if len(tails):
-            starts, ends = np.sort(np.append(starts, tails)), np.sort(np.append(ends, tails))
         codes, values = coded(spans_array(data, starts, ends))
-        place = self._look_up(values.to_pylist())[codes] if len(codes) else codes
-        sizes = self.sizes[place]
-        ids = self.flat[ragged_index(offsets_of(self.sizes)[place], sizes)]
-        bounds = offsets_of(sizes)[np.searchsorted(starts, texts.bounds)]
+        place = self._look_up(values.to_numpy(zero_copy_only=False).tolist())[codes] if len(codes) else codes
+        first = self.at[place]
+        sizes = self.at[place + 1] - first
+        ids = self.flat[ragged_index(first, sizes)]
+        bounds = offsets_of(sizes)[begins]
         return self._with_special(texts, special, ids, bounds) if len(special) else (ids, bounds)
 
     @staticmethod
-    def _closing_cuts(data, starts, ends) -> np.ndarray:
-        """Where the closing signs at the end of a word begin, if a letter or digit is before them."""
-        begins = ends - 1
-        run = np.flatnonzero(_CLOSING[data[begins]]) if len(ends) else begins
-        begins = begins[run]
-        while True:
-            back = (begins > starts[run]) & _CLOSING[data[begins - 1]]
-            if not back.any():
-                break
-            begins = begins - back
-        inside = begins > starts[run]
-        begins = begins[inside]
-        return begins[_ALNUM[data[begins - 1]]]
+    def _sign_cuts(data: np.ndarray) -> np.ndarray:
+        """Marks the bytes before which a letter or digit and an ASCII sign other than the apostrophe meet."""
+        kind = _KIND[data]
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+        kind[latin] = _LATIN[data[latin]]
+        marks = np.zeros(len(data) + 1, dtype=bool)
+        marks[1:-1] = (kind[:-1] ^ kind[1:]) == 3
+        return marks
 
     @staticmethod
     def _special(texts: Texts) -> np.ndarray:

@@ -113,6 +113,46 @@ def test_word_encoder_equals_the_library():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library_ids(text), repr(text)
 
 
+def test_words_are_cut_at_signs_as_the_library_cuts():
+    latin = [chr(c) for c in range(0xA1, 0x100)]
+    signs = [chr(c) for c in range(0x21, 0x7F)]
+    others = ["\u0301", "\u0338", "\u0130"]
+    texts = [f"a{x}b {x}a{y} a{y}{x} {x}{y}." for x in [*latin, *signs, *others] for y in "éÊ'&s7"]
+    picks = random.Random(11)
+    texts += ["".join(picks.choices([*latin, *signs, *others, "'s", " "], k=12)) for _ in range(3000)]
+    encoder = WordEncoder(vocabulary_path(WORD_VOCABULARY))
+    ids, bounds = encoder.encode(batches.texts_of(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library_ids(text), repr(text)
+
+
+def test_few_words_take_the_library_s_whole_way():
+    """Signs beside letters make no new words, and plain letters, capitals too, are merged directly."""
+    library = tokenizer(vocabulary_path(WORD_VOCABULARY))
+    whole = []
+
+    class Counted:
+        model = library.model
+
+        @staticmethod
+        def encode(word, **how):
+            whole.append(word)
+            return library.encode(word, **how)
+
+        @staticmethod
+        def encode_batch_fast(words, **how):
+            whole.extend(words)
+            return library.encode_batch_fast(words, **how)
+
+    encoder = WordEncoder(vocabulary_path(WORD_VOCABULARY))
+    encoder.tokenizer = Counted
+    text = "wordy Wordy&&& (wordy,%%% été Été. don't"
+    ids, _ = encoder.encode(batches.texts_of(pa.array([text])))
+    assert ids.tolist() == library_ids(text)
+    assert set(encoder.known) == {w.encode() for w in ("wordy", "&&&", "(", ",%%%", "été", "Été", ".", "don't")}
+    assert sorted(whole) == sorted(["&&&", "(", ",%%%", ".", "don't"])
+
+
 def test_token_counts_equal_the_library(folder, spark, rows):
     path = vocabulary_path(token_counts.BYTE_VOCABULARY)
     library = tokenizer(path)
