@@ -249,7 +249,7 @@ def _met(rows: DataFrame, entries: DataFrame, hold: Callable, tell: Callable, sc
     names, own = rows.columns[1:], entries.columns[1:]
 
     def nothing(df: DataFrame, columns: list[str]) -> list[Column]:
-        return [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
+        return [_blank(df.schema[c].dataType).alias(c) for c in columns]
 
     # Entries before rows by one number, which sorts by its digits.
     turn = F.col("slice") * 2
@@ -280,6 +280,16 @@ def _met(rows: DataFrame, entries: DataFrame, hold: Callable, tell: Callable, sc
     return both.mapInArrow(run, schema)
 
 
+def _blank(kind: T.DataType) -> Column:
+    """A value that nobody reads. Lists and maps are empty: behind each row that goes to Python in Arrow form, the
+    offsets of all null lists since the last given one are written again, which takes the square of a run of them."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_blank(f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
+    return F.create_map().cast(kind) if isinstance(kind, T.MapType) else F.lit(None).cast(kind)
+
+
 def _decoded(lists: pa.ListArray, vocab: Dictionary) -> list[pa.Array]:
     """Raw text, clean text and error of each list of ids."""
     offsets = lists.offsets.to_numpy().astype(np.int64)
