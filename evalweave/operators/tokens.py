@@ -251,6 +251,7 @@ def _met(rows: DataFrame, entries: DataFrame, hold: Callable, tell: Callable, sc
     def nothing(df: DataFrame, columns: list[str]) -> list[Column]:
         return [_blank(df.schema[c].dataType).alias(c) for c in columns]
 
+    entries = _packed(entries)
     # Entries before rows by one number, which sorts by its digits.
     turn = F.col("slice") * 2
     left = entries.select("slice", turn.alias("turn"), *own, *nothing(rows, names))
@@ -270,16 +271,36 @@ def _met(rows: DataFrame, entries: DataFrame, hold: Callable, tell: Callable, sc
                     at, parts, held = turns[begin] // 2, [], None
                 piece = batch.slice(begin, end - begin)
                 if turns[begin] % 2 == 0:
-                    parts.append(piece.select(own))
+                    parts.append(pa.RecordBatch.from_arrays([piece.column(c).flatten() for c in own], own))
                     continue
                 if held is None:
-                    held = hold(pa.Table.from_batches(parts, batch.select(own).schema))
+                    flat = pa.schema([(c, batch.schema.field(c).type.value_type) for c in own])
+                    held = hold(pa.Table.from_batches(parts, flat))
                     parts = []
                 yield from tell(piece.select(names), held)
 
     return both.mapInArrow(run, schema)
 
 
+def _packed(entries: DataFrame) -> DataFrame:
+    """Entries of a slice that lie together in a task as one row of lists: the columns of the slices' rows, which
+    entries leave blank, cost as much in every row that goes to Python."""
+    lists = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in entries.schema.fields[1:]]
+    schema = T.StructType([entries.schema.fields[0], *lists])
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(np.diff(batch.column(0).to_numpy(), prepend=-1))
+            offsets = pa.array(np.append(starts, batch.num_rows), pa.int32())
+            columns = [pa.ListArray.from_arrays(offsets, c) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), *columns], schema.names)
+
+    return entries.sortWithinPartitions("slice").mapInArrow(run, schema)
+
+
 def _blank(kind: T.DataType) -> Column:
     """A value that nobody reads. Lists and maps are empty: behind each row that goes to Python in Arrow form, the
     offsets of all null lists since the last given one are written again, which takes the square of a run of them."""
@@ -419,9 +440,25 @@ def capture_errors(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("final_text", F.coalesce("clean_text", F.lit(""))).drop("clean_text")
 
 
+def words_of(df: DataFrame, text: str, name: str = "word") -> DataFrame:
+    """The words between single blanks of ``text``; rows that lie together give each of their words once."""
+    most = PART_BYTES
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, lambda b: _text_bounds(b, "text"), most):
+            words = _coded(part.column("text"))[0].dictionary
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string())], [name])
+
+    schema = T.StructType([T.StructField(name, T.StringType())])
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+
+
 def dense_vocabulary(words: DataFrame, word: str, special_every: int) -> DataFrame:
     """Distinct words numbered in word order, as a stored table."""
-    numbered = dense_index(words.select(word).distinct(), [word], "token_id")
+    # Stored, as a range sort reads its input twice.
+    distinct = stage(words.select(word).distinct(), "words")
+    numbered = dense_index(distinct, [word], "token_id")
     vocab = numbered.select(
         F.col("token_id").cast("int").alias("token_id"),
         F.col(word).alias("token_text"),

@@ -13,7 +13,7 @@ from evalweave.functions.vectors import softmax, topk
 from evalweave.operators.dataset import normalize_examples
 from evalweave.operators.ordered import chunk_of, scan_in_order
 from evalweave.operators.runs import RunSpec, run_matrix
-from evalweave.operators.tokens import dense_vocabulary, encode_words
+from evalweave.operators.tokens import dense_vocabulary, encode_words, words_of
 from evalweave.schemas import EXAMPLE_COLUMNS
 from evalweave.session import stage
 
@@ -225,15 +225,9 @@ def steps(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return stage(made.select(*columns or made.columns), "steps")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.split("text", " ")).alias("at", "word")
-    )
-
-
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct words of all documents, numbered in word order."""
-    return dense_vocabulary(words(spark, sf_dir), "word", SPECIAL_EVERY)
+    return dense_vocabulary(words_of(table(spark, sf_dir, "documents"), "text"), "word", SPECIAL_EVERY)
 
 
 def generated(spark: SparkSession, sf_dir: str, vocab: DataFrame, *, with_unknown: bool = False) -> DataFrame:
